@@ -1,7 +1,5 @@
 """The operators' queries over the given tables, and their SQL where SQL can express them."""
-from pyspark.sql import functions as F
-
-from . import decontaminate, exact_dedup, mixing, quality, simhash
+from . import decontaminate, exact_dedup, html, language, licenses, mixing, quality, simhash, substrings, tokens
 
 
 def _read(spark, d, name):
@@ -10,6 +8,11 @@ def _read(spark, d, name):
 
 QUERIES = {
     "op1_decontaminate": lambda s, d: decontaminate.leaks(_read(s, d, "documents"), _read(s, d, "benchmark")),
+    "op2_language": lambda s, d: language.identify(_read(s, d, "documents")),
+    "op3_substring_dedup": lambda s, d: substrings.repeats(_read(s, d, "documents")),
+    "op4_licenses": lambda s, d: licenses.scan(_read(s, d, "documents")),
+    "op5_html": lambda s, d: html.extract(_read(s, d, "pages")),
+    "op10_tokens": lambda s, d: tokens.count(_read(s, d, "documents")),
     "op6_simhash": lambda s, d: simhash.near_groups(_read(s, d, "documents")),
     "op7_quality": lambda s, d: quality.classify(_read(s, d, "documents"), _read(s, d, "labels")),
     "op8_mixing": lambda s, d: mixing.mix(_read(s, d, "documents")),
