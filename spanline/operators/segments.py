@@ -67,18 +67,18 @@ def split_to_max_length(df: DataFrame, categories: list[str], measure_slk, measu
 def overlay(original: DataFrame, additional: DataFrame, categories: list[str], measure_slk, measure_true, name_original: str, name_additional: str, original_index: str = "rid", additional_index: str = "rid", relax_slk_checks: bool = False) -> DataFrame:
     """The union of both segmentations, split wherever either splits, with both source positions."""
     def events(df, which, index):
-        end = lambda k: F.struct(F.lit(k).alias("type"), F.col(measure_true[k]).cast("double").alias("true"), F.col(measure_slk[k]).cast("double").alias("slk"))
+        end = lambda k: F.struct(F.lit(k).alias("type"), F.col(measure_true[k]).cast("double").alias("tm"), F.col(measure_slk[k]).cast("double").alias("slk"))
         d = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in categories]))
         return d.select(*categories, F.lit(which).alias("df"), F.col(index).cast("long").alias("pos"), F.explode(F.array(end(0), end(1))).alias("e")).select(*categories, "df", "pos", "e.*")
 
     e = events(original, 0, original_index).unionByName(events(additional, 1, additional_index))
-    w = W.partitionBy(*categories).orderBy("true", "pos", "type", F.when(F.col("type") == 0, F.col("df")).otherwise(-F.col("df")))
+    w = W.partitionBy(*categories).orderBy("tm", "pos", "type", F.when(F.col("type") == 0, F.col("df")).otherwise(-F.col("df")))
     state = lambda k: F.last(F.when(F.col("df") == k, F.when(F.col("type") == 0, F.col("pos")).otherwise(-1)), True).over(w)
-    e = e.withColumns({"s0": state(0), "s1": state(1), "et": F.lead("true").over(w), "es": F.lead("slk").over(w)})
-    e = e.where("et > true and es > slk and (s0 >= 0 or s1 >= 0)")
+    e = e.withColumns({"s0": state(0), "s1": state(1), "et": F.lead("tm").over(w), "es": F.lead("slk").over(w)})
+    e = e.where("et > tm and es > slk and (s0 >= 0 or s1 >= 0)")
     at = lambda c: F.when(F.col(c) >= 0, F.col(c))
     (sf, st), (tf, tt) = measure_slk, measure_true
-    return e.select(*categories, F.col("slk").alias(sf), F.col("es").alias(st), F.col("true").alias(tf), F.col("et").alias(tt), at("s0").alias(name_original), at("s1").alias(name_additional))
+    return e.select(*categories, F.col("slk").alias(sf), F.col("es").alias(st), F.col("tm").alias(tf), F.col("et").alias(tt), at("s0").alias(name_original), at("s1").alias(name_additional))
 
 
 def cross_sections(df: DataFrame, groups: list[str], cats: list[str], measure_slk, measure_true, number: str = "cross_section_number", original_index: str = "original_index", overlap: str = "overlap", index_col: str = "rid") -> DataFrame:

@@ -45,14 +45,14 @@ def _longest(v):
 _PERCENTILE = _PAIRS + """, x AS (SELECT road, slk_from, slk_to, cents AS v, coalesce(sum(h) OVER (PARTITION BY road, slk_from ORDER BY cents, dt, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS x, row_number() OVER o AS k, count(cents) OVER (PARTITION BY road, slk_from) AS n
 FROM (SELECT *, (lag(w) OVER o + w) / 2 AS h FROM pairs WINDOW o AS (PARTITION BY road, slk_from ORDER BY cents, dt, i)) WINDOW o AS (PARTITION BY road, slk_from ORDER BY cents, dt, i)),
 y AS (SELECT *, x / max(x) OVER (PARTITION BY road, slk_from) AS p, lag(v) OVER o AS v0, lag(x) OVER o / max(x) OVER (PARTITION BY road, slk_from) AS p0 FROM x WINDOW o AS (PARTITION BY road, slk_from ORDER BY k))
-SELECT road, slk_from, slk_to, round(first(CASE WHEN n <= 1 OR k = 1 THEN v ELSE v0 + (v - v0) * (0.75 - p0) / (p - p0) END ORDER BY k), 6) AS v FROM y WHERE n <= 1 OR p >= 0.75 GROUP BY road, slk_from, slk_to"""
+SELECT road, slk_from, slk_to, round(first(CASE WHEN n <= 1 OR k = 1 THEN v ELSE v0 + (v - v0) * (0.75 - p0) / (p - p0) END ORDER BY k) / 7, 2) AS v FROM y WHERE n <= 1 OR p >= 0.75 GROUP BY road, slk_from, slk_to"""
 _KINDS = {
     "average": ("cents", A.Average(), _agg("round(avg(cents), 6)")),
     "length_weighted_average": ("cents", A.LengthWeightedAverage(), _agg("round(sum(cents * w) / sum(w), 6)")),
     "length_weighted_percentile": ("cents", A.LengthWeightedPercentile(0.75), _PERCENTILE),
     "first": ("st", A.First(), _agg("arg_min(st, i)")),
     "sum": ("cents", A.Sum(), _agg("sum(cents)")),
-    "sum_proportion_of_data": ("cents", A.SumProportionOfData(), _agg("round(sum(cents * w / len), 2)")),
+    "sum_proportion_of_data": ("cents", A.SumProportionOfData(), _agg("round(sum(cents * w / len) / 7, 3)")),
     "sum_proportion_of_target": ("cents", A.SumProportionOfTarget(), _agg("round(sum(cents * w) / max(tlen), 6)")),
     "min": ("cents", A.Min(), _agg("min(cents)")),
     "max": ("cents", A.Max(), _agg("max(cents)")),
@@ -63,7 +63,7 @@ _KINDS = {
     "keep_longest_segment": ("st", A.KeepLongestSegment(), _agg("first(st ORDER BY w DESC, dt, i)")),
 }
 for _n, (_c, _a, _s) in _KINDS.items():
-    query(f"merge_{_n}", _s)(lambda s, d, c=_c, a=_a, n=_n: _rounded(_merged(s, d, Action(c, a, "v")), 2 if "proportion_of_data" in n else 6))
+    query(f"merge_{_n}", _s)(lambda s, d, c=_c, a=_a, n=_n: _merged(s, d, Action(c, a, "v")) if n not in ("sum_proportion_of_data", "length_weighted_percentile") else _merged(s, d, Action(c, a, "v")).withColumn("v", F.round(F.col("v") / 7, 3 if n[0] == "s" else 2)))
 _MULTI = [Action("cents", A.LengthWeightedAverage(), "lwa"), Action("cents", A.Sum(), "total"), Action("qty", A.Max(), "top"), Action("st", A.KeepLongestSegment(), "st")]
 query("merge_multi_action", _PAIRS + "SELECT road, slk_from, slk_to, round(sum(cents * w) / sum(w), 6) AS lwa, sum(cents) AS total, max(qty) AS top, first(st ORDER BY w DESC, dt, i) AS st FROM pairs GROUP BY road, slk_from, slk_to")(lambda s, d: _merged(s, d, *_MULTI))
 query("merge_unmatched_targets", _PAIRS + "SELECT road, slk_from, slk_to FROM pairs WHERE i IS NULL")(lambda s, d: _merged(s, d, Action("cents", A.Sum(), "v")).where("v is null").drop("v"))
@@ -84,12 +84,12 @@ def _(s, d):
 _IDS = "SELECT rid, CAST(sum(b) OVER (ORDER BY road, flag, rid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS BIGINT) AS segment_id FROM (SELECT road, flag, rid, CASE WHEN coalesce(lag({t}) OVER o <> {f}, true){more} THEN 1 ELSE 0 END AS b FROM obs WINDOW o AS (PARTITION BY road, flag ORDER BY rid))"
 query("segment_ids_slk", V.sql("obs") + _IDS.format(f="sf", t="s", more=""))(lambda s, d: segments.segment_ids(V.obs(s, d), ["road", "flag"], ("sf", "s")).select("rid", "segment_id"))
 query("segment_ids_true", V.sql("obs") + _IDS.format(f="sf", t="s", more=" OR coalesce(lag(t) OVER o <> f, true)"))(lambda s, d: segments.segment_ids(V.obs(s, d), ["road", "flag"], ("sf", "s"), ("f", "t")).select("rid", "segment_id"))
-query("linspace_steps", V.sql("obs") + "SELECT rid, unnest(list_concat([f], list_filter(list_transform(range((floor(f / 7) + 1)::BIGINT, ceil(t / 7)::BIGINT), k -> k * 7.0::DOUBLE), x -> NOT (x - f < 2 AND x - 7 <= f) AND NOT (t - x < 2 AND x + 7 >= t)), [t])) AS at FROM obs")(
+query("linspace_steps", V.sql("obs") + "SELECT rid, unnest(list_concat([f], list_filter(list_transform(range((floor(f / 7) + 1)::BIGINT, ceil(t / 7)::BIGINT), lambda k: k * 7.0::DOUBLE), lambda x: NOT (x - f < 2 AND x - 7 <= f) AND NOT (t - x < 2 AND x + 7 >= t)), [t])) AS at FROM obs")(
     lambda s, d: V.obs(s, d).select("rid", F.explode(steps.linspace_steps(F.col("f"), F.col("t"), 7.0, 2.0)).alias("at")))
-query("fixed_steps", V.sql("obs") + "SELECT rid, unnest(list_concat(list_transform(range(0, ceil((t - f) / 7)::BIGINT), k -> f + k * 7), [t])) AS at FROM obs")(lambda s, d: V.obs(s, d).select("rid", F.explode(steps.fixed_steps(F.col("f"), F.col("t"), 7.0)).alias("at")))
+query("fixed_steps", V.sql("obs") + "SELECT rid, unnest(list_concat(list_transform(range(0, ceil((t - f) / 7)::BIGINT), lambda k: f + k * 7), [t])) AS at FROM obs")(lambda s, d: V.obs(s, d).select("rid", F.explode(steps.fixed_steps(F.col("f"), F.col("t"), 7.0)).alias("at")))
 query("as_metres", "SELECT l_orderkey, l_linenumber, round_even(l_discount * 1000, 0)::BIGINT AS m FROM lineitem")(lambda s, d: V.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", steps.as_metres(F.col("l_discount")).alias("m")))
 
-_SEG = ", e AS (SELECT *, CASE WHEN coalesce(lag(s) OVER o <> sf OR lag(t) OVER o <> f, true) THEN 1 ELSE 0 END AS b FROM obs WINDOW o AS (PARTITION BY road ORDER BY rid)), i AS (SELECT *, sum(b) OVER (ORDER BY road, rid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS g FROM e), m AS (SELECT road, g, min(sf) AS a, max(s) AS z, min(f) AS c, max(t) AS y FROM i GROUP BY road, g), p AS (SELECT *, unnest(list_distinct(list_concat([a], list_transform(range((floor(a / 60) + 1)::BIGINT, ceil(z / 60)::BIGINT), k -> k * 60.0::DOUBLE)))) AS x FROM m), q AS (SELECT *, lead(x, 1, z) OVER (PARTITION BY g ORDER BY x) AS x2 FROM p) "
+_SEG = ", e AS (SELECT *, CASE WHEN coalesce(lag(s) OVER o <> sf OR lag(t) OVER o <> f, true) THEN 1 ELSE 0 END AS b FROM obs WINDOW o AS (PARTITION BY road ORDER BY rid)), i AS (SELECT *, sum(b) OVER (ORDER BY road, rid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS g FROM e), m AS (SELECT road, g, min(sf) AS a, max(s) AS z, min(f) AS c, max(t) AS y FROM i GROUP BY road, g), p AS (SELECT *, unnest(list_distinct(list_concat([a], list_transform(range((floor(a / 60) + 1)::BIGINT, ceil(z / 60)::BIGINT), lambda k: k * 60.0::DOUBLE)))) AS x FROM m), q AS (SELECT *, lead(x, 1, z) OVER (PARTITION BY g ORDER BY x) AS x2 FROM p) "
 query("split_max_length", V.sql("obs") + _SEG + "SELECT road, g::BIGINT AS segment_index, x AS sf, x2 AS s, x - a + c AS f, x2 - a + c AS t, (SELECT first(i.st ORDER BY least(i.s, q.x2) - greatest(i.sf, q.x) DESC, i.sf, i.rid) FROM i WHERE i.g = q.g AND i.sf < q.x2 AND i.s > q.x) AS st FROM q")(
     lambda s, d: segments.split_to_max_length(V.obs(s, d).select("road", "rid", "sf", "s", "f", "t", "st"), ["road"], ("sf", "s"), ("f", "t"), 60.0).drop("rid"))
 query("longest_overlap", _agg("first(i ORDER BY w DESC, dt - len, i)"))(lambda s, d: segments.longest_overlap(V.grid(s, d, 100.0).drop("rid"), V.gap(s, d), ["road"], ("f", "t"), "rid", "v").toDF("road", "slk_from", "slk_to", "v"))
@@ -106,7 +106,7 @@ query("cross_sections_groups", _CROSS + "SELECT DISTINCT n.road, n.k AS cross_se
 query("check_monotonic", V.sql("obs", "gap") + "SELECT bool_and(x) AS ok FROM (SELECT lag(t, 1, 0) OVER (PARTITION BY road ORDER BY rid) <= f AS x FROM gap)")(lambda s, d: segments.check_monotonic(V.gap(s, d), ["road"], ("f", "t"), "rid"))
 query("check_reversed", V.sql("obs", "gap") + "SELECT bool_and(f <= t) AS ok FROM gap")(lambda s, d: segments.check_no_reversed(V.gap(s, d), ("f", "t")))
 query("check_linear_index", V.sql("obs") + "SELECT count(*) FILTER (f IS NULL OR t IS NULL) AS n_missing, count(*) FILTER (f > t) AS n_reversed, count(*) FILTER (f = t) AS n_zero FROM obs")(lambda s, d: segments.linear_index_faults(V.obs(s, d), ["f", "t"]))
-query("check_disjoint", V.sql("obs", "gap") + "SELECT bool_and(coalesce(f >= lag(t) OVER (PARTITION BY road ORDER BY rid), true)) AS ok FROM gap")(lambda s, d: segments.check_disjoint(V.gap(s, d), ("f", "t"), ["road"], "rid"))
+query("check_disjoint", V.sql("obs", "gap") + "SELECT bool_and(x) AS ok FROM (SELECT coalesce(f >= lag(t) OVER (PARTITION BY road ORDER BY rid), true) AS x FROM gap)")(lambda s, d: segments.check_disjoint(V.gap(s, d), ("f", "t"), ["road"], "rid"))
 
 _QP = V.sql("obs") + ", c AS (SELECT *, cents / 1e6 AS v FROM obs), w AS (SELECT road, rid, rn, sum(1.0::DOUBLE) OVER l AS nl, sum(v) OVER l AS sl, sum(v * v) OVER l AS ql, sum(1.0::DOUBLE) OVER r AS nr, sum(v) OVER r AS sr, sum(v * v) OVER r AS qr, sum(1.0::DOUBLE) OVER a AS na, sum(v) OVER a AS sa, sum(v * v) OVER a AS qa FROM c WINDOW l AS (PARTITION BY road ORDER BY rid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), r AS (PARTITION BY road ORDER BY rid ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), a AS (PARTITION BY road)) "
 _cond = lambda s, d: V.obs(s, d).withColumn("v", F.col("cents") / 1e6)
@@ -124,7 +124,7 @@ query("stretch", V.sql("obs") + "SELECT rid, unnest(range(f::BIGINT, t::BIGINT))
 query("make_segments", V.sql("obs") + "SELECT rid, f + k * 7 AS a, least(t, f + (k + 1) * 7) AS b, least(t, f + (k + 1) * 7) - (f + k * 7) AS Length FROM (SELECT *, unnest(range(0, ceil((t - f) / 7)::BIGINT)) AS k FROM obs)")(lambda s, d: reshape.make_segments(_km(s, d).select("rid", "a", "b"), "a", "b", max_segment=7, split_ends=False, as_km=False))
 query("get_segments", V.sql("obs") + ", e AS (SELECT *, CASE WHEN coalesce(lag(t) OVER o <> f OR lag(flag) OVER o <> flag, true) THEN 1 ELSE 0 END AS b FROM obs WINDOW o AS (PARTITION BY road ORDER BY rid)), g AS (SELECT *, sum(b) OVER (PARTITION BY road ORDER BY rid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM e) SELECT road, flag, round(min(f) / 1000, 6) AS START_SLK, round(max(t) / 1000, 6) AS END_SLK, round(sum(cents * qty) / sum(qty), 4) AS m FROM g GROUP BY road, flag, k")(
     lambda s, d: reshape.get_segments(reshape.stretch(_km(s, d), "a", "b"), ["road"], "SLK", 1, split_at=["flag"], summarise={"m": F.avg("cents")}).select("road", "flag", F.round("START_SLK", 6).alias("START_SLK"), F.round("END_SLK", 6).alias("END_SLK"), F.round("m", 4).alias("m")))
-query("interval_merge", _agg("round(sum(cents * w) / sum(w), 6)"))(lambda s, d: _rounded(reshape.interval_merge(V.grid(s, d, 100.0).drop("rid"), V.gap(s, d), ["road"], "f", "t", {"cents": "v"}).toDF("road", "slk_from", "slk_to", "v")))
+query("interval_merge", _agg("round(sum(cents * w) / sum(w), 6)"))(lambda s, d: _rounded(reshape.interval_merge(V.grid(s, d, 100.0).drop("rid"), V.gap(s, d), ["road"], "f", "t", {"v": "cents"}).toDF("road", "slk_from", "slk_to", "v")))
 
 _XSP = "CASE l_linenumber % 4 WHEN 0 THEN 'L1' WHEN 1 THEN 'L2' WHEN 2 THEN 'R1' ELSE 'LO' END"
 _item = lambda s, d: V.table(s, d, "lineitem").withColumn("xsp", F.expr(_XSP))
