@@ -60,10 +60,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ident = done[0]
     for x in done[1:]:
         ident = ident.union(x)
-    one = written(rows.join(ident, "rk").select("id", "sha", "level", "name"))
+    one = written(rows.join(ident, "rk").select("id", "rk", "sha", "level", "name"))
     g = one.groupBy("level", "name").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     # Rows that repeat the id that stays: all but one go.
     twice = one.join(g, ["level", "name"], "left").withColumns({"keep_id": F.coalesce("keep_id", "id"), "group_size": F.coalesce("group_size", F.lit(1)).cast("long")})
-    first = twice.where(F.col("id").eqNullSafe(F.col("keep_id"))).withColumn("kept", F.row_number().over(W.partitionBy("level", "name").orderBy("id")) == 1)
+    first = twice.where(F.col("id").eqNullSafe(F.col("keep_id"))).withColumn("kept", F.row_number().over(W.partitionBy("rk").orderBy("id")) == 1)
     out = first.unionByName(twice.where(~F.col("id").eqNullSafe(F.col("keep_id"))).withColumn("kept", F.lit(False)))
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
