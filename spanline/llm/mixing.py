@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, written
 
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=(5, 2, 1), epochs: int = 3) -> list[tuple]:
