@@ -26,7 +26,7 @@ def test_numeric_kinds(frames, bin_width):
     assert [g[0] for g in got] == [1, 10, 35, 8, None]
     assert [g[1] for g in got] == [1, 1, 4, 8, None]
     assert [g[2] for g in got] == [1, 4, 8, 8, None]
-    assert [round(g[3], 6) if g[3] else None for g in got] == [0.5, 2.2, 5.4 + 0.2 - 0.0 if False else round((4 * 20 + 5 * 40 + 6 * 20 + 7 * 10 + 8 * 10) / 100, 6), 1.6, None]
+    assert [round(g[3], 6) if g[3] else None for g in got] == [0.5, 2.2, round((4 * 20 + 5 * 40 + 6 * 20 + 7 * 10 + 8 * 10) / 100, 6), 1.6, None]
     assert abs(got[0][4] - 50 / 90) < 1e-9 and abs(got[2][4] - (2 + 5 + 5 + 6 + 7 + 8 / 3)) < 1e-9
     assert [g[5] for g in got] == [0, 3, 8, 8, None]
     assert [g[6] for g in got] == [1, 1, 5, 8, None]
