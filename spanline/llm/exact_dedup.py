@@ -27,15 +27,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     d = docs.select(F.col(id_col).alias("id"), F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " ").alias("t"))
     d = d.withColumn("rk", F.xxhash64("id", "t"))
-    rows = written(d.select("id", "rk", F.greatest(F.lit(1), F.ceil(F.length("t") / block)).cast("int").alias("n"), F.sha2("t", 256).alias("sha"), F.xxhash64("t").alias("fp")))
-    part = d.select("rk", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.length("t") / block)).cast("int") - 1), lambda i: F.substr("t", i * block + 1, F.lit(block)))).alias("pos", "b"))
-    part = part.withColumn("h", F.xxhash64("b"))
+    n = F.greatest(F.lit(1), F.ceil(F.length("t") / block)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr("t", i * block + 1, F.lit(block)))
+    rows = written(d.select("id", "rk", n.alias("n"), F.sha2("t", 256).alias("sha"), F.transform(cut, lambda b: F.xxhash64(b)).alias("hs")))
+    part = d.select("rk", F.posexplode(cut).alias("pos", "b")).withColumn("h", F.xxhash64("b"))
     stat = rows.agg(F.sum("n").alias("s"), F.max("n").alias("m")).first()
     if stat["s"] is None:
         return rows.select(F.col("id").alias(id_col), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     least = max(200, stat["s"] // HOT_SHARE)
     # Whole texts decide which blocks are hot: a hot block of a one-block text, or of copies of a long one.
-    hot = [r[0] for r in part.groupBy("h").count().where(F.col("count") > least).select("h").collect()] if stat["s"] > least else []
+    hot = [r[0] for r in rows.select(F.explode("hs").alias("h")).groupBy("h").count().where(F.col("count") > least).select("h").collect()] if stat["s"] > least else []
     is_hot = F.col("h").isin(hot) if hot else F.lit(False)
     cold = _named(part.where(~is_hot), "b").select("rk", "pos", "name")
     if hot:
