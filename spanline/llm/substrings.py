@@ -57,9 +57,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     run_words words; shorter runs stay where they are. Null, empty and wordless paragraphs match
     nothing and do not break a run; a row that repeats an id counts once; an empty table gives no rows.
     """
-    norm = F.array_join(F.regexp_extract_all(F.lower(F.col("line")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " ")
-    par = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line")).select("id", "pos", norm.alias("p")).where("p <> ''")
-    par = par.withColumns({"pid": F.xxhash64("p"), "n": F.size(F.split("p", " "))})
+    flat = F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}\p{N}\n]+", " ")
+    par = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(flat, "\n")).alias("pos", "p")).withColumn("p", F.trim("p")).where("p <> ''")
+    par = par.withColumns({"pid": F.xxhash64("p"), "n": F.length("p") - F.length(F.replace("p", F.lit(" "))) + 1})
     place = written(par.select("id", "pos", "pid", "n"))
     bands, rows = tune(least)
     rng = np.random.default_rng(11)
@@ -81,7 +81,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
             yield pd.DataFrame({"pid": np.repeat(b["pid"].to_numpy(), bands), "band": keys.ravel()})
 
     one = written(par.groupBy("pid").agg(F.min("p").alias("p")))
-    keys = written(one.mapInPandas(banded, "pid long, band long"))
+    # Up to seven different words make three shingles at most: those are equal to another line's or below 0.8.
+    # (The bound is that of five-word shingles and similarities over 3/4.)
+    plain = (F.size(F.split("p", " ")) <= SHINGLE + 2) & (F.size(F.array_distinct(F.split("p", " "))) == F.size(F.split("p", " ")))
+    keys = written(one.where(~plain if least > 0.75 else F.lit(True)).mapInPandas(banded, "pid long, band long"))
     full = keys.groupBy("band").count().where("count > 1").select("band", F.ceil(F.col("count") / TILE).cast("int").alias("nt"))
     x = keys.join(full, "band").join(one, "pid").withColumn("t", F.pmod("pid", F.col("nt")).cast("int"))
     x = x.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("nt") - 1))).select("band", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "pid", "p")
