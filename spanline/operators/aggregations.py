@@ -71,12 +71,13 @@ def percentile_of(rows: Column, p: float) -> Column:
     if p <= 0 or p >= 1:
         return F.when(n > 0, (first if p <= 0 else final)["v"])
     total = F.aggregate(s, F.lit(0.0), lambda a, r: a + r["w"]) - (first["w"] + final["w"]) / 2
-    start = F.struct(F.lit(0.0).alias("x"), F.lit(None).cast("double").alias("w"), F.lit(None).cast("double").alias("v"), F.lit(None).cast("double").alias("out"))
+    # The total rides along: inside the lambda it would be summed anew for each row.
+    start = F.struct(total.alias("total"), F.lit(0.0).alias("x"), F.lit(None).cast("double").alias("w"), F.lit(None).cast("double").alias("v"), F.lit(None).cast("double").alias("out"))
 
     def step(a: Column, r: Column) -> Column:
         x = F.when(a["w"].isNull(), 0.0).otherwise(a["x"] + (a["w"] + r["w"]) / 2)
-        here = F.when(a["w"].isNull(), r["v"]).otherwise(a["v"] + (r["v"] - a["v"]) * (p - a["x"] / total) / ((x - a["x"]) / total))
-        return F.struct(x.alias("x"), r["w"].alias("w"), r["v"].alias("v"), F.when(a["out"].isNull() & (x / total >= p), here).otherwise(a["out"]).alias("out"))
+        here = F.when(a["w"].isNull(), r["v"]).otherwise(a["v"] + (r["v"] - a["v"]) * (p - a["x"] / a["total"]) / ((x - a["x"]) / a["total"]))
+        return F.struct(a["total"].alias("total"), x.alias("x"), r["w"].alias("w"), r["v"].alias("v"), F.when(a["out"].isNull() & (x / a["total"] >= p), here).otherwise(a["out"]).alias("out"))
 
     # Rounding may leave the last position just below p.
     return F.when(n == 1, first["v"]).when(n > 1, F.coalesce(F.aggregate(s, start, step, lambda a: a["out"]), final["v"]))
