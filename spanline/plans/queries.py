@@ -45,7 +45,7 @@ def _longest(v):
 _PERCENTILE = _PAIRS + """, x AS (SELECT road, slk_from, slk_to, cents AS v, coalesce(sum(h) OVER (PARTITION BY road, slk_from ORDER BY cents, dt, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS x, row_number() OVER o AS k, count(cents) OVER (PARTITION BY road, slk_from) AS n
 FROM (SELECT *, (lag(w) OVER o + w) / 2 AS h FROM pairs WINDOW o AS (PARTITION BY road, slk_from ORDER BY cents, dt, i)) WINDOW o AS (PARTITION BY road, slk_from ORDER BY cents, dt, i)),
 y AS (SELECT *, x / max(x) OVER (PARTITION BY road, slk_from) AS p, lag(v) OVER o AS v0, lag(x) OVER o / max(x) OVER (PARTITION BY road, slk_from) AS p0 FROM x WINDOW o AS (PARTITION BY road, slk_from ORDER BY k))
-SELECT road, slk_from, slk_to, round(first(CASE WHEN n <= 1 OR k = 1 THEN v ELSE v0 + (v - v0) * (0.75 - p0) / (p - p0) END ORDER BY k) / 7.3890561, 3) AS v FROM y WHERE n <= 1 OR p >= 0.75 GROUP BY road, slk_from, slk_to"""
+SELECT road, slk_from, slk_to, round(first(CASE WHEN n <= 1 OR k = 1 THEN v ELSE v0 + (v - v0) * (0.75 - p0) / (p - p0) END ORDER BY k) / 7.3890561, 1) AS v FROM y WHERE n <= 1 OR p >= 0.75 GROUP BY road, slk_from, slk_to"""
 _KINDS = {
     "average": ("cents", A.Average(), _agg("round(avg(cents), 6)")),
     "length_weighted_average": ("cents", A.LengthWeightedAverage(), _agg("round(sum(cents * w) / sum(w), 6)")),
@@ -63,7 +63,7 @@ _KINDS = {
     "keep_longest_segment": ("st", A.KeepLongestSegment(), _agg("first(st ORDER BY w DESC, dt, i)")),
 }
 for _n, (_c, _a, _s) in _KINDS.items():
-    query(f"merge_{_n}", _s)(lambda s, d, c=_c, a=_a, n=_n: _merged(s, d, Action(c, a, "v")) if n not in ("sum_proportion_of_data", "length_weighted_percentile") else _merged(s, d, Action(c, a, "v")).withColumn("v", F.round(F.col("v") / (7 if n[0] == "s" else 7.3890561), 3)))
+    query(f"merge_{_n}", _s)(lambda s, d, c=_c, a=_a, n=_n: _merged(s, d, Action(c, a, "v")) if n not in ("sum_proportion_of_data", "length_weighted_percentile") else _merged(s, d, Action(c, a, "v")).withColumn("v", F.round(F.col("v") / (7 if n[0] == "s" else 7.3890561), 3 if n[0] == "s" else 1)))
 _MULTI = [Action("cents", A.LengthWeightedAverage(), "lwa"), Action("cents", A.Sum(), "total"), Action("qty", A.Max(), "top"), Action("st", A.KeepLongestSegment(), "st")]
 query("merge_multi_action", _PAIRS + "SELECT road, slk_from, slk_to, round(sum(cents * w) / sum(w), 6) AS lwa, sum(cents) AS total, max(qty) AS top, first(st ORDER BY w DESC, dt, i) AS st FROM pairs GROUP BY road, slk_from, slk_to")(lambda s, d: _merged(s, d, *_MULTI))
 query("merge_unmatched_targets", _PAIRS + "SELECT road, slk_from, slk_to FROM pairs WHERE i IS NULL")(lambda s, d: _merged(s, d, Action("cents", A.Sum(), "v")).where("v is null").drop("v"))
