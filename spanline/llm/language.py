@@ -33,7 +33,7 @@ def _units(text: str | None):
         h = np.full(len(code), n, np.int64)
         for j in range(n):
             h = (h * 1_000_003 + c[2 - (n - 1 - j) : 2 - (n - 1 - j) + len(code)]) & 0x7FFFFFFF
-        grams.append(((h * 2_654_435_761) >> 12) % BUCKETS)
+        grams.append(((h * 2_654_435_761) >> 12) & (BUCKETS - 1))
     return starts, ends, script, grams
 
 
@@ -91,15 +91,16 @@ def spans(text: str | None, model) -> list[tuple[int, int, int]]:
     gain = np.concatenate((np.zeros((1, len(langs))), np.cumsum(e - e[:, [best]], axis=0)))
     if (gain - np.minimum.accumulate(gain, axis=0)).max() <= SWITCH:
         return [(int(starts[0]), int(ends[-1]), best)]
-    back, v = np.zeros(e.shape, np.int16), e[0].copy()
-    for t in range(1, len(e)):
-        top = int(v.argmax())
-        stay = v >= v[top] - SWITCH
-        back[t] = np.where(stay, np.arange(len(v)), top)
-        v = np.where(stay, v, v[top] - SWITCH) + e[t]
-    path = [int(v.argmax())]
-    for t in range(len(e) - 1, 0, -1):
-        path.append(int(back[t, path[-1]]))
+    rows = e.tolist()  # few languages: lists are faster here than arrays
+    back, v = [], rows[0]
+    for r in rows[1:]:
+        top = max(v)
+        least, k = top - SWITCH, v.index(top)
+        back.append([j if x >= least else k for j, x in enumerate(v)])
+        v = [max(x, least) + y for x, y in zip(v, r)]
+    path = [v.index(max(v))]
+    for b in reversed(back):
+        path.append(b[path[-1]])
     path = np.array(path[::-1])
     cut = np.concatenate(([0], np.flatnonzero(np.diff(path)) + 1, [len(path)]))
     return [(int(starts[a]), int(ends[b - 1]), int(path[a])) for a, b in zip(cut[:-1], cut[1:])]
