@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import components, written
 
-SHINGLE, LEAST, RECALL, TILE, RUN_WORDS = 5, 0.8, 0.995, 64, 50
+SHINGLE, LEAST, RECALL, TILE, RUN_WORDS, CHUNK = 5, 0.8, 0.995, 64, 50, 1 << 15
 
 
 def tune(least: float = LEAST, recall: float = RECALL, stray: float = 0.05, low: float = 0.2) -> tuple[int, int]:
@@ -20,14 +20,18 @@ def tune(least: float = LEAST, recall: float = RECALL, stray: float = 0.05, low:
     return bands, rows
 
 
-def shingles(text: str, n: int = SHINGLE) -> np.ndarray:
-    """Distinct hashes of the n-word shingles of normalised text; fewer words are one shingle."""
+def _hashes(text: str, n: int = SHINGLE) -> list[int]:
+    """Hashes of the n-word shingles of normalised text in order; fewer words are one shingle."""
     b = text.encode()
-    words = b.split(b" ")
-    ends = np.cumsum([len(w) + 1 for w in words])
-    n = min(n, len(words))
-    starts = np.concatenate(([0], ends[:-1]))[: len(words) - n + 1].tolist()
-    return np.unique(np.array([xxhash.xxh64_intdigest(b[x:y]) for x, y in zip(starts, (ends[n - 1 :] - 1).tolist())], np.uint64))
+    gaps = np.flatnonzero(np.frombuffer(b, np.uint8) == 32)
+    n = min(n, len(gaps) + 1)
+    starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(b)]))
+    return [xxhash.xxh64_intdigest(b[x:y]) for x, y in zip(starts[: len(starts) - n + 1].tolist(), ends[n - 1 :].tolist())]
+
+
+def shingles(text: str, n: int = SHINGLE) -> np.ndarray:
+    """Distinct hashes of the n-word shingles of normalised text."""
+    return np.unique(np.array(_hashes(text, n), np.uint64))
 
 
 def _linked(texts: list[str], least: float) -> list[tuple[int, int]]:
@@ -65,20 +69,29 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     rng = np.random.default_rng(11)
     mul, add = rng.integers(1, 1 << 62, bands * rows, np.uint64) | np.uint64(1), rng.integers(0, 1 << 62, bands * rows, np.uint64)
 
+    def bands_of(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Band keys, one row for each line, of the lines' joined hashes."""
+        keys = np.empty((len(starts), bands), np.int64)
+        for k in range(bands):
+            x = np.full(len(starts), k, np.uint64)
+            for j in range(k * rows, (k + 1) * rows):
+                low = np.minimum.reduceat((h * mul[j] + add[j]) >> np.uint64(8), starts)
+                x = (x * np.uint64(0x9E3779B97F4A7C15) ^ low) * np.uint64(0xC2B2AE3D27D4EB4F)
+            keys[:, k] = x.view(np.int64)
+        return keys
+
     def banded(batches):
         for b in batches:
-            keys = np.empty((len(b), bands), np.int64)
-            for k, t in enumerate(b["p"]):
-                h = shingles(t)
-                low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-                for s in range(0, len(h), 4096):
-                    low = np.minimum(low, ((h[s : s + 4096, None] * mul + add) >> np.uint64(8)).min(axis=0))
-                v = low.reshape(bands, rows)
-                x = np.arange(bands, dtype=np.uint64)
-                for j in range(rows):
-                    x = (x * np.uint64(0x9E3779B97F4A7C15) ^ v[:, j]) * np.uint64(0xC2B2AE3D27D4EB4F)
-                keys[k] = x.view(np.int64)
-            yield pd.DataFrame({"pid": np.repeat(b["pid"].to_numpy(), bands), "band": keys.ravel()})
+            keys, flat, starts = [np.empty((0, bands), np.int64)], [], []
+            for t in b["p"]:
+                starts.append(len(flat))
+                flat += _hashes(t)
+                if len(flat) >= CHUNK:
+                    keys.append(bands_of(np.array(flat, np.uint64), np.array(starts)))
+                    flat, starts = [], []
+            if starts:
+                keys.append(bands_of(np.array(flat, np.uint64), np.array(starts)))
+            yield pd.DataFrame({"pid": np.repeat(b["pid"].to_numpy(), bands), "band": np.concatenate(keys).ravel()})
 
     one = written(par.groupBy("pid").agg(F.min("p").alias("p")))
     # Up to seven different words make three shingles at most: those are equal to another line's or below 0.8.
