@@ -17,11 +17,11 @@ def scratch(spark: SparkSession) -> str:
     return root
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Cut lineage: write df to the shared folder as Parquet and read it back."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -64,7 +64,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     flat = F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}\p{N}\n]+", " ")
     par = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(flat, "\n")).alias("pos", "p")).withColumn("p", F.trim("p")).where("p <> ''")
     par = par.withColumns({"pid": F.xxhash64("p"), "n": F.length("p") - F.length(F.replace("p", F.lit(" "))) + 1})
-    place = written(par.select("id", "pos", "pid", "n"))
+    place = written(par.select("id", "pos", "pid", "n"), "zstd")
     bands, rows = tune(least)
     rng = np.random.default_rng(11)
     mul, add = rng.integers(1, 1 << 62, bands * rows, np.uint64) | np.uint64(1), rng.integers(0, 1 << 62, bands * rows, np.uint64)
@@ -93,7 +93,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
                 keys.append(bands_of(np.array(flat, np.uint64), np.array(starts)))
             yield pd.DataFrame({"pid": np.repeat(b["pid"].to_numpy(), bands), "band": np.concatenate(keys).ravel()})
 
-    one = written(par.groupBy("pid").agg(F.min("p").alias("p")))
+    one = written(par.groupBy("pid").agg(F.min("p").alias("p")), "zstd")
     # Up to seven different words make three shingles at most: those are equal to another line's or below 0.8.
     # (The bound is that of five-word shingles and similarities over 3/4.)
     plain = (F.size(F.split("p", " ")) <= SHINGLE + 2) & (F.size(F.array_distinct(F.split("p", " "))) == F.size(F.split("p", " ")))
