@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, written
 
-BUCKET_ROWS = 2_000
+BUCKET_ROWS, FAN = 2_000, 4_096
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=(5, 2, 1), epochs: int = 3) -> list[tuple]:
@@ -27,8 +27,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row per document: id, size, source_size, target, taken.
 
     A document's random key is the MD5 of seed and id. Keys are cut into ranges within each source,
-    so that a range has about BUCKET_ROWS rows; words are summed by range, then within a range, and
-    the mix takes whole epochs and, of the last one, exactly the words left to the budget.
+    so that a range has about BUCKET_ROWS rows; words are summed by FAN ranges, by range, then within a
+    range, so that no window holds many more rows than FAN, BUCKET_ROWS or the rows over both; the mix takes whole epochs and, of the last one, exactly the words left to the budget.
     The sources' totals, one row each, come to the driver. Null and empty texts have size 0; ties in
     the key (repeated ids) go by size; a source of size 0 takes nothing; an empty table gives no rows.
     """
@@ -39,8 +39,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     t = d.sparkSession.createDataFrame(plan, "src string, source_size long, target double, nb long")
     x = d.join(t.withColumnRenamed("src", "s2"), F.col("src").eqNullSafe(F.col("s2"))).drop("s2")
     x = x.withColumn("b", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") * F.col("nb") / 4294967296.0))
-    sums = x.groupBy("src", "b").agg(F.sum("size").alias("bs"))
-    sums = sums.withColumn("base", F.coalesce(F.sum("bs").over(W.partitionBy("src").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select(F.col("src").alias("s2"), F.col("b").alias("b2"), "base")
+    sums = written(x.groupBy("src", "b").agg(F.sum("size").alias("bs"))).withColumn("top", F.floor(F.col("b") / FAN))
+    so_far = lambda v, *by: F.coalesce(F.sum(v).over(W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    top = sums.groupBy("src", "top").agg(F.sum("bs").alias("ts")).select(F.col("src").alias("s3"), F.col("top").alias("t3"), so_far("ts", "src", "top").alias("above"))
+    sums = sums.join(top, F.col("src").eqNullSafe(F.col("s3")) & (F.col("top") == F.col("t3")))
+    sums = sums.select(F.col("src").alias("s2"), F.col("b").alias("b2"), (F.col("above") + so_far("bs", "src", "top", "b")).alias("base"))
     x = x.join(sums, F.col("src").eqNullSafe(F.col("s2")) & (F.col("b") == F.col("b2")))
     w = W.partitionBy("src", "b").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     before = F.col("base") + F.sum("size").over(w) - F.col("size")
