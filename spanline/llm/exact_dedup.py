@@ -8,6 +8,11 @@ from .common import written
 BLOCK, HOT_SHARE = 4096, 1000
 
 
+def normalised(text_col: str):
+    """The text with each run of white space as one space; null as empty."""
+    return F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+
+
 def _named(rows: DataFrame, *key: str) -> DataFrame:
     """An integer name for each distinct key: bucket of its hash, then its place in the sorted bucket."""
     bucket = F.xxhash64(*key).bitwiseAND(F.lit(0xFFFFFFFF))
@@ -25,8 +30,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null text counts as empty; rows that repeat an id and text form one group, one of them is kept;
     a null id sorts after all others; an empty table gives no rows; other columns are ignored.
     """
-    d = docs.select(F.col(id_col).alias("id"), F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " ").alias("t"))
-    d = d.withColumn("rk", F.xxhash64("id", "t"))
+    d = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("t"))
+    # 128 bits tell rows apart at any number of them; names, not this key, tell texts apart.
+    d = d.withColumn("rk", F.struct(F.xxhash64("id", "t").alias("x"), F.xxhash64(F.lit(1), "t", "id").alias("y")))
     n = F.greatest(F.lit(1), F.ceil(F.length("t") / block)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr("t", i * block + 1, F.lit(block)))
     rows = written(d.select("id", "rk", n.alias("n"), F.sha2("t", 256).alias("sha"), F.transform(cut, lambda b: F.xxhash64(b)).alias("hs")))
@@ -44,7 +50,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         cold = cold.union(part.where(is_hot).join(F.broadcast(few), "b").select("rk", "pos", "name"))
     level, done, todo = 0, [], written(cold)
     left = stat["m"]
-    size = rows.select("rk", "n").distinct()
     while True:
         if left == 1:
             done.append(todo.select("rk", F.lit(level).alias("level"), "name").distinct())
