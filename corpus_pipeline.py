@@ -1,7 +1,7 @@
 """Corpus pipeline: quality, exact dedup, near-dedup, decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir) and returns the columns of documents; the last returns how many
-words the mix takes of each document. Nulls in doc_id count as one more id; see the operators.
+words the mix takes of each document. For nulls, empty texts and repeated rows see the stages and operators.
 """
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,21 +18,31 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the smallest doc_id."""
-    gone = exact_dedup.exact_groups(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of each group of equal texts: the smallest doc_id's; of rows that repeat id and text, one.
+
+    Rows are told apart by id and text, so rows without an id, or with another row's, go by their own text.
+    """
+    groups = exact_dedup.exact_groups(docs).where("not kept")
+    gone = written(groups.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("__twice")))
+    keyed = docs.withColumn("__key", F.sha2(exact_dedup.normalised("text"), 256))
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha"))
+    out, twice = keyed.join(gone, on, "left_anti"), gone.where("__twice")
+    if not twice.isEmpty():
+        out = out.union(keyed.join(twice, on, "left_semi").dropDuplicates(["doc_id", "__key"]))
+    return out.drop("__key")
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the smallest doc_id."""
+    """One document of each near-duplicate group: the smallest doc_id. Rows without an id stay; rows that share an id go together."""
     gone = simhash.near_groups(docs).where("component_id <> doc_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
-    gone = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """Documents without passages of the benchmark; rows are told apart by id and text."""
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    gone = decontaminate.leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "__key").select("__key").distinct()
+    return keyed.join(gone, "__key", "left_anti").drop("__key").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
