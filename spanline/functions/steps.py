@@ -12,11 +12,11 @@ def linspace_steps(start: Column, end: Column, step: Column | float, minimum: fl
     """Boundaries at integer multiples of step; an end piece shorter than minimum (to 6 places) is absorbed."""
     step = step if isinstance(step, Column) else F.lit(float(step))
     lo, hi = F.floor(start / step) + 1, F.ceil(end / step) - 1
-    inner = F.when(lo <= hi, F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda k: k * step)).otherwise(F.array().cast("array<double>"))
     short = lambda a, b: F.round(a - b, 6) < minimum
-    inner = F.filter(inner, lambda x: ~(x == F.get(inner, F.lit(0))) | ~short(x, start))
-    kept = F.filter(inner, lambda x: ~(x == F.get(inner, F.size(inner) - 1)) | ~short(end, x))
-    return F.concat(F.array(start), kept, F.array(end))
+    # The ends are dropped before the array is made: a lambda that reads its own array is quadratic.
+    lo, hi = F.when(short(lo * step, start), lo + 1).otherwise(lo), F.when(short(end, hi * step), hi - 1).otherwise(hi)
+    inner = F.when(lo <= hi, F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda k: k * step)).otherwise(F.array().cast("array<double>"))
+    return F.concat(F.array(start), inner, F.array(end))
 
 
 def fixed_steps(start: Column, end: Column, length: float) -> Column:

@@ -58,7 +58,12 @@ def split_to_max_length(df: DataFrame, categories: list[str], measure_slk, measu
     other = lambda x: F.bround(F.when(F.col("by_slk"), F.col("c") + (x - F.col("a")) / (F.col("b") - F.col("a")) * (F.col("d") - F.col("c"))).otherwise(F.col("a") + (x - F.col("c")) / (F.col("d") - F.col("c")) * (F.col("b") - F.col("a"))), 3)
     x = [F.col("p.a"), F.col("p.b")]
     n = g.select(*categories, "segment_index", *[F.when(F.col("by_slk"), v).otherwise(other(v)).alias(c) for v, c in zip(x, measure_slk)], *[F.when(F.col("by_slk"), other(v)).otherwise(v).alias(c) for v, c in zip(x, measure_true)])
-    n = longest_overlap(n, d, ["segment_index"], measure_true, index_col, "__src")
+    # Pieces and sources meet in bins of max_length, so that a long segment is no quadratic join.
+    cut = lambda a, b: F.sequence(F.floor(F.col(a) / max_length), F.greatest(F.floor(F.col(a) / max_length), F.ceil(F.col(b) / max_length) - 1))
+    s = d.select(F.col("segment_index").alias("__g"), F.col(tf).alias("__f"), F.col(tt).alias("__t"), F.col(index_col).alias("__p"), F.explode(cut(tf, tt)).alias("__sb"))
+    on = (F.col("segment_index") == F.col("__g")) & (F.col("__b") == F.col("__sb")) & (F.col("__f") < F.col(tt)) & (F.col("__t") > F.col(tf))
+    over = F.least(F.col(tt), F.col("__t")) - F.greatest(F.col(tf), F.col("__f"))
+    n = n.withColumn("__b", F.explode_outer(cut(tf, tt))).join(s, on, "left").groupBy(*n.columns).agg(F.max_by("__p", F.struct(over, -F.col("__f"), -F.col("__p"))).alias("__src"))
     rest = [c for c in df.columns if c not in (*categories, sf, st, tf, tt)]
     src = d.select(F.col(index_col).alias("__src"), *[F.col(c) for c in rest])
     return n.join(src, "__src", "left").drop("__src")
