@@ -248,3 +248,20 @@ def test_pipeline(spark, prose, tmp_path):
     spark.createDataFrame([(0, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert out == set(range(40))
+
+
+def test_pipeline_stages_with_odd_rows(spark, prose, tmp_path):
+    import corpus_pipeline
+
+    bench = prose(30, 777)
+    spark.createDataFrame([(0, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "a b"), (1, "a b"), (1, "other"), (2, "a  b"), (None, "a b"), (None, "alone"), (3, None), (4, ""), (None, bench), (5, bench)]
+    d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, id string")
+    got = corpus_pipeline.drop_copies(spark, d, str(tmp_path))
+    assert got.columns == d.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, "a b"), (1, "other"), (None, "alone"), (3, None), (5, bench)])
+    got = corpus_pipeline.drop_leaks(spark, d, str(tmp_path))
+    assert got.columns == d.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(rows[:8])
+    empty = d.where("false")
+    assert corpus_pipeline.drop_copies(spark, empty, str(tmp_path)).count() == corpus_pipeline.drop_leaks(spark, empty, str(tmp_path)).count() == 0
