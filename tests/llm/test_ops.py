@@ -211,6 +211,20 @@ def test_wrapper_alignment():
     assert html.folded(["p", "p", "q"]) == [["p", "+"], ["q", ""]]
 
 
+def test_html_hosts(spark):
+    """Layouts side by side on a host."""
+    rows = [("http://m/1", "<body><main><p>in main</p></main></body>"), ("http://m/2", "<body><div><p>plain page</p></div></body>"), (None, "<main><p>odd</p></main>"), ("bad", "<div><p>no main</p></div>")]
+    pages = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")
+    assert [r.text for r in sorted(html.extract(pages).collect())] == ["in main", "plain page", "odd", "no main"]
+
+
+def test_html_wrappers_past_their_size(spark, monkeypatch):
+    monkeypatch.setattr(html, "LOOSE", 4)
+    shapes = [[[f"a{k}", ""], ["n", ""], [f"b{k}", ""]] for k in range(6)]
+    ws = html.clustered(shapes)
+    assert len(ws) > 1 and all(-1 not in html.placed(next(w for w in ws if all(x in [y[0] for y in w] for x, _ in s)), s) for s in shapes)
+
+
 def test_tokens(spark):
     tk = pytest.importorskip("tokenizers")
     pieces = tokens.load()
