@@ -218,6 +218,18 @@ def test_html_hosts(spark):
     assert [r.text for r in sorted(html.extract(pages).collect())] == ["in main", "plain page", "odd", "no main"]
 
 
+def test_html_template_text(spark):
+    """Template text without telling names, and names that a host overrules."""
+    rows = [(f"http://t/{k}", f'<body><div class="x7">We use biscuits</div><div class="x1"><p>Story {k} of the day</p></div><div class="x9">Terms</div></body>') for k in range(5)]
+    rows += [(f"http://o/{k}", f'<body><div class="content has-sidebar"><p>Long story {k} that varies and goes on</p><div class="ad">buy {k}</div></div><div class="ad">b{k}</div></body>') for k in range(5)]
+    rows += [("http://e/1", "<body><div class='y'>Same</div></body>")] * 3
+    pages = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")
+    got = [r.text for r in sorted(html.extract(pages).collect())]
+    assert got[:5] == [f"Story {k} of the day" for k in range(5)]
+    assert got[5:10] == [f"Long story {k} that varies and goes on" for k in range(5)]
+    assert got[10:] == ["Same"] * 3
+
+
 def test_html_wrappers_past_their_size(spark, monkeypatch):
     monkeypatch.setattr(html, "LOOSE", 4)
     shapes = [[[f"a{k}", ""], ["n", ""], [f"b{k}", ""]] for k in range(6)]
