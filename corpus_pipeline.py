@@ -33,9 +33,21 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the smallest doc_id. Rows without an id stay; rows that share an id go together."""
-    gone = simhash.near_groups(docs).where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of each near-duplicate group: the smallest doc_id's, nulls last; of rows that repeat id and text, one.
+
+    Rows are told apart by id and text; of rows that share the smallest id, the one with the smallest key stays.
+    """
+    keyed = docs.withColumn("__key", F.md5(F.concat_ws("|", F.isnull("doc_id").cast("string"), F.col("doc_id").cast("string"), F.isnull("text").cast("string"), F.col("text"))))
+    groups = written(simhash.near_groups(keyed, "__key"))
+    many = groups.groupBy("component_id").count().where("count > 1").select("component_id")
+    rows = groups.join(many, "component_id").groupBy("component_id", "__key").count()
+    rows = written(rows.join(keyed.select("__key", "doc_id").distinct(), "__key"))
+    stays = rows.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("n"), "doc_id", "__key"))["__key"].alias("__stays"))
+    gone = written(rows.join(stays, "component_id").where("__key <> __stays or count > 1").select("__key", (F.col("__key") == F.col("__stays")).alias("__twice")))
+    out, twice = keyed.join(gone, "__key", "left_anti"), gone.where("__twice")
+    if not twice.isEmpty():
+        out = out.unionByName(keyed.join(twice, "__key", "left_semi").dropDuplicates(["__key"]))
+    return out.select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

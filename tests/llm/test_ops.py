@@ -291,3 +291,16 @@ def test_pipeline_stages_with_odd_rows(spark, prose, tmp_path):
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(rows[:8])
     empty = d.where("false")
     assert corpus_pipeline.drop_copies(spark, empty, str(tmp_path)).count() == corpus_pipeline.drop_leaks(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_stage_with_odd_rows(spark, prose, tmp_path):
+    import corpus_pipeline
+
+    a, b, c = prose(200, 1), prose(200, 2), prose(200, 3)
+    near = next(x for k in range(200) for x in [" ".join([*a.split()[:k], "changed", *a.split()[k + 1 :]])] if (simhash.simhash(x) ^ simhash.simhash(a)).bit_count() <= 3)
+    drop = lambda rows: Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near(spark, spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, id string"), str(tmp_path)).collect())
+    assert drop([(1, a), (5, near), (5, b)]) == Counter([(1, a), (5, b)])
+    got = drop([(1, a), (1, near), (None, c), (None, f"{c} "), (2, b), (2, b)])
+    assert sorted(Counter(k for k, _ in got.elements()).items(), key=str) == [(1, 1), (2, 1), (None, 1)]
+    assert drop([(None, a), (7, near), (None, None), (8, "")]) == Counter([(7, near), (8, "")])
+    assert not drop([])
