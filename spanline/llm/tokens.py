@@ -1,17 +1,22 @@
 """Token counts: count-only Viterbi over a unigram vocabulary."""
+import re
+
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE, CACHE, PENALTY = "▁", 400_000, 10.0
+_CUT = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 class Counter:
-    """Counts pieces of the best segmentation, word by word.
+    """Counts pieces of the best segmentation of a whole text, with SPACE before it and for each space.
 
-    Every space starts a word that begins with SPACE; so does the text. The best score wins; of equal
+    A text is cut only before a SPACE after another character, where no piece reaches across; a run
+    of spaces stays with its next word. A vocabulary with pieces that do reach across, or without
+    SPACE alone, has no cuts. The best score wins; of equal
     scores the path whose last piece starts first, as unigram tokenizers that scan starts in order
     and replace on a strictly better score only. A character that no piece of one character covers
     costs the lowest score less PENALTY and counts as its UTF-8 bytes if `byte_fallback`, else
@@ -26,6 +31,7 @@ class Counter:
                 if len(p) == 1:
                     self.single.add(p)
         self.auto.make_automaton()
+        self.whole = SPACE not in self.single or any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _ in pieces)
         self.low, self.bytes, self.cache = min((s for _, s in pieces), default=0.0) - PENALTY, byte_fallback, {}
 
     def word(self, w: str) -> int:
@@ -51,8 +57,14 @@ class Counter:
     def text(self, text: str | None) -> int:
         if not text:
             return 0
+        if self.whole:
+            return self.word(SPACE + text.replace(" ", SPACE))
+        if "  " in text or text[0] == " " or SPACE in text:
+            parts = [w[1:] for w in _CUT.split(SPACE + text.replace(" ", SPACE))]
+        else:
+            parts = text.split(" ")
         total, get = 0, self.cache.get
-        for w in text.split(" "):
+        for w in parts:
             n = get(w)
             if n is None:
                 n = self.word(SPACE + w)

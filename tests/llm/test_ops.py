@@ -250,6 +250,18 @@ def test_tokens(spark):
     assert [r.n_tokens for r in sorted(got)][:2] == [0, 0]
 
 
+def test_tokens_of_whole_texts():
+    tk = pytest.importorskip("tokenizers")
+    pieces = tokens.load()
+    ref = tk.models.Unigram([("<unk>", 0.0), *pieces, *[(f"<0x{b:02X}>", 0.0) for b in range(256)]], 0, True)
+    c = tokens.Counter(pieces)
+    assert c.text("a    b") == 3
+    rng = random.Random(5)
+    for _ in range(300):
+        t = "".join(rng.choices(["the", "if", "x", "(", "é", "日本", "\n", "▁", " ", "  ", "    ", "        "], k=rng.randint(1, 14)))
+        assert c.text(t) == len(ref.tokenize("▁" + t.replace(" ", "▁"))), t
+
+
 def test_substrings(spark, prose):
     p, q = prose(60, 1), prose(70, 2)
     near = p.split()
