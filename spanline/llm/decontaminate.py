@@ -12,6 +12,7 @@ from .common import written
 
 _WORD = re.compile(r"\w+")
 N, LEAST, RARE, BLOCK_GRAMS, SLACK = 3, 0.7, 1e-3, 500_000, 1.5
+STRETCH, FEWEST = 20, 10
 
 
 def words(text: str | None) -> list[str]:
@@ -31,6 +32,33 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     return best / (2 * max(1, len(item))), end
 
 
+def covered(words: int) -> int:
+    """Item words that a quoted stretch must cover: half the item, STRETCH at most and FEWEST at least."""
+    return max(FEWEST, min(STRETCH, -(-words // 2)))
+
+
+def stretch(item: np.ndarray, passage: np.ndarray, need: int, least: float) -> float:
+    """Score of a local alignment over the most its own stretch of the item can score, for stretches of `need` words or more; 0 below `least`.
+
+    Each item word also costs what it must score at `least`, so that an alignment's value tells whether
+    it does. Cells hold value and start in one number; of equal values the longer stretch wins. From
+    both ends, as a stretch grows only ahead.
+    """
+    top, best, base = 1000, 0.0, 1 << 20
+    each = round(2 * least * top)
+    at = np.arange(len(passage) + 1) * top * base
+    for x, y in ((item, passage), (item[::-1], passage[::-1])):
+        row = np.full(len(y) + 1, base - 1)
+        for i, w in enumerate(x):
+            new = np.maximum(base - 2 - i, row - (top + each) * base)
+            new[1:] = np.maximum(new[1:], row[:-1] + np.where(y == w, 2 * top - each, -top - each) * base)
+            row = np.maximum.accumulate(new + at) - at
+            value, n = row >> 20, i + 1 - (base - 1 - (row & (base - 1)))
+            if i + 1 >= need and (ok := n >= need).any():
+                best = max(best, float(((value[ok] / top + 2 * least * n[ok]) / (2 * n[ok])).max()))
+    return best if best >= least - 1e-9 else 0.0
+
+
 def _scanner(docs: DataFrame, grams: dict, sizes: dict, schema: str, emit):
     """Rows emit(id, text words, positions, grams' values) of the documents that hold some of the grams."""
     vocab: dict[str, int] = {}
@@ -72,11 +100,12 @@ def _scanner(docs: DataFrame, grams: dict, sizes: dict, schema: str, emit):
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, least: float = LEAST) -> DataFrame:
-    """(id, item_id, score, start_word) of every document that holds an item, or an edited copy of it.
+    """(id, item_id, score, start_word) of every document that holds an item, an edited copy of it or a stretch of it.
 
-    An item's seeds are its n-grams in at most RARE of all documents and the rarer half of its n-grams in
-    any case; document frequencies are counted over all documents. Passages around seeds are aligned
-    with the item; a score of `least` is a copy of which about a fifth of the words were replaced.
+    An item's seeds are its n-grams in at most RARE of all documents and the rarer half of its n-grams that
+    documents have in any case; document frequencies are counted over all documents. Passages around seeds are aligned
+    with the item; a score of `least` is a copy of which about a fifth of the words were replaced. A
+    stretch of covered() item words that scores `least` of its own best counts too, with that score.
     Items are taken in blocks of BLOCK_GRAMS n-grams, so what is broadcast has a bound at any number
     of items. Null and empty texts and items match nothing; items shorter than n words are one
     seed; repeated rows are reported once; an empty table gives no rows.
@@ -99,7 +128,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         if not own:
             continue
         count = _scanner(d, grams, {}, "g long", lambda i, ws, pos, g: [(x,) for x in set(g)]).groupBy("g").agg(F.count("*").alias("df"))
-        table = d.sparkSession.createDataFrame(own, "q long, p int, g long").join(count, "g", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+        table = d.sparkSession.createDataFrame(own, "q long, p int, g long").join(count, "g")
         by = W.partitionBy("q").orderBy("df")
         seeds = table.withColumn("r", F.percent_rank().over(by)).where((F.col("df") <= RARE * total) | (F.col("r") <= 0.5))
         post: dict[int, list] = {}
@@ -135,7 +164,13 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
             def one(q, passage):
                 ids: dict[str, int] = {}
                 code = lambda ws: np.array([ids.setdefault(w, len(ids)) for w in ws])
-                return align(code(b.value[q][1]), code(passage.split(" ")))
+                item, other = code(b.value[q][1]), code(passage.split(" "))
+                score, end = align(item, other)
+                # No stretch scores more than the whole alignment.
+                need = covered(len(item))
+                if score < least and need <= len(item) and score * len(item) >= least * need:
+                    score = max(score, stretch(item, other, need, least))
+                return score, end
 
             for x in batches:
                 got = [one(q, p) for q, p in zip(x["q"], x["passage"])]

@@ -129,6 +129,16 @@ def test_quality(spark, prose):
     assert w[0] > 0
 
 
+def test_decontamination_of_stretches(spark, prose):
+    items = [prose(59, 1000), prose(59, 1001)]
+    ws = [x.split() for x in items]
+    texts = [f"{prose(40, 2)} {' '.join(ws[0][10:50])} {prose(40, 3)}", f"{prose(9, 4)} {' '.join(ws[1][29:])} {prose(30, 5)}", f"{prose(30, 6)} {' '.join(ws[0][:9])} {prose(30, 7)}"]
+    it = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, texts), it).collect()} == {(0, 0), (1, 1)}
+    x = np.arange(30)
+    assert decontaminate.stretch(x, x[12:], 15, 0.7) == 1 and decontaminate.stretch(x, x[18:], 15, 0.7) <= 0.8 and decontaminate.stretch(x, x[20:] + 90, 15, 0.7) == 0
+
+
 def test_align_is_smith_waterman():
     def slow(a, b):
         h = np.zeros((len(a) + 1, len(b) + 1))
