@@ -18,6 +18,8 @@ def _units(text: str | None):
     """Word bounds in a lower-cased text's code points, scripts of the words, and hashed n-grams with their words."""
     code = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
     letter = np.concatenate(([False], _LETTER[np.minimum(code, 0x10000)], [False]))
+    if len(high := np.flatnonzero(code > 0xFFFF)):
+        letter[high + 1] = [unicodedata.category(chr(c))[0] in "LM" for c in code[high]]
     edge = np.diff(letter.astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
@@ -86,10 +88,12 @@ def spans(text: str | None, model) -> list[tuple[int, int, int]]:
     e = total[ends] - total[starts]
     ok = allowed[script] | ~allowed[script].any(axis=1, keepdims=True)
     e = np.where(ok, e, e - 50.0)
-    # Staying in the best language is optimal if no stretch gains more than one switch costs elsewhere.
+    # A path that is in the best language somewhere has a switch for each stretch elsewhere: it is no better if no
+    # stretch gains more than a switch. One that is never in it has one switch less: all its words must gain no more.
     best = int(e.sum(axis=0).argmax())
     gain = np.concatenate((np.zeros((1, len(langs))), np.cumsum(e - e[:, [best]], axis=0)))
-    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= SWITCH:
+    never = np.delete(e - e[:, [best]], best, axis=1).max(axis=1, initial=-np.inf).sum()
+    if never <= SWITCH and (gain - np.minimum.accumulate(gain, axis=0)).max() <= SWITCH:
         return [(int(starts[0]), int(ends[-1]), best)]
     rows = e.tolist()  # few languages: lists are faster here than arrays
     back, v = [], rows[0]

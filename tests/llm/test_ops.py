@@ -207,6 +207,35 @@ def test_viterbi_shortcut_is_exact():
         assert value(path) == pytest.approx(max(map(value, itertools.product((0, 1), repeat=len(starts)))), abs=1e-4)
 
 
+def test_viterbi_shortcut_is_exact_with_three_languages():
+    rng = np.random.default_rng(3)
+    mixed = 0
+    for _ in range(60):
+        model = (["a", "b", "c"], rng.normal(0, 1.5, (3, language.BUCKETS, 3)).astype(np.float32), np.ones((len(language.SCRIPTS), 3), bool))
+        text = " ".join("".join(rng.choice(list("abcdef"), 3)) for _ in range(5))
+        starts, ends, _, grams = language._units(text)
+        score = sum(t[g] for t, g in zip(model[1], grams)).astype(float)
+        e = np.array([score[s:x].sum(axis=0) for s, x in zip(starts, ends)])
+        value = lambda p: sum(e[i, q] for i, q in enumerate(p)) - language.SWITCH * sum(a != b for a, b in zip(p, p[1:]))  # noqa: E731,B023
+        path = [next(q for a, b, q in language.spans(text, model) if a <= s < b) for s in starts]
+        mixed += len(set(path)) > 1
+        assert value(path) == pytest.approx(max(map(value, itertools.product(range(3), repeat=len(starts)))), abs=1e-4)
+    assert mixed
+
+
+def test_viterbi_with_two_other_languages():
+    """Stretches in A and B, and C the best language of the whole."""
+    table = np.zeros((3, language.BUCKETS, 3), np.float32)
+    _, _, _, grams = language._units("x y")
+    table[0, grams[0][0]], table[0, grams[0][2]] = [7, -9, 0], [-9, 7, 0]
+    got = language.spans("x y", (["a", "b", "c"], table, np.ones((len(language.SCRIPTS), 3), bool)))
+    assert got == [(0, 1, 0), (2, 3, 1)]
+
+
+def test_language_letters_above_the_first_plane():
+    assert not len(language._units("\U0001F600 \U0001F680!")[0]) and len(language._units("\U00020000 \U0001F600")[0]) == 1
+
+
 def test_html(spark):
     page = '<html><head><title>t</title><style>p{}</style></head><body><nav><li>menu</ul></nav><div class="ad">Buy</div><article><h1>Head &amp; more</h1><p>One <b>bo</b>ld\n text<br>next<p>Two &eacute;<aside>side</aside></p><div class="comments">no</div><form>f</form></article><footer>foot</footer><script>"<p>x</p>"</script>'
     pages = spark.createDataFrame([(1, "http://a.b/1", page, 9), (2, "http://a.b/2", page.replace("Two", "Three"), 9), (3, None, None, 9), (4, "bad", "<div><p>only & this</div>", 9), (5, "http://c/", "", 9)], "page_id long, url string, html string, host long")
