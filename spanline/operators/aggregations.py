@@ -25,6 +25,8 @@ class Kind(Enum):
 
 
 ANY_TYPE = {Kind.KeepLongest, Kind.KeepLongestSegment, Kind.First}
+#: Kinds whose result is an index or follows its order.
+BY_INDEX = {Kind.First, Kind.IndexOfMax, Kind.IndexOfMin}
 
 
 @dataclass(frozen=True)
@@ -76,7 +78,7 @@ def percentile_of(rows: Column, p: float) -> Column:
 
     def step(a: Column, r: Column) -> Column:
         x = F.when(a["w"].isNull(), 0.0).otherwise(a["x"] + (a["w"] + r["w"]) / 2)
-        here = F.when(a["w"].isNull(), r["v"]).otherwise(a["v"] + (r["v"] - a["v"]) * (p - a["x"] / a["total"]) / ((x - a["x"]) / a["total"]))
+        here = F.when(a["w"].isNull(), r["v"]).otherwise(a["v"] + (r["v"] - a["v"]) * (p - a["x"] / a["total"]) / (x / a["total"] - a["x"] / a["total"]))
         return F.struct(a["total"].alias("total"), x.alias("x"), r["w"].alias("w"), r["v"].alias("v"), F.when(a["out"].isNull() & (x / a["total"] >= p), here).otherwise(a["out"]).alias("out"))
 
     # Rounding may leave the last position just below p.
@@ -116,5 +118,5 @@ def compiled(a: Action, k: int, numeric: bool) -> Column:
     if kind is Kind.IndexOfMin:
         return F.min_by(i, of(F.struct(v, to, i)))
     if kind is Kind.KeepLongestSegment:
-        return F.max_by(v, of(F.struct(w, -to, -i)))
+        return F.max_by(v, of(F.struct(w, -to, -i, v)))
     raise ValueError(kind)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import DuplicateLabelError, InvalidAggregationError, InvalidDataFrameError, InvalidJoinConfigurationError, OutputCollisionError, ZeroLengthSegmentError
-from .aggregations import ANY_TYPE, Action, Aggregation, Kind, compiled, percentile_of
+from .aggregations import ANY_TYPE, BY_INDEX, Action, Aggregation, Kind, compiled, percentile_of
+from .ranges import attached, overlaps
 
 
 def clean(df: DataFrame) -> DataFrame:
@@ -47,39 +48,43 @@ def validate(target: DataFrame, data: DataFrame, join_left, actions: list[Action
 def on_slk_intervals(target: DataFrame, data: DataFrame, join_left: list[str], column_actions: list[Action], from_to: tuple[str, str], index_col: str | None = None, bin_width: float | None = None, check_rows: bool = False) -> DataFrame:
     """Every target row once, with one column for each action over the data rows of positive overlap.
 
-    Half-open intervals; keys must be equal and not null; unmatched targets get nulls. index_col orders
-    ties and First; without it an id is minted, stable only for stable inputs. bin_width cuts both
-    sides into bins that become part of the join key, so that a hot or long group is dealt over many
-    tasks; a pair is counted in the bin where its overlap starts. check_rows costs two jobs.
+    Half-open intervals; keys must be equal and not null; unmatched targets get nulls. What a target
+    row gets depends on its keys and bounds alone: pairs are aggregated by these and joined back, so
+    that targets of any plan, repeated rows too, come out right. index_col orders ties and First, and
+    is what IndexOfMax and IndexOfMin return: these three need it; other ties go by value without it.
+    Pairs are joined once for all actions, in bins: see ranges.overlaps for bin_width. check_rows costs
+    two jobs.
     """
     validate(target, data, join_left, column_actions, from_to, check_rows)
-    f, t = from_to
-    left = clean(target).withColumn("__tid", F.monotonically_increasing_id())
-    keys = {c: F.col(c) for c in join_left}
+    needs = [a.aggregation.kind.name for a in column_actions if a.aggregation.kind in BY_INDEX]
+    if needs and index_col is None:
+        raise InvalidDataFrameError(f"{', '.join(needs)} needs index_col")
+    if not column_actions:
+        return target
+    left, right = clean(target), clean(data)
     values = {f"__v{k}": F.col(a.column_name) for k, a in enumerate(column_actions)}
-    i = F.col(index_col) if index_col else F.monotonically_increasing_id()
-    right = clean(data).select(*[c.alias(f"__k{n}") for n, c in enumerate(keys.values())], F.col(f).cast("double").alias("__from"), F.col(t).cast("double").alias("__to"), i.alias("__i"), *[v.alias(n) for n, v in values.items()]).where("__from < __to")
-    slim = left.select("__tid", *join_left, F.col(f).cast("double").alias("__tf"), F.col(t).cast("double").alias("__tt")).where("__tf < __tt")
-    on = [F.col(c) == F.col(f"__k{n}") for n, c in enumerate(join_left)] + [F.col("__from") < F.col("__tt"), F.col("__to") > F.col("__tf")]
-    if bin_width:
-        cut = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bin_width), F.ceil(F.col(b) / bin_width) - 1))
-        slim, right = slim.withColumn("__b", cut("__tf", "__tt")), right.withColumn("__rb", cut("__from", "__to"))
-        on += [F.col("__b") == F.col("__rb"), F.col("__b") == F.floor(F.greatest("__tf", "__from") / bin_width)]
-    pairs = slim.join(right, reduce(lambda a, b: a & b, on))
+    values["__i"] = F.col(index_col) if index_col else F.lit(0)
+    pairs = overlaps(left, right, join_left, from_to, from_to, values, bin_width)
     pairs = pairs.withColumns({"__w": F.least("__tt", "__to") - F.greatest("__tf", "__from"), "__len": F.col("__to") - F.col("__from"), "__t": F.col("__tt") - F.col("__tf")})
     plain = [(k, a) for k, a in enumerate(column_actions) if a.aggregation.kind is not Kind.KeepLongest]
-    out = left
-    if plain:
-        got = pairs.groupBy("__tid").agg(*[compiled(a, k, numeric(data, a.column_name)).alias(f"__o{k}") for k, a in plain])
-        got = got.select("__tid", *[(percentile_of(F.col(f"__o{k}"), a.aggregation.percentile) if a.aggregation.kind is Kind.LengthWeightedPercentile else F.col(f"__o{k}")).alias(f"__o{k}") for k, a in plain])
-        out = out.join(got, "__tid", "left")
-    for k, a in enumerate(column_actions):
-        if a.aggregation.kind is Kind.KeepLongest:
-            v = F.col(f"__v{k}")
-            per = pairs.where(v.isNotNull()).groupBy("__tid", v.alias("v")).agg(F.sum("__w").alias("w"), F.min(F.struct("__to", "__i")).alias("s"))
-            best = per.groupBy("__tid").agg(F.max_by(F.col("v"), F.struct("w", -F.col("s.__to"), -F.col("s.__i"))).alias(f"__o{k}"))
-            out = out.join(best.withColumn(f"__o{k}", F.col(f"__o{k}").cast("double")) if numeric(data, a.column_name) else best, "__tid", "left")
-    return out.select(*target.columns, *[F.col(f"__o{k}").alias(a.output) for k, a in enumerate(column_actions)])
+    longest = [(k, a) for k, a in enumerate(column_actions) if a.aggregation.kind is Kind.KeepLongest]
+    by = [*join_left, "__tf", "__tt"]
+    result = lambda k, a: percentile_of(F.col(f"__o{k}"), a.aggregation.percentile) if a.aggregation.kind is Kind.LengthWeightedPercentile else F.col(f"__o{k}")
+    aggs = [compiled(a, k, numeric(data, a.column_name)).alias(f"__o{k}") for k, a in plain]
+    if not longest:
+        got = pairs.groupBy(*by).agg(*aggs)
+    else:
+        # One more row for each KeepLongest, grouped by its value: lengths add up by value, then the longest value stands.
+        whose = F.explode(F.array(*[F.lit(k) for k in ([-1] if plain else []) + [k for k, _ in longest]])).alias("__a")
+        mine = lambda k, c: F.when(F.col("__a") == k, F.col(c))
+        kinds = {f"__v{k}": data.schema[a.column_name].dataType for k, a in longest}
+        d = pairs.select("*", whose).withColumns({f"__g{k}": mine(k, f"__v{k}") for k, _ in longest} | {f"__v{k}": mine(-1, f"__v{k}") for k, _ in plain})
+        d = d.where(reduce(lambda x, y: x | y, [F.col(f"__g{k}").isNotNull() for k, _ in longest], F.col("__a") == -1))
+        one = d.groupBy(*by, "__a", *[f"__g{k}" for k, _ in longest]).agg(F.sum("__w").alias("__sw"), F.min(F.struct("__to", "__i")).alias("__first"), *aggs)
+        best = lambda k: F.max_by(F.col(f"__g{k}"), F.when(F.col("__a") == k, F.struct("__sw", -F.col("__first.__to"), -F.col("__first.__i"), f"__g{k}")))
+        got = one.groupBy(*by).agg(*[F.first(mine(-1, f"__o{k}"), True).alias(f"__o{k}") for k, _ in plain], *[(best(k).cast("double") if isinstance(kinds[f"__v{k}"], (T.NumericType, T.BooleanType)) else best(k)).alias(f"__o{k}") for k, _ in longest])
+    got = got.select(*by, *[result(k, a).alias(f"__o{k}") for k, a in enumerate(column_actions)])
+    return attached(left, got, join_left, from_to, {f"__o{k}": a.output for k, a in enumerate(column_actions)})
 
 
 def on_intervals(left: DataFrame, right: DataFrame, idvars: list[str], start: str, end: str, column_actions: list[tuple[str, str, str]], index_col: str | None = None) -> DataFrame:

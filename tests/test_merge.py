@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from spanline.errors import InvalidAggregationError, InvalidDataFrameError, InvalidJoinConfigurationError, OutputCollisionError, PercentileConfigurationError, ZeroLengthSegmentError
 from spanline.operators.aggregations import Action, Aggregation as A
@@ -71,3 +72,30 @@ def test_errors(frames):
     ):
         with pytest.raises(error):
             call()
+
+
+def test_targets_of_any_plan(spark, tmp_path):
+    """A wide aggregated target over many partitions, written whole; repeated targets; default bins, none and narrow ones."""
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        t = spark.range(24_000).selectExpr("id % 8000 AS k", "id").groupBy("k").agg(F.max("id").alias("top"), F.first(F.lit("x" * 50)).alias("wide")).selectExpr("concat('R', k % 7) AS road", "CAST(k div 7 AS double) AS f", "CAST(k div 7 + 1 AS double) AS t", "top", "wide")
+        d = spark.range(8000).selectExpr("concat('R', id % 7) AS road", "CAST(id div 7 AS double) + 0.5 AS f", "CAST(id div 7 AS double) + 1.25 AS t", "CAST(id AS double) AS v", "id AS i")
+        want = {(r.road, r.f): r.t for r in t.select("road", "f", "t").collect()}
+        for width in (None, 0, 0.4):
+            path = f"{tmp_path}/{width}"
+            on_slk_intervals(t.union(t.where("f < 3")), d, ["road"], [Action("v", A.Sum(), "s"), Action("v", A.KeepLongest(), "k")], ("f", "t"), "i", bin_width=width).write.parquet(path)
+            got = spark.read.parquet(path).collect()
+            assert len(got) == 8000 + 21
+            for r in got:
+                own = int(r.f) * 7 + int(r.road[1:])
+                assert r.s == own + (own - 7 if r.f >= 1 else 0) and r.k == own and want[(r.road, r.f)] == r.t and r.wide == "x" * 50
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_kinds_that_need_an_index(frames):
+    t, d = frames
+    with pytest.raises(InvalidDataFrameError):
+        on_slk_intervals(t, d, ["road"], [Action("v", A.First())], ("f", "t"))
+    got = on_slk_intervals(t, d, ["road"], [Action("c", A.KeepLongest(), "k"), Action("v", A.KeepLongest(), "n"), Action("v", A.Sum(), "s")], ("f", "t")).collect()
+    assert [(r.k, r.n, r.s) for r in sorted(got, key=lambda r: r.f)][0] == ("A", 1.0, 1.0)
