@@ -1,42 +1,62 @@
 """Homogeneous segmentation: cumulative Q and P, bisection, SHS and MCV."""
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..tables import written
+from .bisection import SEGMENT, bisected, numbered
+
 
 def _sums(df: DataFrame, groups, order, value):
-    w = W.partitionBy(*groups).orderBy(order)
-    left, right, all_ = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(1, W.unboundedFollowing), W.partitionBy(*groups)
+    """Count, sum and sum of squares left of a cut after each row (l), right of it (r: the group's less the left's) and in all (a); nr null at the last row."""
+    w = W.partitionBy(*groups)
+    left = w.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     v = F.col(value).cast("double")
     c = {"n": F.lit(1.0), "s": v, "q": v * v}
-    return df.withColumns({f"__{k}{side}": F.sum(x).over(o) for k, x in c.items() for side, o in (("l", left), ("r", right), ("a", all_))})
+    d = df.withColumns({f"__{k}{side}": F.sum(x).over(o) for k, x in c.items() for side, o in (("l", left), ("a", w))})
+    d = d.withColumns({f"__{k}r": F.col(f"__{k}a") - F.col(f"__{k}l") for k in "sq"})
+    return d.withColumn("__nr", F.when(F.col("__na") > F.col("__nl"), F.col("__na") - F.col("__nl")))
 
 
-def cumulative_q(df: DataFrame, groups: list[str], order: str, value: str, out: str = "q") -> DataFrame:
-    """Share of the sum of squares that a split after each row explains; the last row of a group has none."""
+def cumulative_q(df: DataFrame, groups: list[str], order: str, value: str, out: str = "q", whole: bool = False) -> DataFrame:
+    """Share of the sum of squares that a split after each row explains; a group's last row has none and goes, unless `whole`."""
     d = _sums(df, groups, order, value)
     ss = lambda k: F.col(f"__q{k}") - F.col(f"__s{k}") * F.col(f"__s{k}") / F.col(f"__n{k}")
-    d = d.where("__nr is not null").withColumn(out, F.when(ss("a") != 0, 1 - (ss("l") + ss("r")) / ss("a")))
-    return d.select(*df.columns, out)
+    d = d.withColumn(out, F.when(ss("a") != 0, 1 - (ss("l") + ss("r")) / ss("a")))
+    return (d if whole else d.where("__nr is not null")).select(*df.columns, out)
+
 
+def cumulative_p(df: DataFrame, groups: list[str], order: str, value: str, out: str = "p", whole: bool = False) -> DataFrame:
+    """Mean of the coefficients of variation left and right of a split after each row; null where a side has one row.
 
-def cumulative_p(df: DataFrame, groups: list[str], order: str, value: str, out: str = "p") -> DataFrame:
-    """Mean of the coefficients of variation left and right of a split after each row; null where a side has one row."""
+    A group's last row has none and goes, unless `whole`.
+    """
     d = _sums(df, groups, order, value)
     n, s, q = (lambda k, c=c: F.col(f"__{c}{k}") for c in "nsq")
     cv = lambda k: F.when((n(k) > 1) & (s(k) != 0), F.sqrt(F.greatest(F.lit(0.0), (n(k) * q(k) / (s(k) * s(k)) - 1) * n(k) / (n(k) - 1))))
-    return d.where("__nr is not null").withColumn(out, (cv("l") + cv("r")) / 2).select(*df.columns, out)
+    d = d.withColumn(out, (cv("l") + cv("r")) / 2)
+    return (d if whole else d.where("__nr is not null")).select(*df.columns, out)
+
 
+def best_bisection(df: DataFrame, groups: list[str], order: str, value: str | list[str], length: str, minimum: float, out: str = "best_q", kind: str = "q") -> DataFrame:
+    """Rows after which a split has the best mean statistic of the variables (most of Q, least of P).
 
-def best_bisection(df: DataFrame, groups: list[str], order: str, value: str, length: str, minimum: float, out: str = "best_q") -> DataFrame:
-    """Rows after which a split explains most, among those further than minimum from both ends, the outermost two left out."""
+    Only rows further than minimum from both ends count, the outermost two of them left out; all equals are given.
+    """
+    values = [value] if isinstance(value, str) else list(value)
     w = W.partitionBy(*groups).orderBy(order)
-    d = df.withColumns({"__cl": F.sum(length).over(w.rowsBetween(W.unboundedPreceding, 0)), "__cr": F.sum(length).over(w.rowsBetween(1, W.unboundedFollowing))})
-    d = cumulative_q(d, groups, order, value, out).withColumn("__ok", (F.col("__cl") > minimum) & (F.col("__cr") > minimum))
+    d = df.withColumn("__cl", F.sum(length).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("__cr", F.sum(length).over(W.partitionBy(*groups)) - F.col("__cl"))
+    for k, v in enumerate(values):
+        d = (cumulative_q if kind == "q" else cumulative_p)(d, groups, order, v, f"__x{k}", whole=True)
+    d = d.withColumn(out, reduce(lambda a, b: a + b, [F.col(f"__x{k}") for k in range(len(values))]) / len(values))
+    d = d.withColumn("__ok", F.coalesce((F.col("__cl") > minimum) & (F.col("__cr") > minimum), F.lit(False)))
     d = d.withColumn("__in", F.col("__ok") & F.coalesce(F.lag("__ok").over(w), F.lit(False)) & F.coalesce(F.lead("__ok").over(w), F.lit(False))).where("__in")
-    return d.withColumn("__m", F.max(out).over(W.partitionBy(*groups))).where(F.col(out) == F.col("__m")).select(*df.columns, out)
+    d = d.withColumn("__m", (F.max if kind == "q" else F.min)(out).over(W.partitionBy(*groups))).where(F.col(out) == F.col("__m"))
+    return d.select(*df.columns, out)
 
 
 def _statistic(x: np.ndarray, kind: str) -> np.ndarray:
@@ -81,13 +101,35 @@ def _ids(values, length, low, high, kind) -> np.ndarray:
     return np.cumsum(ids) + 1
 
 
-def segment_ids(df: DataFrame, measure, variables: list[str], allowed=None, kind: str = "q", groups=(), out: str = "segment_id") -> DataFrame:
+def segment_ids(df: DataFrame, measure, variables: list[str], allowed=None, kind: str = "q", groups=(), out: str = "segment_id", task_rows: int = 100_000) -> DataFrame:
     """One-based ids per group: SHS (kind q) or MCV (kind p) by repeated bisection of segments over the longest allowed.
 
-    Rows that miss a variable are dropped; a segment without a legal split stays. One group is one
-    task: groups are roads, of bounded length; give the finest grouping there is.
+    Rows that miss a variable are dropped; a segment without a legal split stays; without a longest
+    length a group is one segment. Groups of up to task_rows rows are bisected in one task each; where
+    there are larger ones, rounds of Spark jobs cut these first (see bisection.bisected).
     """
     f, t = measure
+    groups = list(groups)
+    low, high = allowed or (None, None)
+    d = df.dropna(subset=[*variables])
+    if high is None:
+        return d.withColumn(out, F.lit(1).cast("long"))
+    most = d.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
+    if most <= task_rows:
+        return _grouped(d, measure, variables, low, high, kind, groups, out)
+    x = bisected(d, measure, variables, low, high, kind, groups, task_rows)
+    # What is left to cut fits a task each; the rest are segments as they are.
+    size = x.groupBy(*SEGMENT).agg(F.count("*").alias("__rows"), (F.max("__e_l") - F.min("__b_l")).alias("__all"))
+    todo = (F.col("__rows") <= task_rows) & (F.col("__all") > high)
+    x = x.select(*df.columns, *SEGMENT, "__low").join(size, SEGMENT)
+    rest = x.where(~todo).withColumn("__local", F.lit(1).cast("long"))
+    cut = _grouped(x.where(todo), measure, variables, None, high, kind, SEGMENT, "__local")
+    return numbered(written(rest.unionByName(cut).select(*df.columns, *SEGMENT, "__local")), df.columns, out)
+
+
+def _grouped(df: DataFrame, measure, variables: list[str], low: float | None, high: float, kind: str, groups: list[str], out: str) -> DataFrame:
+    """Ids by one task for each group; without low the least length is column __low, else the group's."""
+    f, t = measure
     schema = ", ".join([*(f"`{n}` {k}" for n, k in df.dtypes), f"`{out}` long"])
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
@@ -95,12 +137,11 @@ def segment_ids(df: DataFrame, measure, variables: list[str], allowed=None, kind
         length = (p[t] - p[f]).to_numpy(float)
         if not len(p):
             return p.assign(**{out: np.zeros(0, np.int64)})
-        low, high = allowed or (None, None)
-        low, high = length.min() if low is None else low, length.sum() if high is None else high
-        ids = np.ones(len(p), np.int64) if length.sum() <= high else _ids(p[variables].to_numpy(float), length, low, high, kind)
+        least = low if low is not None else p["__low"].iloc[0] if "__low" in p else length.min()
+        ids = np.ones(len(p), np.int64) if length.sum() <= high else _ids(p[variables].to_numpy(float), length, least, high, kind)
         return p.assign(**{out: ids})
 
-    return df.dropna(subset=[*variables]).groupBy(*groups).applyInPandas(run, schema)
+    return df.groupBy(*groups).applyInPandas(run, schema)
 
 
 def shs(df, measure, variables, allowed=None, groups=(), out="segment_id") -> DataFrame:

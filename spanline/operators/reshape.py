@@ -24,11 +24,16 @@ def _gcd(a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(64)), pair, step, lambda p: p["a"])
 
 
-def stretch(df: DataFrame, start: str, end: str, start_true: str | None = None, end_true: str | None = None, segment_size="GCD", as_km: bool = True, keep_ranges: bool = False) -> DataFrame:
-    """Each interval as points of equal length, SLK and true_SLK; a size above the GCD falls back to it."""
+def stretch(df: DataFrame, start: str, end: str, start_true: str | None = None, end_true: str | None = None, segment_size="GCD", as_km: bool = True, keep_ranges: bool = False, sort: list[str] | None = None) -> DataFrame:
+    """Each interval as points of equal length, SLK and true_SLK; a size above the GCD falls back to it. sort: columns to order by."""
     size = gcd_metres(df, start, end)
     if segment_size != "GCD":
         size = min(size, int(segment_size))
+    points = _points(df, start, end, start_true, end_true, size, as_km, keep_ranges)
+    return points.orderBy(*sort) if sort else points
+
+
+def _points(df: DataFrame, start: str, end: str, start_true: str | None, end_true: str | None, size: int, as_km: bool, keep_ranges: bool) -> DataFrame:
     unit = lambda x: x / 1000.0 if as_km else x
     a, b = as_metres(F.col(start)), as_metres(F.col(end))
     d = df.where(a < b).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((b - a - 1) / size))))
@@ -85,17 +90,63 @@ def get_segments(points: DataFrame, id_vars: list[str], slk: str, segment_size:
     return d.groupBy(*id_vars, "segment_no", *split_at).agg(*out, *[c.alias(n) for n, c in summarise.items()]).drop("segment_no")
 
 
-def interval_merge(left: DataFrame, right: DataFrame, id_vars: list[str], start: str, end: str, summarise: dict[str, str]) -> DataFrame:
-    """Left intervals with the per-point (length-weighted) mean of right columns: a range join, no points."""
-    from .aggregations import Action, Aggregation
-    from .merge import on_slk_intervals
+def segments_of_intervals(df: DataFrame, id_vars: list[str], start: str, end: str, start_true: str | None = None, end_true: str | None = None, split_at=(), summarise: dict[str, Column] | None = None) -> DataFrame:
+    """Intervals that touch and share ids and split_at as one, over their own GCD; split_at=True: every column but ids, bounds and `summarise`'s names.
+
+    summarise maps names to aggregates over points of equal length, so a mean is weighted by length.
+    """
+    bounds = [c for c in (start, end, start_true, end_true) if c]
+    if split_at is True:
+        split_at = [c for c in df.columns if c not in (*id_vars, *bounds, *(summarise or {}))]
+    size = gcd_metres(df, start, end)
+    points = _points(df, start, end, start_true, end_true, size, True, False)
+    return get_segments(points, id_vars, "SLK", size, "true_SLK" if start_true else None, split_at, summarise or {})
 
-    return on_slk_intervals(left, right, id_vars, [Action(c, Aggregation.LengthWeightedAverage(), n) for n, c in summarise.items()], (start, end))
 
+def interval_merge(left: DataFrame, right: DataFrame, id_vars: list[str], start: str, end: str, summarise: dict[str, str | Column], start_true: str | None = None, end_true: str | None = None, split_at="left", use_ranges: bool = True, right_id_vars: list[str] | None = None, right_bounds: tuple[str, ...] | None = None) -> DataFrame:
+    """Left intervals with per-point (length-weighted) summaries of right columns: summarise maps names to columns (their mean) or aggregates.
 
-def lane_to_col(df: DataFrame, xsp: str, id_vars: list[str], values: list[str], all_lanes: bool = False, side_split: bool = False) -> DataFrame:
-    """One row for each ids, one column for each value and lane."""
-    lanes = LANES if all_lanes else LANES[:11]
+    Keeping left's own intervals and columns (use_ranges, split_at "left", one measure, means) is a
+    range join without points. Otherwise both sides are points of their shared GCD, joined by ids and
+    place: split_at ("left", "right", True for both, a list or False) names what a segment may not
+    mix; use_ranges keeps left's intervals apart, else what touches becomes one. right_id_vars and
+    right_bounds (start, end[, start_true, end_true]) name right's columns where they differ.
+    """
+    bounds = [c for c in (start, end, start_true, end_true) if c]
+    names = dict(zip([*(right_id_vars or id_vars), *(right_bounds or bounds)], [*id_vars, *bounds]))
+    right = right.withColumnsRenamed({a: b for a, b in names.items() if a != b})
+    if use_ranges and split_at == "left" and not start_true and all(isinstance(c, str) for c in summarise.values()):
+        from .aggregations import Action, Aggregation
+        from .merge import on_slk_intervals
+
+        return on_slk_intervals(left, right, id_vars, [Action(c, Aggregation.LengthWeightedAverage(), n) for n, c in summarise.items()], (start, end))
+    own = lambda d: [c for c in d.columns if c not in (*id_vars, *bounds, "segment_id")]
+    used = [c for c in summarise.values() if isinstance(c, str)]
+    both_ = {"left": own(left), "right": own(right), True: [*own(left), *own(right)], False: []}
+    split = list(split_at) if isinstance(split_at, (list, tuple)) else both_[split_at]
+    split = [c for c in dict.fromkeys(split) if c not in used]
+    size = math.gcd(gcd_metres(left, start, end), gcd_metres(right, start, end))
+    if start_true:
+        size = math.gcd(size, gcd_metres(left, start_true, end_true), gcd_metres(right, start_true, end_true))
+    at = ["SLK", *(["true_SLK"] if start_true else [])]
+    kept = {c: f"org_{c}" for c in bounds} if use_ranges else {}
+    a = _points(left.drop("segment_id"), start, end, start_true, end_true, size, True, use_ranges).withColumnsRenamed(kept)
+    b = _points(right.drop("segment_id"), start, end, start_true, end_true, size, True, False)
+    # Equal names stand for left's column; places meet as whole metres.
+    key = [*id_vars, *[f"__{c}" for c in at]]
+    metres = {f"__{c}": as_metres(F.col(c)) for c in at}
+    b = b.withColumns(metres).drop(*at, *[c for c in own(right) if c in a.columns])
+    points = a.withColumns(metres).join(b, key, "left")
+    aggs = {n: F.avg(c) if isinstance(c, str) else c for n, c in summarise.items()}
+    out = get_segments(points, [*id_vars, *kept.values()], "SLK", size, "true_SLK" if start_true else None, split, aggs)
+    if not use_ranges:
+        return out
+    return out.drop("START_SLK", "END_SLK", "START_TRUE", "END_TRUE").withColumnsRenamed({v: k for k, v in kept.items()}).distinct()
+
+
+def lane_to_col(df: DataFrame, xsp: str, id_vars: list[str], values: list[str], all_lanes: bool = False, side_split: bool = False, turn_pockets: bool = False) -> DataFrame:
+    """One row for each ids, one column for each value and lane; turn_pockets keeps the lane TP beside the regular ones."""
+    lanes = LANES if all_lanes else [*LANES[:11], *(["TP"] if turn_pockets else [])]
     d = df.where(F.col(xsp).isin(lanes))
     if side_split:
         d = d.withColumns({"SIDE": F.substring(xsp, 1, 1), xsp: F.substring(xsp, 2, 9)})
@@ -105,6 +156,31 @@ def lane_to_col(df: DataFrame, xsp: str, id_vars: list[str], values: list[str],
     return p.select(*id_vars, *[F.col(x if one else f"{x}_{v}").alias(f"{v}{x}") for v in values for x in lanes])
 
 
+def wide_lanes_to_row(df: DataFrame, id_vars: list[str], lane_var: str, side: str | None = None, bounds=(), prefixes: str | list[str] | None = None, side_split: bool = False, all_lanes: bool = False) -> DataFrame:
+    """Wide lane columns to rows (ids, side, bounds, lane_var, values).
+
+    Without prefixes the columns are named by lane and the value is `value`; one prefix takes every
+    column whose name holds it, and names the value; several take the k-th column of each for row k,
+    named by the first's column. side_split makes XSP of side and the lane name's last character, TP
+    for turn pockets, in place of both.
+    """
+    keep = [*id_vars, *([side] if side else []), *bounds]
+    if prefixes is None:
+        rows = [[x] for x in (LANES if all_lanes else LANES[:11]) if x in df.columns]
+        names = ["value"]
+    else:
+        names = [prefixes] if isinstance(prefixes, str) else list(prefixes)
+        found = [[c for c in df.columns if p in c and c not in keep] for p in names]
+        rows = [[f[k] if k < len(f) else None for f in found] for k in range(len(found[0]))]
+    cell = lambda r: F.struct(F.lit(r[0]).alias("lane"), *[(F.col(c) if c else F.lit(None)).alias(n) for n, c in zip(names, r)])
+    out = df.select(*keep, F.explode(F.array(*[cell(r) for r in rows])).alias("__r")).select(*keep, F.col("__r.lane").alias(lane_var), *[F.col(f"__r.{n}").alias(n) for n in names])
+    if not side_split:
+        return out
+    code = F.concat(F.col(side), F.substring(F.col(lane_var), -1, 1))
+    out = out.withColumn("XSP", F.when(code.contains("P"), "TP").otherwise(code))
+    return out.select(*[c for c in keep if c != side], "XSP", *names).distinct()
+
+
 def lane_to_row(df: DataFrame, dirn: str, id_vars: list[str], prefixes: list[str], out: str = "XSP") -> DataFrame:
     """Wide lane columns (prefix and number) to one row for each lane; a prefix that lacks a number gives null."""
     nums = sorted({int(c[len(p):]) for p in prefixes for c in df.columns if c.startswith(p) and c[len(p):].isdigit()})

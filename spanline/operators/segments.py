@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.steps import linspace_steps, pieces
+from ..tables import written
+from .ranges import attached, both, overlaps, ranges_of, running
 
 P3 = lambda c: F.round(F.col(c) * 1000)
 
 
-def _numbered(df: DataFrame, cats: list[str], local: str, out: str) -> DataFrame:
-    """Global zero-based ids: a category's offset (a running sum over one row for each category) and the local id."""
-    sizes = df.groupBy(*cats).agg((F.max(local) + 1).alias("__n"))
-    off = sizes.withColumn("__off", F.coalesce(F.sum("__n").over(W.orderBy(*[F.col(c).asc_nulls_last() for c in cats]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+def _numbered(df: DataFrame, cats: list[str], local: str, out: str, ranges=None) -> DataFrame:
+    """Global zero-based ids: a category's offset (one row for each category, summed in two levels of ranges) and the local id."""
+    # Written, as it is read twice: what it is counted from may be windows over all rows.
+    sizes = written(df.groupBy(*cats).agg((F.max(local) + 1).alias("__n")))
+    off = running(sizes, cats, {"__off": F.col("__n")}, ranges)
     off = off.select(*[F.col(c).alias(f"__c{k}") for k, c in enumerate(cats)], "__off")
-    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__c{k}")) for k, c in enumerate(cats)])
+    on = both([F.col(c).eqNullSafe(F.col(f"__c{k}")) for k, c in enumerate(cats)])
     return df.join(off, on).withColumn(out, (F.col(local) + F.col("__off")).cast("long")).drop("__off", local, *[f"__c{k}" for k in range(len(cats))])
 
 
@@ -30,18 +33,18 @@ def segment_ids(df: DataFrame, categories: list[str], measure_slk, measure_true=
     for c in categories:
         brk = brk | F.col(c).isNull()
     d = df.withColumn("__b", F.when(F.coalesce(brk, F.lit(True)), 1).otherwise(0)).withColumn("__l", F.sum("__b").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1).drop("__b")
-    return d.withColumnRenamed("__l", out) if local else _numbered(d, categories, "__l", out)
+    return d.withColumnRenamed("__l", out) if local else _numbered(d, categories, "__l", out, ranges_of(df, categories))
 
 
-def longest_overlap(new: DataFrame, source: DataFrame, keys: list[str], from_to, position: str, out: str = "source_position") -> DataFrame:
-    """For each new piece, the source position of the longest positive overlap (the first of equals), else null."""
-    f, t = from_to
-    n = new.withColumn("__nid", F.monotonically_increasing_id())
-    s = source.select(*[F.col(k).alias(f"__s{i}") for i, k in enumerate(keys)], F.col(f).alias("__f"), F.col(t).alias("__t"), F.col(position).alias("__p"))
-    on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__s{i}") for i, k in enumerate(keys)] + [F.col("__f") < F.col(t), F.col("__t") > F.col(f)])
-    over = F.least(F.col(t), F.col("__t")) - F.greatest(F.col(f), F.col("__f"))
-    best = n.join(s, on).groupBy("__nid").agg(F.max_by("__p", F.struct(over, -F.col("__f"), -F.col("__p"))).alias(out))
-    return n.join(best, "__nid", "left").drop("__nid")
+def longest_overlap(new: DataFrame, source: DataFrame, keys: list[str], from_to, position: str, out: str = "source_position", bin_width: float | None = None) -> DataFrame:
+    """For each new piece, the source position of the longest positive overlap (the first of equals), else null.
+
+    It depends on a piece's keys and bounds alone; pieces and sources meet in bins (see ranges.overlaps).
+    """
+    pairs = overlaps(new, source, keys, from_to, from_to, {"__p": F.col(position)}, bin_width)
+    over = F.least("__tt", "__to") - F.greatest("__tf", "__from")
+    best = pairs.groupBy(*keys, "__tf", "__tt").agg(F.max_by("__p", F.struct(over, -F.col("__from"), -F.col("__p"))).alias("best"))
+    return attached(new, best, keys, from_to, {"best": out})
 
 
 def split_to_max_length(df: DataFrame, categories: list[str], measure_slk, measure_true, max_length: float, min_length: float = 0.0, index_col: str = "rid") -> DataFrame:
@@ -69,8 +72,25 @@ def split_to_max_length(df: DataFrame, categories: list[str], measure_slk, measu
     return n.join(src, "__src", "left").drop("__src")
 
 
-def overlay(original: DataFrame, additional: DataFrame, categories: list[str], measure_slk, measure_true, name_original: str, name_additional: str, original_index: str = "rid", additional_index: str = "rid", relax_slk_checks: bool = False) -> DataFrame:
-    """The union of both segmentations, split wherever either splits, with both source positions."""
+def overlay(original: DataFrame, additional: DataFrame, categories: list[str], measure_slk, measure_true, name_original: str, name_additional: str, original_index: str = "rid", additional_index: str = "rid", relax_slk_checks: bool = False, check_rows: bool = False) -> DataFrame:
+    """The union of both segmentations, split wherever either splits, with both source positions.
+
+    check_rows refuses measures with missing, reversed or empty intervals and true measures that
+    overlap or are out of order (six jobs); relax_slk_checks leaves out additional's SLK.
+    """
+    if name_original == name_additional:
+        raise ValueError(f"both positions would be named {name_original}")
+    for side, df, index in (("original", original, original_index), ("additional", additional, additional_index)):
+        lacks = [c for c in (*categories, *measure_slk, *measure_true, index) if c not in df.columns]
+        if lacks:
+            raise ValueError(f"{side} lacks {', '.join(lacks)}")
+        if check_rows:
+            if side == "original" or not relax_slk_checks:
+                check_linear_index(df, measure_slk)
+            check_linear_index(df, measure_true)
+            if not check_disjoint(df, measure_true, categories, index).first().ok:
+                raise ValueError(f"{side}: {measure_true} overlaps or is out of order")
+
     def events(df, which, index):
         end = lambda k: F.struct(F.lit(k).alias("type"), F.col(measure_true[k]).cast("double").alias("tm"), F.col(measure_slk[k]).cast("double").alias("slk"))
         d = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in categories]))
@@ -86,7 +106,7 @@ def overlay(original: DataFrame, additional: DataFrame, categories: list[str], m
     return e.select(*categories, F.col("slk").alias(sf), F.col("es").alias(st), F.col("tm").alias(tf), F.col("et").alias(tt), at("s0").alias(name_original), at("s1").alias(name_additional))
 
 
-def cross_sections(df: DataFrame, groups: list[str], cats: list[str], measure_slk, measure_true, number: str = "cross_section_number", original_index: str = "original_index", overlap: str = "overlap", index_col: str = "rid") -> DataFrame:
+def cross_sections(df: DataFrame, groups: list[str], cats: list[str], measure_slk, measure_true, number: str = "cross_section_number", original_index: str = "original_index", overlap: str = "overlap", index_col: str = "rid", bin_width: float | None = None) -> DataFrame:
     """One row per section, active path and source; a section starts when the ordered active paths change."""
     (sf, st), (tf, tt) = measure_slk, measure_true
     d = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*groups, *cats]]))
@@ -95,14 +115,14 @@ def cross_sections(df: DataFrame, groups: list[str], cats: list[str], measure_sl
     e = d.select(*groups, F.explode(F.array(ev(tf, sf, 1), ev(tt, st, 0))).alias("e")).groupBy(*groups, F.col("e.t").alias("t")).agg(F.max(F.struct("e.k", "e.s")).alias("x"), F.min(F.struct("e.k", "e.s")).alias("y"))
     w = W.partitionBy(*groups).orderBy("t")
     a = e.select(*groups, F.col("t").alias("__a"), F.lead("t").over(w).alias("__b"), F.col("x.s").alias("__as"), F.lead("y.s").over(w).alias("__bs")).where("__b > __a and __bs > __as")
-    s = d.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], *cats, F.col(tf).alias("__f"), F.col(tt).alias("__t"), F.col(index_col).cast("long").alias(original_index))
-    on = reduce(lambda p, q: p & q, [F.col(g) == F.col(f"__g{i}") for i, g in enumerate(groups)] + [F.col("__f") <= F.col("__a"), F.col("__t") >= F.col("__b")])
-    act = a.join(s, on).drop(*[f"__g{i}" for i in range(len(groups))])
+    # Between neighbouring bounds what overlaps is there throughout; sections and sources meet in bins.
+    act = overlaps(a, d, groups, ("__a", "__b"), (tf, tt), {c: F.col(c) for c in cats} | {original_index: F.col(index_col).cast("long")}, bin_width, ("__as", "__bs"))
+    act = act.select(*groups, "__as", "__bs", F.col("__tf").alias("__a"), F.col("__tt").alias("__b"), F.col("__from").alias("__f"), *cats, original_index)
     sig = act.groupBy(*groups, "__a", "__b", "__as", "__bs").agg(F.array_sort(F.collect_list(F.struct("__f", *cats))).alias("l"))
     sig = sig.withColumn("sig", F.transform("l", lambda x: F.struct(*[x[c] for c in cats])))
     w = W.partitionBy(*groups).orderBy("__a")
     sig = sig.withColumn("new", F.when(F.col("sig").eqNullSafe(F.lag("sig").over(w)), 0).otherwise(1)).withColumn("__l", F.sum("new").over(w) - 1)
-    sec = _numbered(sig.select(*groups, "__a", "__b", "__as", "__bs", "__l"), groups, "__l", number)
+    sec = _numbered(written(sig.select(*groups, "__a", "__b", "__as", "__bs", "__l")), groups, "__l", number, ranges_of(df, groups))
     ext = sec.groupBy(number).agg(F.min("__as").alias(sf), F.max("__bs").alias(st), F.min("__a").alias(tf), F.max("__b").alias(tt))
     rows = act.join(sec.select(*groups, "__a", number), [*groups, "__a"]).groupBy(*groups, number, *cats, original_index).agg(F.sum(F.col("__b") - F.col("__a")).alias(overlap))
     return rows.join(ext, number).select(*groups, number, sf, st, tf, tt, *cats, original_index, overlap)

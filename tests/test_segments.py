@@ -85,3 +85,27 @@ def test_http_source_pages_and_errors():
     with pytest.raises(RuntimeError):
         list(arcgis.pages("u", {}, 0, 5, 2, 1, lambda *a: {"features": [], "exceededTransferLimit": True}))
     assert arcgis.parameters(None, {"a": 1}, a=2)["a"] == 2 and "orderByFields" in arcgis.parameters({}, None)
+
+
+def test_homogeneous_by_rounds_is_bisection_in_one_task(spark):
+    """Groups too large for a task, null groups and no groups, against the grouped map."""
+    rng = np.random.default_rng(5)
+    rows = [(g, k / 10, (k + 1) / 10, float(v), float(w)) for g in ("a", "b", None) for k, (v, w) in enumerate(zip(np.repeat(rng.normal(5, 2, 25), 12) + rng.normal(0, 0.3, 300), rng.normal(9, 1, 300)))]
+    d = spark.createDataFrame(rows, "g string, f double, t double, v double, w double").repartition(3)
+    for kind, low, groups, variables in (("q", None, ["g"], ["v"]), ("p", 0.3, [], ["v", "w"])):
+        x = d if groups else d.where("g = 'a'")
+        ids = lambda n: {(r.g, r.f): r.segment_id for r in homogeneous.segment_ids(x, ("f", "t"), variables, (low, 2.0), kind, groups, task_rows=n).collect()}  # noqa: E731,B023
+        one = ids(100_000)
+        assert ids(80) == one and len(set(one.values())) > 10
+
+
+def test_prefix_sums_in_ranges(spark):
+    from spanline.operators.ranges import running
+
+    d = spark.createDataFrame([(k % 3 if k % 7 else None, (k * 37) % 101, k) for k in range(300)], "g int, o int, v long").groupBy("g", "o").agg(F.sum("v").alias("v"))
+    rows = d.collect()
+    key = lambda r: (r.g is None, r.g or 0, r.o is None, r.o)
+    got = {(r.g, r.o): (r.s, r.n) for r in running(d, ["g", "o"], {"s": F.col("v"), "n": F.lit(1)}).collect()}
+    assert got == {(r.g, r.o): (sum(x.v for x in rows if key(x) < key(r)), sum(key(x) < key(r) for x in rows)) for r in rows}
+    got = {(r.g, r.o): r.s for r in running(d, ["o"], {"s": F.col("v")}, within=("g",)).collect()}
+    assert got == {(r.g, r.o): sum(x.v for x in rows if x.g == r.g and x.o < r.o) for r in rows}
