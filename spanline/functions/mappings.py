@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 # Fixed values of the domain: lane codes, surfaces, pavements, regions, routes.
 LANES = ["L1", "L2", "L3", "L4", "L5", "L6", "R1", "R2", "R3", "R4", "R5", "LL1", "LL2", "LL3", "LR1", "LR2", "LR3", "RL1", "RL2", "RL3", "RR1", "RR2", "RR3", "LO", "RO", "L", "R"]
-LANE_LABELS = ["Left lane 1", "Left lane 2", "Left lane 3", "Left lane 4", "Left lane 5", "Left lane 6", "Right lane 1", "Right lane 2", "Right lane 3", "Right lane 4", "Right lane 5"] + [f"{a} carriageway, {b} turn pocket {k}" for a in ("Left", "Right") for b in ("left", "right") for k in (1, 2, 3)] + ["Left overtaking lane", "Right overtaking lane", "Left shoulder", "Right shoulder"]
+LANE_LABELS = ["Left lane 1", "Left lane 2", "Left lane 3", "Left lane 4", "Left lane 5", "Left lane 6", "Right lane 1", "Right lane 2", "Right lane 3", "Right lane 4", "Right lane 5", "Left carriageway, left turn pocket 1", "Left carriageway, left turn pocket 2", "Left carriageway, left turn pocket 3", "Left carriageway, right turn pocket 1", "Left carriageway, right turn pocket 2", "Left carriageway, right turn pocket 3", "Right carriageway, left turn pocket 1", "Right carriageway, left turn pocket 2", "Right carriageway, left turn pocket 3", "Right carriageway, right turn pocket 1", "Right carriageway, right turn pocket 2", "Right carriageway, right turn pocket 3", "Left overtaking lane", "Right overtaking lane", "Left shoulder", "Right shoulder"]
 DTIMS = [1, 3, 5, 7, 9, 11, 2, 4, 6, 8, 10, 21, 23, 25, 31, 33, 35, 22, 24, 26, 32, 34, 36, 41, 42, 51, 52]
 SURFACE_NAMES = {1: "Asphalt Dense Graded", 2: "Asphalt Intersection Mix", 3: "Asphalt Open Graded", 4: "Concrete", 5: "Paving", 6: "Primer Seal", 7: "Rubberised Seal", 8: "Slurry Seal", 9: "Single Seal", 10: "Two Coat Seal", 11: "Asphalt Stone Mastic", 12: "Asphalt Open Graded on Dense Graded", 13: "Asphalt Gap Graded Rubberised (GGAR)"}
 SURFACES = {

@@ -33,12 +33,12 @@ def q95(x: Column) -> Column:
     return quantile(x, 0.95)
 
 
-def deteriorate(initial: Column, rate: Column | float, final: float | None = None, n_periods: int | None = None, n_intervals: int = 1, percentage: bool = False) -> Column:
+def deteriorate(initial: Column, rate: Column | float, final: Column | float | None = None, n_periods: int | None = None, n_intervals: int = 1, percentage: bool = False) -> Column:
     """Array of values that decay by an interval's rate until the periods end or a value falls below final."""
     rate = (rate if isinstance(rate, Column) else F.lit(float(rate))) / (100 if percentage else 1)
     keep = F.lit(1.0) - (F.pow(1 + rate, F.lit(1.0 / n_intervals)) - 1)
     by_time = F.lit(n_intervals * n_periods) if n_periods else None
-    by_value = F.greatest(F.lit(0), F.floor(F.log(F.lit(float(final)) / initial) / F.log(keep)).cast("int") + 1) if final else None
+    by_value = F.greatest(F.lit(0), F.floor(F.log((final if isinstance(final, Column) else F.lit(float(final))) / initial) / F.log(keep)).cast("int") + 1) if final is not None else None
     if by_time is None and by_value is None:
         return F.array(initial)
     n = by_time if by_value is None else by_value if by_time is None else F.least(by_time, by_value)

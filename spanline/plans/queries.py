@@ -25,10 +25,18 @@ def _rounded(df, n=6):
     return df.select(*[F.round(c, n).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
 
 
-def _merged(s, d, *actions):
+def _merge(s, d, *actions):
     t = V.grid(s, d, 100.0).select("road", F.col("f").alias("slk_from"), F.col("t").alias("slk_to"))
     g = V.gap(s, d).select("road", "rid", F.col("f").alias("slk_from"), F.col("t").alias("slk_to"), "cents", "qty", "st")
-    return _rounded(on_slk_intervals(t, g, ["road"], list(actions), ("slk_from", "slk_to"), "rid"))
+    return on_slk_intervals(t, g, ["road"], list(actions), ("slk_from", "slk_to"), "rid")
+
+
+def _merged(s, d, *actions):
+    return _rounded(_merge(s, d, *actions))
+
+
+def _shares(s, d, kind):
+    return _merge(s, d, Action("cents", kind, "v")).withColumn("v", F.round(F.col("v") + _OFF, 3))
 
 
 _PAIRS = V.sql("obs", "gap", "tgt", "pairs")
@@ -45,14 +53,15 @@ def _longest(v):
 _PERCENTILE = _PAIRS + """, x AS (SELECT road, slk_from, slk_to, cents AS v, coalesce(sum(h) OVER (PARTITION BY road, slk_from ORDER BY cents, dt, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS x, row_number() OVER o AS k, count(cents) OVER (PARTITION BY road, slk_from) AS n
 FROM (SELECT *, (lag(w) OVER o + w) / 2 AS h FROM pairs WINDOW o AS (PARTITION BY road, slk_from ORDER BY cents, dt, i)) WINDOW o AS (PARTITION BY road, slk_from ORDER BY cents, dt, i)),
 y AS (SELECT *, x / max(x) OVER (PARTITION BY road, slk_from) AS p, lag(v) OVER o AS v0, lag(x) OVER o / max(x) OVER (PARTITION BY road, slk_from) AS p0 FROM x WINDOW o AS (PARTITION BY road, slk_from ORDER BY k))
-SELECT road, slk_from, slk_to, round(first(CASE WHEN n <= 1 OR k = 1 THEN v ELSE v0 + (v - v0) * (0.75 - p0) / (p - p0) END ORDER BY k) / 7.3890561, 1) AS v FROM y WHERE n <= 1 OR p >= 0.75 GROUP BY road, slk_from, slk_to"""
+SELECT road, slk_from, slk_to, round(first(CASE WHEN n <= 1 OR k = 1 THEN v ELSE v0 + (v - v0) * (0.75 - p0) / (p - p0) END ORDER BY k), 6) AS v FROM y WHERE n <= 1 OR p >= 0.75 GROUP BY road, slk_from, slk_to"""
+#: Shares of cents often end in a decimal 5, which a sum in another order rounds either way: what is rounded is moved off such ties.
+_OFF = 0.00037
 _KINDS = {
     "average": ("cents", A.Average(), _agg("round(avg(cents), 6)")),
     "length_weighted_average": ("cents", A.LengthWeightedAverage(), _agg("round(sum(cents * w) / sum(w), 6)")),
     "length_weighted_percentile": ("cents", A.LengthWeightedPercentile(0.75), _PERCENTILE),
     "first": ("st", A.First(), _agg("arg_min(st, i)")),
     "sum": ("cents", A.Sum(), _agg("sum(cents)")),
-    "sum_proportion_of_data": ("cents", A.SumProportionOfData(), _agg("round(sum(cents * w / len) / 7, 3)")),
     "sum_proportion_of_target": ("cents", A.SumProportionOfTarget(), _agg("round(sum(cents * w) / max(tlen), 6)")),
     "min": ("cents", A.Min(), _agg("min(cents)")),
     "max": ("cents", A.Max(), _agg("max(cents)")),
@@ -63,7 +72,19 @@ _KINDS = {
     "keep_longest_segment": ("st", A.KeepLongestSegment(), _agg("first(st ORDER BY w DESC, dt, i)")),
 }
 for _n, (_c, _a, _s) in _KINDS.items():
-    query(f"merge_{_n}", _s)(lambda s, d, c=_c, a=_a, n=_n: _merged(s, d, Action(c, a, "v")) if n not in ("sum_proportion_of_data", "length_weighted_percentile") else _merged(s, d, Action(c, a, "v")).withColumn("v", F.round(F.col("v") / (7 if n[0] == "s" else 7.3890561), 3 if n[0] == "s" else 1)))
+    query(f"merge_{_n}", _s)(lambda s, d, c=_c, a=_a: _merged(s, d, Action(c, a, "v")))
+
+
+@query("merge_sum_proportion_of_data", _agg(f"round(sum(cents * w / len) + {_OFF}, 3)"))
+def _(s, d):
+    return _shares(s, d, A.SumProportionOfData())
+
+
+@query("merge_proportional_sum", _agg(f"round(sum(cents * w / len) + {_OFF}, 3)"))
+def _(s, d):
+    return _shares(s, d, A.ProportionalSum())
+
+
 _MULTI = [Action("cents", A.LengthWeightedAverage(), "lwa"), Action("cents", A.Sum(), "total"), Action("qty", A.Max(), "top"), Action("st", A.KeepLongestSegment(), "st")]
 query("merge_multi_action", _PAIRS + "SELECT road, slk_from, slk_to, round(sum(cents * w) / sum(w), 6) AS lwa, sum(cents) AS total, max(qty) AS top, first(st ORDER BY w DESC, dt, i) AS st FROM pairs GROUP BY road, slk_from, slk_to")(lambda s, d: _merged(s, d, *_MULTI))
 query("merge_unmatched_targets", _PAIRS + "SELECT road, slk_from, slk_to FROM pairs WHERE i IS NULL")(lambda s, d: _merged(s, d, Action("cents", A.Sum(), "v")).where("v is null").drop("v"))
@@ -150,3 +171,41 @@ query("quantiles", "SELECT l_suppkey, round(quantile_cont(l_extendedprice, 0.75)
     lambda s, d: _rounded(V.table(s, d, "lineitem").groupBy("l_suppkey").agg(*[getattr(stats, q)(F.col("l_extendedprice")).alias(q) for q in ("q75", "q90", "q95")]), 4))
 query("deterioration", "SELECT l_orderkey, l_linenumber, k::INT AS k, round(l_extendedprice * pow(1 - (pow(1.0 + l_tax, 0.5) - 1), k), 4) AS v FROM lineitem, range(0, 7) r(k)")(
     lambda s, d: V.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.posexplode(stats.deteriorate(F.col("l_extendedprice"), F.col("l_tax"), n_periods=3, n_intervals=2)).alias("k", "v")).withColumn("v", F.round("v", 4)))
+
+
+# Lookups and operators beyond the ones above.
+_LI = lambda s, d, *c: V.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", *c)
+_Q = "l_quantity::INT"
+_q = lambda: F.col("l_quantity").cast("int")
+_from = lambda x, values: F.get(F.array(*[F.lit(v) for v in values]), F.pmod(x, F.lit(len(values))))
+_list = lambda x, values: "[" + ", ".join("'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in values) + f"][1 + {x} % {len(values)}]"
+_SURF = M.SURFACES["short"]
+for _n, _f, _values, _t in (
+    ("lane_to_side", M.lane_to_side, ["L1", "R2", "LO", "X1", "RL3"], {"L1": "L", "R2": "R", "LO": "L", "RL3": "R"}),
+    ("hsd_to_side", M.hsd_to_side, ["L", "R", "l", "r", "S"], {"L": "L", "R": "R", "l": "L", "r": "R"}),
+    ("surface_number", M.surface_number, [*M.SURFACE_NAMES.values(), "none"], {v: k for k, v in M.SURFACE_NAMES.items()}),
+    ("surf_id", M.surf_id, [*_SURF, "none"], {v: k + 1 for k, v in enumerate(_SURF)}),
+    ("pavement_id", M.pavement_id, [*M.PAVEMENTS.values(), "none"], {v: k for k, v in M.PAVEMENTS.items()}),
+    ("region_number", M.region_number, [*M.REGIONS.values(), "none"], {v: k for k, v in M.REGIONS.items()}),
+    ("link_category", M.link_category, [*M.LINK_CATEGORIES, "ZZ"], M.LINK_CATEGORIES),
+):
+    query(f"map_{_n}", f"SELECT l_orderkey, l_linenumber, {_case(_list(_Q, _values), _t)} AS name FROM lineitem")(lambda s, d, f=_f, v=_values: _LI(s, d, f(_from(_q(), v)).alias("name")))
+query("map_surface_name", f"SELECT l_orderkey, l_linenumber, {_case(_Q, M.SURFACE_NAMES)} AS name FROM lineitem")(lambda s, d: _LI(s, d, M.surface_name(_q()).alias("name")))
+query("map_route_change", f"SELECT l_orderkey, l_linenumber, {_case(_list(_Q, [*M.OLD_ROUTES, 99.0]), {o: k + 1 for k, o in enumerate(M.OLD_ROUTES)})} AS name FROM lineitem")(lambda s, d: _LI(s, d, M.route_change(_from(_q(), [*M.OLD_ROUTES, 99.0])).alias("name")))
+_ROADS = ["H005", "H052", "H001", "H009", "M045", "H006", "H010"]
+query("map_rurality", f"SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber + 3 = 7 AND road IN ('M045', 'H006', 'M026', 'M010') OR road = 'H005' AND slk >= 48.5 OR road = 'H052' AND slk >= 12.22 OR road = 'H001' AND slk >= 35.5 OR road = 'H009' AND slk >= 18.54 THEN 'Rural' ELSE 'Metro' END AS name FROM (SELECT *, {_list('l_suppkey', _ROADS)} AS road, l_quantity::DOUBLE AS slk FROM lineitem)")(
+    lambda s, d: _LI(s, d, M.rurality(F.col("l_linenumber") + 3, _from(F.col("l_suppkey"), _ROADS), F.col("l_quantity")).alias("name")))
+query("first_and_last", "SELECT l_suppkey, arg_min(l_extendedprice, (l_shipdate, l_orderkey, l_linenumber, l_extendedprice)) AS a, arg_max(l_extendedprice, (l_shipdate, l_orderkey, l_linenumber, l_extendedprice)) AS z FROM lineitem GROUP BY l_suppkey")(
+    lambda s, d: V.table(s, d, "lineitem").groupBy("l_suppkey").agg(*[f(F.col("l_extendedprice"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice")).alias(n) for f, n in ((stats.first, "a"), (stats.last, "z"))]))
+query("deterioration_to_value", "SELECT l_orderkey, l_linenumber, k::INT AS k, round(l_extendedprice * pow(1 - (l_tax + 0.01), k) + 0.0000137, 4) AS v FROM (SELECT *, unnest(range(0, greatest(0, floor(ln(l_extendedprice * 0.9 / l_extendedprice) / ln(1 - (l_tax + 0.01)))::INT + 1) + 1)) AS k FROM lineitem)")(
+    lambda s, d: _LI(s, d, F.posexplode(stats.deteriorate(F.col("l_extendedprice"), F.col("l_tax") + 0.01, final=F.col("l_extendedprice") * 0.9)).alias("k", "v")).withColumn("v", F.round(F.col("v") + 0.0000137, 4)))
+query("fixed_segment_rows", V.sql("obs") + "SELECT rid, f + k * 7 AS a, least(t, f + (k + 1) * 7) AS b FROM (SELECT *, unnest(range(0, ceil((t - f) / 7)::BIGINT)) AS k FROM obs)")(
+    lambda s, d: V.obs(s, d).select("rid", F.explode(steps.pieces(steps.fixed_steps(F.col("f"), F.col("t"), 7.0))).alias("p")).select("rid", "p.a", "p.b"))
+query("cross_sections_rows", _CROSS + "SELECT n.k AS cross_section_number, flag, st, rid AS original_index, sum(n.b - n.a) AS overlap FROM n JOIN act ON act.road = n.road AND act.a = n.a GROUP BY ALL")(lambda s, d: _cross(s, d)[1])
+query("segments_of_intervals", SQL["get_segments"])(lambda s, d: reshape.segments_of_intervals(_km(s, d).drop("rid"), ["road"], "a", "b", split_at=["flag"], summarise={"m": F.avg("cents")}).select("road", "flag", F.round("START_SLK", 6).alias("START_SLK"), F.round("END_SLK", 6).alias("END_SLK"), F.round("m", 4).alias("m")))
+query("best_bisection_p", _QP + f", x AS (SELECT w.*, o.len, o.tot FROM w JOIN (SELECT rid, t AS len, max(t) OVER (PARTITION BY road) AS tot FROM obs) o USING (rid)), y AS (SELECT road, rid, ({_CV.format('l')} + {_CV.format('r')}) / 2 AS p, coalesce(len > 100 AND tot - len > 100, false) AS ok FROM x WHERE nr IS NOT NULL), z AS (SELECT *, ok AND coalesce(lag(ok) OVER o, false) AND coalesce(lead(ok) OVER o, false) AS inn FROM y WINDOW o AS (PARTITION BY road ORDER BY rid)) SELECT road, first(rid ORDER BY round(p, 9), rid) AS rid, round(min(p), 7) AS p FROM z WHERE inn GROUP BY road")(
+    lambda s, d: _rounded(homogeneous.best_bisection(_cond(s, d), ["road"], "rid", ["v"], "qty", 100.0, "best", "p").groupBy("road").agg(F.min("rid").alias("rid"), F.min("best").alias("p")), 7))
+query("wide_lanes_to_row", "SELECT l_orderkey, l_linenumber, n AS lane, CASE n WHEN 'q_L1' THEN l_quantity WHEN 'q_R2' THEN l_tax END AS q_ FROM lineitem, (VALUES ('q_L1'), ('q_R2')) v(n)")(
+    lambda s, d: reshape.wide_lanes_to_row(_LI(s, d, F.col("l_quantity").alias("q_L1"), F.col("l_tax").alias("q_R2")), ["l_orderkey", "l_linenumber"], "lane", prefixes="q_"))
+query("interval_merge_points", V.sql("obs", "tgt") + ", p AS (SELECT t.road, t.f AS a, t.t AS b, x FROM tgt t, unnest(range(t.f::BIGINT, t.t::BIGINT)) AS u(x)), j AS (SELECT p.road, p.x, o.flag, o.cents FROM p LEFT JOIN obs o ON o.road = p.road AND o.f <= p.x AND o.t > p.x), e AS (SELECT *, CASE WHEN lag(x) OVER o IS NOT DISTINCT FROM x - 1 AND lag(flag) OVER o IS NOT DISTINCT FROM flag THEN 0 ELSE 1 END AS nw FROM j WINDOW o AS (PARTITION BY road ORDER BY x)), g AS (SELECT *, sum(nw) OVER (PARTITION BY road ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM e) SELECT road, flag, round(min(x) / 1000.0, 6) AS \"START_SLK\", round((max(x) + 1) / 1000.0, 6) AS \"END_SLK\", round(avg(cents), 4) AS m FROM g GROUP BY road, flag, k")(
+    lambda s, d: reshape.interval_merge(V.grid(s, d, 100.0).select("road", (F.col("f") / 1000).alias("a"), (F.col("t") / 1000).alias("b")), _km(s, d).drop("rid"), ["road"], "a", "b", {"m": "cents"}, split_at=["flag"], use_ranges=False).select("road", "flag", F.round("START_SLK", 6).alias("START_SLK"), F.round("END_SLK", 6).alias("END_SLK"), F.round("m", 4).alias("m")))
