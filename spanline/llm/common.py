@@ -1,28 +1,30 @@
-"""Helpers shared by the operators: written tables and connected components."""
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+"""Helpers shared by the operators: joins with hot keys and connected components."""
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import discard, written
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spanline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+def frame(rows: list[tuple], *names: str) -> pd.DataFrame:
+    """Rows for Arrow, text as plain objects."""
+    return pd.DataFrame({n: pd.Series(c, dtype=object if not c or isinstance(next((v for v in c if v is not None), None), (str, list, type(None))) else None) for n, c in zip(names, zip(*rows) if rows else [[]] * len(names))})
 
 
-def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
-    """Cut lineage: write df to the shared folder as Parquet and read it back."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
-    return spark.read.schema(df.schema).parquet(path)
+def hot_join(rows: DataFrame, keyed: DataFrame, *keys: str, n: str = "n", share: int = 1000, least: int = 10_000) -> DataFrame:
+    """rows joined on keys (not null) with keyed, which has one row for each key and in n how many rows hold it; n goes.
+
+    Keys of more than 1/share of all (there are fewer than `share` of them) are broadcast, so that no
+    task holds a hot key's rows. Both sides should be written tables: they are read twice.
+    """
+    total = keyed.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > max(least, total // share)
+    if keyed.where(hot).isEmpty():
+        return rows.join(keyed.drop(n), list(keys))
+    cold = rows.join(F.broadcast(keyed.where(hot).select(*keys)), list(keys), "left_anti").join(keyed.where(~hot).drop(n), list(keys))
+    return cold.unionByName(rows.join(F.broadcast(keyed.where(hot).drop(n)), list(keys)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -41,5 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = big.groupBy("u").agg(F.min("v").alias("m"))
         new = written(big.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         if new.select(F.col("v").alias("u")).distinct().join(new.select("u").distinct(), "u", "left_semi").isEmpty() and new.groupBy("u").count().where("count > 1").isEmpty():
+            discard(e)
             return new.union(new.select("v", "v")).distinct().toDF("node", "label")
+        discard(e)
         e = new

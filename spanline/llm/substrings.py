@@ -1,17 +1,23 @@
-"""Substring dedup: paragraph MinHash banding, exact verification, clusters by components."""
+"""Substring dedup: MinHash of overlapping paragraphs, exact extension of what collides, clusters by components."""
+import re
+
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, discard, frame, hot_join, written
 
-SHINGLE, LEAST, RECALL, TILE, RUN_WORDS, CHUNK = 5, 0.8, 0.995, 64, 50, 1 << 15
+SHINGLE, LEAST, RECALL, RUN_WORDS, KEY_WORDS, CACHE = 5, 0.8, 0.995, 50, 8, 500_000
+_WORD = re.compile(r"[^\W_]+")
+_FULL = (1 << 64) - 1
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def tune(least: float = LEAST, recall: float = RECALL, stray: float = 0.05, low: float = 0.2) -> tuple[int, int]:
+def tune(least: float = LEAST, recall: float = RECALL, stray: float = 0.05, low: float = 0.01) -> tuple[int, int]:
     """(bands, rows): the fewest bands that find pairs of similarity `least` with `recall`, and collide at `low` in under `stray`."""
     for rows in range(1, 16):
         bands = int(np.ceil(np.log(1 - recall) / np.log(1 - least**rows)))
@@ -20,107 +26,220 @@ def tune(least: float = LEAST, recall: float = RECALL, stray: float = 0.05, low:
     return bands, rows
 
 
-def _hashes(text: str, n: int = SHINGLE) -> list[int]:
-    """Hashes of the n-word shingles of normalised text in order; fewer words are one shingle."""
-    b = text.encode()
-    gaps = np.flatnonzero(np.frombuffer(b, np.uint8) == 32)
-    n = min(n, len(gaps) + 1)
-    starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(b)]))
-    return [xxhash.xxh64_intdigest(b[x:y]) for x, y in zip(starts[: len(starts) - n + 1].tolist(), ends[n - 1 :].tolist())]
-
-
-def shingles(text: str, n: int = SHINGLE) -> np.ndarray:
-    """Distinct hashes of the n-word shingles of normalised text."""
-    return np.unique(np.array(_hashes(text, n), np.uint64))
-
-
-def _linked(texts: list[str], least: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of a tile whose exact Jaccard similarity is `least` or more."""
-    sets = [set(shingles(t).tolist()) for t in texts]
-    left, out = set(range(len(texts))), []
-    while left:
-        todo = [left.pop()]
-        while todo:
-            i = todo.pop()
-            for j in list(left):
-                a, b = sets[i], sets[j]
-                if min(len(a), len(b)) >= least * max(len(a), len(b)) and (n := len(a & b)) >= least * (len(a) + len(b) - n):
-                    left.discard(j)
-                    todo.append(j)
-                    out.append((i, j))
+def sizes(run_words: int = RUN_WORDS, least: float = LEAST) -> tuple[int, int]:
+    """(words of a key, paragraph starts): a passage of run_words offers as many disjoint paragraphs, one MinHash each, as tune() asks bands for a recall of 0.99."""
+    key = min(KEY_WORDS, run_words)
+    return key, max(1, (run_words - key + 1) // tune(least, 0.99)[0])
+
+
+class _Hashes(dict):
+    def __missing__(self, w: str) -> int:
+        h = xxhash.xxh64_intdigest(w)
+        if len(self) < CACHE:
+            self[w] = h
+        return h
+
+
+def _grams(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams of word hashes."""
+    x = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    for j in range(n):
+        x = (x ^ h[j : j + len(x)]) * _A
+        x ^= x >> np.uint64(29)
+    return x * _B
+
+
+def anchors(h: np.ndarray, key_words: int, starts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, keys) of a text's paragraphs by their word hashes.
+
+    A paragraph is each stretch of `starts` key starts; its MinHash is its smallest five-word shingle,
+    the first of equals, and its key the key_words words from there. Neighbours that share a MinHash
+    give it once, and a word that goes on repeating gives one. Stretches of starts + key_words - 1
+    words that are equal in two texts have a key in common, whatever stands around them.
+    """
+    keys = _grams(h, key_words)
+    if len(keys) < starts:
+        return np.zeros(0, np.int64), keys[:0]
+    low = _grams(h, min(SHINGLE, key_words))[: len(keys)]
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(low, starts).argmin(axis=1) + np.arange(len(keys) - starts + 1))
+    at = at[(at == 0) | (keys[at] != keys[np.maximum(at, 1) - 1])]
+    return at, keys[at]
+
+
+def stretches(at: np.ndarray, key_words: int, starts: int, run_words: int) -> list[tuple[int, int]]:
+    """(first, last) index of neighbouring places no further apart than a paragraph, of runs that can hold a passage.
+
+    In a run two stretches may stand apart by an edit: both ends of one lose starts - 1 words and the key's.
+    """
+    out, gap = [], np.diff(at)
+    for run in np.split(np.arange(len(at)), np.flatnonzero(gap > 2 * starts + key_words) + 1):
+        if len(run) and at[run[-1]] + key_words - at[run[0]] >= run_words - 2 * (starts - 1):
+            out += [(int(x[0]), int(x[-1])) for x in np.split(run, np.flatnonzero(gap[run[:-1]] > starts) + 1)]
+    return out
+
+
+def passages(parts: list[tuple[int, int]], run_words: int, least: float) -> list[tuple[int, int]]:
+    """(start, stop) of the passages of run_words that stretches (start, stop) of a document make.
+
+    Touching stretches are one. Stretches apart by g words are one passage if they hold 40 + 8 g words
+    (0.8 of five-word shingles, an edit of g words between them) and the Jaccard similarity of all
+    shingles, those outside stretches counted as different ones on both sides, is `least`.
+    """
+    one: list[list[int]] = []
+    for a, b in sorted(parts):
+        if one and a <= one[-1][1]:
+            one[-1][1] = max(b, one[-1][1])
+        else:
+            one.append([a, b])
+    out, group = [], []
+
+    def close():
+        if not group:
+            return
+        a, b = group[0][0], group[-1][1]
+        lost = sum(y[0] - x[1] + SHINGLE - 1 for x, y in zip(group, group[1:]))
+        n = max(1, b - a - SHINGLE + 1)
+        if b - a >= run_words and n - lost >= least * (n + lost):
+            out.append((a, b))
+        else:
+            out.extend((x, y) for x, y in group if y - x >= run_words)
+
+    for x in one:
+        if group:
+            g = x[0] - group[-1][1]
+            if group[-1][1] - group[-1][0] + x[1] - x[0] < 40 + 8 * g:
+                close()
+                group = []
+        group.append(x)
+    close()
+    return out
+
+
+def _met(place: DataFrame) -> DataFrame:
+    """Places (id, dk, at, key) whose key two documents have, with the first of them: fdk and its id, keep.
+
+    One shuffle by key; keys that a 64th of the places (by hash) shows to hold over a 500th of all (at
+    most 1,000 of them) are aggregated first and joined by broadcast, so no task holds a hot key.
+    """
+    own = F.struct(F.isnull("id").alias("n"), "id", "dk")
+    some = place.where(F.pmod(F.xxhash64("dk", "at"), F.lit(64)) == 0).groupBy("key").agg(F.count("*").alias("n"))
+    bar = max(200, (some.agg(F.sum("n")).first()[0] or 0) // 500)
+    hot = [r[0] for r in some.where(F.col("n") > bar).select("key").collect()]
+    is_hot = F.col("key").isin(hot) if hot else F.lit(False)
+    w = W.partitionBy("key")
+    names = ["id", "dk", "at", "key", F.col("f.dk").alias("fdk"), F.col("f.id").alias("keep")]
+    out = place.where(~is_hot).withColumns({"lo": F.min("dk").over(w), "hi": F.max("dk").over(w), "f": F.min(own).over(w)}).where("lo <> hi").select(*names)
+    if hot:
+        first = place.where(is_hot).groupBy("key").agg(F.min("dk").alias("lo"), F.max("dk").alias("hi"), F.min(own).alias("f")).where("lo <> hi")
+        out = out.unionByName(place.where(is_hot).join(F.broadcast(first), "key").select(*names))
     return out
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, run_words: int = RUN_WORDS) -> DataFrame:
-    """(id, first_par, last_par, n_words, keep_id, cluster_id): passages that are to go, by document.
-
-    Paragraphs are lines, compared as lower-case words. Equal ones are one; MinHash bands join those
-    that collide; pairs of tiles of colliding paragraphs are verified by exact Jaccard similarity of
-    five-word shingles and give spanning forests; components are clusters, of which the first
-    paragraph by id and place stays. Neighbouring paragraphs to go form a passage, reported if it has
-    run_words words; shorter runs stay where they are. Null, empty and wordless paragraphs match
-    nothing and do not break a run; a row that repeats an id counts once; an empty table gives no rows.
+    """(id, first_word, n_words, first_par, last_par, keep_id, cluster_id): passages that are to go, by document.
+
+    Texts are lower-case words, lines of them numbered. Overlapping paragraphs are MinHashed; keys
+    that two documents share are joined, and a key is to go wherever it isn't in its first document by
+    id. Keys to go that follow each other are stretches; their ends are extended, word by word and
+    exactly, as far as what stands there is in an earlier document too. Stretches make passages of
+    run_words, edits bridged at a Jaccard similarity of `least`. Passages that share the keys at their
+    ends are clusters. keep_id is the first document of the passage's first key.
+    A passage may start and end anywhere in a line. Documents are told apart by id and text, null ids
+    sort last; a row that repeats id and text counts once. What repeats within one document only
+    stays. Null, empty and wordless texts match nothing; an empty table gives no rows.
     """
-    flat = F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}\p{N}\n]+", " ")
-    par = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(flat, "\n")).alias("pos", "p")).withColumn("p", F.trim("p")).where("p <> ''")
-    par = par.withColumns({"pid": F.xxhash64("p"), "n": F.length("p") - F.length(F.replace("p", F.lit(" "))) + 1})
-    place = written(par.select("id", "pos", "pid", "n"), "zstd")
-    bands, rows = tune(least)
-    rng = np.random.default_rng(11)
-    mul, add = rng.integers(1, 1 << 62, bands * rows, np.uint64) | np.uint64(1), rng.integers(0, 1 << 62, bands * rows, np.uint64)
-
-    def bands_of(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Band keys, one row for each line, of the lines' joined hashes."""
-        keys = np.empty((len(starts), bands), np.int64)
-        for k in range(bands):
-            x = np.full(len(starts), k, np.uint64)
-            for j in range(k * rows, (k + 1) * rows):
-                low = np.minimum.reduceat((h * mul[j] + add[j]) >> np.uint64(8), starts)
-                x = (x * np.uint64(0x9E3779B97F4A7C15) ^ low) * np.uint64(0xC2B2AE3D27D4EB4F)
-            keys[:, k] = x.view(np.int64)
-        return keys
-
-    def banded(batches):
+    key_words, starts = sizes(run_words, least)
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null").withColumn("dk", F.xxhash64("id", "t"))
+    # Ids pass through Python as text: a null would make pandas turn whole numbers into floats.
+    kind = dict(d.dtypes)["id"]
+    text = d.withColumn("id", F.col("id").cast("string"))
+    back = lambda x, *names: x.withColumns({n: F.col(n).cast(kind) for n in names})
+
+    def paragraphs(batches):
+        known = _Hashes()
+        for b in batches:
+            ids, dks, at, keys = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for i, dk, t in zip(b["id"], b["dk"], b["t"]):
+                ws = _WORD.findall(t.lower())
+                if len(ws) >= run_words:
+                    a, k = anchors(np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws)), key_words, starts)
+                    ids += [i] * len(a)
+                    dks.append(np.full(len(a), dk))
+                    at.append(a)
+                    keys.append(k)
+            yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "dk": np.concatenate([at[0], *dks]), "at": np.concatenate(at), "key": np.concatenate(keys).view(np.int64)})
+
+    place = written(back(text.mapInPandas(paragraphs, "id string, dk long, at int, key long"), "id"), "zstd")
+    hits = written(_met(place), "zstd")
+    discard(place)
+
+    def runs(batches):
+        for b in batches:
+            out = []
+            for i, dk, x in zip(b["id"], b["dk"], b["x"]):
+                x = sorted(x, key=lambda r: r["at"])
+                for p, q in stretches(np.array([r["at"] for r in x]), key_words, starts, run_words):
+                    out.append((i, dk, x[p]["at"], x[q]["at"], x[p]["key"], x[q]["key"], x[p]["keep"]))
+            yield frame(out, "id", "dk", "a", "b", "ka", "kb", "keep")
+
+    per = hits.where("dk <> fdk").groupBy(F.col("id").cast("string").alias("id"), "dk").agg(F.collect_set(F.struct("at", "key", F.col("keep").cast("string").alias("keep"))).alias("x"))
+    part = written(back(per.mapInPandas(runs, "id string, dk long, a int, b int, ka long, kb long, keep string"), "id", "keep"))
+    # What stands before and after the keys at stretches' ends, wherever those keys stand.
+    ends = part.select(F.col("ka").alias("key"), F.lit(True).alias("left")).union(part.select("kb", F.lit(False))).distinct()
+    asked = hits.join(ends, "key").groupBy("dk").agg(F.collect_set(F.struct("at", "key", "left")).alias("x"))
+
+    def packed(batches):
+        z = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            keys, flat, starts = [np.empty((0, bands), np.int64)], [], []
-            for t in b["p"]:
-                starts.append(len(flat))
-                flat += _hashes(t)
-                if len(flat) >= CHUNK:
-                    keys.append(bands_of(np.array(flat, np.uint64), np.array(starts)))
-                    flat, starts = [], []
-            if starts:
-                keys.append(bands_of(np.array(flat, np.uint64), np.array(starts)))
-            yield pd.DataFrame({"pid": np.repeat(b["pid"].to_numpy(), bands), "band": np.concatenate(keys).ravel()})
-
-    one = written(par.groupBy("pid").agg(F.min("p").alias("p")), "zstd")
-    # Up to seven different words make three shingles at most: those are equal to another line's or below 0.8.
-    # (The bound is that of five-word shingles and similarities over 3/4.)
-    plain = (F.size(F.split("p", " ")) <= SHINGLE + 2) & (F.size(F.array_distinct(F.split("p", " "))) == F.size(F.split("p", " ")))
-    keys = written(one.where(~plain if least > 0.75 else F.lit(True)).mapInPandas(banded, "pid long, band long"))
-    full = keys.groupBy("band").count().where("count > 1").select("band", F.ceil(F.col("count") / TILE).cast("int").alias("nt"))
-    x = keys.join(full, "band").join(one, "pid").withColumn("t", F.pmod("pid", F.col("nt")).cast("int"))
-    x = x.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("nt") - 1))).select("band", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "pid", "p")
-
-    def verified(batches):
-        key, pids, texts = None, [], []
+            yield pd.DataFrame({"dk": b["dk"], "z": pd.Series([z.compress(t.encode("utf-8", "surrogatepass")) for t in b["t"]], dtype=object)})
+
+    def around(batches):
+        known, z = _Hashes(), zstandard.ZstdDecompressor()
+        for b in batches:
+            out = []
+            for dk, t, x in zip(b["dk"], b["z"], b["x"]):
+                found = [_WORD.findall(y) for y in z.decompress(t).decode("utf-8", "surrogatepass").lower().split("\n")]
+                ws, line = [w for y in found for w in y], np.repeat(np.arange(len(found)), [len(y) for y in found])
+                for r in x:
+                    at, left, ext = r["at"], r["left"], r["key"] & _FULL
+                    end = at if left else at + key_words - 1
+                    ps = range(end, max(-1, end - starts), -1) if left else range(end, min(len(ws), end + starts))
+                    exts = []
+                    for j, p in enumerate(ps):
+                        if j:
+                            ext = ((ext ^ ext >> 29) * 0x9E3779B97F4A7C15 + known[ws[p]]) & _FULL
+                        exts.append(ext - (1 << 64) if ext >> 63 else ext)
+                    out.append((dk, at, left, exts, line[ps.start : ps.stop if ps.stop >= 0 else None : ps.step].tolist()))
+            yield frame(out, "dk", "at", "left", "exts", "lines")
+
+    texts = d.select("dk", "t").mapInPandas(packed, "dk long, z binary")
+    occ = texts.join(asked, "dk").mapInPandas(around, "dk long, at int, left boolean, exts array<long>, lines array<int>")
+    occ = written(occ.distinct().withColumn("all", F.element_at("exts", -1)), "zstd")
+    # Of equal surroundings the first document's stand for all; elsewhere they are shared to their end.
+    order = hits.select("dk", F.struct(F.isnull("id").alias("n"), "id", "dk").alias("own")).distinct()
+    same = written(occ.join(order, "dk").groupBy("left", "all").agg(F.min("own").alias("f"), F.first("exts").alias("exts"), F.count("*").alias("n")))
+    each = same.select("left", "all", "f", F.posexplode("exts").alias("j", "ext"))
+    known = each.groupBy("left", "j", "ext").agg(F.min("f").alias("first"), F.count("*").alias("k")).where("k > 1").select("left", "j", "ext", F.col("first.dk").alias("fdk"))
+    reach = each.join(known, ["left", "j", "ext"]).where("f.dk <> fdk").groupBy("left", "all").agg(F.max("j").alias("j"))
+    reach = written(same.join(reach, ["left", "all"], "left").select("left", "all", F.col("f.dk").alias("fdk"), "j", "n"))
+    far = hot_join(occ, reach, "left", "all").withColumn("j", F.when(F.col("dk") != F.col("fdk"), F.size("exts") - 1).otherwise(F.col("j"))).where("j is not null")
+    far = written(far.select(F.col("dk").alias("dk2"), "at", "left", "j", F.get("lines", F.col("j")).alias("line")))
+    discard(occ, same, reach)
+    e = part.join(far.where("left"), (F.col("dk") == F.col("dk2")) & (F.col("a") == F.col("at"))).select("id", "dk", "b", "ka", "kb", "keep", (F.col("a") - F.col("j")).alias("start"), F.col("line").alias("l0"))
+    e = e.join(far.where("not left"), (F.col("dk") == F.col("dk2")) & (F.col("b") == F.col("at"))).select("id", "dk", "ka", "kb", "keep", "start", "l0", (F.col("b") + key_words + F.col("j")).alias("stop"), F.col("line").alias("l1"))
+
+    def whole(batches):
         for b in batches:
             out = []
-            for k, pid, p in zip(zip(b["band"], b["i"], b["j"]), b["pid"], b["p"]):
-                if k != key:
-                    out += [(pids[a], pids[c]) for a, c in _linked(texts, least)]
-                    key, pids, texts = k, [], []
-                pids.append(pid)
-                texts.append(p)
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-        yield pd.DataFrame([(pids[a], pids[c]) for a, c in _linked(texts, least)], columns=["a", "b"], dtype="int64")
-
-    edges = x.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInPandas(verified, "a long, b long")
-    comp = components(edges).toDF("pid", "label")
-    place = place.distinct().join(comp, "pid", "left").withColumn("c", F.coalesce("label", "pid"))
-    keep = place.groupBy("c").agg(F.min(F.struct("id", "pos")).alias("keep"), F.count("*").alias("k")).where("k > 1").select("c", "keep")
-    dup = place.join(keep, "c", "left").withColumn("go", F.col("keep").isNotNull() & (F.struct("id", "pos") != F.col("keep")))
-    w = W.partitionBy("id").orderBy("pos")
-    run = dup.withColumn("r", F.sum(F.when(F.col("go"), 0).otherwise(1)).over(w)).where("go")
-    got = run.groupBy("id", "r").agg(F.min("pos").alias("first_par"), F.max("pos").alias("last_par"), F.sum("n").alias("n_words"), F.min_by("keep.id", "pos").alias("keep_id"), F.min_by("c", "pos").alias("cluster_id"))
-    return got.where(F.col("n_words") >= run_words).select(F.col("id").alias(id_col), "first_par", "last_par", "n_words", "keep_id", "cluster_id")
+            for i, dk, x in zip(b["id"], b["dk"], b["x"]):
+                x = sorted(x, key=lambda r: (r["start"], r["stop"], r["ka"]))
+                for s, t in passages([(r["start"], r["stop"]) for r in x], run_words, least):
+                    inside = [r for r in x if s <= r["start"] and r["stop"] <= t]
+                    out.append((i, dk, s, t - s, inside[0]["l0"], max(r["l1"] for r in inside), inside[0]["keep"], [k for r in inside for k in (r["ka"], r["kb"])]))
+            yield frame(out, "id", "dk", "first_word", "n_words", "first_par", "last_par", "keep_id", "keys")
+
+    got = e.groupBy(F.col("id").cast("string").alias("id"), "dk").agg(F.collect_set(F.struct("start", "stop", "l0", "l1", "ka", "kb", F.col("keep").cast("string").alias("keep"))).alias("x"))
+    got = back(got.mapInPandas(whole, "id string, dk long, first_word int, n_words int, first_par int, last_par int, keep_id string, keys array<long>"), "id", "keep_id")
+    got = written(got.withColumn("node", F.xxhash64("id", "dk", "first_word")))
+    label = components(got.select(F.col("node").alias("a"), F.explode("keys").alias("b"))).toDF("node", "cluster_id")
+    return got.join(label, "node").select(F.col("id").alias(id_col), "first_word", "n_words", "first_par", "last_par", "keep_id", "cluster_id")

@@ -314,6 +314,46 @@ def test_substrings(spark, prose):
     assert substrings.repeats(d.where("false")).count() == 0
 
 
+def test_substrings_inside_lines(spark):
+    """Passages of 51 words and more anywhere in unlike lines, against all runs of 50 words."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(1, 5))) for _ in range(400)]
+    some = lambda n: rng.choices(words, k=n)
+    planted = [some(rng.choice([51, 52, 60, 90])) for _ in range(12)]
+    texts = []
+    for k in range(60):
+        body = some(rng.randint(0, 150))
+        for p in rng.sample(planted, rng.choice([0, 0, 1, 2])):
+            body += some(14) + p[: rng.choice([30, 49, len(p), len(p)])] + some(rng.randint(14, 150))
+        texts.append(rng.choice([" ", ", ", "\n"]).join(body))
+    copied = next(t for t in texts if t.count("\n") > 60)
+    texts += [None, "", copied, "the " * 120, "The " * 70]
+    d = docs(spark, texts)
+    got = substrings.repeats(d.union(d.where("doc_id % 3 = 0"))).collect()
+    ws = [re.findall(r"\w+", (t or "").lower()) for t in texts[:-2]]
+    first, want = {}, defaultdict(set)
+    for k, w in enumerate(ws):
+        for q in range(len(w) - 49):
+            if first.setdefault(tuple(w[q : q + 50]), k) != k:
+                want[k] |= set(range(q, q + 50))
+    have = defaultdict(set)
+    for r in got:
+        have[r.doc_id] |= set(range(r.first_word, r.first_word + r.n_words))
+        assert r.keep_id < r.doc_id and r.n_words >= 50
+    assert want and dict(have) == dict(want)
+    par = next(r for r in got if r.doc_id == 62)
+    assert (par.first_par, par.last_par) == (0, copied.count("\n"))
+
+
+def test_substrings_ids(spark, prose):
+    """Null ids and ids that texts share are told apart by text; a passage that repeats in one document stays."""
+    p, q = prose(70, 1), prose(60, 2)
+    rows = [(None, f"{prose(9, 3)} {p}"), (None, f"{prose(8, 4)} {p} {prose(5, 5)}"), (7, f"{q} {prose(5, 6)}"), (7, f"{prose(5, 7)} {q}"), (8, f"{prose(66, 8)} and {prose(66, 8)}")]
+    d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, dk string")
+    got = substrings.repeats(d).collect()
+    assert sorted((str(r.doc_id), r.n_words, str(r.keep_id)) for r in got) == [("7", 60, "7"), ("None", 70, "None")] and len({r.cluster_id for r in got}) == 2
+
+
 def test_pipeline(spark, prose, tmp_path):
     import corpus_pipeline
 
