@@ -1,4 +1,5 @@
 """SimHash near-dedup by a segment-popcount embedding."""
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -7,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, hot_join, written
 
 TILE, RADIUS, GROUPS, SAME = 256, 3, 6, 3
 #: 64 bits in six groups of whole 2-bit segments.
@@ -49,8 +50,8 @@ def _embedded(fp):
     return a.bitwiseXOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1))
 
 
-def _forest(fp: np.ndarray, half: np.ndarray, radius: int):
-    """Edges that connect what is linked between the halves of a tile pair (or within one tile)."""
+def _forest(fp: np.ndarray, radius: int) -> list[tuple]:
+    """Edges that connect what is linked among the fingerprints of one group."""
     out, seen = [], np.zeros(len(fp), bool)
     seg = np.uint64(0x5555555555555555)
     emb = (fp & seg) + ((fp >> np.uint64(1)) & seg)
@@ -71,28 +72,54 @@ def _forest(fp: np.ndarray, half: np.ndarray, radius: int):
     return out
 
 
+def _masks() -> tuple[list[int], list[list[int]]]:
+    """Bits of each grid's three groups, and, for each grid, of the choices of three of the six halves of its other groups."""
+    groups, at = [], 0
+    for n in WIDTHS:
+        groups.append((at, n))
+        at += n
+    bits = lambda a, n: ((1 << n) - 1) << a
+    grids, finer = [], []
+    for c in combinations(range(GROUPS), SAME):
+        grids.append(sum(bits(*groups[i]) for i in c))
+        halves = [bits(*h) for i in range(GROUPS) if i not in c for h in ((groups[i][0], groups[i][1] // 2), (groups[i][0] + groups[i][1] // 2, groups[i][1] - groups[i][1] // 2))]
+        finer.append([sum(x) for x in combinations(halves, SAME)])
+    return grids, finer
+
+
 def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(a, b) that connect all distinct fingerprints of column fp within `radius` bits.
 
     Fingerprints within 3 bits are within Manhattan distance 3 in the space of segment counts, so of
     six groups of segments three at least have equal counts: each choice of three is a grid and the
-    counts in them a cell. Cells with two members or more are cut into tiles; each pair of tiles is a
-    group of 2 * TILE fingerprints at most, verified by the lower bound, then by the exact distance,
-    and gives a spanning forest of its links rather than all pairs.
+    counts in them a cell. A cell of over `tile` members is split by the bits of its three groups (of
+    a linked pair, some choice has equal bits, thus equal counts, so this loses none and copies
+    nothing); one that is still larger by the bits of three of the six halves of its other groups,
+    which leaves 16 bits and so at most 65,536 members at any number of fingerprints. Those are dealt
+    as pairs of tiles. A group is verified by the lower bound, then by the exact distance, and gives a
+    spanning forest of its links rather than all pairs.
     """
     if not 0 <= radius <= GROUPS - SAME:
         raise ValueError("the grids hold for a radius of 0 to 3")
-    masks, at = [], 0
-    for n in WIDTHS:
-        masks.append(((1 << n) - 1) << at)
-        at += n
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    grids = F.array(*[F.struct(F.lit(k).alias("g"), F.lit(signed(sum(masks[i] for i in c))).alias("m")) for k, c in enumerate(combinations(range(GROUPS), SAME))])
-    cells = fps.select("fp", _embedded(F.col("fp")).alias("e")).select("fp", "e", F.explode(grids).alias("x")).select("fp", F.xxhash64(F.col("x.g"), F.col("e").bitwiseAND(F.col("x.m"))).alias("c"))
-    cells = written(cells)
-    full = cells.groupBy("c").count().where("count > 1").select("c", F.ceil(F.col("count") / tile).cast("int").alias("nt"))
-    x = cells.join(full, "c").withColumn("t", F.pmod(F.xxhash64("fp"), F.col("nt")).cast("int"))
-    x = x.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("nt") - 1))).select("c", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "t", "fp")
+    grids, finer = _masks()
+    mask = F.array(*[F.lit(signed(m)) for m in grids])
+    cell = fps.select("fp", _embedded(F.col("fp")).alias("e"), F.posexplode(mask).alias("g", "m")).select("fp", F.col("g").cast("byte").alias("g"), F.xxhash64("g", F.col("e").bitwiseAND(F.col("m"))).alias("c"))
+    groups, level = [], written(cell)
+    bits = lambda m: F.col("fp").bitwiseAND(m)
+    for split in (lambda x: x.withColumn("c", F.xxhash64("c", bits(F.get(mask, F.col("g").cast("int"))))), lambda x: x.withColumn("m", F.explode(F.get(F.array(*[F.array(*[F.lit(signed(m)) for m in ms]) for ms in finer]), F.col("g").cast("int")))).select("fp", "g", F.xxhash64("c", "m", bits(F.col("m"))).alias("c")), None):
+        full = level.groupBy("c").agg(F.count("*").alias("n")).where("n > 1")
+        small = level.join(full.where(F.col("n") <= tile).select("c"), "c").select("c", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
+        groups.append(small)
+        big = full.where(F.col("n") > tile)
+        if split is None:
+            x = level.join(big.select("c", F.ceil(F.col("n") / tile).cast("int").alias("nt")), "c").withColumn("t", F.pmod(F.xxhash64("fp"), F.col("nt")).cast("int"))
+            x = x.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("nt") - 1)))
+            groups.append(x.select("c", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "fp"))
+            break
+        if big.isEmpty():
+            break
+        level = written(split(level.join(big.select("c"), "c")))
 
     def run(batches):
         rest = None
@@ -101,14 +128,15 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
             key = b[["c", "i", "j"]].to_numpy()
             cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
             rest, edges = b.iloc[cut[-1] if len(cut) else 0 :], []
-            fp, half = b["fp"].to_numpy().view(np.uint64), b["t"].to_numpy()
+            fp = b["fp"].to_numpy().view(np.uint64)
             for s, e in zip([0, *cut[:-1]], cut):
-                edges += _forest(fp[s:e], half[s:e], radius)
+                edges += _forest(fp[s:e], radius)
             yield pd.DataFrame(np.array(edges, np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
         if rest is not None and len(rest):
-            edges = _forest(rest["fp"].to_numpy().view(np.uint64), rest["t"].to_numpy(), radius)
+            edges = _forest(rest["fp"].to_numpy().view(np.uint64), radius)
             yield pd.DataFrame(np.array(edges, np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
 
+    x = reduce(DataFrame.union, groups)
     return x.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j").mapInPandas(run, "a long, b long").distinct()
 
 
@@ -119,9 +147,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     passed over for component_id unless a component has no other; an empty table gives no rows.
     """
     f = written(fingerprints(docs, id_col, text_col))
-    least = written(f.groupBy("fp").agg(F.min("id").alias("low")))
+    least = written(f.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")))
     comp = components(links(least.select("fp"), radius)).toDF("fp", "label")
     x = least.join(comp, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     low = x.groupBy("label").agg(F.min("low").alias("component_id"))
-    ids = x.join(low, "label").select("fp", "component_id")
-    return f.join(ids, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = written(x.join(low, "label").select("fp", "component_id", "n"))
+    return hot_join(f, ids, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
