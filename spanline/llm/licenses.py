@@ -18,6 +18,21 @@ TEMPLATES = [
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ["cc by nc 4"], False),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use in source and binary forms"], False),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ["mozilla public license"], False),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["this source code form is subject to the terms of", "mozilla public license v 2 0"], False),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["above copyright notice and this permission notice shall be included", "substantial portions of the software"], False),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ["apache license version 2 0", "except in compliance with the license"], False),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify", "with or without fee is hereby granted"], False),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["neither the name of", "may be used to endorse or promote products", "without specific prior written permission"], False),
+    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ["gnu lesser general public license", "free software foundation"], False),
+    ("agpl-3.0", "under the terms of the gnu affero general public license as published by the free software foundation", ["gnu affero general public license", "free software foundation"], False),
+    ("gpl", "it under the terms of the gnu general public license as published by the free software foundation", ["terms of the gnu general public license", "free software foundation"], False),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software", "public domain"], False),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["to the extent possible under law", "waived all copyright and related or neighboring rights"], False),
+    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0 international license"], False),
+    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike 4 0 international license"], False),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["without any express or implied warranty", "in no event will the authors be held liable"], False),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", ["boost software license version 1 0"], False),
+    ("epl-2.0", "made available under the terms of the eclipse public license 2 0", ["terms of the eclipse public license"], False),
 ]
 
 
@@ -75,11 +90,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             ok = ok | F.coalesce(here, F.lit(False))
         return ok
 
+    # Sorted by template and place, a place's postings are neighbours, no more than its template has: each
+    # posting takes up the shares of so many after it, and the first of its place stands for it.
     d = d.withColumn("at", F.array_sort(F.filter("at", verified)))
-    # Sorted by template and place: equal neighbours are one place, its shares add up.
     place = lambda x: F.struct(x["t"].alias("t"), x["a"].alias("a"))
-    places = F.transform(F.array_distinct(F.transform("at", place)), lambda u: F.struct(u["t"].alias("t"), u["a"].alias("a"), F.aggregate(F.filter("at", lambda x: place(x) == u), F.lit(0.0), lambda acc, x: acc + x["share"]).alias("s")))
-    d = d.withColumn("places", F.filter(places, lambda u: u["s"] >= LEAST_SHARE)).drop("w", "hits", "at")
+    most = max(sum(p["t"] == t for p in posts) for t in range(len(templates)))
+    sums = F.col("at")
+    for j in range(1, most):
+        more = lambda x, y: F.when(place(y) == place(x), y["share"]).otherwise(0.0)
+        sums = F.zip_with(sums, F.slice("at", j + 1, F.size("at")), lambda x, y: F.struct(x["t"].alias("t"), x["a"].alias("a"), (x["share"] + F.coalesce(more(x, y), F.lit(0.0))).alias("share")))
+    before = F.concat(F.array(F.lit(None).cast("struct<t:int,a:int,share:double>")), F.slice("at", 1, F.greatest(F.size("at") - 1, F.lit(0))))
+    first = F.zip_with(sums, before, lambda x, y: F.struct(x["t"].alias("t"), x["a"].alias("a"), F.when(y["t"].isNull() | (place(y) != place(x)), x["share"]).alias("s")))
+    d = d.withColumn("places", F.filter(first, lambda u: u["s"] >= LEAST_SHARE)).drop("w", "hits", "at")
     base = [t for t, x in enumerate(templates) if x[3]]
     d = d.withColumn("base", F.filter("places", lambda u: u["t"].isin(base)))
     name = F.array(*[F.lit(t[0]) for t in templates])
