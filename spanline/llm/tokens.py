@@ -20,7 +20,7 @@ class Counter:
     scores the path whose last piece starts first, as unigram tokenizers that scan starts in order
     and replace on a strictly better score only. A character that no piece of one character covers
     costs the lowest score less PENALTY and counts as its UTF-8 bytes if `byte_fallback`, else
-    neighbours of that kind count as one.
+    neighbours of that kind count as one. Memory of the search is bounded by the longest piece.
     """
 
     def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool = True):
@@ -31,28 +31,36 @@ class Counter:
                 if len(p) == 1:
                     self.single.add(p)
         self.auto.make_automaton()
+        self.longest = max((len(p) for p, _ in pieces), default=1)
         self.whole = SPACE not in self.single or any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _ in pieces)
         self.low, self.bytes, self.cache = min((s for _, s in pieces), default=0.0) - PENALTY, byte_fallback, {}
 
     def word(self, w: str) -> int:
-        n = len(w)
-        score, count, unk = [0.0] + [None] * n, [0] * (n + 1), [False] * (n + 1)
-        ends: list[list] = [[] for _ in range(n + 1)]
-        for e, m in self.auto.iter(w):
-            ends[e + 1].append(m)
-        for e in range(1, n + 1):
+        longest, low, single = self.longest, self.low, self.single
+        found = self.auto.iter(w)
+        match, base, cut = next(found, None), 0, 8 * self.longest + 4096
+        # Entry k is the place base + k; a piece reaches back `longest` places, so older ones go.
+        score, count, unk = [0.0], [0], [False]
+        for e, char in enumerate(w, 1):
             best, c, u = None, 0, False
-            for k, s in ends[e]:  # longest first
-                x = score[e - k] + s
+            while match is not None and match[0] < e:  # longest first
+                k, s = match[1]
+                x = score[e - k - base] + s
                 if best is None or x > best:
-                    best, c, u = x, count[e - k] + 1, False
-            if w[e - 1] not in self.single:
-                x = score[e - 1] + self.low
+                    best, c, u = x, count[e - k - base] + 1, False
+                match = next(found, None)
+            if char not in single:
+                x = score[-1] + low
                 if best is None or x > best:
+                    c = count[-1] + (len(char.encode("utf-8", "replace")) if self.bytes else not unk[-1])
                     best, u = x, True
-                    c = count[e - 1] + (len(w[e - 1].encode("utf-8", "replace")) if self.bytes else not unk[e - 1])
-            score[e], count[e], unk[e] = best, c, u
-        return count[n]
+            score.append(best)
+            count.append(c)
+            unk.append(u)
+            if len(score) > cut:
+                base += len(score) - longest - 1
+                del score[: -longest - 1], count[: -longest - 1], unk[: -longest - 1]
+        return count[-1]
 
     def text(self, text: str | None) -> int:
         if not text:
