@@ -1,13 +1,9 @@
 """Quality classifier: Bradley-Terry ranking of documents from preference pairs."""
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_RUN = re.compile(r"(\S+)(?:\s+\1)+(?=\s|$)")
-_END = re.compile(r"[.!?]")
 FEATURES = 14
 
 
@@ -54,7 +50,10 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 400, pairs: int = 60_000, rid
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 20_000) -> tuple[np.ndarray, float]:
-    """Fit on at most max_rows labelled rows, those with the smallest hash of their id."""
+    """Fit on at most max_rows labelled ids, those with the smallest hash of their id.
+
+    Of labels of one id the largest counts, of texts of one id the smallest, so that what comes to the driver is bounded by max_rows.
+    """
     lab = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null")
     lab = lab.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
 
@@ -62,13 +61,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             yield pd.DataFrame({"y": b["y"], "x": [features(t).tolist() for t in b["t"]]})
 
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(lab), "id")
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(lab), "id").groupBy("id", "y").agg(F.min("t").alias("t"))
     rows = sorted(d.mapInPandas(run, "y int, x array<double>").collect(), key=lambda r: (r.y, r.x))
     return fit(np.array([r.x for r in rows]).reshape(-1, FEATURES), np.array([r.y for r in rows]))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:
-    """docs and a column score, 0 to 1: the logistic of the document's strength above the threshold."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", out: str = "score") -> DataFrame:
+    """docs and a column `out`, 0 to 1: the logistic of the document's strength above the threshold."""
     w, cut = model
 
     @F.pandas_udf("double")
@@ -76,7 +75,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
         s = np.array([features(x) @ w - cut for x in t], float)
         return pd.Series(1 / (1 + np.exp(-np.clip(s, -30, 30))))
 
-    return docs.withColumn("score", of(F.col(text_col)))
+    return docs.withColumn(out, of(F.col(text_col)))
 
 
 def held_out(id_col: str, parts: int, part: int):
@@ -91,5 +90,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     known = labels.where(~held_out(id_col, parts, part))
     model = train(docs.select(id_col, text_col), known, id_col, text_col)
-    d = score(docs.select(F.col(id_col), F.col(text_col)), model, text_col)
+    d = score(docs.select(F.col(id_col), F.col(text_col)), model, text_col, "score")
     return d.select(id_col, held_out(id_col, parts, part).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
