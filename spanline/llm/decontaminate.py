@@ -59,7 +59,7 @@ def stretch(item: np.ndarray, passage: np.ndarray, need: int, least: float) -> f
     return best if best >= least - 1e-9 else 0.0
 
 
-def _scanner(docs: DataFrame, grams: dict, sizes: dict, schema: str, emit):
+def _scanner(docs: DataFrame, grams: dict, schema: str, emit):
     """Rows emit(id, text words, positions, grams' values) of the documents that hold some of the grams."""
     vocab: dict[str, int] = {}
     for g in grams:
@@ -70,8 +70,9 @@ def _scanner(docs: DataFrame, grams: dict, sizes: dict, schema: str, emit):
     for g, x in grams.items():
         k = 0
         for w in g:
-            k = k * v + vocab[w]
-        codes.setdefault(len(g), {})[k] = x
+            k = k * v + vocab[w] & 0xFFFFFFFFFFFFFFFF
+        # In 64 bits, as below: a gram of many words may share its code, and alignment tells.
+        codes.setdefault(len(g), {})[k - (1 << 64) if k >> 63 else k] = x
     b = docs.sparkSession.sparkContext.broadcast((vocab, v, codes))
 
     def run(batches):
@@ -102,6 +103,8 @@ def _scanner(docs: DataFrame, grams: dict, sizes: dict, schema: str, emit):
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, least: float = LEAST) -> DataFrame:
     """(id, item_id, score, start_word) of every document that holds an item, an edited copy of it or a stretch of it.
 
+    start_word is the first word of the best alignment, words from 0; rows that share an id are one document.
+
     An item's seeds are its n-grams in at most RARE of all documents and the rarer half of its n-grams that
     documents have in any case; document frequencies are counted over all documents. Passages around seeds are aligned
     with the item; a score of `least` is a copy of which about a fifth of the words were replaced. A
@@ -113,8 +116,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null")
     kind = dict(d.dtypes)["id"]
     it = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("t")).where("t is not null and item is not null").distinct()
-    # A block of items has BLOCK_GRAMS words at most, or one item.
-    sizes = it.withColumn("n", F.size(F.split("t", " ")).cast("long"))
+    # A block of items has BLOCK_GRAMS words at most, or one item; words as words() finds them.
+    sizes = it.withColumn("n", F.regexp_count("t", F.lit(r"(?U)\w+")).cast("long"))
     blocks = max(1, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // (BLOCK_GRAMS // 2)))
     total, parts = d.count(), []
     for k in range(blocks):
@@ -127,7 +130,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                 own.append((q, p, grams.setdefault(tuple(ws[p : p + m]), len(grams))))
         if not own:
             continue
-        count = _scanner(d, grams, {}, "g long", lambda i, ws, pos, g: [(x,) for x in set(g)]).groupBy("g").agg(F.count("*").alias("df"))
+        count = _scanner(d, grams, "g long", lambda i, ws, pos, g: [(x,) for x in set(g)]).groupBy("g").agg(F.count("*").alias("df"))
         table = d.sparkSession.createDataFrame(own, "q long, p int, g long").join(count, "g")
         by = W.partitionBy("q").orderBy("df")
         seeds = table.withColumn("r", F.percent_rank().over(by)).where((F.col("df") <= RARE * total) | (F.col("r") <= 0.5))
@@ -156,7 +159,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                     lo = hi = s
             return out
 
-        found = _scanner(d, wanted, {}, f"id {kind}, q int, at int, passage string", windows).repartition(F.xxhash64("id", "q", "at"))
+        found = _scanner(d, wanted, f"id {kind}, q int, at int, passage string", windows).repartition(F.xxhash64("id", "q", "at"))
         b = d.sparkSession.sparkContext.broadcast(item_words)
 
         def scored(batches, b=b):
@@ -170,11 +173,13 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                 need = covered(len(item))
                 if score < least and need <= len(item) and score * len(item) >= least * need:
                     score = max(score, stretch(item, other, need, least))
-                return score, end
+                if score < least:
+                    return score, 0
+                return score, end - align(item[::-1], other[:end][::-1])[1]
 
             for x in batches:
                 got = [one(q, p) for q, p in zip(x["q"], x["passage"])]
-                yield pd.DataFrame({"id": x["id"], "item_id": [b.value[q][0] for q in x["q"]], "score": [g[0] for g in got], "start_word": x["at"]})
+                yield pd.DataFrame({"id": x["id"], "item_id": [b.value[q][0] for q in x["q"]], "score": [g[0] for g in got], "start_word": [a + g[1] for a, g in zip(x["at"], got)]})
 
         parts.append(found.mapInPandas(scored, f"id {kind}, item_id {dict(it.dtypes)['item']}, score double, start_word int").where(F.col("score") >= least))
     if not parts:
