@@ -11,10 +11,13 @@ from spanline.llm.common import written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    A null text is scored as empty; repeated rows each go or stay; ids only choose what is learned from, so null ids are scored like others.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~quality.held_out("doc_id", 3, 1))
     model = quality.train(docs.select("doc_id", "text"), labels)
-    return quality.score(docs, model).where("score >= 0.5").select(docs.columns)
+    return quality.score(docs, model, out="__score").where("__score >= 0.5").select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
