@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 _WORD = re.compile(r"\w+")
-N, LEAST, RARE, BLOCK_GRAMS, SLACK = 3, 0.7, 1e-3, 500_000, 1.5
+N, LEAST, RARE, FEW, WITHIN, BLOCK_GRAMS, SLACK = 3, 0.7, 1e-3, 100, 4, 500_000, 1.5
 STRETCH, FEWEST = 20, 10
 
 
@@ -105,8 +105,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
     start_word is the first word of the best alignment, words from 0; rows that share an id are one document.
 
-    An item's seeds are its n-grams in at most RARE of all documents and the rarer half of its n-grams that
-    documents have in any case; document frequencies are counted over all documents. Passages around seeds are aligned
+    An item's seeds are its n-grams in at most RARE of all documents (FEW at least), or in at most twice as
+    many as its rarest one, and of any WITHIN neighbours the rarest; document frequencies are counted over all documents. Passages around seeds are aligned
     with the item; a score of `least` is a copy of which about a fifth of the words were replaced. A
     stretch of covered() item words that scores `least` of its own best counts too, with that score.
     Items are taken in blocks of BLOCK_GRAMS n-grams, so what is broadcast has a bound at any number
@@ -132,8 +132,11 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
             continue
         count = _scanner(d, grams, "g long", lambda i, ws, pos, g: [(x,) for x in set(g)]).groupBy("g").agg(F.count("*").alias("df"))
         table = d.sparkSession.createDataFrame(own, "q long, p int, g long").join(count, "g")
-        by = W.partitionBy("q").orderBy("df")
-        seeds = table.withColumn("r", F.percent_rank().over(by)).where((F.col("df") <= RARE * total) | (F.col("r") <= 0.5))
+        # Copies raise the counts of what they hold: an item's own level is that of its rarest n-gram.
+        table = table.withColumn("bar", F.greatest(F.lit(max(FEW, RARE * total)), 2 * F.min("df").over(W.partitionBy("q"))))
+        near = W.partitionBy("q").orderBy("p").rowsBetween(0, WITHIN - 1)
+        table = table.withColumn("pick", F.min(F.struct("df", "p")).over(near)["p"])
+        seeds = table.where("df <= bar").select("g", "q", "p").union(table.join(table.select("q", F.col("pick").alias("p")).distinct(), ["q", "p"], "left_semi").select("g", "q", "p")).distinct()
         post: dict[int, list] = {}
         for r in seeds.select("g", "q", "p").collect():
             post.setdefault(r.g, []).append((r.q, r.p))
