@@ -117,6 +117,19 @@ def test_mixing(spark, prose):
     assert mixing.mix(docs(spark, ["x"]).where("false")).count() == 0
 
 
+def test_mixing_without_ids(spark, prose):
+    """Rows without an id and repeated ids take a source's budget too, each once in its order."""
+    rows = [(None if k % 3 else k, prose(k % 7, k), "a" if k % 2 else "b") for k in range(150)] + [(6, prose(3, 1), "a")] * 4
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(d).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in got)
+    for size in {r.source_size for r in got}:
+        mine = [r for r in got if r.source_size == size]
+        assert sum(r.size for r in mine) == size and sum(r.taken for r in mine) == int(mine[0].target)
+        whole = int(mine[0].target) // size
+        assert sum(whole * r.size < r.taken < (whole + 1) * r.size for r in mine) <= 1
+
+
 def test_quality(spark, prose):
     texts = [prose(50, k) if k % 2 else " ".join(["%%%"] * 5 + [prose(1, k)] * 30) for k in range(90)] + [None, ""]
     labels = spark.createDataFrame([(k, int(k % 2), 0) for k in range(90)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
@@ -170,6 +183,69 @@ def test_decontamination(spark, prose):
     assert decontaminate.leaks(d.where("false"), it).count() == 0 and decontaminate.leaks(d, it.where("false")).count() == 0
 
 
+def test_decontamination_against_whole_alignments(spark, prose):
+    """Seeds and windows lose nothing that aligning every document with every item finds."""
+    rng = random.Random(12)
+    items = [prose(rng.randint(12, 60), 2000 + k) for k in range(8)]
+    texts = []
+    for k in range(60):
+        words = prose(rng.randint(20, 120), 3000 + k).split()
+        if k % 2:
+            item = rng.choice(items).split()
+            item = item[: rng.choice([len(item), len(item), len(item) // 2 + 3])]
+            for _ in range(rng.choice([0, 0, 1, len(item) // 12, len(item) // 6])):
+                p = rng.randrange(len(item))
+                item[p : p + 1] = rng.choice([["other"], [], [item[p], "more"]])
+            at = rng.randrange(len(words))
+            words[at:at] = item
+        texts.append(" ".join(words))
+    want = set()
+    for i, t in enumerate(texts):
+        for q, it in enumerate(items):
+            ids: dict = {}
+            a, b = (np.array([ids.setdefault(w, len(ids)) for w in decontaminate.words(x)]) for x in (it, t))
+            score, need = decontaminate.align(a, b)[0], decontaminate.covered(len(a))
+            if score >= 0.7 or need <= len(a) and decontaminate.stretch(a, b, need, 0.7) >= 0.7:
+                want.add((i, q))
+    got = decontaminate.leaks(docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(want) > 15
+    for r in got:  # the place is where words of the item start
+        assert decontaminate.words(texts[r.doc_id])[r.start_word] in decontaminate.words(items[r.item_id])
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), n=5).collect()} <= want
+
+
+def test_license_labels_against_every_place(spark):
+    rng = random.Random(2)
+    vocabulary = sorted({w for t in licenses.TEMPLATES for w in t[1].split()}) + ["word", "other"]
+    texts = []
+    for k in range(80):
+        words = rng.choices(vocabulary, k=rng.randint(0, 30))
+        for _ in range(k % 3):
+            notice = rng.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                notice[rng.randrange(len(notice))] = "changed"
+            words += notice + rng.choices(vocabulary, k=3)
+        texts.append(" ".join(words))
+    ws = [t.split() for t in texts]
+    df = Counter(w for x in ws for w in set(x))
+    idf = lambda w: np.log((1 + len(texts)) / (1 + df[w])) + 1e-3
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, texts)).collect()}
+    for k, x in enumerate(ws):
+        labels, top = set(), 0.0
+        for label, notice, phrases, _ in licenses.TEMPLATES:
+            n = notice.split()
+            rare = sorted(set(n), key=lambda w: (-idf(w), w))[: licenses.RARE_WORDS]
+            whole = sum(idf(w) for w in n if w in rare)
+            for a in range(-len(n), len(x)):
+                at = lambda p, a=a, x=x: x[a + p] if 0 <= a + p < len(x) else None
+                ok = all(any(n[o : o + len(ph)] == ph and all(at(o + j) == w for j, w in enumerate(ph)) for o in range(len(n))) for ph in (y.split() for y in phrases))
+                share = sum(idf(w) for p, w in enumerate(n) if w in rare and at(p) == w) / whole
+                if ok and share >= licenses.LEAST_SHARE:
+                    labels.add(label)
+                    top = max(top, min(1.0, share))
+        assert got[k].labels == ",".join(sorted(labels)) and got[k].score == pytest.approx(top, abs=1e-5)
+
+
 def test_licenses(spark):
     texts = [None, "", "x All Rights  Reserved. cc-by and CC BY 4, general public license", "Released under the MIT License", "the mit", "all rights all rights reserved", "Licensed under CC BY-NC 4.0.", "word " * 3000 + "cc by"]
     got = {r.doc_id: r for r in licenses.scan(docs(spark, texts)).collect()}
@@ -250,6 +326,37 @@ def test_wrapper_alignment():
     assert html.folded(["p", "p", "q"]) == [["p", "+"], ["q", ""]]
 
 
+def test_alignment_is_a_longest_common_subsequence():
+    def slow(a, b):
+        if not a or not b:
+            return 0
+        return 1 + slow(a[1:], b[1:]) if a[0] == b[0] else max(slow(a[1:], b), slow(a, b[1:]))
+
+    rng = random.Random(6)
+    for _ in range(60):
+        a, b = ("".join(rng.choices("abcd", k=rng.randint(0, 8))) for _ in range(2))
+        best = html.suffixes(list(a), list(b))
+        assert all(best(i, j) == slow(a[i:], b[j:]) for i in range(len(a) + 1) for j in range(len(b) + 1))
+        slots = html.placed([[x, ""] for x in a], [[x, ""] for x in b])
+        met = [(k, x) for x, k in enumerate(slots) if k >= 0]
+        assert len(met) == slow(a, b) and met == sorted(met) and all(a[k] == b[x] for k, x in met)
+        both = [x for x, _ in html.align([[x, ""] for x in a], [[x, ""] for x in b])]
+        for x in (a, b):
+            rest = iter(both)
+            assert all(y in rest for y, _ in itertools.groupby(x))
+
+
+def test_html_shares_of_a_host(spark, monkeypatch):
+    """A host dealt in many shares, merged in several rounds, gives what one share does."""
+    rows = [(k, f"http://h/{k}", f'<body><div class="top">Menu here</div><div class="b"><h2>Head {k}</h2>' + "".join(f"<p>Par {k} {j}</p><blockquote>q{k}{j}</blockquote>" for j in range(k % 9)) + '</div><div class="end">Terms apply</div></body>') for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = sorted(map(tuple, html.extract(pages).collect()))
+    monkeypatch.setattr(html, "SHARE", 1)
+    monkeypatch.setattr(html, "FAN", 2)
+    assert sorted(map(tuple, html.extract(pages).collect())) == whole
+    assert all("Menu" not in r[2] and "Terms" not in r[2] and f"Head {r[0]}" in r[2] for r in whole)
+
+
 def test_html_hosts(spark):
     """Layouts side by side on a host."""
     rows = [("http://m/1", "<body><main><p>in main</p></main></body>"), ("http://m/2", "<body><div><p>plain page</p></div></body>"), (None, "<main><p>odd</p></main>"), ("bad", "<div><p>no main</p></div>")]
