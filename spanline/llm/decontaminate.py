@@ -131,7 +131,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         if not own:
             continue
         count = _scanner(d, grams, "g long", lambda i, ws, pos, g: [(x,) for x in set(g)]).groupBy("g").agg(F.count("*").alias("df"))
-        table = d.sparkSession.createDataFrame(own, "q long, p int, g long").join(count, "g")
+        table = written(d.sparkSession.createDataFrame(own, "q long, p int, g long").join(count, "g"))
         # Copies raise the counts of what they hold: an item's own level is that of its rarest n-gram.
         table = table.withColumn("bar", F.greatest(F.lit(max(FEW, RARE * total)), 2 * F.min("df").over(W.partitionBy("q"))))
         near = W.partitionBy("q").orderBy("p").rowsBetween(0, WITHIN - 1)
