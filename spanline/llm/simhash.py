@@ -108,7 +108,7 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     groups, level = [], written(cell)
     bits = lambda m: F.col("fp").bitwiseAND(m)
     for split in (lambda x: x.withColumn("c", F.xxhash64("c", bits(F.get(mask, F.col("g").cast("int"))))), lambda x: x.withColumn("m", F.explode(F.get(F.array(*[F.array(*[F.lit(signed(m)) for m in ms]) for ms in finer]), F.col("g").cast("int")))).select("fp", "g", F.xxhash64("c", "m", bits(F.col("m"))).alias("c")), None):
-        full = level.groupBy("c").agg(F.count("*").alias("n")).where("n > 1")
+        full = written(level.groupBy("c").agg(F.count("*").alias("n")).where("n > 1"))
         small = level.join(full.where(F.col("n") <= tile).select("c"), "c").select("c", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
         groups.append(small)
         big = full.where(F.col("n") > tile)
