@@ -72,6 +72,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = d.select("id", "rk", "sha", "salt")
     many = written(rows.groupBy("rk").agg(F.count("*").alias("n"), F.min("salt").alias("low")).join(ident, "rk"))
     one = written(hot_join(rows, many.withColumn("times", F.col("n")), "rk"))
+    discard(d)
     g = written(one.groupBy("level", "name").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).withColumn("group_size", F.col("n")))
     out = hot_join(one, g, "level", "name").withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")))
     # Of rows that repeat the id that stays, one stays: the first of the lowest salt.
