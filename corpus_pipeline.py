@@ -29,7 +29,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = written(groups.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("__twice")))
     keyed = docs.withColumn("__key", F.sha2(exact_dedup.normalised("text"), 256))
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha"))
-    out, twice = keyed.join(gone, on, "left_anti"), gone.where("__twice")
+    # The same plan at every size: what goes grows with the documents, so it is no side to broadcast.
+    out, twice = keyed.join(gone.hint("merge"), on, "left_anti"), gone.where("__twice")
     if not twice.isEmpty():
         out = out.union(keyed.join(twice, on, "left_semi").dropDuplicates(["doc_id", "__key"]))
     return out.drop("__key")
