@@ -1,5 +1,5 @@
 """The operators' queries over the given tables, and their SQL where SQL can express them."""
-from . import decontaminate, exact_dedup, html, language, licenses, mixing, quality, simhash, substrings, tokens
+from . import decontaminate, exact_dedup, fim, html, language, licenses, mixing, negatives, quality, simhash, substrings, tokens, topk
 
 
 def _read(spark, d, name):
@@ -17,8 +17,14 @@ QUERIES = {
     "op7_quality": lambda s, d: quality.classify(_read(s, d, "documents"), _read(s, d, "labels")),
     "op8_mixing": lambda s, d: mixing.mix(_read(s, d, "documents")),
     "op9_exact_dedup": lambda s, d: exact_dedup.exact_groups(_read(s, d, "documents")),
+    "op11_topk": lambda s, d: topk.search(_read(s, d, "embeddings")),
+    "op12_fim": lambda s, d: fim.digests(_read(s, d, "documents")),
+    "op13_negatives": lambda s, d: negatives.mine(_read(s, d, "embeddings")),
 }
 SQL = {
+    "op11_topk": topk.SQL,
+    "op12_fim": fim.SQL,
+    "op13_negatives": negatives.SQL,
     "op8_mixing": mixing.SQL,
     "op9_exact_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
