@@ -66,27 +66,8 @@ class Action:
         return self.rename or self.column_name
 
 
-def percentile_of(rows: Column, p: float) -> Column:
-    """Length-weighted percentile of array<struct<v, to, i, w>>: values stand at the middles of their lengths."""
-    s = F.array_sort(rows)
-    first, final, n = F.get(s, F.lit(0)), F.element_at(s, -1), F.size(s)
-    if p <= 0 or p >= 1:
-        return F.when(n > 0, (first if p <= 0 else final)["v"])
-    total = F.aggregate(s, F.lit(0.0), lambda a, r: a + r["w"]) - (first["w"] + final["w"]) / 2
-    # The total rides along: inside the lambda it would be summed anew for each row.
-    start = F.struct(total.alias("total"), F.lit(0.0).alias("x"), F.lit(None).cast("double").alias("w"), F.lit(None).cast("double").alias("v"), F.lit(None).cast("double").alias("out"))
-
-    def step(a: Column, r: Column) -> Column:
-        x = F.when(a["w"].isNull(), 0.0).otherwise(a["x"] + (a["w"] + r["w"]) / 2)
-        here = F.when(a["w"].isNull(), r["v"]).otherwise(a["v"] + (r["v"] - a["v"]) * (p - a["x"] / a["total"]) / (x / a["total"] - a["x"] / a["total"]))
-        return F.struct(a["total"].alias("total"), x.alias("x"), r["w"].alias("w"), r["v"].alias("v"), F.when(a["out"].isNull() & (x / a["total"] >= p), here).otherwise(a["out"]).alias("out"))
-
-    # Rounding may leave the last position just below p.
-    return F.when(n == 1, first["v"]).when(n > 1, F.coalesce(F.aggregate(s, start, step, lambda a: a["out"]), final["v"]))
-
-
 def compiled(a: Action, k: int, numeric: bool) -> Column:
-    """The aggregate of action k over one target's overlapping rows.
+    """The aggregate of action k over one target's overlapping rows; percentiles are no aggregate (see percentile.py).
 
     Columns: v{k} value, __w overlap, __to data end, __i data index, __len data length, __t target length.
     """
@@ -99,8 +80,6 @@ def compiled(a: Action, k: int, numeric: bool) -> Column:
         return F.avg(v)
     if kind is Kind.LengthWeightedAverage:
         return F.sum(v * w) / F.sum(of(w))
-    if kind is Kind.LengthWeightedPercentile:
-        return F.collect_list(of(F.struct(v.alias("v"), to.alias("to"), i.alias("i"), w.alias("w"))))
     if kind is Kind.First:
         return F.min_by(v, of(i))
     if kind is Kind.SumProportionOfData:

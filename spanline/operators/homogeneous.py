@@ -1,89 +1,123 @@
-"""Homogeneous segmentation: cumulative Q and P, bisection, SHS and MCV."""
+"""Homogeneous segmentation: cumulative Q and P, bisection, SHS and MCV.
+
+All of them take moments of values less their mean, of a group or a segment, so that sums over many
+rows lose nothing to large values; a mean square below FLAT of the squared mean is no variation,
+and places within TIE of the best statistic are equal, so that rounding decides neither.
+"""
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import written
-from .bisection import SEGMENT, bisected, numbered
+from .bisection import FLAT, SEGMENT, TIE, UNITS, bisected, far_enough, is_best, numbered, statistic, whole_length, whole_lengths
+from . import ranges
+from .ranges import both, running
+
+
+def _moments(df: DataFrame, groups: list[str], order: str, values: list[str], length: str | None = None) -> DataFrame:
+    """df with rows (n), sums (s) and squares (q) of values less their group's mean before each row (b), up to it (l) and of the group (a), group means (m), and lengths so (x).
+
+    Groups' means and squares are mergeable moments; sums run in two levels of ranges, so a group of any
+    size is many tasks.
+    """
+    key, k = _key(groups), range(len(values))
+    d = df.select("*", *[F.col(c).alias(n) for c, n in zip(groups, key)], *([] if groups else [F.lit(0).alias(key[0])]), *[F.col(v).cast("double").alias(f"__v{i}") for i, v in enumerate(values)], *([whole_lengths(F.col(length)).alias("__vx")] if length else []))
+    group = d.groupBy(*key).agg(F.count("*").cast("double").alias("__an"), *[F.avg(f"__v{i}").alias(f"__m{i}") for i in k], *[(F.var_pop(f"__v{i}") * F.count(f"__v{i}")).alias(f"__aq{i}") for i in k], *([F.sum("__vx").alias("__ax")] if length else []))
+    group = written(group.toDF(*[f"__g{n}" for n in key], *group.columns[len(key) :]))
+    most = int(group.agg(F.max("__an")).first()[0] or 0)
+    d = d.join(group, both([F.col(n).eqNullSafe(F.col(f"__g{n}")) for n in key])).drop(*[f"__g{n}" for n in key])
+    if most > ranges.RANGE_ROWS:
+        d = written(d)
+    c = lambda i: F.col(f"__v{i}") - F.col(f"__m{i}")
+    own = {"n": F.lit(1.0)} | {f"s{i}": c(i) for i in k} | {f"q{i}": c(i) * c(i) for i in k} | ({"x": F.col("__vx")} if length else {})
+    r = running(d, [*key, order], {f"__b{n}": v for n, v in own.items()}, within=tuple(key), most=most)
+    return r.withColumns({f"__l{n}": F.col(f"__b{n}") + F.coalesce(v, F.lit(0)) for n, v in own.items()})
 
 
-def _sums(df: DataFrame, groups, order, value):
-    """Count, sum and sum of squares left of a cut after each row (l), right of it (r: the group's less the left's) and in all (a); nr null at the last row."""
-    w = W.partitionBy(*groups)
-    left = w.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    v = F.col(value).cast("double")
-    c = {"n": F.lit(1.0), "s": v, "q": v * v}
-    d = df.withColumns({f"__{k}{side}": F.sum(x).over(o) for k, x in c.items() for side, o in (("l", left), ("a", w))})
-    d = d.withColumns({f"__{k}r": F.col(f"__{k}a") - F.col(f"__{k}l") for k in "sq"})
-    return d.withColumn("__nr", F.when(F.col("__na") > F.col("__nl"), F.col("__na") - F.col("__nl")))
+def _key(groups: list[str]) -> list[str]:
+    """Names of the groups' copies; all rows are one group without any."""
+    return [f"__k{i}" for i in range(max(1, len(groups)))]
+
+
+def _split(kind: str, i: int, side: str = "l") -> Column:
+    """The statistic of variable i for a cut after each row (before it, with side b); null at a group's ends."""
+    n, s, q, m = F.col(f"__{side}n"), F.col(f"__{side}s{i}"), F.col(f"__{side}q{i}"), F.col(f"__m{i}")
+    rest = F.col("__an") - n
+    return F.when(rest > 0, statistic(kind, n, s, q, rest, -s, F.col(f"__aq{i}") - q, m))
 
 
 def cumulative_q(df: DataFrame, groups: list[str], order: str, value: str, out: str = "q", whole: bool = False) -> DataFrame:
-    """Share of the sum of squares that a split after each row explains; a group's last row has none and goes, unless `whole`."""
-    d = _sums(df, groups, order, value)
-    ss = lambda k: F.col(f"__q{k}") - F.col(f"__s{k}") * F.col(f"__s{k}") / F.col(f"__n{k}")
-    d = d.withColumn(out, F.when(ss("a") != 0, 1 - (ss("l") + ss("r")) / ss("a")))
-    return (d if whole else d.where("__nr is not null")).select(*df.columns, out)
+    """Share of the sum of squares that a split after each row explains; a group's last row has none and goes, unless `whole`.
+
+    Null where the group has no variation.
+    """
+    d = _moments(df, groups, order, [value]).withColumn(out, _split("q", 0))
+    return (d if whole else d.where("__an > __ln")).select(*df.columns, out)
 
 
 def cumulative_p(df: DataFrame, groups: list[str], order: str, value: str, out: str = "p", whole: bool = False) -> DataFrame:
-    """Mean of the coefficients of variation left and right of a split after each row; null where a side has one row.
+    """Mean of the coefficients of variation left and right of a split after each row; null where a side has one row or the mean 0.
 
     A group's last row has none and goes, unless `whole`.
     """
-    d = _sums(df, groups, order, value)
-    n, s, q = (lambda k, c=c: F.col(f"__{c}{k}") for c in "nsq")
-    cv = lambda k: F.when((n(k) > 1) & (s(k) != 0), F.sqrt(F.greatest(F.lit(0.0), (n(k) * q(k) / (s(k) * s(k)) - 1) * n(k) / (n(k) - 1))))
-    d = d.withColumn(out, (cv("l") + cv("r")) / 2)
-    return (d if whole else d.where("__nr is not null")).select(*df.columns, out)
+    d = _moments(df, groups, order, [value]).withColumn(out, _split("p", 0))
+    return (d if whole else d.where("__an > __ln")).select(*df.columns, out)
 
 
 def best_bisection(df: DataFrame, groups: list[str], order: str, value: str | list[str], length: str, minimum: float, out: str = "best_q", kind: str = "q") -> DataFrame:
     """Rows after which a split has the best mean statistic of the variables (most of Q, least of P).
 
-    Only rows further than minimum from both ends count, the outermost two of them left out; all equals are given.
+    A split counts where more than minimum lies left of it, and more than minimum right of it without
+    the row next to it (with it, if that is the last one); all equals (within TIE) are given.
     """
     values = [value] if isinstance(value, str) else list(value)
-    w = W.partitionBy(*groups).orderBy(order)
-    d = df.withColumn("__cl", F.sum(length).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("__cr", F.sum(length).over(W.partitionBy(*groups)) - F.col("__cl"))
-    for k, v in enumerate(values):
-        d = (cumulative_q if kind == "q" else cumulative_p)(d, groups, order, v, f"__x{k}", whole=True)
-    d = d.withColumn(out, reduce(lambda a, b: a + b, [F.col(f"__x{k}") for k in range(len(values))]) / len(values))
-    d = d.withColumn("__ok", F.coalesce((F.col("__cl") > minimum) & (F.col("__cr") > minimum), F.lit(False)))
-    d = d.withColumn("__in", F.col("__ok") & F.coalesce(F.lag("__ok").over(w), F.lit(False)) & F.coalesce(F.lead("__ok").over(w), F.lit(False))).where("__in")
-    d = d.withColumn("__m", (F.max if kind == "q" else F.min)(out).over(W.partitionBy(*groups))).where(F.col(out) == F.col("__m"))
-    return d.select(*df.columns, out)
+    d = written(_moments(df, groups, order, values, length))
+    key = _key(groups)
+    same = both([F.col(k).eqNullSafe(F.col(f"__g{k}")) for k in key])
+    # A cut stands before a row, where it is known what follows; the row before it is found by its place.
+    x = d.where((F.col("__bn") > 0) & far_enough(F.col("__bx"), F.col("__lx"), F.col("__ax"), F.col("__an") == F.col("__ln"), F.lit(whole_length(minimum))))
+    x = x.select(*[F.col(k).alias(f"__g{k}") for k in key], F.col("__bn").alias("__at"), (reduce(lambda a, b: a + b, [_split(kind, k, "b") for k in range(len(values))]) / len(values)).alias("__x")).where("__x is not null")
+    best = x.groupBy(*[f"__g{k}" for k in key]).agg((F.max if kind == "q" else F.min)("__x").alias("__best"))
+    x = x.join(best.toDF(*[f"__h{k}" for k in key], "__best"), both([F.col(f"__g{k}").eqNullSafe(F.col(f"__h{k}")) for k in key])).where(is_best(kind, F.col("__x"), F.col("__best")))
+    return d.join(x, same & (F.col("__ln") == F.col("__at"))).select(*df.columns, F.col("__x").alias(out))
 
 
 def _statistic(x: np.ndarray, kind: str) -> np.ndarray:
+    """The statistic of a cut after each row but the last, as bisection.statistic has it."""
     n = np.arange(1, len(x))
-    s, q = np.cumsum(x), np.cumsum(x * x)
+    mean = x.mean()
+    c = x - mean
+    s, q = np.cumsum(c), np.cumsum(c * c)
     sl, ql, sr, qr, m = s[:-1], q[:-1], s[-1] - s[:-1], q[-1] - q[:-1], len(x) - n
+    square = lambda k, a, b: np.maximum(0, b - a * a / k)
+    if kind == "q":
+        whole = square(len(x), s[-1], q[-1])
+        if whole <= FLAT * len(x) * mean * mean:
+            return np.full(len(n), np.nan)
+        return 1 - (square(n, sl, ql) + square(m, sr, qr)) / whole
     with np.errstate(all="ignore"):
-        if kind == "q":
-            return 1 - ((ql - sl**2 / n) + (qr - sr**2 / m)) / (q[-1] - s[-1] ** 2 / len(x))
-        cv = lambda k, a, b: np.sqrt((k * b / a**2 - 1) * k / (k - 1))
+        cv = lambda k, a, b: np.where((k > 1) & (a + k * mean != 0), np.sqrt(square(k, a, b) / (k - 1)) * k / np.abs(a + k * mean), np.nan)
         return (cv(n, sl, ql) + cv(m, sr, qr)) / 2
 
 
 def bisections(values: np.ndarray, length: np.ndarray, minimum: float, kind: str) -> list[int]:
-    """Split positions of the best mean statistic; none if no position is far enough from both ends."""
+    """Split positions of the best mean statistic, all equals; none if no position is far enough from both ends (as bisection.far_enough has it)."""
     if len(length) < 2:
         return []
-    left = np.cumsum(length)[:-1]
-    ok = (left > minimum) & (length.sum() - left > minimum)
-    at = np.flatnonzero(ok)[1:-1]
+    left = np.cumsum(length)
+    right = np.append(left[-1] - left[1:-1], length[-1])
+    at = np.flatnonzero((left[:-1] > minimum) & (right > minimum))
     if not len(at):
         return []
     m = np.mean([_statistic(v, kind) for v in values.T], axis=0)[at]
     m = np.where(np.isfinite(m), m, np.nan)
     if np.isnan(m).all():
         return []
-    return (at[m == (np.nanmax(m) if kind == "q" else np.nanmin(m))] + 1).tolist()
+    best = np.nanmax(m) if kind == "q" else np.nanmin(m)
+    return (at[m >= best - TIE if kind == "q" else m <= best + TIE * max(1.0, abs(best))] + 1).tolist()
 
 
 def _ids(values, length, low, high, kind) -> np.ndarray:
@@ -105,36 +139,40 @@ def segment_ids(df: DataFrame, measure, variables: list[str], allowed=None, kind
     """One-based ids per group: SHS (kind q) or MCV (kind p) by repeated bisection of segments over the longest allowed.
 
     Rows that miss a variable are dropped; a segment without a legal split stays; without a longest
-    length a group is one segment. Groups of up to task_rows rows are bisected in one task each; where
-    there are larger ones, rounds of Spark jobs cut these first (see bisection.bisected).
+    length a group is one segment. Lengths count to ten places. Rows go by start, end, then a hash of the row. Every place whose
+    statistic equals the best one is a cut: under P all places of a stretch without variation are equal,
+    under Q none of them is a cut. Groups of up to task_rows rows are bisected in one task each; where
+    there are larger ones, rounds of Spark jobs cut these first (see bisection.bisected), with the same
+    moments and the same notion of equal, so task_rows does not change ids.
     """
     f, t = measure
     groups = list(groups)
-    low, high = allowed or (None, None)
+    low, high = (None if x is None else whole_length(x) for x in allowed or (None, None))
     d = df.dropna(subset=[*variables])
     if high is None:
         return d.withColumn(out, F.lit(1).cast("long"))
     most = d.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
     if most <= task_rows:
-        return _grouped(d, measure, variables, low, high, kind, groups, out)
+        return _grouped(d, measure, variables, low, high, kind, groups, out).drop("__h")
     x = bisected(d, measure, variables, low, high, kind, groups, task_rows)
     # What is left to cut fits a task each; the rest are segments as they are.
-    size = x.groupBy(*SEGMENT).agg(F.count("*").alias("__rows"), (F.max("__e_l") - F.min("__b_l")).alias("__all"))
+    size = x.groupBy(*SEGMENT).agg(F.count("*").alias("__rows"), F.sum("__vl").alias("__all"))
     todo = (F.col("__rows") <= task_rows) & (F.col("__all") > high)
     x = x.select(*df.columns, *SEGMENT, "__low").join(size, SEGMENT)
     rest = x.where(~todo).withColumn("__local", F.lit(1).cast("long"))
     cut = _grouped(x.where(todo), measure, variables, None, high, kind, SEGMENT, "__local")
-    return numbered(written(rest.unionByName(cut).select(*df.columns, *SEGMENT, "__local")), df.columns, out)
+    return numbered(written(rest.unionByName(cut.drop("__h")).select(*df.columns, *SEGMENT, "__local")), df.columns, out)
 
 
-def _grouped(df: DataFrame, measure, variables: list[str], low: float | None, high: float, kind: str, groups: list[str], out: str) -> DataFrame:
+def _grouped(df: DataFrame, measure, variables: list[str], low: int | None, high: int, kind: str, groups: list[str], out: str) -> DataFrame:
     """Ids by one task for each group; without low the least length is column __low, else the group's."""
     f, t = measure
+    df = df.withColumn("__h", F.xxhash64(*[c for c in df.columns if c[:2] != "__"]))
     schema = ", ".join([*(f"`{n}` {k}" for n, k in df.dtypes), f"`{out}` long"])
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(f, kind="stable")
-        length = (p[t] - p[f]).to_numpy(float)
+        p = p.sort_values([f, t, "__h"], kind="stable")
+        length = np.rint((p[t] - p[f]).to_numpy(float) * UNITS).astype(np.int64)
         if not len(p):
             return p.assign(**{out: np.zeros(0, np.int64)})
         least = low if low is not None else p["__low"].iloc[0] if "__low" in p else length.min()

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import DuplicateLabelError, InvalidAggregationError, InvalidDataFrameError, InvalidJoinConfigurationError, OutputCollisionError, ZeroLengthSegmentError
-from .aggregations import ANY_TYPE, BY_INDEX, Action, Aggregation, Kind, compiled, percentile_of
+from ..tables import written
+from .aggregations import ANY_TYPE, BY_INDEX, Action, Aggregation, Kind, compiled
+from .percentile import joined, weighted_percentiles
 from .ranges import attached, overlaps
 
 
@@ -52,8 +54,9 @@ def on_slk_intervals(target: DataFrame, data: DataFrame, join_left: list[str], c
     row gets depends on its keys and bounds alone: pairs are aggregated by these and joined back, so
     that targets of any plan, repeated rows too, come out right. index_col orders ties and First, and
     is what IndexOfMax and IndexOfMin return: these three need it; other ties go by value without it.
-    Pairs are joined once for all actions, in bins: see ranges.overlaps for bin_width. check_rows costs
-    two jobs.
+    Pairs are joined once for all actions, in bins: see ranges.overlaps for bin_width; percentiles are
+    found by prefix sums over ranges of values (see percentile.py), so no target's rows are an array.
+    check_rows costs two jobs.
     """
     validate(target, data, join_left, column_actions, from_to, check_rows)
     needs = [a.aggregation.kind.name for a in column_actions if a.aggregation.kind in BY_INDEX]
@@ -66,12 +69,17 @@ def on_slk_intervals(target: DataFrame, data: DataFrame, join_left: list[str], c
     values["__i"] = F.col(index_col) if index_col else F.lit(0)
     pairs = overlaps(left, right, join_left, from_to, from_to, values, bin_width)
     pairs = pairs.withColumns({"__w": F.least("__tt", "__to") - F.greatest("__tf", "__from"), "__len": F.col("__to") - F.col("__from"), "__t": F.col("__tt") - F.col("__tf")})
-    plain = [(k, a) for k, a in enumerate(column_actions) if a.aggregation.kind is not Kind.KeepLongest]
+    levels = {f"__o{k}": (f"__v{k}", a.aggregation.percentile) for k, a in enumerate(column_actions) if a.aggregation.kind is Kind.LengthWeightedPercentile}
+    plain = [(k, a) for k, a in enumerate(column_actions) if a.aggregation.kind not in (Kind.KeepLongest, Kind.LengthWeightedPercentile)]
     longest = [(k, a) for k, a in enumerate(column_actions) if a.aggregation.kind is Kind.KeepLongest]
     by = [*join_left, "__tf", "__tt"]
-    result = lambda k, a: percentile_of(F.col(f"__o{k}"), a.aggregation.percentile) if a.aggregation.kind is Kind.LengthWeightedPercentile else F.col(f"__o{k}")
+    if levels and len(levels) < len(column_actions):
+        # Read by both ways.
+        pairs = written(pairs)
     aggs = [compiled(a, k, numeric(data, a.column_name)).alias(f"__o{k}") for k, a in plain]
-    if not longest:
+    if not plain and not longest:
+        got = None
+    elif not longest:
         got = pairs.groupBy(*by).agg(*aggs)
     else:
         # One more row for each KeepLongest, grouped by its value: lengths add up by value, then the longest value stands.
@@ -83,7 +91,9 @@ def on_slk_intervals(target: DataFrame, data: DataFrame, join_left: list[str], c
         one = d.groupBy(*by, "__a", *[f"__g{k}" for k, _ in longest]).agg(F.sum("__w").alias("__sw"), F.min(F.struct("__to", "__i")).alias("__first"), *aggs)
         best = lambda k: F.max_by(F.col(f"__g{k}"), F.when(F.col("__a") == k, F.struct("__sw", -F.col("__first.__to"), -F.col("__first.__i"), f"__g{k}")))
         got = one.groupBy(*by).agg(*[F.first(mine(-1, f"__o{k}"), True).alias(f"__o{k}") for k, _ in plain], *[(best(k).cast("double") if isinstance(kinds[f"__v{k}"], (T.NumericType, T.BooleanType)) else best(k)).alias(f"__o{k}") for k, _ in longest])
-    got = got.select(*by, *[result(k, a).alias(f"__o{k}") for k, a in enumerate(column_actions)])
+    if levels:
+        share = weighted_percentiles(pairs, by, levels, ["__to", "__i"], "__w")
+        got = joined(got, share, by) if got is not None else share
     return attached(left, got, join_left, from_to, {f"__o{k}": a.output for k, a in enumerate(column_actions)})
 
 

@@ -1,39 +1,41 @@
 """Discontinuity ids, splitting, overlay, cross-sections and checks."""
 from functools import reduce
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.steps import linspace_steps, pieces
 from ..tables import written
-from .ranges import attached, both, overlaps, ranges_of, running
+from . import ranges
+from .ranges import attached, both, largest, overlaps, scanned
 
 P3 = lambda c: F.round(F.col(c) * 1000)
 
 
-def _numbered(df: DataFrame, cats: list[str], local: str, out: str, ranges=None) -> DataFrame:
-    """Global zero-based ids: a category's offset (one row for each category, summed in two levels of ranges) and the local id."""
-    # Written, as it is read twice: what it is counted from may be windows over all rows.
-    sizes = written(df.groupBy(*cats).agg((F.max(local) + 1).alias("__n")))
-    off = running(sizes, cats, {"__off": F.col("__n")}, ranges)
-    off = off.select(*[F.col(c).alias(f"__c{k}") for k, c in enumerate(cats)], "__off")
-    on = both([F.col(c).eqNullSafe(F.col(f"__c{k}")) for k, c in enumerate(cats)])
-    return df.join(off, on).withColumn(out, (F.col(local) + F.col("__off")).cast("long")).drop("__off", local, *[f"__c{k}" for k in range(len(cats))])
+def _same(a: Column, b: Column, names: list[str]) -> Column:
+    """Two structs agree in all fields of these names."""
+    return reduce(lambda x, y: x & y, [a[n].eqNullSafe(b[n]) for n in names], F.lit(True))
 
 
-def segment_ids(df: DataFrame, categories: list[str], measure_slk, measure_true=None, out: str = "segment_id", local: bool = False) -> DataFrame:
-    """A new id wherever a category, SLK (to 3 places) or true distance breaks; a null category breaks each row."""
+def segment_ids(df: DataFrame, categories: list[str], measure_slk, measure_true=None, out: str = "segment_id") -> DataFrame:
+    """A new id wherever a category, SLK (to 3 places) or true distance breaks; a null category breaks each row.
+
+    Zero-based ids in the order of categories, start and end (nulls last). Rows are scanned by ranges of that
+    order, so one category of all rows, or no category, is many tasks.
+    """
     f, t = measure_slk
-    w = W.partitionBy(*categories).orderBy((measure_true or measure_slk)[0], f, t)
-    brk = F.lag(t).over(w).isNull() | (F.lag(P3(t)).over(w) != P3(f))
-    if measure_true:
-        brk = brk | (F.lag(P3(measure_true[1])).over(w) != P3(measure_true[0]))
-    for c in categories:
-        brk = brk | F.col(c).isNull()
-    d = df.withColumn("__b", F.when(F.coalesce(brk, F.lit(True)), 1).otherwise(0)).withColumn("__l", F.sum("__b").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1).drop("__b")
-    return d.withColumnRenamed("__l", out) if local else _numbered(d, categories, "__l", out, ranges_of(df, categories))
+    by = list(dict.fromkeys([*categories, (measure_true or measure_slk)[0], f, t]))
+    ends = {"f0": P3(f), "t0": P3(t)} | ({"f1": P3(measure_true[0]), "t1": P3(measure_true[1])} if measure_true else {})
+    cats = [f"c{k}" for k in range(len(categories))]
+    row = F.struct(*[F.col(c).alias(k) for k, c in zip(cats, categories)], *[v.alias(k) for k, v in ends.items()])
+
+    def breaks(a: Column, b: Column) -> Column:
+        goes_on = [a[k] == b[k] for k in cats] + [a["t0"] == b["f0"]] + ([a["t1"] == b["f1"]] if measure_true else [])
+        return ~F.coalesce(both(goes_on), F.lit(False))
+
+    d = scanned(df, by, row, breaks={"__id": breaks}, within=categories)
+    return d.select(*df.columns, (F.col("__id") - 1).cast("long").alias(out))
 
 
 def longest_overlap(new: DataFrame, source: DataFrame, keys: list[str], from_to, position: str, out: str = "source_position", bin_width: float | None = None) -> DataFrame:
@@ -52,7 +54,7 @@ def split_to_max_length(df: DataFrame, categories: list[str], measure_slk, measu
     if set(measure_slk) & set(measure_true):
         raise ValueError("measure_slk and measure_true must not share columns")
     (sf, st), (tf, tt) = measure_slk, measure_true
-    d = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in categories]))
+    d = df.where(both([F.col(c).isNotNull() for c in categories]))
     d = segment_ids(d, categories, measure_slk, measure_true, "segment_index")
     g = d.groupBy(*categories, "segment_index").agg(F.min(sf).alias("a"), F.max(st).alias("b"), F.min(tf).alias("c"), F.max(tt).alias("d"))
     by_slk = F.round(F.col("b") - F.col("a"), 6) == F.round(F.col("d") - F.col("c"), 6)
@@ -61,15 +63,14 @@ def split_to_max_length(df: DataFrame, categories: list[str], measure_slk, measu
     other = lambda x: F.bround(F.when(F.col("by_slk"), F.col("c") + (x - F.col("a")) / (F.col("b") - F.col("a")) * (F.col("d") - F.col("c"))).otherwise(F.col("a") + (x - F.col("c")) / (F.col("d") - F.col("c")) * (F.col("b") - F.col("a"))), 3)
     x = [F.col("p.a"), F.col("p.b")]
     n = g.select(*categories, "segment_index", *[F.when(F.col("by_slk"), v).otherwise(other(v)).alias(c) for v, c in zip(x, measure_slk)], *[F.when(F.col("by_slk"), other(v)).otherwise(v).alias(c) for v, c in zip(x, measure_true)])
-    # Pieces and sources meet in bins of max_length, so that a long segment is no quadratic join.
+    # Pieces and sources meet in bins of max_length, so that a long segment is no quadratic join; a source's columns come along.
+    rest = [c for c in df.columns if c not in (*categories, sf, st, tf, tt)]
     cut = lambda a, b: F.sequence(F.floor(F.col(a) / max_length), F.greatest(F.floor(F.col(a) / max_length), F.ceil(F.col(b) / max_length) - 1))
-    s = d.select(F.col("segment_index").alias("__g"), F.col(tf).alias("__f"), F.col(tt).alias("__t"), F.col(index_col).alias("__p"), F.explode(cut(tf, tt)).alias("__sb"))
+    s = d.select(F.col("segment_index").alias("__g"), F.col(tf).alias("__f"), F.col(tt).alias("__t"), F.col(index_col).alias("__p"), F.struct(*rest).alias("__rest"), F.explode(cut(tf, tt)).alias("__sb"))
     on = (F.col("segment_index") == F.col("__g")) & (F.col("__b") == F.col("__sb")) & (F.col("__f") < F.col(tt)) & (F.col("__t") > F.col(tf))
     over = F.least(F.col(tt), F.col("__t")) - F.greatest(F.col(tf), F.col("__f"))
-    n = n.withColumn("__b", F.explode_outer(cut(tf, tt))).join(s, on, "left").groupBy(*n.columns).agg(F.max_by("__p", F.struct(over, -F.col("__f"), -F.col("__p"))).alias("__src"))
-    rest = [c for c in df.columns if c not in (*categories, sf, st, tf, tt)]
-    src = d.select(F.col(index_col).alias("__src"), *[F.col(c) for c in rest])
-    return n.join(src, "__src", "left").drop("__src")
+    n = n.withColumn("__b", F.explode_outer(cut(tf, tt))).join(s, on, "left").groupBy(*n.columns).agg(F.max_by("__rest", F.struct(over, -F.col("__f"), -F.col("__p"))).alias("__rest"))
+    return n.select(*[c for c in n.columns if c != "__rest"], *[F.col("__rest")[c].alias(c) for c in rest])
 
 
 def overlay(original: DataFrame, additional: DataFrame, categories: list[str], measure_slk, measure_true, name_original: str, name_additional: str, original_index: str = "rid", additional_index: str = "rid", relax_slk_checks: bool = False, check_rows: bool = False) -> DataFrame:
@@ -93,38 +94,51 @@ def overlay(original: DataFrame, additional: DataFrame, categories: list[str], m
 
     def events(df, which, index):
         end = lambda k: F.struct(F.lit(k).alias("type"), F.col(measure_true[k]).cast("double").alias("tm"), F.col(measure_slk[k]).cast("double").alias("slk"))
-        d = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in categories]))
+        d = df.where(both([F.col(c).isNotNull() for c in categories]))
         return d.select(*categories, F.lit(which).alias("df"), F.col(index).cast("long").alias("pos"), F.explode(F.array(end(0), end(1))).alias("e")).select(*categories, "df", "pos", "e.*")
 
-    e = events(original, 0, original_index).unionByName(events(additional, 1, additional_index))
-    w = W.partitionBy(*categories).orderBy("tm", "pos", "type", F.when(F.col("type") == 0, F.col("df")).otherwise(-F.col("df")))
-    state = lambda k: F.last(F.when(F.col("df") == k, F.when(F.col("type") == 0, F.col("pos")).otherwise(-1)), True).over(w)
-    e = e.withColumns({"s0": state(0), "s1": state(1), "et": F.lead("tm").over(w), "es": F.lead("slk").over(w)})
-    e = e.where("et > tm and es > slk and (s0 >= 0 or s1 >= 0)")
-    at = lambda c: F.when(F.col(c) >= 0, F.col(c))
+    e = events(original, 0, original_index).unionByName(events(additional, 1, additional_index)).withColumn("__o", F.when(F.col("type") == 0, F.col("df")).otherwise(-F.col("df")))
+    e = written(e)
+    cats = [f"c{k}" for k in range(len(categories))]
+    own = [F.col(c).alias(k) for k, c in zip(cats, categories)]
+    here = F.struct(*own)
+    state = lambda k: F.when(F.col("df") == k, F.struct(*own, F.when(F.col("type") == 0, F.col("pos")).otherwise(-1).alias("at")))
+    # The last known state of either side and the next event, whatever range they are in; each tells its category.
+    e = scanned(e, [*categories, "tm", "pos", "type", "__o"], F.struct(*own, F.col("tm").alias("tm"), F.col("slk").alias("slk")), lead="__n", last={"__s0": state(0), "__s1": state(1)}, within=categories)
+    e = e.where(_same(F.col("__n"), here, cats) & (F.col("__n.tm") > F.col("tm")) & (F.col("__n.slk") > F.col("slk")))
+    at = lambda k: F.when(_same(F.col(f"__s{k}"), here, cats) & (F.col(f"__s{k}.at") >= 0), F.col(f"__s{k}.at"))
     (sf, st), (tf, tt) = measure_slk, measure_true
-    return e.select(*categories, F.col("slk").alias(sf), F.col("es").alias(st), F.col("tm").alias(tf), F.col("et").alias(tt), at("s0").alias(name_original), at("s1").alias(name_additional))
+    e = e.withColumns({"__p0": at(0), "__p1": at(1)}).where("__p0 is not null or __p1 is not null")
+    return e.select(*categories, F.col("slk").alias(sf), F.col("__n.slk").alias(st), F.col("tm").alias(tf), F.col("__n.tm").alias(tt), F.col("__p0").alias(name_original), F.col("__p1").alias(name_additional))
 
 
 def cross_sections(df: DataFrame, groups: list[str], cats: list[str], measure_slk, measure_true, number: str = "cross_section_number", original_index: str = "original_index", overlap: str = "overlap", index_col: str = "rid", bin_width: float | None = None) -> DataFrame:
-    """One row per section, active path and source; a section starts when the ordered active paths change."""
+    """One row per section, active path and source; a section starts when the ordered active paths change.
+
+    Bounds of a group, and the paths between neighbouring bounds, are scanned by ranges of their
+    order, so a hot group is many tasks; what is held at once is the sources active at one place.
+    """
     (sf, st), (tf, tt) = measure_slk, measure_true
-    d = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*groups, *cats]]))
-    ev = lambda f, s, k: F.struct(F.col(f).alias("t"), F.lit(k).alias("k"), F.col(s).alias("s"))
+    d = df.where(both([F.col(c).isNotNull() for c in [*groups, *cats]]))
+    ev = lambda f, s, k: F.struct(F.col(f).cast("double").alias("t"), F.lit(k).alias("k"), F.col(s).alias("s"))
     # A source ends before another starts at one place; of events at one place the last one's SLK stands.
-    e = d.select(*groups, F.explode(F.array(ev(tf, sf, 1), ev(tt, st, 0))).alias("e")).groupBy(*groups, F.col("e.t").alias("t")).agg(F.max(F.struct("e.k", "e.s")).alias("x"), F.min(F.struct("e.k", "e.s")).alias("y"))
-    w = W.partitionBy(*groups).orderBy("t")
-    a = e.select(*groups, F.col("t").alias("__a"), F.lead("t").over(w).alias("__b"), F.col("x.s").alias("__as"), F.lead("y.s").over(w).alias("__bs")).where("__b > __a and __bs > __as")
+    e = d.select(*groups, F.explode(F.array(ev(tf, sf, 1), ev(tt, st, 0))).alias("e")).groupBy(*groups, F.col("e.t").alias("__a")).agg(F.max(F.struct("e.k", "e.s")).alias("x"), F.min(F.struct("e.k", "e.s")).alias("y"))
+    g = [f"g{k}" for k in range(len(groups))]
+    own = [F.col(c).alias(k) for k, c in zip(g, groups)]
+    most = 2 * largest(d, groups)
+    if most > ranges.RANGE_ROWS:
+        e = written(e)
+    e = scanned(e, [*groups, "__a"], F.struct(*own, F.col("__a").alias("t"), F.col("y.s").alias("s")), lead="__n", within=groups, most=most).where(_same(F.col("__n"), F.struct(*own), g))
+    a = e.select(*groups, "__a", F.col("__n.t").alias("__b"), F.col("x.s").alias("__as"), F.col("__n.s").alias("__bs")).where("__b > __a and __bs > __as")
     # Between neighbouring bounds what overlaps is there throughout; sections and sources meet in bins.
     act = overlaps(a, d, groups, ("__a", "__b"), (tf, tt), {c: F.col(c) for c in cats} | {original_index: F.col(index_col).cast("long")}, bin_width, ("__as", "__bs"))
-    act = act.select(*groups, "__as", "__bs", F.col("__tf").alias("__a"), F.col("__tt").alias("__b"), F.col("__from").alias("__f"), *cats, original_index)
-    sig = act.groupBy(*groups, "__a", "__b", "__as", "__bs").agg(F.array_sort(F.collect_list(F.struct("__f", *cats))).alias("l"))
-    sig = sig.withColumn("sig", F.transform("l", lambda x: F.struct(*[x[c] for c in cats])))
-    w = W.partitionBy(*groups).orderBy("__a")
-    sig = sig.withColumn("new", F.when(F.col("sig").eqNullSafe(F.lag("sig").over(w)), 0).otherwise(1)).withColumn("__l", F.sum("new").over(w) - 1)
-    sec = _numbered(written(sig.select(*groups, "__a", "__b", "__as", "__bs", "__l")), groups, "__l", number, ranges_of(df, groups))
+    sig = act.groupBy(*groups, F.col("__tf").alias("__a"), F.col("__tt").alias("__b"), "__as", "__bs").agg(F.array_sort(F.collect_list(F.struct(F.col("__from").alias("__f"), *cats, original_index))).alias("__l"))
+    paths = F.transform("__l", lambda x: F.struct(*[x[c] for c in cats]))
+    sec = scanned(written(sig) if most > ranges.RANGE_ROWS else sig, [*groups, "__a"], F.struct(*own, paths.alias("paths")), breaks={"__k": lambda p, q: ~_same(p, q, [*g, "paths"])}, within=groups, most=most)
+    sec = sec.withColumn(number, (F.col("__k") - 1).cast("long"))
     ext = sec.groupBy(number).agg(F.min("__as").alias(sf), F.max("__bs").alias(st), F.min("__a").alias(tf), F.max("__b").alias(tt))
-    rows = act.join(sec.select(*groups, "__a", number), [*groups, "__a"]).groupBy(*groups, number, *cats, original_index).agg(F.sum(F.col("__b") - F.col("__a")).alias(overlap))
+    rows = sec.select(*groups, number, (F.col("__b") - F.col("__a")).alias("__w"), F.explode("__l").alias("__x"))
+    rows = rows.groupBy(*groups, number, *[F.col(f"__x.{c}").alias(c) for c in (*cats, original_index)]).agg(F.sum("__w").alias(overlap))
     return rows.join(ext, number).select(*groups, number, sf, st, tf, tt, *cats, original_index, overlap)
 
 
@@ -138,10 +152,22 @@ def cross_sections_normalised(*args, **kw) -> tuple[DataFrame, DataFrame]:
     return out.select(*ext).dropDuplicates(), out.select(number, *[c for c in out.columns if c not in ext])
 
 
+def _ordered(df: DataFrame, categories: list[str], measure, order: str, top: bool = False) -> tuple[DataFrame, Column]:
+    """The bounds of each row with the previous row's (and the greatest end before) in __p (and __m), and whether that is of the same category."""
+    cats = [f"c{k}" for k in range(len(categories))]
+    d = df.select(*[F.col(c).alias(k) for k, c in zip(cats, categories)], F.col(measure[0]).alias("f"), F.col(measure[1]).alias("t"), F.col(order).alias("o"))
+    place = F.struct(*[x.alias(f"{n}{k}") for k in range(len(cats)) for n, x in (("n", F.isnull(f"c{k}")), ("v", F.col(f"c{k}")))], F.col("t").alias("t"))
+    d = scanned(d, [*cats, "o"], F.struct(*cats, "f", "t"), lag="__p", tops={"__m": place} if top else None, within=cats)
+    return d, F.coalesce(_same(F.col("__p"), F.struct(*cats), cats), F.lit(False)) & F.col("__p").isNotNull()
+
+
 def check_monotonic(df: DataFrame, categories: list[str], measure, order: str) -> DataFrame:
-    """(ok): each start at or after the previous end in the given order; the first compares with 0."""
-    w = W.partitionBy(*categories).orderBy(order)
-    return df.select((F.lag(measure[1], 1, 0).over(w) <= F.col(measure[0])).alias("x")).agg(F.coalesce(F.bool_and("x"), F.lit(True)).alias("ok"))
+    """(ok): each start at or after the previous end in the given order; the first of a category compares with 0.
+
+    Rows are compared by ranges of the order, so a hot category is many tasks.
+    """
+    d, same = _ordered(df, categories, measure, order)
+    return d.select((F.when(same, F.col("__p.t")).otherwise(0) <= F.col("f")).alias("x")).agg(F.coalesce(F.bool_and("x"), F.lit(True)).alias("ok"))
 
 
 def check_no_reversed(df: DataFrame, measure) -> DataFrame:
@@ -167,9 +193,11 @@ def check_linear_index(df: DataFrame, measure) -> None:
 
 
 def check_disjoint(df: DataFrame, measure, categories: list[str], order: str) -> DataFrame:
-    """(ok): both bounds rise in the given order and no segment starts before an earlier one ends."""
-    f, t = measure
-    w = W.partitionBy(*categories).orderBy(order)
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    ok = (F.col(f) >= F.lag(f, 1).over(w)) & (F.col(t) >= F.lag(t, 1).over(w)) & (F.col(f) >= F.max(t).over(before))
-    return df.select(F.coalesce(ok, F.lit(True)).alias("x")).agg(F.coalesce(F.bool_and("x"), F.lit(True)).alias("ok"))
+    """(ok): both bounds rise in the given order and no segment starts before an earlier one ends.
+
+    Rows are compared by ranges of the order; the greatest end so far passes from one to the next.
+    """
+    d, same = _ordered(df, categories, measure, order, True)
+    # Categories come in order, so the greatest (category, end) before a row is of its own category if any is.
+    ok = (F.col("f") >= F.col("__p.f")) & (F.col("t") >= F.col("__p.t")) & (F.col("f") >= F.col("__m.t"))
+    return d.select(F.coalesce(~same | ok, F.lit(True)).alias("x")).agg(F.coalesce(F.bool_and("x"), F.lit(True)).alias("ok"))
