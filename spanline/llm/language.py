@@ -11,17 +11,36 @@ BUCKETS, ORDERS, SWITCH, LEAST_SCRIPT = 1 << 15, (1, 2, 3), 8.0, 0.01
 SCRIPTS = np.array([0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0xE00, 0x10A0, 0x1100, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xFF00, 0x10000])
 #: The Latin ranges 0 and 0x1E00 are one script.
 SAME = {11: 0}
-_LETTER = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x10000)] + [True])
+#: Letters are 1; marks, which go on with a word but start none, are 2.
+_kind = lambda c: {"L": 1, "M": 2}.get(unicodedata.category(chr(c))[0], 0)
+_LETTER = np.array([_kind(c) for c in range(0x10000)] + [0], np.int8)
+
+
+def _lowered(text: str) -> str:
+    """Lower case, place by place: a capital that would become two code points stays."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
 def _units(text: str | None):
-    """Word bounds in a lower-cased text's code points, scripts of the words, and hashed n-grams with their words."""
-    code = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    letter = np.concatenate(([False], _LETTER[np.minimum(code, 0x10000)], [False]))
+    """Word bounds in a text's code points, scripts of the words, and hashed n-grams of the lower-cased text with their words.
+
+    A word is a letter and the letters and marks after it.
+    """
+    code = np.frombuffer(_lowered(text or "").encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    kind = _LETTER[np.minimum(code, 0x10000)]
     if len(high := np.flatnonzero(code > 0xFFFF)):
-        letter[high + 1] = [unicodedata.category(chr(c))[0] in "LM" for c in code[high]]
+        kind[high] = [_kind(c) for c in code[high]]
+    letter = np.concatenate(([False], kind > 0, [False]))
     edge = np.diff(letter.astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if (kind[starts] == 2).any():
+        # Marks before the first letter are no part of a word.
+        first = np.append(np.flatnonzero(kind == 1), len(code))
+        first = first[np.searchsorted(first, starts)]
+        for a, z in zip(starts[first > starts], np.minimum(first, ends)[first > starts]):
+            letter[a + 1 : z + 1] = False
+        starts, ends = first[first < ends], ends[first < ends]
     if not len(starts):
         return starts, ends, starts, []
     script = np.searchsorted(SCRIPTS, code[starts], "right") - 1

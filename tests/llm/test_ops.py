@@ -502,3 +502,12 @@ def test_near_dedup_stage_with_odd_rows(spark, prose, tmp_path):
     assert sorted(Counter(k for k, _ in got.elements()).items(), key=str) == [(1, 1), (2, 1), (None, 1)]
     assert drop([(None, a), (7, near), (None, None), (8, "")]) == Counter([(7, near), (8, "")])
     assert not drop([])
+
+
+def test_marks_are_no_letters(spark):
+    train = [("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 4
+    rows = [(k, t, x) for k, (t, x) in enumerate(train)] + [(100, "\u0301", None), (101, "\u2764\ufe0f", None), (102, "1\ufe0f\u20e3 2\ufe0f\u20e3", None), (103, "\u0301the\u0301 cat \u0301", None), (104, "\u0130the cat", None)]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all((got[k].lang_pred, got[k].score, got[k].spans) == ("und", 0.0, []) for k in (100, 101, 102))
+    assert got[103].lang_pred == "en" and [(s.start, s.end) for s in got[103].spans] == [(1, 9)]
+    assert [(s.start, s.end) for s in got[104].spans] == [(0, 8)]
