@@ -28,10 +28,16 @@ def segment_by_categories_and_slk_true_discontinuities(data: DataFrame, categori
     return segment_ids(data, categories, measure_slk, measure_true, out)
 
 
-def fetch_road_network_info(spark: SparkSession, url: str, chunk_limit: int = 1000, query_params: dict | None = None, additional_params: dict | None = None, request_timeout: float = 30.0, **kwargs) -> DataFrame:
-    """The network table of an ArcGIS layer, read by offset ranges in parallel."""
+def fetch_road_network_info(spark: SparkSession, url: str, chunk_limit: int = 1000, query_params: dict | None = None, additional_params: dict | None = None, request_timeout: float = 30.0, columns: list[str] | None = None, **kwargs) -> DataFrame:
+    """The network table of an ArcGIS layer, read by offset ranges in parallel; columns (["*"] for all) override outFields.
+
+    Turns on Spark's filter pushdown for Python sources, so that filters narrow the requests.
+    """
     spark.dataSource.register(ArcGISDataSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     options = {"url": url, "chunk_limit": chunk_limit, "request_timeout": request_timeout, "additional_params": json.dumps((additional_params or {}) | kwargs)}
     if query_params is not None:
         options["query_params"] = json.dumps(query_params)
+    if columns:
+        options["columns"] = ",".join(columns)
     return spark.read.format("arcgis").options(**options).load()

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.mappings import LANES
 from ..functions.steps import as_metres
+from ..tables import written
+from .ranges import both, overlaps, scanned
 
 
 def gcd_metres(df: DataFrame, start: str, end: str) -> int:
@@ -90,26 +92,73 @@ def get_segments(points: DataFrame, id_vars: list[str], slk: str, segment_size:
     return d.groupBy(*id_vars, "segment_no", *split_at).agg(*out, *[c.alias(n) for n, c in summarise.items()]).drop("segment_no")
 
 
-def segments_of_intervals(df: DataFrame, id_vars: list[str], start: str, end: str, start_true: str | None = None, end_true: str | None = None, split_at=(), summarise: dict[str, Column] | None = None) -> DataFrame:
-    """Intervals that touch and share ids and split_at as one, over their own GCD; split_at=True: every column but ids, bounds and `summarise`'s names.
+def _elementary(sides: list[DataFrame], id_vars: list[str]) -> DataFrame:
+    """(ids, __a, __b): what lies between neighbouring bounds (__m, __n, whole metres) of all sides' rows, within the ids."""
+    bound = lambda d, c: d.select(*id_vars, F.col(c).alias("__a"))
+    all_ = reduce(DataFrame.union, [bound(d, c) for d in sides for c in ("__m", "__n")]).distinct()
+    e = scanned(written(all_), [*id_vars, "__a"], F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(id_vars)], F.col("__a").alias("a")), lead="__next", within=list(id_vars))
+    return e.where(both([F.col(f"__next.c{k}").eqNullSafe(F.col(c)) for k, c in enumerate(id_vars)]) & F.col("__next").isNotNull()).select(*id_vars, "__a", F.col("__next.a").alias("__b"))
 
-    summarise maps names to aggregates over points of equal length, so a mean is weighted by length.
+
+def _measured(df: DataFrame, start: str, end: str, start_true: str | None, id_vars: list[str]) -> DataFrame:
+    """df with its bounds in whole metres (__m, __n) and the offset of its true measure (__off); rows without ids or length go."""
+    d = df.withColumns({"__m": as_metres(F.col(start)), "__n": as_metres(F.col(end)), "__off": (as_metres(F.col(start_true)) - as_metres(F.col(start))) if start_true else F.lit(0).cast("long")})
+    return d.where(both([F.col(c).isNotNull() for c in (*id_vars, "__off")]) & (F.col("__m") < F.col("__n")))
+
+
+def _cut(cuts: DataFrame, d: DataFrame, id_vars: list[str]) -> DataFrame:
+    """Each row of d once for each elementary interval (__a, __b) that it covers."""
+    own = [c for c in d.columns if c not in (*id_vars, "__m", "__n")]
+    got = overlaps(cuts, d, id_vars, ("__a", "__b"), ("__m", "__n"), {c: F.col(c) for c in own})
+    return got.select(*id_vars, F.col("__tf").cast("long").alias("__a"), F.col("__tt").cast("long").alias("__b"), *own)
+
+
+def _joined_up(pieces: DataFrame, id_vars: list[str], split: list[str], means: dict[str, str], true: bool) -> DataFrame:
+    """Pieces (__a, __b, __off) that touch and share ids and split, as intervals with means weighted by length.
+
+    Of pieces that agree in place and split one counts, the one of least values.
+    """
+    vals = list(dict.fromkeys(means.values()))
+    d = pieces.groupBy(*id_vars, "__off", "__a", "__b", *split).agg(F.min(F.struct(F.lit(0).alias("one"), *[F.col(c).alias(f"v{k}") for k, c in enumerate(vals)])).alias("__v"))
+    ids, own = [f"c{k}" for k in range(len(id_vars))], [f"s{k}" for k in range(len(split))]
+    row = F.struct(*[F.col(c).alias(k) for k, c in zip([*ids, *own], [*id_vars, *split])], F.col("__a").alias("a"), F.col("__b").alias("b"), F.col("__off").alias("off"))
+    goes_on = lambda p, q: both([p[k].eqNullSafe(q[k]) for k in (*ids, *own, "off")] + [p["b"] == q["a"]])
+    d = d.withColumn("__true", F.col("__a") + F.col("__off"))
+    d = scanned(written(d), [*id_vars, "__true", "__a", *split, "__b"], row, breaks={"__run": lambda p, q: ~goes_on(p, q)}, within=list(id_vars))
+    w = F.col("__b") - F.col("__a")
+    mean = lambda c: F.sum(F.col(f"__v.v{vals.index(c)}") * w) / F.sum(F.when(F.col(f"__v.v{vals.index(c)}").isNotNull(), w))
+    out = [(F.min("__a") / 1000.0).alias("START_SLK"), (F.max("__b") / 1000.0).alias("END_SLK")]
+    if true:
+        out += [(F.min("__true") / 1000.0).alias("START_TRUE"), ((F.max(F.col("__b") + F.col("__off"))) / 1000.0).alias("END_TRUE")]
+    return d.groupBy(*id_vars, "__run", *split).agg(*out, *[mean(c).alias(n) for n, c in means.items()]).drop("__run")
+
+
+def segments_of_intervals(df: DataFrame, id_vars: list[str], start: str, end: str, start_true: str | None = None, end_true: str | None = None, split_at=(), summarise: dict[str, str | Column] | None = None) -> DataFrame:
+    """Intervals that touch and share ids and split_at as one; split_at=True: every column but ids, bounds and `summarise`'s names.
+
+    summarise maps names to columns, whose means are weighted by length, or to aggregates. Columns need
+    no points: rows are cut at the bounds of their ids only. Aggregates are taken over points of
+    the intervals' GCD, so that a mean is weighted by length too.
     """
     bounds = [c for c in (start, end, start_true, end_true) if c]
     if split_at is True:
-        split_at = [c for c in df.columns if c not in (*id_vars, *bounds, *(summarise or {}))]
+        split_at = [c for c in df.columns if c not in (*id_vars, *bounds, *(summarise or {}), *[c for c in (summarise or {}).values() if isinstance(c, str)])]
+    if all(isinstance(c, str) for c in (summarise or {}).values()):
+        d = _measured(df, start, end, start_true, id_vars)
+        return _joined_up(_cut(_elementary([d], id_vars), d, id_vars), id_vars, list(split_at), summarise or {}, bool(start_true))
     size = gcd_metres(df, start, end)
     points = _points(df, start, end, start_true, end_true, size, True, False)
-    return get_segments(points, id_vars, "SLK", size, "true_SLK" if start_true else None, split_at, summarise or {})
+    return get_segments(points, id_vars, "SLK", size, "true_SLK" if start_true else None, split_at, {n: F.avg(c) if isinstance(c, str) else c for n, c in summarise.items()})
 
 
 def interval_merge(left: DataFrame, right: DataFrame, id_vars: list[str], start: str, end: str, summarise: dict[str, str | Column], start_true: str | None = None, end_true: str | None = None, split_at="left", use_ranges: bool = True, right_id_vars: list[str] | None = None, right_bounds: tuple[str, ...] | None = None) -> DataFrame:
     """Left intervals with per-point (length-weighted) summaries of right columns: summarise maps names to columns (their mean) or aggregates.
 
     Keeping left's own intervals and columns (use_ranges, split_at "left", one measure, means) is a
-    range join without points. Otherwise both sides are points of their shared GCD, joined by ids and
-    place: split_at ("left", "right", True for both, a list or False) names what a segment may not
-    mix; use_ranges keeps left's intervals apart, else what touches becomes one. right_id_vars and
+    range join. Otherwise both sides are cut at each other's bounds and joined by ids and place:
+    split_at ("left", "right", True for both, a list or False) names what a segment may not
+    mix; use_ranges keeps left's intervals apart, else what touches becomes one. Only where summarise
+    holds aggregates are both sides points of their shared GCD. right_id_vars and
     right_bounds (start, end[, start_true, end_true]) name right's columns where they differ.
     """
     bounds = [c for c in (start, end, start_true, end_true) if c]
@@ -125,6 +174,17 @@ def interval_merge(left: DataFrame, right: DataFrame, id_vars: list[str], start:
     both_ = {"left": own(left), "right": own(right), True: [*own(left), *own(right)], False: []}
     split = list(split_at) if isinstance(split_at, (list, tuple)) else both_[split_at]
     split = [c for c in dict.fromkeys(split) if c not in used]
+    if len(used) == len(summarise):
+        a, b = (_measured(d.drop("segment_id"), start, end, start_true, id_vars) for d in (left, right))
+        cuts = written(_elementary([a, b], id_vars))
+        kept = {c: f"org_{c}" for c in bounds} if use_ranges else {}
+        a = _cut(cuts, a.withColumnsRenamed(kept), id_vars)
+        b = _cut(cuts, b.drop(*[c for c in own(right) if c in left.columns]), id_vars).drop("__b", *bounds)
+        pieces = a.join(b, [*id_vars, "__a", "__off"], "left")
+        out = _joined_up(pieces, [*id_vars, *kept.values()], split, summarise, bool(start_true))
+        if not use_ranges:
+            return out
+        return out.drop("START_SLK", "END_SLK", "START_TRUE", "END_TRUE").withColumnsRenamed({v: k for k, v in kept.items()}).distinct()
     size = math.gcd(gcd_metres(left, start, end), gcd_metres(right, start, end))
     if start_true:
         size = math.gcd(size, gcd_metres(left, start_true, end_true), gcd_metres(right, start_true, end_true))

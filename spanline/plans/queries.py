@@ -207,12 +207,15 @@ query("deterioration_to_value", "SELECT l_orderkey, l_linenumber, k::INT AS k, r
 query("fixed_segment_rows", V.sql("obs") + "SELECT rid, f + k * 7 AS a, least(t, f + (k + 1) * 7) AS b FROM (SELECT *, unnest(range(0, ceil((t - f) / 7)::BIGINT)) AS k FROM obs)")(
     lambda s, d: V.obs(s, d).select("rid", F.explode(steps.pieces(steps.fixed_steps(F.col("f"), F.col("t"), 7.0))).alias("p")).select("rid", "p.a", "p.b"))
 query("cross_sections_rows", _CROSS + "SELECT n.k AS cross_section_number, flag, st, rid AS original_index, sum(n.b - n.a) AS overlap FROM n JOIN act ON act.road = n.road AND act.a = n.a GROUP BY ALL")(lambda s, d: _cross(s, d)[1])
-query("segments_of_intervals", SQL["get_segments"])(lambda s, d: reshape.segments_of_intervals(_km(s, d).drop("rid"), ["road"], "a", "b", split_at=["flag"], summarise={"m": F.avg("cents")}).select("road", "flag", F.round("START_SLK", 6).alias("START_SLK"), F.round("END_SLK", 6).alias("END_SLK"), F.round("m", 4).alias("m")))
+query("segments_of_intervals", SQL["get_segments"])(lambda s, d: reshape.segments_of_intervals(_km(s, d).drop("rid"), ["road"], "a", "b", split_at=["flag"], summarise={"m": "cents"}).select("road", "flag", F.round("START_SLK", 6).alias("START_SLK"), F.round("END_SLK", 6).alias("END_SLK"), F.round("m", 4).alias("m")))
+query("segments_of_intervals_points", SQL["get_segments"])(lambda s, d: reshape.segments_of_intervals(_km(s, d).drop("rid"), ["road"], "a", "b", split_at=["flag"], summarise={"m": F.avg("cents")}).select("road", "flag", F.round("START_SLK", 6).alias("START_SLK"), F.round("END_SLK", 6).alias("END_SLK"), F.round("m", 4).alias("m")))
 query("best_bisection_p", _QP + f", x AS (SELECT w.*, o.len, o.tot, o.nxt FROM w JOIN (SELECT rid, t AS len, max(t) OVER (PARTITION BY road) AS tot, lead(t) OVER (PARTITION BY road ORDER BY rid) AS nxt FROM obs) o USING (rid)), y AS (SELECT road, rid, ({_CV.format('l')} + {_CV.format('r')}) / 2 AS p, coalesce(len > 100 AND tot - CASE WHEN nxt = tot THEN len ELSE nxt END > 100, false) AS inn FROM x WHERE nr IS NOT NULL) SELECT road, first(rid ORDER BY round(p, 9), rid) AS rid, round(min(p), 7) AS p FROM y WHERE inn GROUP BY road")(
     lambda s, d: _rounded(homogeneous.best_bisection(_cond(s, d), ["road"], "rid", ["v"], "qty", 100.0, "best", "p").groupBy("road").agg(F.min("rid").alias("rid"), F.min("best").alias("p")), 7))
 query("wide_lanes_to_row", "SELECT l_orderkey, l_linenumber, n AS lane, CASE n WHEN 'q_L1' THEN l_quantity WHEN 'q_R2' THEN l_tax END AS q_ FROM lineitem, (VALUES ('q_L1'), ('q_R2')) v(n)")(
     lambda s, d: reshape.wide_lanes_to_row(_LI(s, d, F.col("l_quantity").alias("q_L1"), F.col("l_tax").alias("q_R2")), ["l_orderkey", "l_linenumber"], "lane", prefixes="q_"))
 query("interval_merge_points", V.sql("obs", "tgt") + ", p AS (SELECT t.road, t.f AS a, t.t AS b, x FROM tgt t, unnest(range(t.f::BIGINT, t.t::BIGINT)) AS u(x)), j AS (SELECT p.road, p.x, o.flag, o.cents FROM p LEFT JOIN obs o ON o.road = p.road AND o.f <= p.x AND o.t > p.x), e AS (SELECT *, CASE WHEN lag(x) OVER o IS NOT DISTINCT FROM x - 1 AND lag(flag) OVER o IS NOT DISTINCT FROM flag THEN 0 ELSE 1 END AS nw FROM j WINDOW o AS (PARTITION BY road ORDER BY x)), g AS (SELECT *, sum(nw) OVER (PARTITION BY road ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM e) SELECT road, flag, round(min(x) / 1000.0, 6) AS \"START_SLK\", round((max(x) + 1) / 1000.0, 6) AS \"END_SLK\", round(avg(cents), 4) AS m FROM g GROUP BY road, flag, k")(
+    lambda s, d: reshape.interval_merge(V.grid(s, d, 100.0).select("road", (F.col("f") / 1000).alias("a"), (F.col("t") / 1000).alias("b")), _km(s, d).drop("rid"), ["road"], "a", "b", {"m": F.avg("cents")}, split_at=["flag"], use_ranges=False).select("road", "flag", F.round("START_SLK", 6).alias("START_SLK"), F.round("END_SLK", 6).alias("END_SLK"), F.round("m", 4).alias("m")))
+query("interval_merge_cut", SQL["interval_merge_points"])(
     lambda s, d: reshape.interval_merge(V.grid(s, d, 100.0).select("road", (F.col("f") / 1000).alias("a"), (F.col("t") / 1000).alias("b")), _km(s, d).drop("rid"), ["road"], "a", "b", {"m": "cents"}, split_at=["flag"], use_ranges=False).select("road", "flag", F.round("START_SLK", 6).alias("START_SLK"), F.round("END_SLK", 6).alias("END_SLK"), F.round("m", 4).alias("m")))
 
 
