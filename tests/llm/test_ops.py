@@ -3,6 +3,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -321,8 +322,8 @@ def test_html(spark):
 
 
 def test_wrapper_alignment():
-    a, b = [["x", ""], ["y", ""], ["z", ""]], [["x", ""], ["z", "+"], ["w", ""]]
-    assert html.align(a, b) == [["x", ""], ["y", "?"], ["z", "+"], ["w", "?"]]
+    a, b = [["x", "", 1], ["y", "", 1], ["z", "", 1]], [["x", "", 2], ["z", "+", 2], ["w", "", 2]]
+    assert html.align(a, b) == [["x", "", 3], ["y", "?", 1], ["z", "+", 3], ["w", "?", 2]]
     assert html.folded(["p", "p", "q"]) == [["p", "+"], ["q", ""]]
 
 
@@ -340,7 +341,7 @@ def test_alignment_is_a_longest_common_subsequence():
         slots = html.placed([[x, ""] for x in a], [[x, ""] for x in b])
         met = [(k, x) for x, k in enumerate(slots) if k >= 0]
         assert len(met) == slow(a, b) and met == sorted(met) and all(a[k] == b[x] for k, x in met)
-        both = [x for x, _ in html.align([[x, ""] for x in a], [[x, ""] for x in b])]
+        both = [x for x, _, _ in html.align([[x, "", 1] for x in a], [[x, "", 1] for x in b])]
         for x in (a, b):
             rest = iter(both)
             assert all(y in rest for y, _ in itertools.groupby(x))
@@ -376,11 +377,50 @@ def test_html_template_text(spark):
     assert got[10:] == ["Same"] * 3
 
 
-def test_html_wrappers_past_their_size(spark, monkeypatch):
-    monkeypatch.setattr(html, "LOOSE", 4)
-    shapes = [[[f"a{k}", ""], ["n", ""], [f"b{k}", ""]] for k in range(6)]
-    ws = html.clustered(shapes)
-    assert len(ws) > 1 and all(-1 not in html.placed(next(w for w in ws if all(x in [y[0] for y in w] for x, _ in s)), s) for s in shapes)
+def test_html_reprints_keep_their_article(spark):
+    """Pages of a host that share their whole article, any number of them; what pages that are otherwise unlike share still goes."""
+    body = "".join(f"<p>Paragraph {k} of the one story that they all print.</p>" for k in range(6))
+    rows = []
+    for n in (2, 3, 8):
+        for tag in ("div class='x2'", "article"):
+            rows += [(f"http://{n}{tag[:3]}/{k}", f"<body><{tag}>{body}</{tag.split()[0]}><div class='x3'>Posted on day {k}.</div></body>") for k in range(n)]
+    rows += [(f"http://mixed/{k}", f"<body><div class='x1'>We use biscuits on all of our pages</div><div class='x2'>{body if k < 3 else f'<p>Story {k}, told once at some length and nowhere else.</p>'}</div></body>") for k in range(12)]
+    pages = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.url: r.text for r in html.extract(pages).collect()}
+    assert all(text.count("Paragraph") == 6 for url, text in got.items() if "mixed" not in url)
+    assert all(got[f"http://mixed/{k}"].count("Paragraph") == 6 for k in range(3))
+    assert all(got[f"http://mixed/{k}"] == f"Story {k}, told once at some length and nowhere else." for k in range(3, 12))
+
+
+def test_html_odd_nesting_is_linear():
+    n = 200_000
+    for page in ("<b>" * n + "<p>x</p>" + "</i>" * n, "<div>a" * n, "<b><p>x" * n, "</div>" * n + "x", "<li><dt>a" * n, "<table>" + "<tr><td>a" * n):
+        began = time.time()
+        assert html.blocks(page)
+        assert time.time() - began < 20
+    assert [t for _, t in html.blocks("<p>a<b>b</p><p>c</b>d<div>e<i>f</i></div>g")] == ["ab", "cd", "ef", "g"]
+
+
+def test_long_alignments_in_little_memory(monkeypatch):
+    rng = random.Random(9)
+    for size in (4, 1 << 24):
+        monkeypatch.setattr(html, "TABLE", size)
+        for _ in range(60):
+            a, b = (rng.choices("abcde", k=rng.randint(0, 40)) for _ in range(2))
+            m = html.matches(a, b)
+            assert len(m) == html.suffixes(a, b)(0, 0) and all(a[i] == b[j] for i, j in m)
+            assert all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(m))
+    a, b = (rng.choices([str(k) for k in range(50)], k=20_000) for _ in range(2))
+    began = time.time()
+    assert len(html.matches(a, b)) > 2_000 and time.time() - began < 60
+
+
+def test_wrappers_do_not_grow_with_a_host():
+    shape = lambda k: {"pages": 1, "slots": [["top", "", 1], [f"only{k}", "", 1], ["end", "", 1], ["foot", "", 1]]}
+    w = html.clustered([shape(k) for k in range(400)])
+    assert [x[0] for x in w[0]["slots"]] == ["top", "end", "foot"] and w[0]["pages"] == 400
+    assert len(html.clustered([shape(k) for k in range(100)])[0]["slots"]) == 103
+    assert len(html.clustered([{"pages": 1, "slots": [[f"a{k}", "", 1]]} for k in range(3000)] + [{"pages": 50, "slots": [["b", "", 50]]}])) == 1
 
 
 def test_tokens(spark):
