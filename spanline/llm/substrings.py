@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import components, discard, frame, hot_join, written
 
-SHINGLE, LEAST, RECALL, RUN_WORDS, KEY_WORDS, CACHE = 5, 0.8, 0.995, 50, 8, 500_000
+SHINGLE, LEAST, RECALL, RUN_WORDS, KEY_WORDS, CACHE, EDIT = 5, 0.8, 0.995, 50, 8, 500_000, 8
 _WORD = re.compile(r"[^\W_]+")
 _FULL = (1 << 64) - 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -32,6 +32,10 @@ def sizes(run_words: int = RUN_WORDS, least: float = LEAST) -> tuple[int, int]:
     return key, max(1, (run_words - key + 1) // tune(least, 0.99)[0])
 
 
+#: Source document and diagonal at either end of a stretch.
+FACE = ("fa", "da", "fb", "db")
+
+
 class _Hashes(dict):
     def __missing__(self, w: str) -> int:
         h = xxhash.xxh64_intdigest(w)
@@ -66,72 +70,98 @@ def anchors(h: np.ndarray, key_words: int, starts: int) -> tuple[np.ndarray, np.
     return at, keys[at]
 
 
-def stretches(at: np.ndarray, key_words: int, starts: int, run_words: int) -> list[tuple[int, int]]:
-    """(first, last) index of neighbouring places no further apart than a paragraph, of runs that can hold a passage.
+def windows(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n words from each place on; 0 where the text ends before. Polynomial prefix sums, so n costs nothing."""
+    powers = lambda x: np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(len(h), x, np.uint64), dtype=np.uint64)))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers(_A)[:-1], dtype=np.uint64)))
+    good = at + n <= len(h)
+    a = np.where(good, at, 0)
+    x = (total[np.minimum(a + n, len(h))] - total[a]) * powers(np.uint64(pow(int(_A), -1, 1 << 64)))[a]
+    return np.where(good, (x ^ x >> np.uint64(29)) * _B | np.uint64(1), np.uint64(0))
+
+
+def stretches(at: np.ndarray, source: np.ndarray, diagonal: np.ndarray, again: np.ndarray, key_words: int, starts: int, run_words: int) -> list[tuple[int, int]]:
+    """(first, last) index of neighbouring places that stand together in one earlier document, of runs that can hold a passage.
 
-    In a run two stretches may stand apart by an edit: both ends of one lose starts - 1 words and the key's.
+    Neighbours are no further apart than a paragraph, and either their first document (source) has both
+    at the same distance (diagonal), or both lie in a window of run_words - starts + 1 words, from a
+    place where `again` holds, that some earlier document has as a whole; each passage of run_words in
+    one document has such windows. In a run two stretches may stand apart by an edit: both ends of one
+    lose starts - 1 words and the key's.
     """
-    out, gap = [], np.diff(at)
+    out, gap, long = [], np.diff(at), run_words - starts + 1
+    seen = np.maximum.accumulate(np.where(again, at, -long))
+    together = (gap <= starts) & ((source[1:] == source[:-1]) & (diagonal[1:] == diagonal[:-1]) | (seen[:-1] + long >= at[1:] + key_words))
     for run in np.split(np.arange(len(at)), np.flatnonzero(gap > 2 * starts + key_words) + 1):
         if len(run) and at[run[-1]] + key_words - at[run[0]] >= run_words - 2 * (starts - 1):
-            out += [(int(x[0]), int(x[-1])) for x in np.split(run, np.flatnonzero(gap[run[:-1]] > starts) + 1)]
+            out += [(int(x[0]), int(x[-1])) for x in np.split(run, np.flatnonzero(~together[run[:-1]]) + 1)]
     return out
 
 
-def passages(parts: list[tuple[int, int]], run_words: int, least: float) -> list[tuple[int, int]]:
-    """(start, stop) of the passages of run_words that stretches (start, stop) of a document make.
+def passages(parts: list[tuple], run_words: int, least: float) -> list[tuple[int, int]]:
+    """(start, stop) of the passages of run_words that stretches (start, stop, source and diagonal at either end) of a document make.
 
-    Touching stretches are one. Stretches apart by g words are one passage if they hold 40 + 8 g words
-    (0.8 of five-word shingles, an edit of g words between them) and the Jaccard similarity of all
-    shingles, those outside stretches counted as different ones on both sides, is `least`.
+    Touching stretches are one where the source goes on, up to an edit, or where both are passages; pieces
+    of several documents are no passage. Stretches of one source apart by g words are one passage if they
+    hold 40 + 8 g words (0.8 of five-word shingles, an edit of g words between them) and the Jaccard
+    similarity of all shingles, those outside stretches counted as different ones on both sides, is `least`.
     """
-    one: list[list[int]] = []
-    for a, b in sorted(parts):
-        if one and a <= one[-1][1]:
-            one[-1][1] = max(b, one[-1][1])
+    one: list[list] = []
+    follows = lambda x, y: x[4] == y[2] and abs(x[5] - y[3]) <= EDIT
+    for y in sorted(parts):
+        x = one[-1] if one else None
+        if x and y[0] <= x[1] and (follows(x, y) or min(x[1] - x[0], y[1] - y[0]) >= run_words or y[1] <= x[1]):
+            one[-1] = [x[0], y[1], *x[2:4], *y[4:6]] if y[1] > x[1] else x
         else:
-            one.append([a, b])
+            one.append(list(y))
     out, group = [], []
 
     def close():
         if not group:
             return
         a, b = group[0][0], group[-1][1]
-        lost = sum(y[0] - x[1] + SHINGLE - 1 for x, y in zip(group, group[1:]))
+        lost = sum(max(0, y[0] - x[1]) + SHINGLE - 1 for x, y in zip(group, group[1:]))
         n = max(1, b - a - SHINGLE + 1)
         if b - a >= run_words and n - lost >= least * (n + lost):
             out.append((a, b))
         else:
-            out.extend((x, y) for x, y in group if y - x >= run_words)
+            out.extend((x[0], x[1]) for x in group if x[1] - x[0] >= run_words)
 
     for x in one:
         if group:
-            g = x[0] - group[-1][1]
-            if group[-1][1] - group[-1][0] + x[1] - x[0] < 40 + 8 * g:
+            g = max(0, x[0] - group[-1][1])
+            if not follows(group[-1], x) or group[-1][1] - group[-1][0] + x[1] - x[0] < 40 + 8 * g:
                 close()
                 group = []
         group.append(x)
     close()
-    return out
+    # Passages of different sources may overlap: what they cover goes once.
+    whole: list[list[int]] = []
+    for a, b in sorted(out):
+        if whole and a <= whole[-1][1]:
+            whole[-1][1] = max(whole[-1][1], b)
+        else:
+            whole.append([a, b])
+    return [(a, b) for a, b in whole]
 
 
-def _met(place: DataFrame) -> DataFrame:
-    """Places (id, dk, at, key) whose key two documents have, with the first of them: fdk and its id, keep.
+def _met(place: DataFrame, key: str = "key") -> DataFrame:
+    """place, where its key is one that two documents have, with the first of them: fdk, its id (keep) and the key's first place there (fat).
 
     One shuffle by key; keys that a 64th of the places (by hash) shows to hold over a 500th of all (at
     most 1,000 of them) are aggregated first and joined by broadcast, so no task holds a hot key.
     """
-    own = F.struct(F.isnull("id").alias("n"), "id", "dk")
-    some = place.where(F.pmod(F.xxhash64("dk", "at"), F.lit(64)) == 0).groupBy("key").agg(F.count("*").alias("n"))
+    own = F.struct(F.isnull("id").alias("n"), "id", "dk", "at")
+    some = place.where(F.pmod(F.xxhash64("dk", "at"), F.lit(64)) == 0).groupBy(key).agg(F.count("*").alias("n"))
     bar = max(200, (some.agg(F.sum("n")).first()[0] or 0) // 500)
-    hot = [r[0] for r in some.where(F.col("n") > bar).select("key").collect()]
-    is_hot = F.col("key").isin(hot) if hot else F.lit(False)
-    w = W.partitionBy("key")
-    names = ["id", "dk", "at", "key", F.col("f.dk").alias("fdk"), F.col("f.id").alias("keep")]
+    hot = [r[0] for r in some.where(F.col("n") > bar).select(key).collect()]
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    w = W.partitionBy(key)
+    names = [*place.columns, F.col("f.dk").alias("fdk"), F.col("f.id").alias("keep"), F.col("f.at").alias("fat")]
     out = place.where(~is_hot).withColumns({"lo": F.min("dk").over(w), "hi": F.max("dk").over(w), "f": F.min(own).over(w)}).where("lo <> hi").select(*names)
     if hot:
-        first = place.where(is_hot).groupBy("key").agg(F.min("dk").alias("lo"), F.max("dk").alias("hi"), F.min(own).alias("f")).where("lo <> hi")
-        out = out.unionByName(place.where(is_hot).join(F.broadcast(first), "key").select(*names))
+        first = place.where(is_hot).groupBy(key).agg(F.min("dk").alias("lo"), F.max("dk").alias("hi"), F.min(own).alias("f")).where("lo <> hi")
+        out = out.unionByName(place.where(is_hot).join(F.broadcast(first), key).select(*names))
     return out
 
 
@@ -140,11 +170,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
 
     Texts are lower-case words, lines of them numbered. Overlapping paragraphs are MinHashed; keys
     that two documents share are joined, and a key is to go wherever it isn't in its first document by
-    id. Keys to go that follow each other are stretches; their ends are extended, word by word and
+    id. Keys to go that follow each other are stretches where one earlier document has them so (see
+    stretches), so pieces of many documents are none; their ends are extended, word by word and
     exactly, as far as what stands there is in an earlier document too. Stretches make passages of
-    run_words, edits bridged at a Jaccard similarity of `least`. Passages that share the keys at their
+    run_words, edits of one source bridged at a Jaccard similarity of `least`. Passages that share the keys at their
     ends are clusters. keep_id is the first document of the passage's first key.
-    A passage may start and end anywhere in a line. Documents are told apart by id and text, null ids
+    A passage may start and end anywhere in a line. Documents are told apart by a 64-bit hash of id and text, null ids
     sort last; a row that repeats id and text counts once. What repeats within one document only
     stays. Null, empty and wordless texts match nothing; an empty table gives no rows.
     """
@@ -158,32 +189,43 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     def paragraphs(batches):
         known = _Hashes()
         for b in batches:
-            ids, dks, at, keys = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            ids, dks, at, keys, long = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             for i, dk, t in zip(b["id"], b["dk"], b["t"]):
                 ws = _WORD.findall(t.lower())
                 if len(ws) >= run_words:
-                    a, k = anchors(np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws)), key_words, starts)
+                    h = np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
+                    a, k = anchors(h, key_words, starts)
+                    long.append(windows(h, a, run_words - starts + 1))
                     ids += [i] * len(a)
                     dks.append(np.full(len(a), dk))
                     at.append(a)
                     keys.append(k)
-            yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "dk": np.concatenate([at[0], *dks]), "at": np.concatenate(at), "key": np.concatenate(keys).view(np.int64)})
+            yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "dk": np.concatenate([at[0], *dks]), "at": np.concatenate(at), "key": np.concatenate(keys).view(np.int64), "long": np.concatenate(long).view(np.int64)})
 
-    place = written(back(text.mapInPandas(paragraphs, "id string, dk long, at int, key long"), "id"), "zstd")
+    place = written(back(text.mapInPandas(paragraphs, "id string, dk long, at int, key long, long long"), "id"), "zstd")
     hits = written(_met(place), "zstd")
     discard(place)
+    # Which places' windows an earlier document has as a whole.
+    again = _met(hits.where("long <> 0").select("id", "dk", "at", "long"), "long").where("dk <> fdk").select("id", "dk", "at")
 
     def runs(batches):
         for b in batches:
             out = []
             for i, dk, x in zip(b["id"], b["dk"], b["x"]):
-                x = sorted(x, key=lambda r: r["at"])
-                for p, q in stretches(np.array([r["at"] for r in x]), key_words, starts, run_words):
-                    out.append((i, dk, x[p]["at"], x[q]["at"], x[p]["key"], x[q]["key"], x[p]["keep"]))
-            yield frame(out, "id", "dk", "a", "b", "ka", "kb", "keep")
-
-    per = hits.where("dk <> fdk").groupBy(F.col("id").cast("string").alias("id"), "dk").agg(F.collect_set(F.struct("at", "key", F.col("keep").cast("string").alias("keep"))).alias("x"))
-    part = written(back(per.mapInPandas(runs, "id string, dk long, a int, b int, ka long, kb long, keep string"), "id", "keep"))
+                seen = {r["at"] for r in x if r["again"]}
+                x = sorted((r for r in x if not r["again"]), key=lambda r: r["at"])
+                at, source = np.array([r["at"] for r in x], int), np.array([r["fdk"] for r in x], int)
+                diagonal = at - np.array([r["fat"] for r in x], int)
+                for p, q in stretches(at, source, diagonal, np.array([r["at"] in seen for r in x], bool), key_words, starts, run_words):
+                    out.append((i, dk, x[p]["at"], x[q]["at"], x[p]["key"], x[q]["key"], x[p]["keep"], source[p], diagonal[p], source[q], diagonal[q]))
+            yield frame(out, "id", "dk", "a", "b", "ka", "kb", "keep", "fa", "da", "fb", "db")
+
+    # A window's row has zeros, as nulls within lists reach pandas as floats.
+    none = F.lit(0).cast("long")
+    per = hits.where("dk <> fdk").select("id", "dk", "at", "key", "keep", "fdk", "fat", F.lit(False).alias("again"))
+    per = per.union(again.select("id", "dk", "at", none, F.lit(None), none, none, F.lit(True)))
+    per = per.groupBy(F.col("id").cast("string").alias("id"), "dk").agg(F.collect_set(F.struct("at", "key", F.col("keep").cast("string").alias("keep"), "fdk", "fat", "again")).alias("x"))
+    part = written(back(per.mapInPandas(runs, "id string, dk long, a int, b int, ka long, kb long, keep string, fa long, da int, fb long, db int"), "id", "keep"))
     # What stands before and after the keys at stretches' ends, wherever those keys stand.
     ends = part.select(F.col("ka").alias("key"), F.lit(True).alias("left")).union(part.select("kb", F.lit(False))).distinct()
     asked = hits.join(ends, "key").groupBy("dk").agg(F.collect_set(F.struct("at", "key", "left")).alias("x"))
@@ -225,20 +267,20 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     far = hot_join(occ, reach, "left", "all").withColumn("j", F.when(F.col("dk") != F.col("fdk"), F.size("exts") - 1).otherwise(F.col("j"))).where("j is not null")
     far = written(far.select(F.col("dk").alias("dk2"), "at", "left", "j", F.get("lines", F.col("j")).alias("line")))
     discard(occ, same, reach)
-    e = part.join(far.where("left"), (F.col("dk") == F.col("dk2")) & (F.col("a") == F.col("at"))).select("id", "dk", "b", "ka", "kb", "keep", (F.col("a") - F.col("j")).alias("start"), F.col("line").alias("l0"))
-    e = e.join(far.where("not left"), (F.col("dk") == F.col("dk2")) & (F.col("b") == F.col("at"))).select("id", "dk", "ka", "kb", "keep", "start", "l0", (F.col("b") + key_words + F.col("j")).alias("stop"), F.col("line").alias("l1"))
+    e = part.join(far.where("left"), (F.col("dk") == F.col("dk2")) & (F.col("a") == F.col("at"))).select("id", "dk", "b", "ka", "kb", "keep", *FACE, (F.col("a") - F.col("j")).alias("start"), F.col("line").alias("l0"))
+    e = e.join(far.where("not left"), (F.col("dk") == F.col("dk2")) & (F.col("b") == F.col("at"))).select("id", "dk", "ka", "kb", "keep", *FACE, "start", "l0", (F.col("b") + key_words + F.col("j")).alias("stop"), F.col("line").alias("l1"))
 
     def whole(batches):
         for b in batches:
             out = []
             for i, dk, x in zip(b["id"], b["dk"], b["x"]):
                 x = sorted(x, key=lambda r: (r["start"], r["stop"], r["ka"]))
-                for s, t in passages([(r["start"], r["stop"]) for r in x], run_words, least):
+                for s, t in passages([(r["start"], r["stop"], *(r[c] for c in FACE)) for r in x], run_words, least):
                     inside = [r for r in x if s <= r["start"] and r["stop"] <= t]
                     out.append((i, dk, s, t - s, inside[0]["l0"], max(r["l1"] for r in inside), inside[0]["keep"], [k for r in inside for k in (r["ka"], r["kb"])]))
             yield frame(out, "id", "dk", "first_word", "n_words", "first_par", "last_par", "keep_id", "keys")
 
-    got = e.groupBy(F.col("id").cast("string").alias("id"), "dk").agg(F.collect_set(F.struct("start", "stop", "l0", "l1", "ka", "kb", F.col("keep").cast("string").alias("keep"))).alias("x"))
+    got = e.groupBy(F.col("id").cast("string").alias("id"), "dk").agg(F.collect_set(F.struct("start", "stop", "l0", "l1", "ka", "kb", *FACE, F.col("keep").cast("string").alias("keep"))).alias("x"))
     got = back(got.mapInPandas(whole, "id string, dk long, first_word int, n_words int, first_par int, last_par int, keep_id string, keys array<long>"), "id", "keep_id")
     got = written(got.withColumn("node", F.xxhash64("id", "dk", "first_word")))
     label = components(got.select(F.col("node").alias("a"), F.explode("keys").alias("b"))).toDF("node", "cluster_id")

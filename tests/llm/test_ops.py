@@ -492,6 +492,29 @@ def test_substrings_inside_lines(spark):
     assert (par.first_par, par.last_par) == (0, copied.count("\n"))
 
 
+@pytest.mark.parametrize("one", [False, True])
+def test_substrings_pieced_together(spark, prose, one):
+    """Thirty words each of a stretch, in as many documents or in one but elsewhere, are no copy of it."""
+    whole = prose(120, 21).split()
+    pieces = [" ".join(whole[k : k + 30]) for k in range(0, 96, 18)]
+    texts = [" ".join(f"{prose(20, 50 + k)} {x}" for k, x in reversed(list(enumerate(pieces))))] if one else [f"{prose(20, 30 + k)} {x} {prose(20, 40 + k)}" for k, x in enumerate(pieces)]
+    assert substrings.repeats(docs(spark, [*texts, f"{prose(10, 60)} {' '.join(whole)}"])).count() == 0
+    # A later copy of the whole is one, whatever its pieces' first documents are.
+    got = substrings.repeats(docs(spark, [*texts, f"{prose(10, 60)} {' '.join(whole)}", f"{prose(14, 61)} alone {' '.join(whole)} {prose(5, 62)}"])).collect()
+    assert [(r.doc_id, r.first_word, r.n_words) for r in got] == [(len(texts) + 1, 15, 120)]
+
+
+def test_window_hashes(spark):
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 9, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x, y = substrings.windows(h, np.arange(400), 3), substrings.windows(np.concatenate((h[:7], h)), np.arange(407), 3)
+    assert (y[7:] == x).all() and (x[-2:] == 0).all() and not len(substrings.windows(h[:0], np.zeros(0, int), 3))
+    at = {}
+    for k in range(398):
+        assert at.setdefault(tuple(h[k : k + 3]), x[k]) == x[k]
+    assert len(set(at.values())) == len(at)
+
+
 def test_substrings_ids(spark, prose):
     """Null ids and ids that texts share are told apart by text; a passage that repeats in one document stays."""
     p, q = prose(70, 1), prose(60, 2)
