@@ -1,5 +1,6 @@
 """Hard-negative mining: cover trees over norm-augmented candidates, best-first descent within windows of scores."""
 import heapq
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,7 @@ class CoverTree:
     """
 
     def __init__(self, rows: pd.DataFrame):
+        self.known = None, {}
         self.v, self.labels, self.ids = matrix(rows["v"]), rows["label"].to_numpy(), rows["id"].to_numpy()
         square = (self.v**2).sum(axis=1)
         self.top = float(square.max(initial=0))
@@ -59,6 +61,27 @@ class CoverTree:
                 self.kids[n], self.rows[n] = np.array(kids), None
                 todo += kids
 
+    def packed(self) -> bytes:
+        """The tree as bytes; whole numbers of up to 32 bits are kept as such."""
+        v = self.v.astype(np.int32) if np.abs(self.v).max(initial=0) < 2**31 else self.v
+        return pickle.dumps((v, self.labels, self.ids, self.top, self.centre, self.radius, self.kids, self.rows))
+
+    @classmethod
+    def unpacked(cls, rows: pd.DataFrame) -> "CoverTree":
+        """The tree of a tile's one row."""
+        out = cls.__new__(cls)
+        v, out.labels, out.ids, out.top, out.centre, out.radius, out.kids, out.rows = pickle.loads(rows["tree"].iloc[0])
+        out.v, out.known = v.astype(float), (None, {})
+        return out
+
+    def bounds_of_kids(self, q: np.ndarray, length: float, own: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """bounds() of a node's children, kept for the windows of one anchor."""
+        if self.known[0] != own:
+            self.known = own, {}
+        if n not in self.known[1]:
+            self.known[1][n] = self.bounds(q, length, self.kids[n])
+        return self.known[1][n]
+
     def bounds(self, q: np.ndarray, length: float, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least and most that a row of each node can score."""
         s, r = self.v[self.centre[nodes]] @ q, self.radius[nodes]
@@ -86,7 +109,7 @@ class CoverTree:
                 rows = [self.rows[n]]
             else:
                 kids = self.kids[n]
-                low_, high_ = self.bounds(q, length, kids)
+                low_, high_ = self.bounds_of_kids(q, length, own, n)
                 open_ = (high_ >= floor) & (low_ <= high)
                 rows = []
                 for c, h in zip(kids[open_].tolist(), high_[open_].tolist()):
@@ -105,6 +128,17 @@ class CoverTree:
         return scores, ids
 
 
+def _grown(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"tile": rows["tile"].iloc[:1], "tree": [CoverTree(rows.sort_values("id")).packed()]})
+
+
+def _between(scores: np.ndarray, low: int, high: int) -> np.ndarray:
+    """low <= 100 * score <= high, in whole numbers: doubles hold them below 2^45, beyond that Python does."""
+    if scores.dtype != object and max(abs(low), abs(high)) < 2**52 and np.abs(scores).max(initial=0) < 2**45:
+        return (100 * scores >= low) & (100 * scores <= high)
+    return np.array([low <= 100 * int(x) <= high for x in scores], bool)
+
+
 def _frame(rows: list[tuple], *names: str):
     if rows:
         yield pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*rows))})
@@ -121,11 +155,12 @@ def _positives(tree: CoverTree, asks: pd.DataFrame, k: int):
 
 def _negatives(tree: CoverTree, asks: pd.DataFrame, k: int, share: int):
     out = []
+    asks = asks.sort_values("id")
     vs = fit(matrix(asks["v"]), tree.v.shape[1])
     for q, own, label, top, floor in zip(vs, asks["id"], asks["label"], asks["positive_score"], asks["floor"].to_numpy(float, na_value=-np.inf)):
         top, low = int(top), int(top) * share / 100
         # Whole numbers decide; the bounds of nodes have slack for rounding.
-        within = lambda s: np.array([share * top <= 100 * int(x) <= 100 * top for x in s], bool)  # noqa: B023, E731
+        within = lambda s: _between(s, share * top, 100 * top)  # noqa: B023, E731
         s, ids = tree.window(q, own, label, False, max(low - 1e-9 * abs(low), floor), float(top), k, within)
         out.append((np.full(len(s), own), np.full(len(s), top), as_long(s), ids))
     return _frame(out, "anchor_id", "positive_score", "score", "id")
@@ -164,17 +199,18 @@ def mine(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", labe
     tiles, n = tiled(celled, [F.col("label"), F.col("cell"), F.col("id")], size)
     heads = written(tiles.groupBy("tile").agg(F.min("label").alias("a"), F.max("label").alias("z")))
     cols = ["id", "label", "v"]
-    trees = tiles.select("tile", *cols)
+    # One tree for each tile, grown once and asked in every round.
+    trees = written(tiles.select("tile", *cols).groupBy("tile").applyInPandas(_grown, "tile int, tree binary"), "zstd")
     anchors = tiles.where(F.col("id") % every == 0).select(*cols, F.col("tile").alias("seed"))
     none = F.lit(None).cast("long").alias("floor")
 
-    found = meet(trees, anchors.select("*", F.col("seed").alias("tile"), none), n, CoverTree, lambda t, a: _positives(t, a, positives), "anchor_id long, score long, id long")
+    found = meet(trees, anchors.select("*", F.col("seed").alias("tile"), none), n, CoverTree.unpacked, lambda t, a: _positives(t, a, positives), "anchor_id long, score long, id long")
     found = written(best(found, ["anchor_id"], "score", "id", positives))
     low, high = 1, min(n, 1 + GROWTH)
     while low < n:
         more = _turn(anchors, found, ["anchor_id"], positives, low, high, n)
         more = more.join(heads, "tile").where("label between a and z").drop("a", "z")
-        got = meet(trees, more, n, CoverTree, lambda t, a: _positives(t, a, positives), "anchor_id long, score long, id long")
+        got = meet(trees, more, n, CoverTree.unpacked, lambda t, a: _positives(t, a, positives), "anchor_id long, score long, id long")
         found, low, high = _merged(found, got, ["anchor_id"], positives), high, min(n, high * GROWTH)
 
     asks = found.select(F.col("anchor_id").alias("id"), F.col("score").alias("positive_score")).where("positive_score >= 0").distinct()
@@ -184,9 +220,9 @@ def mine(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", labe
     while low < n:
         more = _turn(asks, hard, key, negatives, low, high, n)
         more = more.join(heads, "tile").where("not (a = z and a = label)").drop("a", "z")
-        got = meet(trees, more, n, CoverTree, lambda t, a: _negatives(t, a, negatives, share), "anchor_id long, positive_score long, score long, id long")
+        got = meet(trees, more, n, CoverTree.unpacked, lambda t, a: _negatives(t, a, negatives, share), "anchor_id long, positive_score long, score long, id long")
         hard, low, high = _merged(hard, got, key, negatives), high, min(n, high * GROWTH)
-    discard(rows, celled, tiles, heads, asks)
+    discard(rows, celled, tiles, heads, trees, asks)
     p = found.select("anchor_id", F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
     return p.join(hard, key).select("anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
