@@ -11,6 +11,7 @@ from .operators.homogeneous import cumulative_p, cumulative_q, mcv, shs  # noqa:
 from .operators.merge import backend, on_intervals, on_slk_intervals  # noqa: F401
 from .operators.reshape import cway_to_side, get_segments, interval_merge, lane_side_split, lane_to_col, lane_to_row, make_segments, segments_of_intervals, stretch, wide_lanes_to_row  # noqa: F401
 from .operators.segments import check_disjoint, check_linear_index, check_monotonic, check_no_reversed, cross_sections, cross_sections_normalised, longest_overlap, overlay, segment_ids, split_to_max_length  # noqa: F401
+from .performance import configure_performance_logger  # noqa: F401
 from .sources.arcgis import ArcGISDataSource
 
 on_slk_intervals_auto = on_slk_intervals_optimized = on_slk_intervals_fallback = on_slk_intervals_legacy = on_slk_intervals

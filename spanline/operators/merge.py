@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import DuplicateLabelError, InvalidAggregationError, InvalidDataFrameError, InvalidJoinConfigurationError, OutputCollisionError, ZeroLengthSegmentError
+from ..performance import timed
 from ..tables import written
 from .aggregations import ANY_TYPE, BY_INDEX, Action, Aggregation, Kind, compiled
 from .percentile import joined, weighted_percentiles
@@ -58,6 +59,11 @@ def on_slk_intervals(target: DataFrame, data: DataFrame, join_left: list[str], c
     found by prefix sums over ranges of values (see percentile.py), so no target's rows are an array.
     check_rows costs two jobs.
     """
+    with timed("merge", actions=len(column_actions), keys=len(join_left) if isinstance(join_left, list) else 0):
+        return _merged(target, data, join_left, column_actions, from_to, index_col, bin_width, check_rows)
+
+
+def _merged(target: DataFrame, data: DataFrame, join_left, column_actions: list[Action], from_to, index_col: str | None, bin_width: float | None, check_rows: bool) -> DataFrame:
     validate(target, data, join_left, column_actions, from_to, check_rows)
     needs = [a.aggregation.kind.name for a in column_actions if a.aggregation.kind in BY_INDEX]
     if needs and index_col is None:

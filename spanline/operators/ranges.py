@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..performance import timed
 from ..tables import written
 
 BASE, DEPTH = 4.0, 26
@@ -38,7 +39,9 @@ class _Classes:
         finite = lambda c: F.when(F.abs(c) < math.inf, F.col(c))
         one = lambda d, a, b, side: d.groupBy(_class(a, b).alias("c")).agg(F.count("*").alias("n"), F.min(F.least(finite(a), finite(b))).alias("lo"), F.max(F.greatest(finite(a), finite(b))).alias("hi")).withColumn("s", F.lit(side))
         # One small job: a row for each class of either side.
-        rows = one(left, "__tf", "__tt", 0).unionByName(one(right, "__from", "__to", 1)).collect()
+        with timed("length_classes") as told:
+            rows = one(left, "__tf", "__tt", 0).unionByName(one(right, "__from", "__to", 1)).collect()
+            told["classes"] = len(rows)
         lo, hi = min((r.lo for r in rows if r.lo is not None), default=0.0), max((r.hi for r in rows if r.hi is not None), default=0.0)
         self.lo, self.hi = lo - 1, hi + 1
         self.top = math.floor(math.log(max(self.hi - self.lo, 1e-300), BASE))

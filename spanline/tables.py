@@ -4,6 +4,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .performance import timed
+
 
 def scratch(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; on a local master, where that is unset, a temporary one."""
@@ -20,7 +22,8 @@ def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """df, written to the shared folder as Parquet and read back."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
+    with timed("written_table", columns=len(df.columns)):
+        df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

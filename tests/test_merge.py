@@ -99,3 +99,22 @@ def test_kinds_that_need_an_index(frames):
         on_slk_intervals(t, d, ["road"], [Action("v", A.First())], ("f", "t"))
     got = on_slk_intervals(t, d, ["road"], [Action("c", A.KeepLongest(), "k"), Action("v", A.KeepLongest(), "n"), Action("v", A.Sum(), "s")], ("f", "t")).collect()
     assert [(r.k, r.n, r.s) for r in sorted(got, key=lambda r: r.f)][0] == ("A", 1.0, 1.0)
+
+
+def test_performance_logger(frames):
+    from spanline.names import configure_performance_logger
+
+    told = []
+    configure_performance_logger(lambda event, figures: told.append((event, figures)))
+    try:
+        run(*frames, Action("v", A.LengthWeightedPercentile(0.5)), Action("v", A.Sum(), "s"))
+        assert [e for e, _ in told][-1] == "merge" and {"length_classes", "written_table"} < {e for e, _ in told}
+        assert told[-1][1]["actions"] == 2 and all(isinstance(x, float) and x >= 0 for _, f in told for x in f.values())
+        n = len(told)
+        with pytest.raises(InvalidJoinConfigurationError):
+            on_slk_intervals(*frames, "road", [], ("f", "t"))
+        configure_performance_logger(None)
+        run(*frames, Action("v", A.Sum()))
+        assert len(told) == n
+    finally:
+        configure_performance_logger(None)

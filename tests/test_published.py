@@ -25,7 +25,7 @@ def test_published_segments(spark, kind):
     want = [n + 1 for n, k in enumerate(SEGMENTS[kind]) for _ in range(k)]
     d = table(spark, DEFLECTION)
     assert ids(d, kind, (0.05, 0.2)) == want
-    assert ids(d, kind, (0.05, 0.2), task_rows=40) == want
+    assert ids(d, kind, (0.05, 0.2), task_rows=70) == want
 
 
 @pytest.mark.parametrize("kind", ["q", "p"])
@@ -44,7 +44,7 @@ def test_task_rows_change_nothing(spark, kind, values):
     v = {"constant": np.full(90, 0.1), "decimal": level * 1.1, "whole": level.astype(float), "large": rng.normal(0, 1, 90) + 1e7}[values]
     d = table(spark, v, 0.1)
     one = ids(d, kind, (0.2, 1.5))
-    assert ids(d, kind, (0.2, 1.5), task_rows=30) == one
+    assert ids(d, kind, (0.2, 1.5), task_rows=60) == one
     if values == "constant" and kind == "q":
         assert set(one) == {1}
 

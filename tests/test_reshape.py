@@ -29,8 +29,7 @@ def rows(df):
     return sorted(tuple((x is None, x if isinstance(x, str) else round(x or 0, 6)) for x in r) for r in df.select(cols).collect())
 
 
-@pytest.mark.parametrize("true", [(), ("ta", "tb")])
-@pytest.mark.parametrize("split", [(), ["k"], True])
+@pytest.mark.parametrize(("true", "split"), [((), True), (("ta", "tb"), ["k"]), (("ta", "tb"), ())])
 def test_segments_of_intervals(spark, true, split):
     d = side(spark, 1).drop(*[c for c in ("ta", "tb") if not true], "w")
     cut = reshape.segments_of_intervals(d, ["g"], "a", "b", *(true or (None, None)), split_at=split, summarise={"m": "v"})
@@ -38,8 +37,7 @@ def test_segments_of_intervals(spark, true, split):
     assert rows(cut) == rows(points) and cut.count() > 10
 
 
-@pytest.mark.parametrize("split", ["left", "right", True, False, ["k"]])
-@pytest.mark.parametrize("use_ranges", [True, False])
+@pytest.mark.parametrize(("split", "use_ranges"), [("left", False), ("right", True), (True, False), (False, True), (["k"], False)])
 def test_interval_merge(spark, split, use_ranges):
     left, right = side(spark, 2, 15).select("g", "a", "b", "k"), side(spark, 3, 25).select("g", "a", "b", F.col("w").alias("z"), "v")
     left = left.where("g is not null and a < b")

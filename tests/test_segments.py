@@ -96,7 +96,7 @@ def test_homogeneous_by_rounds_is_bisection_in_one_task(spark):
         x = d if groups else d.where("g = 'a'")
         ids = lambda n: {(r.g, r.f): r.segment_id for r in homogeneous.segment_ids(x, ("f", "t"), variables, (low, 2.0), kind, groups, task_rows=n).collect()}  # noqa: E731,B023
         one = ids(100_000)
-        assert ids(80) == one and len(set(one.values())) > 10
+        assert ids(180) == one and len(set(one.values())) > 10
 
 
 def test_prefix_sums_in_ranges(spark):
