@@ -27,7 +27,7 @@ def features(text: str | None) -> np.ndarray:
 def fit(x: np.ndarray, y: np.ndarray, steps: int = 400, pairs: int = 60_000, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and threshold: logistic loss on feature differences of preferred and other documents.
 
-    The threshold is the score quantile that splits the sample with the fewest errors, so that 0 is the cut.
+    The threshold is the middle of the score quantiles that split the sample with the fewest errors, so that 0 is the cut.
     """
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     w = np.zeros(x.shape[1])
