@@ -142,9 +142,26 @@ _CV = "CASE WHEN n{0} > 1 THEN sqrt(greatest(0, (n{0} * q{0} / (s{0} * s{0}) - 1
 query("cumulative_p", _QP + f"SELECT rid, round(({_CV.format('l')} + {_CV.format('r')}) / 2, 7) AS p FROM w WHERE nr IS NOT NULL")(lambda s, d: _rounded(homogeneous.cumulative_p(_cond(s, d), ["road"], "rid", "v").select("rid", "p"), 7))
 query("best_bisection", _QP + f", x AS (SELECT w.*, o.len, o.tot, o.nxt FROM w JOIN (SELECT rid, t AS len, max(t) OVER (PARTITION BY road) AS tot, lead(t) OVER (PARTITION BY road ORDER BY rid) AS nxt FROM obs) o USING (rid)), y AS (SELECT road, rid, {_Q} AS q, coalesce(len > 100 AND tot - CASE WHEN nxt = tot THEN len ELSE nxt END > 100, false) AS inn FROM x WHERE nr IS NOT NULL) SELECT road, first(rid ORDER BY round(q, 9) DESC, rid) AS rid, round(max(q), 7) AS q FROM y WHERE inn GROUP BY road")(
     lambda s, d: _rounded(homogeneous.best_bisection(_cond(s, d), ["road"], "rid", "v", "qty", 100.0).groupBy("road").agg(F.min("rid").alias("rid"), F.max("best_q").alias("q")), 7))
-for _n, _f in (("shs", homogeneous.shs), ("mcv", homogeneous.mcv)):
-    query(f"homogeneous_{_n}")(lambda s, d, f=_f: f(_cond(s, d).select("road", "rid", "f", "t", "v"), ("f", "t"), ["v"], (200.0, 1000.0), ["road"]))
-
+_MEAN_Q = "CASE WHEN qa > 1e-24 * na * m * m THEN 1 - (greatest(0, q - s * s / n) + greatest(0, qa - q - s * s / (na - n))) / qa END"
+_SIDE = "CASE WHEN {n} > 1 AND {s} + {n} * m <> 0 THEN sqrt(greatest(0, {q} - {s} * {s} / {n}) / ({n} - 1)) * {n} / abs({s} + {n} * m) END"
+_MEAN_P = f"({_SIDE.format(n='n', s='s', q='q')} + {_SIDE.format(n='(na - n)', s='(-s)', q='(qa - q)')}) / 2"
+
+
+def _bisected(x: str, best: str, equal: str) -> str:
+    """Segments (road, a, z) split over and over at the places where x is best, by a recursive query; ids count the starts so far."""
+    return V.sql("obs").replace("WITH ", "WITH RECURSIVE ", 1) + f""", c AS (SELECT road, rid, f, t, cents / 1e6 AS v, t - f AS len, row_number() OVER (PARTITION BY road ORDER BY f, t) AS k FROM obs),
+g AS (SELECT road, 1::BIGINT AS a, max(k) AS z, sum(len) AS total FROM c GROUP BY road UNION ALL
+SELECT road, b AS a, coalesce(lead(b) OVER (PARTITION BY road, a ORDER BY b), z + 1) - 1 AS z, len AS total FROM (
+SELECT road, a, z, b, sum(len) AS len FROM (SELECT *, max(CASE WHEN k = a OR is_cut THEN k END) OVER (PARTITION BY road, a ORDER BY k) AS b, max(is_cut) OVER (PARTITION BY road, a) AS any_cut FROM (
+SELECT *, coalesce({equal}, false) AS is_cut FROM (SELECT *, {best}(x) OVER (PARTITION BY road, a) AS best FROM (SELECT *, CASE WHEN n > 0 AND before > 200 AND la - before - CASE WHEN k = z THEN 0 ELSE len END > 200 THEN {x} END AS x FROM (
+SELECT *, sum(1.0::DOUBLE) OVER p AS n, sum(v - m) OVER p AS s, sum((v - m) * (v - m)) OVER p AS q, sum(len) OVER p AS before, sum((v - m) * (v - m)) OVER w AS qa, count(*) OVER w AS na, sum(len) OVER w AS la
+FROM (SELECT g.road, a, z, k, v, len, avg(v) OVER (PARTITION BY g.road, a) AS m FROM g JOIN c ON c.road = g.road AND k BETWEEN a AND z WHERE total > 1000)
+WINDOW p AS (PARTITION BY road, a ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), w AS (PARTITION BY road, a)))))) WHERE any_cut GROUP BY road, a, z, b))
+SELECT c.road, rid, f, t, v, sum(CASE WHEN i.a IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY c.road ORDER BY k)::BIGINT AS segment_id FROM c LEFT JOIN (SELECT DISTINCT road, a FROM g) i ON i.road = c.road AND i.a = c.k"""
+
+
+for _n, _f, _s in (("shs", homogeneous.shs, _bisected(_MEAN_Q, "max", "x >= best - 1e-9")), ("mcv", homogeneous.mcv, _bisected(_MEAN_P, "min", "x <= best + 1e-9 * greatest(1, abs(best))"))):
+    query(f"homogeneous_{_n}", _s)(lambda s, d, f=_f: f(_cond(s, d).select("road", "rid", "f", "t", "v"), ("f", "t"), ["v"], (200.0, 1000.0), ["road"]))
 _km = lambda s, d: V.obs(s, d).select("rid", "road", "flag", "cents", (F.col("f") / 1000).alias("a"), (F.col("t") / 1000).alias("b"))
 query("stretch", V.sql("obs") + "SELECT rid, unnest(range(f::BIGINT, t::BIGINT)) / 1000.0::DOUBLE AS SLK FROM obs")(lambda s, d: reshape.stretch(_km(s, d).select("rid", "a", "b"), "a", "b"))
 query("make_segments", V.sql("obs") + "SELECT rid, f + k * 7 AS a, least(t, f + (k + 1) * 7) AS b, least(t, f + (k + 1) * 7) - (f + k * 7) AS Length FROM (SELECT *, unnest(range(0, ceil((t - f) / 7)::BIGINT)) AS k FROM obs)")(lambda s, d: reshape.make_segments(_km(s, d).select("rid", "a", "b"), "a", "b", max_segment=7, split_ends=False, as_km=False))
