@@ -34,6 +34,7 @@ def sizes(run_words: int = RUN_WORDS, least: float = LEAST) -> tuple[int, int]:
 
 #: Source document and diagonal at either end of a stretch.
 FACE = ("fa", "da", "fb", "db")
+KEYS = ("at", "key", "keep", "fdk", "fat", "again")
 
 
 class _Hashes(dict):
@@ -211,20 +212,20 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     def runs(batches):
         for b in batches:
             out = []
-            for i, dk, x in zip(b["id"], b["dk"], b["x"]):
-                seen = {r["at"] for r in x if r["again"]}
-                x = sorted((r for r in x if not r["again"]), key=lambda r: r["at"])
-                at, source = np.array([r["at"] for r in x], int), np.array([r["fdk"] for r in x], int)
-                diagonal = at - np.array([r["fat"] for r in x], int)
-                for p, q in stretches(at, source, diagonal, np.array([r["at"] in seen for r in x], bool), key_words, starts, run_words):
-                    out.append((i, dk, x[p]["at"], x[q]["at"], x[p]["key"], x[q]["key"], x[p]["keep"], source[p], diagonal[p], source[q], diagonal[q]))
+            for i, dk, at, key, keep, source, fat, again in zip(*(b[c] for c in ("id", "dk", *KEYS))):
+                m = ~again
+                seen, at, key, keep, source = at[again], at[m], key[m], keep[m], source[m]
+                diagonal = at - fat[m]
+                for p, q in stretches(at, source, diagonal, np.isin(at, seen), key_words, starts, run_words):
+                    out.append((i, dk, at[p], at[q], key[p], key[q], keep[p], source[p], diagonal[p], source[q], diagonal[q]))
             yield frame(out, "id", "dk", "a", "b", "ka", "kb", "keep", "fa", "da", "fb", "db")
 
-    # A window's row has zeros, as nulls within lists reach pandas as floats.
+    # A window's row has zeros. Lists of plain values reach pandas as arrays: lists of structs, as dicts, take ten times the memory.
     none = F.lit(0).cast("long")
     per = hits.where("dk <> fdk").select("id", "dk", "at", "key", "keep", "fdk", "fat", F.lit(False).alias("again"))
     per = per.union(again.select("id", "dk", "at", none, F.lit(None), none, none, F.lit(True)))
-    per = per.groupBy(F.col("id").cast("string").alias("id"), "dk").agg(F.collect_set(F.struct("at", "key", F.col("keep").cast("string").alias("keep"), "fdk", "fat", "again")).alias("x"))
+    per = per.groupBy(F.col("id").cast("string").alias("id"), "dk").agg(F.array_sort(F.collect_set(F.struct("at", "key", F.col("keep").cast("string").alias("keep"), "fdk", "fat", "again"))).alias("x"))
+    per = per.select("id", "dk", *[F.col(f"x.{c}").alias(c) for c in KEYS])
     part = written(back(per.mapInPandas(runs, "id string, dk long, a int, b int, ka long, kb long, keep string, fa long, da int, fb long, db int"), "id", "keep"))
     # What stands before and after the keys at stretches' ends, wherever those keys stand.
     ends = part.select(F.col("ka").alias("key"), F.lit(True).alias("left")).union(part.select("kb", F.lit(False))).distinct()
