@@ -2,15 +2,17 @@
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.steps import linspace_steps, pieces
 from ..tables import written
 from . import ranges
-from .ranges import attached, both, largest, overlaps, scanned
+from .ranges import attached, both, largest, overlaps, running, scanned
 
 P3 = lambda c: F.round(F.col(c) * 1000)
+MOST_LISTED, MEAN_LISTED = 1_000, 8.0
 
 
 def _same(a: Column, b: Column, names: list[str]) -> Column:
@@ -112,34 +114,109 @@ def overlay(original: DataFrame, additional: DataFrame, categories: list[str], m
     return e.select(*categories, F.col("slk").alias(sf), F.col("__n.slk").alias(st), F.col("tm").alias(tf), F.col("__n.tm").alias(tt), F.col("__p0").alias(name_original), F.col("__p1").alias(name_additional))
 
 
-def cross_sections(df: DataFrame, groups: list[str], cats: list[str], measure_slk, measure_true, number: str = "cross_section_number", original_index: str = "original_index", overlap: str = "overlap", index_col: str = "rid", bin_width: float | None = None) -> DataFrame:
+def _nodes(first: str, end: str) -> Column:
+    """The aligned runs of 2^level numbers that make up first to end (excluded): at most two of each level."""
+    level = f"sequence(0, cast(floor(log2({end} - {first})) as int))"
+    a, z = f"shiftright({first} + shiftleft(1L, l) - 1, l)", f"shiftright({end}, l)"
+    left, right = f"if({a} < {z} and {a} % 2 = 1, struct(l as level, {a} as node), null)", f"if({a} < {z} and {z} % 2 = 1, struct(l as level, {z} - 1 as node), null)"
+    return F.expr(f"explode(filter(flatten(transform({level}, l -> array({left}, {right}))), x -> x is not null))")
+
+
+def _changes(s: DataFrame, groups: list[str], cats: list[str]) -> DataFrame:
+    """(groups, __i, __changed): whether the ordered paths at piece __i differ from those at the piece before, wherever a source starts or ends.
+
+    s has a source's first and last piece (__i0, __i1) and its __key, a struct that starts with its start
+    and its path. What starts comes after all that stays, so paths are the same if the same paths end
+    and start (counted, without lists) and what ends are the last ones, in the same order. What stays
+    after one that ended is found through aligned runs of pieces; only there what stays is compared.
+    """
+    side = F.explode(F.array(F.struct(F.col("__i0").alias("i"), F.lit(1).alias("side")), F.struct((F.col("__i1") + 1).alias("i"), F.lit(-1).alias("side")))).alias("__e")
+    e = s.select(*groups, *cats, "__key", side).select(*groups, *cats, "__key", F.col("__e.i").alias("__i"), F.col("__e.side").alias("__side"))
+    gone = F.col("__side") < 0
+    m = e.groupBy(*groups, "__i", *cats).agg(F.sum("__side").alias("n"), F.min(F.when(gone, F.col("__key"))).alias("__first"), F.count_if(gone).alias("k"))
+    m = written(m.groupBy(*groups, "__i").agg(F.max(F.col("n") != 0).alias("__changed"), F.min("__first").alias("__first"), F.sum("k").alias("__k")))
+    same = m.where("not __changed")
+    # Runs of 2^level pieces up to the longest source's: a piece lies in one of each level.
+    deep = s.agg(F.max(F.col("__i1") - F.col("__i0"))).first()[0] or 0
+    late = None
+    if deep:
+        runs = s.where("__i1 > __i0").select(*groups, "__key", _nodes("(__i0 + 1)", "(__i1 + 1)").alias("__n")).select(*groups, "__key", "__n.*")
+        level = F.explode(F.sequence(F.lit(0), F.lit(deep.bit_length() - 1))).alias("level")
+        at = same.select(*groups, "__i", "__first", level).withColumn("node", F.expr("shiftright(__i, level)"))
+        last = runs.groupBy(*groups, "level", "node").agg(F.max("__key").alias("__late"))
+        late = written(at.join(last, [*groups, "level", "node"]).where("__late > __first").select(*groups, "__i", "level", "node", "__first"))
+    many, mixed = same.where("__k > 1").select(*groups, "__i"), late is not None and not late.isEmpty()
+    if mixed:
+        many = many.union(late.select(*groups, "__i")).distinct()
+    rows = e.join(many, [*groups, "__i"]).select(*groups, "__i", "__side", "__key")
+    if mixed:
+        stays = late.join(runs, [*groups, "level", "node"]).where("__key > __first")
+        rows = rows.union(stays.select(*groups, "__i", F.explode(F.array(F.lit(-1), F.lit(1))), "__key"))
+    w = W.partitionBy(*groups, "__i", "__side").orderBy("__key")
+    path = F.struct(*[F.col("__key")[f"c{k}"].alias(f"c{k}") for k in range(len(cats))])
+    other = rows.select(*groups, "__i", F.row_number().over(w).alias("r"), path.alias("p")).groupBy(*groups, "__i", "r").agg(F.min("p").alias("a"), F.max("p").alias("b"))
+    other = other.where("a <> b").select(*groups, "__i").distinct().withColumn("__changed", F.lit(True))
+    return m.where("__changed").select(*groups, "__i", "__changed").union(other)
+
+
+def cross_sections(df: DataFrame, groups: list[str], cats: list[str], measure_slk, measure_true, number: str = "cross_section_number", original_index: str = "original_index", overlap: str = "overlap", index_col: str = "rid") -> DataFrame:
     """One row per section, active path and source; a section starts when the ordered active paths change.
 
-    Bounds of a group, and the paths between neighbouring bounds, are scanned by ranges of their
-    order, so a hot group is many tasks; what is held at once is the sources active at one place.
+    Pieces between neighbouring bounds of a group where SLK goes on and a source is active are numbered by
+    scans of the bounds, so a hot group is many tasks; a source is its first and last piece, and meets the
+    sections between its own first and last. Where pieces have MOST_LISTED sources at most, MEAN_LISTED on average,
+    neighbouring pieces compare lists of theirs. Else, with the same result, sections come from what starts and
+    ends at a piece (see _changes), so work grows with bounds and output; only where sources of one path overlap while
+    the paths stay the same are the sources there compared for each bound. Rows with a null group
+    or path are left out; empty, reversed, null and NaN intervals are no sources, but their bounds cut.
     """
     (sf, st), (tf, tt) = measure_slk, measure_true
     d = df.where(both([F.col(c).isNotNull() for c in [*groups, *cats]]))
-    ev = lambda f, s, k: F.struct(F.col(f).cast("double").alias("t"), F.lit(k).alias("k"), F.col(s).alias("s"))
+    f, t = F.col(tf).cast("double"), F.col(tt).cast("double")
+    real = F.coalesce((f < t) & ~F.isnan(t), F.lit(False))
+    ev = lambda x, s, k: F.struct(x.alias("t"), F.lit(k).alias("k"), F.col(s).alias("s"))
     # A source ends before another starts at one place; of events at one place the last one's SLK stands.
-    e = d.select(*groups, F.explode(F.array(ev(tf, sf, 1), ev(tt, st, 0))).alias("e")).groupBy(*groups, F.col("e.t").alias("__a")).agg(F.max(F.struct("e.k", "e.s")).alias("x"), F.min(F.struct("e.k", "e.s")).alias("y"))
+    e = d.select(*groups, real.alias("__real"), F.explode(F.array(ev(f, sf, 1), ev(t, st, 0))).alias("e")).groupBy(*groups, F.col("e.t").alias("__a"))
+    e = e.agg(F.max(F.struct("e.k", "e.s")).alias("x"), F.min(F.struct("e.k", "e.s")).alias("y"), F.sum(F.when(F.col("__real"), 2 * F.col("e.k") - 1).otherwise(0)).alias("__d"))
     g = [f"g{k}" for k in range(len(groups))]
     own = [F.col(c).alias(k) for k, c in zip(g, groups)]
     most = 2 * largest(d, groups)
-    if most > ranges.RANGE_ROWS:
-        e = written(e)
-    e = scanned(e, [*groups, "__a"], F.struct(*own, F.col("__a").alias("t"), F.col("y.s").alias("s")), lead="__n", within=groups, most=most).where(_same(F.col("__n"), F.struct(*own), g))
-    a = e.select(*groups, "__a", F.col("__n.t").alias("__b"), F.col("x.s").alias("__as"), F.col("__n.s").alias("__bs")).where("__b > __a and __bs > __as")
-    # Between neighbouring bounds what overlaps is there throughout; sections and sources meet in bins.
-    act = overlaps(a, d, groups, ("__a", "__b"), (tf, tt), {c: F.col(c) for c in cats} | {original_index: F.col(index_col).cast("long")}, bin_width, ("__as", "__bs"))
-    sig = act.groupBy(*groups, F.col("__tf").alias("__a"), F.col("__tt").alias("__b"), "__as", "__bs").agg(F.array_sort(F.collect_list(F.struct(F.col("__from").alias("__f"), *cats, original_index))).alias("__l"))
-    paths = F.transform("__l", lambda x: F.struct(*[x[c] for c in cats]))
-    sec = scanned(written(sig) if most > ranges.RANGE_ROWS else sig, [*groups, "__a"], F.struct(*own, paths.alias("paths")), breaks={"__k": lambda p, q: ~_same(p, q, [*g, "paths"])}, within=groups, most=most)
-    sec = sec.withColumn(number, (F.col("__k") - 1).cast("long"))
-    ext = sec.groupBy(number).agg(F.min("__as").alias(sf), F.max("__bs").alias(st), F.min("__a").alias(tf), F.max("__b").alias(tt))
-    rows = sec.select(*groups, number, (F.col("__b") - F.col("__a")).alias("__w"), F.explode("__l").alias("__x"))
-    rows = rows.groupBy(*groups, number, *[F.col(f"__x.{c}").alias(c) for c in (*cats, original_index)]).agg(F.sum("__w").alias(overlap))
-    return rows.join(ext, number).select(*groups, number, sf, st, tf, tt, *cats, original_index, overlap)
+    # Scans by ranges read their rows twice.
+    stays = written if most > ranges.RANGE_ROWS or not groups else lambda x: x
+    order = [*groups, "__a"]
+    e = scanned(stays(e), order, F.struct(*own, F.col("__a").alias("t"), F.col("y.s").alias("s")), lead="__n", within=groups, most=most)
+    e = running(stays(e), order, {"__before": F.col("__d")}, within=tuple(groups), most=most)
+    same, width = F.coalesce(_same(F.col("__n"), F.struct(*own), g) & F.col("__n").isNotNull(), F.lit(False)), F.col("__n.t") - F.col("__a")
+    on = F.coalesce(same & (width > 0) & ~F.isnan("__n.t") & (F.col("__n.s") > F.col("x.s")) & (F.col("__before") + F.col("__d") > 0), F.lit(False))
+    e = e.select(*groups, "__a", F.col("__n.t").alias("__b"), F.col("x.s").alias("__as"), F.col("__n.s").alias("__bs"), (F.col("__before") + F.col("__d")).alias("__active"), on.alias("__piece"), F.when(same & ~on & (F.abs(width) < float("inf")), width).otherwise(0.0).alias("__w"))
+    e = written(running(stays(e), order, {"__i": F.col("__piece").cast("long"), "__gap": F.col("__w")}, within=tuple(groups), most=most))
+
+    def at(x: DataFrame, place: str, to: DataFrame, by: str, names: dict[str, str]) -> DataFrame:
+        """x with columns of the one row of `to` of the same group and place."""
+        y = to.select(*[F.col(c).alias(f"__k{n}") for n, c in enumerate(groups)], F.col(by).alias("__p"), *[F.col(c).alias(n) for n, c in names.items()])
+        return x.join(y, both([F.col(c) == F.col(f"__k{n}") for n, c in enumerate(groups)] + [F.col(place) == F.col("__p")])).drop("__p", *[f"__k{n}" for n in range(len(groups))])
+
+    key = F.struct(f.alias("f"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(cats)], F.col(index_col).cast("long").alias("o"))
+    s = d.where(real).select(*groups, *cats, f.alias("__f"), t.alias("__t"), key.alias("__key"))
+    s = at(at(s, "__f", e, "__a", {"__i0": "__i"}), "__t", e, "__a", {"__i1": "__i"})
+    s = written(s.select(*groups, *cats, "__key", "__i0", (F.col("__i1") - 1).alias("__i1")).where("__i0 <= __i1"))
+    listed = e.where("__piece").agg(F.max("__active").alias("most"), F.avg("__active").alias("mean")).first()
+    if (listed.most or 0) <= MOST_LISTED and (listed.mean or 0) <= MEAN_LISTED:
+        paths = F.transform(F.array_sort(F.collect_list("__key")), lambda x: F.struct(*[x[f"c{k}"] for k in range(len(cats))]))
+        state = s.select(*groups, "__key", F.explode(F.sequence("__i0", "__i1")).alias("__i")).groupBy(*groups, "__i").agg(paths.alias("__state"))
+        breaks = lambda p, q: ~_same(p, q, [*g, "state"])
+    else:
+        state = _changes(s, groups, cats).withColumnRenamed("__changed", "__state")
+        breaks = lambda p, q: ~_same(p, q, g) | F.coalesce(q["state"], F.lit(False))
+    sec = e.where("__piece").join(state, [*groups, "__i"], "left")
+    sec = scanned(stays(sec), [*groups, "__i"], F.struct(*own, F.col("__state").alias("state")), breaks={"__k": breaks}, within=groups, most=most).drop("__state")
+    sec = written(sec.withColumn(number, (F.col("__k") - 1).cast("long")))
+    ext = sec.groupBy(number).agg(F.min("__as").alias(sf), F.max("__bs").alias(st), F.min("__a").alias(tf), F.max("__b").alias(tt), F.min("__gap").alias("__ga"), F.max("__gap").alias("__gb"))
+    rows = at(at(s, "__i0", sec, "__i", {"__n0": number, "__a0": "__a", "__g0": "__gap"}), "__i1", sec, "__i", {"__n1": number, "__b1": "__b", "__g1": "__gap"})
+    rows = rows.select("*", F.explode(F.sequence("__n0", "__n1")).alias(number)).join(ext, number)
+    # Less what lies between pieces and is none.
+    over = F.least("__b1", F.col(tt)) - F.greatest("__a0", F.col(tf)) - (F.least("__g1", "__gb") - F.greatest("__g0", "__ga"))
+    return rows.groupBy(*groups, number, sf, st, tf, tt, *cats, F.col("__key.o").alias(original_index)).agg(F.sum(over).alias(overlap))
 
 
 def cross_sections_normalised(*args, **kw) -> tuple[DataFrame, DataFrame]:
