@@ -199,3 +199,32 @@ def test_percentiles_of_large_targets(spark, monkeypatch, p):
         want = np.interp(p * at[-1], at, [r[0] for r in x])
         assert abs(one["r", a][0] - want) < 1e-9 and abs(hot["r", a][0] - want) < 1e-9 and one["r", a][1] == hot["r", a][1]
     assert one["r", 200.0] == hot["r", 200.0] == one["s", 0.0] == (None, None)
+
+
+def test_no_join_broadcasts_what_an_explode_has_grown(spark):
+    # One small row before the cut: Spark takes the grid for small, too.
+    t = spark.range(1).select("id", F.explode(F.sequence(F.lit(0), F.lit(50_000))).alias("f")).select(F.col("id").alias("g"), "f", (F.col("f") + 1).alias("t"))
+    g = spark.range(2_000).selectExpr("id div 5000 as g", "id * 10 as f", "id * 10 + 3 as t", "id as v")
+    for width in (None, 100.0, 0):
+        d = on_slk_intervals(t, g.where("f < 500") if width == 0 else g, ["g"], [Action("v", A.Sum(), "s")], ("f", "t"), bin_width=width)
+        assert d.count() == 50_001
+        assert "BroadcastHashJoin" not in d._jdf.queryExecution().optimizedPlan().toString() and "BroadcastExchange" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_long_row_is_no_list_as_long_as_the_table(spark):
+    n = 40_000
+    one = spark.createDataFrame([(0.0, 1e9)], "__tf double, __tt double")
+    many = spark.range(n).selectExpr("id * 20000.0D as __from", "id * 20000.0D + 1 as __to")
+    c = ranges._Classes(one, many)
+    assert c.cut(one, 0, "__tf", "__tt").count() <= n / 100
+    got = ranges.overlaps(one, many, [], ("__tf", "__tt"), ("__from", "__to"), {})
+    assert got.count() == n
+
+
+def test_a_grid_is_cut_in_many_tasks(spark, tmp_path):
+    from spanline.plans import views
+
+    spark.range(4_000).selectExpr("id % 40 as l_suppkey", "'A' as l_returnflag", "'F' as l_linestatus", "double(1 + id % 50) as l_quantity", "double(id) as l_extendedprice", "id as l_orderkey", "1 as l_linenumber", "id as l_partkey", "0D as l_discount", "0D as l_tax", "date'2020-01-01' as l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    d = views.grid(spark, str(tmp_path), 100.0)
+    assert d.count() == d.distinct().count() > 900
+    assert d.select(F.spark_partition_id()).distinct().count() == 4
