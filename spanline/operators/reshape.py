@@ -133,12 +133,40 @@ def _joined_up(pieces: DataFrame, id_vars: list[str], split: list[str], means: d
     return d.groupBy(*id_vars, "__run", *split).agg(*out, *[mean(c).alias(n) for n, c in means.items()]).drop("__run")
 
 
+def _run_segments(runs: DataFrame, id_vars: list[str], size: int, split: list[str], summarise: dict[str, Column]) -> DataFrame:
+    """get_segments of the points __m, __m + size, ... below __n of each row, with the same result, but points only where they are summarised.
+
+    A row that overlaps no other of its ids is one run of points; others are points, of which one
+    stands for each place and split. Runs are scanned, and dealt to the summary's groups as points, which add up
+    before they are shuffled.
+    """
+    ids, own = [f"c{k}" for k in range(len(id_vars))], [f"s{k}" for k in range(len(split))]
+    named = [F.col(c).alias(k) for k, c in zip([*ids, *own], [*id_vars, *split])]
+    row = F.struct(*named, F.col("__m").alias("m"), F.col("__n").alias("n"))
+    same = lambda p: both([p[k] == F.col(c) for k, c in zip(ids, id_vars)])
+    # Nulls of split come first, as in get_segments.
+    order = [*id_vars, "__m", *[c for k, s in enumerate(split) for c in (f"__has{k}", s)]]
+    runs = runs.withColumns({f"__has{k}": F.col(s).isNotNull() for k, s in enumerate(split)})
+    d = scanned(written(runs), order, row, lead="__next", tops={"__top": F.struct(*named[: len(ids)], F.col("__n").alias("n"))}, within=id_vars)
+    met = F.coalesce(F.col("__top").isNotNull() & same(F.col("__top")) & (F.col("__top.n") > F.col("__m")), F.lit(False)) | F.coalesce(F.col("__next").isNotNull() & same(F.col("__next")) & (F.col("__next.m") < F.col("__n")), F.lit(False))
+    d = d.withColumn("__met", met).drop("__next", "__top")
+    d = d.withColumn("__met", F.explode(F.when(F.col("__met"), F.sequence("__m", F.col("__n") - size, F.lit(size).cast("long"))).otherwise(F.array(F.lit(None).cast("long")))))
+    one = d.where("__met is not null").withColumn("__m", F.col("__met")).withColumn("__n", F.col("__m") + size).dropDuplicates([*id_vars, "__m", *split])
+    d = written(d.where("__met is null").unionByName(one).drop("__met"))
+    goes_on = lambda p, q: both([p[k].eqNullSafe(q[k]) for k in (*ids, *own)] + [p["n"] == q["m"]])
+    d = scanned(d, order, row, breaks={"__run": lambda p, q: ~goes_on(p, q)}, within=id_vars)
+    d = d.withColumn("__m", F.explode(F.sequence("__m", F.col("__n") - size, F.lit(size).cast("long")))).withColumn("SLK", F.col("__m") / 1000.0)
+    out = [(F.min("__m") / 1000.0).alias("START_SLK"), ((F.max("__m") + size) / 1000.0).alias("END_SLK")]
+    return d.groupBy(*id_vars, "__run", *split).agg(*out, *[c.alias(n) for n, c in summarise.items()]).drop("__run")
+
+
 def segments_of_intervals(df: DataFrame, id_vars: list[str], start: str, end: str, start_true: str | None = None, end_true: str | None = None, split_at=(), summarise: dict[str, str | Column] | None = None) -> DataFrame:
     """Intervals that touch and share ids and split_at as one; split_at=True: every column but ids, bounds and `summarise`'s names.
 
     summarise maps names to columns, whose means are weighted by length, or to aggregates. Columns need
     no points: rows are cut at the bounds of their ids only. Aggregates are taken over points of
-    the intervals' GCD, so that a mean is weighted by length too.
+    the intervals' GCD, so that a mean is weighted by length too; with one measure, points are made only
+    where they are summarised (see _run_segments).
     """
     bounds = [c for c in (start, end, start_true, end_true) if c]
     if split_at is True:
@@ -147,8 +175,11 @@ def segments_of_intervals(df: DataFrame, id_vars: list[str], start: str, end: st
         d = _measured(df, start, end, start_true, id_vars)
         return _joined_up(_cut(_elementary([d], id_vars), d, id_vars), id_vars, list(split_at), summarise or {}, bool(start_true))
     size = gcd_metres(df, start, end)
+    aggs = {n: F.avg(c) if isinstance(c, str) else c for n, c in summarise.items()}
+    if not start_true:
+        return _run_segments(_measured(df, start, end, None, id_vars).drop(*bounds, "__off"), id_vars, size, list(split_at), aggs)
     points = _points(df, start, end, start_true, end_true, size, True, False)
-    return get_segments(points, id_vars, "SLK", size, "true_SLK" if start_true else None, split_at, {n: F.avg(c) if isinstance(c, str) else c for n, c in summarise.items()})
+    return get_segments(points, id_vars, "SLK", size, "true_SLK", split_at, aggs)
 
 
 def interval_merge(left: DataFrame, right: DataFrame, id_vars: list[str], start: str, end: str, summarise: dict[str, str | Column], start_true: str | None = None, end_true: str | None = None, split_at="left", use_ranges: bool = True, right_id_vars: list[str] | None = None, right_bounds: tuple[str, ...] | None = None) -> DataFrame:
@@ -188,6 +219,18 @@ def interval_merge(left: DataFrame, right: DataFrame, id_vars: list[str], start:
     size = math.gcd(gcd_metres(left, start, end), gcd_metres(right, start, end))
     if start_true:
         size = math.gcd(size, gcd_metres(left, start_true, end_true), gcd_metres(right, start_true, end_true))
+    aggs = {n: F.avg(c) if isinstance(c, str) else c for n, c in summarise.items()}
+    if not start_true:
+        # Points meet where their places agree, so within one remainder: there bounds are whole steps apart.
+        step = lambda d: _measured(d.drop("segment_id"), start, end, None, id_vars).withColumn("__rem", F.pmod("__m", F.lit(size))).drop("__off")
+        a, b, ids = step(left), step(right), [*id_vars, "__rem"]
+        kept = {c: f"org_{c}" for c in bounds} if use_ranges else {}
+        cuts = written(_elementary([a, b], ids))
+        a = _cut(cuts, a.withColumnsRenamed(kept) if kept else a.drop(*bounds), ids)
+        b = _cut(cuts, b.drop(*bounds, *[c for c in own(right) if c in left.columns]), ids).drop("__b")
+        runs = a.join(b, [*ids, "__a"], "left").drop("__rem").withColumnsRenamed({"__a": "__m", "__b": "__n"})
+        out = _run_segments(runs, [*id_vars, *kept.values()], size, split, aggs)
+        return out.drop("START_SLK", "END_SLK").withColumnsRenamed({v: k for k, v in kept.items()}).distinct() if use_ranges else out
     at = ["SLK", *(["true_SLK"] if start_true else [])]
     kept = {c: f"org_{c}" for c in bounds} if use_ranges else {}
     a = _points(left.drop("segment_id"), start, end, start_true, end_true, size, True, use_ranges).withColumnsRenamed(kept)
@@ -197,7 +240,6 @@ def interval_merge(left: DataFrame, right: DataFrame, id_vars: list[str], start:
     metres = {f"__{c}": as_metres(F.col(c)) for c in at}
     b = b.withColumns(metres).drop(*at, *[c for c in own(right) if c in a.columns])
     points = a.withColumns(metres).join(b, key, "left")
-    aggs = {n: F.avg(c) if isinstance(c, str) else c for n, c in summarise.items()}
     out = get_segments(points, [*id_vars, *kept.values()], "SLK", size, "true_SLK" if start_true else None, split, aggs)
     if not use_ranges:
         return out

@@ -61,3 +61,43 @@ def test_work_grows_with_bounds_and_not_with_metres(spark):
     assert reshape._elementary(m, ["g"]).count() == 4
     got = reshape.interval_merge(left, right, ["g"], "a", "b", {"m": "v"}, split_at=False, use_ranges=False).first()
     assert (got.START_SLK, got.END_SLK) == (0.0, 99_999.999) and abs(got.m - 2) < 1e-6
+
+
+def test_points_are_runs_with_the_same_result(spark):
+    import random
+
+    rng = random.Random(5)
+
+    def some(n, step, name):
+        out = []
+        for k in range(n):
+            a = step * rng.randint(0, 60) + rng.choice([0, 0, 0, 2])
+            out.append((rng.choice(["r", "s"]), a / 1000.0, (a + step * rng.randint(1, 6)) / 1000.0, rng.choice(["x", "y", None]), float(k)))
+        return spark.createDataFrame(out, f"road string, a double, b double, {name} string, {name}_v double")
+
+    for step, n in ((4, 12), (4, 60)):
+        d = some(n, step, "f")
+        # Values by place, so that it does not matter which of equal points stands.
+        points = reshape.stretch(d, "a", "b")
+        for split in (["f"], []):
+            s = {"n": F.count("*"), "lo": F.min("SLK"), "m": F.sum("SLK")}
+            want = reshape.get_segments(points, ["road"], "SLK", step, split_at=split, summarise=s)
+            got = reshape.segments_of_intervals(d, ["road"], "a", "b", split_at=split, summarise=s)
+            key = lambda x: sorted(tuple(round(v, 6) if isinstance(v, float) else str(v) for v in r) for r in x.collect())
+            assert key(got.select(want.columns)) == key(want)
+
+
+def test_aggregated_merges_join_runs_and_not_points(spark):
+    left = spark.createDataFrame([("r", 0.0, 4000.0), ("r", 4000.0, 8000.0)], "road string, a double, b double")
+    right = spark.createDataFrame([("r", 0.0, 6000.0, "x", 1.0), ("r", 6000.0, 7000.0, "y", 3.0)], "road string, a double, b double, f string, v double")
+    counted = []
+    real, reshape._points = reshape._points, lambda *a: counted.append(a) or real(*a)
+    try:
+        out = reshape.interval_merge(left, right, ["road"], "a", "b", {"m": F.avg("v"), "n": F.count("v")}, split_at=["f"], use_ranges=False)
+        got = sorted(tuple(r) for r in out.select("START_SLK", "END_SLK", "f", "m", "n").collect())
+        kept = sorted(tuple(r) for r in reshape.interval_merge(left, right, ["road"], "a", "b", {"m": F.avg("v")}, split_at=False).select("a", "b", "m").collect())
+    finally:
+        reshape._points = real
+    assert not counted
+    assert got == [(0.0, 6000.0, "x", 1.0, 6), (6000.0, 7000.0, "y", 3.0, 1), (7000.0, 8000.0, None, None, 0)]
+    assert kept == [(0.0, 4000.0, 1.0), (4000.0, 8000.0, 5 / 3)]
