@@ -1,16 +1,21 @@
 """Intervals to points and back; wide and long lanes."""
 import math
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.mappings import LANES
 from ..functions.steps import as_metres
 from ..tables import written
 from .ranges import both, overlaps, scanned
 
+#: Places of a word of points; two bits are left, so that one may be added to any part of it.
+PLACES = 62
+
 
 def gcd_metres(df: DataFrame, start: str, end: str) -> int:
     """Greatest common divisor of interval lengths in metres, from the distinct lengths (one row each)."""
@@ -69,10 +74,13 @@ def make_segments(df: DataFrame, start: str, end: str, start_true: str | None =
 def get_segments(points: DataFrame, id_vars: list[str], slk: str, segment_size: int, true_slk: str | None = None, split_at=(), summarise: dict[str, Column] | None = None) -> DataFrame:
     """Points (km) that touch and share ids and split_at, as intervals; summarise maps names to aggregates over points.
 
-    summarise=None gives ids only: each point with its segment number within the ids.
+    summarise=None gives ids only: each point with its segment number within the ids. With one measure,
+    aggregates take points as runs (see _runs_of), so that what is shuffled grows with runs and not with points.
     """
     d = points.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*id_vars, slk]]))
     d = d.withColumn("__m", as_metres(F.col(slk)))
+    if summarise is not None and not true_slk and slk not in (*id_vars, *split_at) and not any(re.search("map<|variant", k) for _, k in d.dtypes):
+        return _run_segments(_runs_of(d, id_vars, slk, segment_size, list(split_at)), id_vars, segment_size, list(split_at), summarise, slk, d.schema[slk].dataType)
     key = ["__m"]
     if true_slk:
         d, key = d.withColumn("__t", as_metres(F.col(true_slk))), ["__m", "__t"]
@@ -133,7 +141,28 @@ def _joined_up(pieces: DataFrame, id_vars: list[str], split: list[str], means: d
     return d.groupBy(*id_vars, "__run", *split).agg(*out, *[mean(c).alias(n) for n, c in means.items()]).drop("__run")
 
 
-def _run_segments(runs: DataFrame, id_vars: list[str], size: int, split: list[str], summarise: dict[str, Column]) -> DataFrame:
+def _runs_of(d: DataFrame, id_vars: list[str], slk: str, size: int, split: list[str]) -> DataFrame:
+    """Points (__m) that are alike in every column but their place, as runs: __m, __m + size, ... below __n.
+
+    Places are bits of a word, PLACES of them, which add up before they are shuffled. A point whose slk is no whole
+    metre keeps it in __raw.
+    """
+    kind = d.schema[slk].dataType
+    whole = (F.col("__m") / 1000.0).cast(kind)
+    alike = [c for c in d.columns if c not in (slk, "__m")]
+    place = F.floor(F.col("__m") / size)
+    d = d.select(*alike, F.when(F.col(slk) != whole, F.col(slk)).alias("__raw"), F.pmod("__m", F.lit(size)).alias("__rem"), F.floor(place / PLACES).alias("__word"), F.pmod(place, F.lit(PLACES)).cast("int").alias("__at"))
+    d = d.groupBy(*alike, "__raw", "__rem", "__word").agg(F.expr("bit_or(shiftleft(1L, __at))").alias("__bits"))
+    d = d.withColumn("__starts", F.expr("__bits & ~shiftleft(__bits, 1)"))
+    # A word has one run as a rule, whose start is the bits below it, counted.
+    some = f"filter(sequence(0, {PLACES - 1}), k -> shiftright(__starts, k) % 2 = 1)"
+    d = d.withColumn("__k", F.expr(f"explode(if(bit_count(__starts) = 1, array(bit_count(__starts - 1)), {some}))"))
+    long = "bit_count(shiftright(__bits, __k) ^ (shiftright(__bits, __k) + 1)) - 1"
+    d = d.withColumn("__m", ((F.col("__word") * PLACES + F.col("__k")) * size + F.col("__rem")).cast("long"))
+    return d.withColumn("__n", F.col("__m") + F.expr(long) * F.lit(size)).select(*alike, "__raw", "__m", F.col("__n").cast("long").alias("__n"))
+
+
+def _run_segments(runs: DataFrame, id_vars: list[str], size: int, split: list[str], summarise: dict[str, Column], slk: str = "SLK", kind: T.DataType = T.DoubleType()) -> DataFrame:
     """get_segments of the points __m, __m + size, ... below __n of each row, with the same result, but points only where they are summarised.
 
     A row that overlaps no other of its ids is one run of points; others are points, of which one
@@ -155,7 +184,9 @@ def _run_segments(runs: DataFrame, id_vars: list[str], size: int, split: list[st
     d = written(d.where("__met is null").unionByName(one).drop("__met"))
     goes_on = lambda p, q: both([p[k].eqNullSafe(q[k]) for k in (*ids, *own)] + [p["n"] == q["m"]])
     d = scanned(d, order, row, breaks={"__run": lambda p, q: ~goes_on(p, q)}, within=id_vars)
-    d = d.withColumn("__m", F.explode(F.sequence("__m", F.col("__n") - size, F.lit(size).cast("long")))).withColumn("SLK", F.col("__m") / 1000.0)
+    d = d.withColumn("__m", F.explode(F.sequence("__m", F.col("__n") - size, F.lit(size).cast("long"))))
+    at = (F.col("__m") / 1000.0).cast(kind)
+    d = d.withColumn(slk, F.coalesce("__raw", at) if "__raw" in d.columns else at)
     out = [(F.min("__m") / 1000.0).alias("START_SLK"), ((F.max("__m") + size) / 1000.0).alias("END_SLK")]
     return d.groupBy(*id_vars, "__run", *split).agg(*out, *[c.alias(n) for n, c in summarise.items()]).drop("__run")
 

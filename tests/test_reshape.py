@@ -101,3 +101,31 @@ def test_aggregated_merges_join_runs_and_not_points(spark):
     assert not counted
     assert got == [(0.0, 6000.0, "x", 1.0, 6), (6000.0, 7000.0, "y", 3.0, 1), (7000.0, 8000.0, None, None, 0)]
     assert kept == [(0.0, 4000.0, 1.0), (4000.0, 8000.0, 5 / 3)]
+
+
+def test_segments_of_points_go_by_runs(spark):
+    """Against points listed in Python: repeats, gaps, odd remainders, places below zero, words' edges and slk between metres."""
+    rng, points = random.Random(8), []
+    for g in ("r", "s"):
+        at = -300
+        while at < 400:
+            n, k, v = rng.choice([1, 5, 70, 130]), rng.choice(["x", "y", None]), float(rng.randint(0, 3))
+            points += [(g, (m + (0.0003 if rng.random() < 0.05 else 0)) / 1000, k, v) for m in range(at, at + 2 * n, 2)]
+            at += 2 * n + rng.choice([0, 0, 1, 6])
+    points += points[:40]
+    d = spark.createDataFrame(points, "g string, SLK double, k string, v double")
+    want, seen = [], {}
+    for g, x, k, v in points:
+        seen.setdefault((g, round(x * 1000), k), (x, v))
+    last = None
+    for (g, m, k), (x, v) in sorted(seen.items(), key=lambda p: (p[0][0], p[0][1], p[0][2] is not None, p[0][2] or "")):
+        if last != (g, m - 2, k):
+            want.append([g, k, m / 1000, 0, 0, 0, 0])
+        want[-1][3:] = [(m + 2) / 1000, want[-1][4] + 1, want[-1][5] + v, want[-1][6] + x]
+        last = (g, m, k)
+    got = reshape.get_segments(d, ["g"], "SLK", 2, split_at=["k"], summarise={"n": F.count("*"), "t": F.sum("v"), "x": F.sum("SLK")})
+    key = lambda r: tuple((x is None, x if isinstance(x, str) else round(x or 0, 6)) for x in r)
+    assert sorted(map(key, got.select("g", "k", "START_SLK", "END_SLK", "n", "t", "x").collect())) == sorted(map(key, want)) and len(want) > 15
+    # What is shuffled are runs: 20,000 points of one value are 323 words of 62 places at most.
+    wide = spark.range(20_000).select(F.lit("r").alias("g"), (F.col("id") / 1000).alias("SLK"), F.lit(1.0).alias("v"))
+    assert reshape._runs_of(wide.withColumn("__m", reshape.as_metres(F.col("SLK"))), ["g"], "SLK", 1, []).count() <= 323
