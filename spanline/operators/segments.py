@@ -160,7 +160,40 @@ def _changes(s: DataFrame, groups: list[str], cats: list[str]) -> DataFrame:
 
 
 def cross_sections(df: DataFrame, groups: list[str], cats: list[str], measure_slk, measure_true, number: str = "cross_section_number", original_index: str = "original_index", overlap: str = "overlap", index_col: str = "rid") -> DataFrame:
-    """One row per section, active path and source; a section starts when the ordered active paths change.
+    """One row per section, active path and source; a section starts when the ordered active paths change (see _sections)."""
+    s, sec = _sections(df, groups, cats, measure_slk, measure_true, number, index_col)
+    return _sources(s, sec, groups, cats, measure_slk, measure_true, number, original_index, overlap)
+
+
+def _at(x: DataFrame, place: str, to: DataFrame, by: str, names: dict[str, str], groups: list[str]) -> DataFrame:
+    """x with columns of the one row of `to` of the same group and place."""
+    y = to.select(*[F.col(c).alias(f"__k{n}") for n, c in enumerate(groups)], F.col(by).alias("__p"), *[F.col(c).alias(n) for n, c in names.items()])
+    return x.join(y, both([F.col(c) == F.col(f"__k{n}") for n, c in enumerate(groups)] + [F.col(place) == F.col("__p")])).drop("__p", *[f"__k{n}" for n in range(len(groups))])
+
+
+def _bounds(measure_slk, measure_true) -> list[Column]:
+    """The bounds of a section, over its pieces."""
+    (sf, st), (tf, tt) = measure_slk, measure_true
+    return [F.min("__as").alias(sf), F.max("__bs").alias(st), F.min("__a").alias(tf), F.max("__b").alias(tt)]
+
+
+def _sources(s: DataFrame, sec: DataFrame, groups: list[str], cats: list[str], measure_slk, measure_true, number: str, original_index: str, overlap: str) -> DataFrame:
+    """One row per section, path and source, from sources and numbered pieces (see _sections)."""
+    (sf, st), (tf, tt) = measure_slk, measure_true
+    ext = sec.groupBy(number).agg(*_bounds(measure_slk, measure_true), F.min("__gap").alias("__ga"), F.max("__gap").alias("__gb"))
+    rows = _at(_at(s, "__i0", sec, "__i", {"__n0": number, "__a0": "__a", "__g0": "__gap"}, groups), "__i1", sec, "__i", {"__n1": number, "__b1": "__b", "__g1": "__gap"}, groups)
+    rows = rows.select("*", F.explode(F.sequence("__n0", "__n1")).alias(number)).join(ext, number)
+    # Less what lies between pieces and is none.
+    over = F.least("__b1", F.col(tt)) - F.greatest("__a0", F.col(tf)) - (F.least("__g1", "__gb") - F.greatest("__g0", "__ga"))
+    own = [*groups, number, sf, st, tf, tt, *cats, F.col("__key.o").alias(original_index)]
+    # Only sources that share a path and an index add up; else each is a row of a section already.
+    if s.groupBy(*groups, *cats, "__key.o").count().where("count > 1").isEmpty():
+        return rows.select(*own, over.alias(overlap))
+    return rows.groupBy(*own).agg(F.sum(over).alias(overlap))
+
+
+def _sections(df: DataFrame, groups: list[str], cats: list[str], measure_slk, measure_true, number: str, index_col: str) -> tuple[DataFrame, DataFrame]:
+    """Sources with their first and last piece (__i0, __i1), and the pieces with their section's number.
 
     Pieces between neighbouring bounds of a group where SLK goes on and a source is active are numbered by
     scans of the bounds, so a hot group is many tasks; a source is its first and last piece, and meets the
@@ -172,6 +205,8 @@ def cross_sections(df: DataFrame, groups: list[str], cats: list[str], measure_sl
     """
     (sf, st), (tf, tt) = measure_slk, measure_true
     d = df.where(both([F.col(c).isNotNull() for c in [*groups, *cats]]))
+    # Bounds and sources read it.
+    d = written(d.select(*dict.fromkeys([*groups, *cats, sf, st, tf, tt, index_col])))
     f, t = F.col(tf).cast("double"), F.col(tt).cast("double")
     real = F.coalesce((f < t) & ~F.isnan(t), F.lit(False))
     ev = lambda x, s, k: F.struct(x.alias("t"), F.lit(k).alias("k"), F.col(s).alias("s"))
@@ -191,14 +226,9 @@ def cross_sections(df: DataFrame, groups: list[str], cats: list[str], measure_sl
     e = e.select(*groups, "__a", F.col("__n.t").alias("__b"), F.col("x.s").alias("__as"), F.col("__n.s").alias("__bs"), (F.col("__before") + F.col("__d")).alias("__active"), on.alias("__piece"), F.when(same & ~on & (F.abs(width) < float("inf")), width).otherwise(0.0).alias("__w"))
     e = written(running(stays(e), order, {"__i": F.col("__piece").cast("long"), "__gap": F.col("__w")}, within=tuple(groups), most=most))
 
-    def at(x: DataFrame, place: str, to: DataFrame, by: str, names: dict[str, str]) -> DataFrame:
-        """x with columns of the one row of `to` of the same group and place."""
-        y = to.select(*[F.col(c).alias(f"__k{n}") for n, c in enumerate(groups)], F.col(by).alias("__p"), *[F.col(c).alias(n) for n, c in names.items()])
-        return x.join(y, both([F.col(c) == F.col(f"__k{n}") for n, c in enumerate(groups)] + [F.col(place) == F.col("__p")])).drop("__p", *[f"__k{n}" for n in range(len(groups))])
-
     key = F.struct(f.alias("f"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(cats)], F.col(index_col).cast("long").alias("o"))
     s = d.where(real).select(*groups, *cats, f.alias("__f"), t.alias("__t"), key.alias("__key"))
-    s = at(at(s, "__f", e, "__a", {"__i0": "__i"}), "__t", e, "__a", {"__i1": "__i"})
+    s = _at(_at(s, "__f", e, "__a", {"__i0": "__i"}, groups), "__t", e, "__a", {"__i1": "__i"}, groups)
     s = written(s.select(*groups, *cats, "__key", "__i0", (F.col("__i1") - 1).alias("__i1")).where("__i0 <= __i1"))
     listed = e.where("__piece").agg(F.max("__active").alias("most"), F.avg("__active").alias("mean")).first()
     if (listed.most or 0) <= MOST_LISTED and (listed.mean or 0) <= MEAN_LISTED:
@@ -210,23 +240,14 @@ def cross_sections(df: DataFrame, groups: list[str], cats: list[str], measure_sl
         breaks = lambda p, q: ~_same(p, q, g) | F.coalesce(q["state"], F.lit(False))
     sec = e.where("__piece").join(state, [*groups, "__i"], "left")
     sec = scanned(stays(sec), [*groups, "__i"], F.struct(*own, F.col("__state").alias("state")), breaks={"__k": breaks}, within=groups, most=most).drop("__state")
-    sec = written(sec.withColumn(number, (F.col("__k") - 1).cast("long")))
-    ext = sec.groupBy(number).agg(F.min("__as").alias(sf), F.max("__bs").alias(st), F.min("__a").alias(tf), F.max("__b").alias(tt), F.min("__gap").alias("__ga"), F.max("__gap").alias("__gb"))
-    rows = at(at(s, "__i0", sec, "__i", {"__n0": number, "__a0": "__a", "__g0": "__gap"}), "__i1", sec, "__i", {"__n1": number, "__b1": "__b", "__g1": "__gap"})
-    rows = rows.select("*", F.explode(F.sequence("__n0", "__n1")).alias(number)).join(ext, number)
-    # Less what lies between pieces and is none.
-    over = F.least("__b1", F.col(tt)) - F.greatest("__a0", F.col(tf)) - (F.least("__g1", "__gb") - F.greatest("__g0", "__ga"))
-    return rows.groupBy(*groups, number, sf, st, tf, tt, *cats, F.col("__key.o").alias(original_index)).agg(F.sum(over).alias(overlap))
+    return s, written(sec.withColumn(number, (F.col("__k") - 1).cast("long")))
 
 
-def cross_sections_normalised(*args, **kw) -> tuple[DataFrame, DataFrame]:
-    """(one row per section, one row per section and source)."""
-    out = cross_sections(*args, **kw)
-    number = kw.get("number", "cross_section_number")
-    groups = args[1] if len(args) > 1 else kw["groups"]
-    slk, true = (args[3], args[4]) if len(args) > 4 else (kw["measure_slk"], kw["measure_true"])
-    ext = [*groups, number, *slk, *true]
-    return out.select(*ext).dropDuplicates(), out.select(number, *[c for c in out.columns if c not in ext])
+def cross_sections_normalised(df: DataFrame, groups: list[str], cats: list[str], measure_slk, measure_true, number: str = "cross_section_number", original_index: str = "original_index", overlap: str = "overlap", index_col: str = "rid") -> tuple[DataFrame, DataFrame]:
+    """(one row per section, one row per section and source). Every section has a source, so the first comes from its pieces alone."""
+    s, sec = _sections(df, groups, cats, measure_slk, measure_true, number, index_col)
+    out = _sources(s, sec, groups, cats, measure_slk, measure_true, number, original_index, overlap)
+    return sec.groupBy(*groups, number).agg(*_bounds(measure_slk, measure_true)), out.select(number, *[c for c in out.columns if c not in (*groups, number, *measure_slk, *measure_true)])
 
 
 def _ordered(df: DataFrame, categories: list[str], measure, order: str, top: bool = False) -> tuple[DataFrame, Column]:

@@ -83,3 +83,17 @@ def test_rows_that_are_no_sources(spark):
     rows = [(0, "a", "L", 0.0, 10.0, 0.0, 10.0), (1, "a", "R", 4.0, 4.0, 4.0, 4.0), (2, "a", None, 1.0, 2.0, 1.0, 2.0), (3, None, "L", 1.0, 2.0, 1.0, 2.0), (4, "a", "R", 9.0, 2.0, 9.0, 2.0), (5, "a", "R", 1.0, 2.0, None, 2.0), (6, "a", "R", 3.0, 5.0, 3.0, float("nan"))]
     assert [r[4:] for r in sections(spark, rows)] == [(0.0, 10.0, "L", 0, 10.0)]
     assert sections(spark, []) == []
+
+
+def test_a_section_is_a_row_without_its_sources(spark):
+    """Sections come from pieces alone; sources that share path and index still add up."""
+    rows = [*dealt(5, 60, 12, "xy", 50), (0, "a", "x", 70.0, 75.0, 70.0, 75.0), (0, "a", "x", 72.0, 80.0, 72.0, 80.0), (0, "a", "x", 72.0, 80.0, 72.0, 80.0)]
+    d = spark.createDataFrame(rows, COLUMNS)
+    sec, own = segments.cross_sections_normalised(d, ["g"], ["x"], ("sf", "st"), ("f", "t"))
+    assert sorted(map(tuple, sec.collect())) == sorted({r[:6] for r in brute(rows)})
+    assert sorted(map(tuple, own.collect())) == sorted((r[1], *r[6:]) for r in brute(rows))
+    # No source meets a section for the first table, and no path is grouped for sources of their own index.
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan(sec) and "Generate" not in plan(sec)
+    one = segments.cross_sections(spark.createDataFrame(dealt(5, 60, 12, "xy", 50), COLUMNS), ["g"], ["x"], ("sf", "st"), ("f", "t"))
+    assert plan(one).startswith("Project")
