@@ -121,13 +121,15 @@ def _cut(cuts: DataFrame, d: DataFrame, id_vars: list[str]) -> DataFrame:
     return got.select(*id_vars, F.col("__tf").cast("long").alias("__a"), F.col("__tt").cast("long").alias("__b"), *own)
 
 
-def _joined_up(pieces: DataFrame, id_vars: list[str], split: list[str], means: dict[str, str], true: bool) -> DataFrame:
+def _joined_up(pieces: DataFrame | None, id_vars: list[str], split: list[str], means: dict[str, str], true: bool, alone: DataFrame | None = None) -> DataFrame:
     """Pieces (__a, __b, __off) that touch and share ids and split, as intervals with means weighted by length.
 
-    Of pieces that agree in place and split one counts, the one of least values.
+    Of pieces that agree in place and split one counts, the one of least values. alone: more pieces, which meet no other.
     """
     vals = list(dict.fromkeys(means.values()))
-    d = pieces.groupBy(*id_vars, "__off", "__a", "__b", *split).agg(F.min(F.struct(F.lit(0).alias("one"), *[F.col(c).alias(f"v{k}") for k, c in enumerate(vals)])).alias("__v"))
+    value, place = F.struct(F.lit(0).alias("one"), *[F.col(c).alias(f"v{k}") for k, c in enumerate(vals)]), [*id_vars, "__off", "__a", "__b", *split]
+    sides = ([pieces.groupBy(*place).agg(F.min(value).alias("__v"))] if pieces is not None else []) + ([alone.select(*place, value.alias("__v"))] if alone is not None else [])
+    d = reduce(DataFrame.unionByName, sides)
     ids, own = [f"c{k}" for k in range(len(id_vars))], [f"s{k}" for k in range(len(split))]
     row = F.struct(*[F.col(c).alias(k) for k, c in zip([*ids, *own], [*id_vars, *split])], F.col("__a").alias("a"), F.col("__b").alias("b"), F.col("__off").alias("off"))
     goes_on = lambda p, q: both([p[k].eqNullSafe(q[k]) for k in (*ids, *own, "off")] + [p["b"] == q["a"]])
@@ -162,6 +164,16 @@ def _runs_of(d: DataFrame, id_vars: list[str], slk: str, size: int, split: list[
     return d.withColumn("__n", F.col("__m") + F.expr(long) * F.lit(size)).select(*alike, "__raw", "__m", F.col("__n").cast("long").alias("__n"))
 
 
+def _met(d: DataFrame, id_vars: list[str], order: list[str]) -> DataFrame:
+    """d with __met, whether a row (__m to __n) overlaps another of its ids; order starts with ids and __m."""
+    ids = [f"c{k}" for k in range(len(id_vars))]
+    named = [F.col(c).alias(k) for k, c in zip(ids, id_vars)]
+    same = lambda p: both([p[k] == F.col(c) for k, c in zip(ids, id_vars)])
+    x = scanned(d, order, F.struct(*named, F.col("__m").alias("m")), lead="__next", tops={"__top": F.struct(*named, F.col("__n").alias("n"))}, within=id_vars)
+    met = F.coalesce(F.col("__top").isNotNull() & same(F.col("__top")) & (F.col("__top.n") > F.col("__m")), F.lit(False)) | F.coalesce(F.col("__next").isNotNull() & same(F.col("__next")) & (F.col("__next.m") < F.col("__n")), F.lit(False))
+    return x.withColumn("__met", met).drop("__next", "__top")
+
+
 def _run_segments(runs: DataFrame, id_vars: list[str], size: int, split: list[str], summarise: dict[str, Column], slk: str = "SLK", kind: T.DataType = T.DoubleType()) -> DataFrame:
     """get_segments of the points __m, __m + size, ... below __n of each row, with the same result, but points only where they are summarised.
 
@@ -172,13 +184,10 @@ def _run_segments(runs: DataFrame, id_vars: list[str], size: int, split: list[st
     ids, own = [f"c{k}" for k in range(len(id_vars))], [f"s{k}" for k in range(len(split))]
     named = [F.col(c).alias(k) for k, c in zip([*ids, *own], [*id_vars, *split])]
     row = F.struct(*named, F.col("__m").alias("m"), F.col("__n").alias("n"))
-    same = lambda p: both([p[k] == F.col(c) for k, c in zip(ids, id_vars)])
     # Nulls of split come first, as in get_segments.
     order = [*id_vars, "__m", *[c for k, s in enumerate(split) for c in (f"__has{k}", s)]]
     runs = runs.withColumns({f"__has{k}": F.col(s).isNotNull() for k, s in enumerate(split)})
-    d = scanned(written(runs), order, row, lead="__next", tops={"__top": F.struct(*named[: len(ids)], F.col("__n").alias("n"))}, within=id_vars)
-    met = F.coalesce(F.col("__top").isNotNull() & same(F.col("__top")) & (F.col("__top.n") > F.col("__m")), F.lit(False)) | F.coalesce(F.col("__next").isNotNull() & same(F.col("__next")) & (F.col("__next.m") < F.col("__n")), F.lit(False))
-    d = d.withColumn("__met", met).drop("__next", "__top")
+    d = _met(written(runs), id_vars, order)
     d = d.withColumn("__met", F.explode(F.when(F.col("__met"), F.sequence("__m", F.col("__n") - size, F.lit(size).cast("long"))).otherwise(F.array(F.lit(None).cast("long")))))
     one = d.where("__met is not null").withColumn("__m", F.col("__met")).withColumn("__n", F.col("__m") + size).dropDuplicates([*id_vars, "__m", *split])
     d = written(d.where("__met is null").unionByName(one).drop("__met"))
@@ -195,7 +204,7 @@ def segments_of_intervals(df: DataFrame, id_vars: list[str], start: str, end: st
     """Intervals that touch and share ids and split_at as one; split_at=True: every column but ids, bounds and `summarise`'s names.
 
     summarise maps names to columns, whose means are weighted by length, or to aggregates. Columns need
-    no points: rows are cut at the bounds of their ids only. Aggregates are taken over points of
+    no points: rows that overlap others are cut at the bounds of their ids only. Aggregates are taken over points of
     the intervals' GCD, so that a mean is weighted by length too; with one measure, points are made only
     where they are summarised (see _run_segments).
     """
@@ -204,7 +213,12 @@ def segments_of_intervals(df: DataFrame, id_vars: list[str], start: str, end: st
         split_at = [c for c in df.columns if c not in (*id_vars, *bounds, *(summarise or {}), *[c for c in (summarise or {}).values() if isinstance(c, str)])]
     if all(isinstance(c, str) for c in (summarise or {}).values()):
         d = _measured(df, start, end, start_true, id_vars)
-        return _joined_up(_cut(_elementary([d], id_vars), d, id_vars), id_vars, list(split_at), summarise or {}, bool(start_true))
+        d = written(d.select(*dict.fromkeys([*id_vars, *split_at, *(summarise or {}).values()]), "__m", "__n", "__off"))
+        d = written(_met(d, id_vars, [*id_vars, "__m"]))
+        met, alone = d.where("__met").drop("__met"), d.where("not __met").withColumnsRenamed({"__m": "__a", "__n": "__b"})
+        # No bound of another row lies within a row that overlaps none.
+        pieces = None if met.isEmpty() else _cut(written(_elementary([met], id_vars)), met, id_vars)
+        return _joined_up(pieces, id_vars, list(split_at), summarise or {}, bool(start_true), alone)
     size = gcd_metres(df, start, end)
     aggs = {n: F.avg(c) if isinstance(c, str) else c for n, c in summarise.items()}
     if not start_true:

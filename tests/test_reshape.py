@@ -129,3 +129,15 @@ def test_segments_of_points_go_by_runs(spark):
     # What is shuffled are runs: 20,000 points of one value are 323 words of 62 places at most.
     wide = spark.range(20_000).select(F.lit("r").alias("g"), (F.col("id") / 1000).alias("SLK"), F.lit(1.0).alias("v"))
     assert reshape._runs_of(wide.withColumn("__m", reshape.as_metres(F.col("SLK"))), ["g"], "SLK", 1, []).count() <= 323
+
+
+def test_rows_that_overlap_none_are_not_cut(spark, monkeypatch):
+    """Rows beside one another give segments without a range join; those that overlap are cut alone."""
+    d = spark.createDataFrame([("r", 0.0, 0.1, "x", 1.0), ("r", 0.1, 0.3, "x", 4.0), ("r", 0.3, 0.4, "y", 2.0), ("s", 0.0, 0.2, "x", 5.0), ("s", 0.1, 0.3, "y", 7.0), ("s", 0.1, 0.2, "x", 3.0), ("s", 0.3, 0.4, "y", None)], "g string, a double, b double, k string, v double")
+    cut, real = [], reshape._cut
+    monkeypatch.setattr(reshape, "_cut", lambda cuts, x, ids: (cut.append(x.count()), real(cuts, x, ids))[1])
+    run = lambda x: sorted(map(tuple, reshape.segments_of_intervals(x, ["g"], "a", "b", split_at=["k"], summarise={"m": "v"}).select("g", "k", "START_SLK", "END_SLK", F.round("m", 6)).collect()))
+    assert run(d.where("g = 'r'")) == [("r", "x", 0.0, 0.3, 3.0), ("r", "y", 0.3, 0.4, 2.0)] and not cut
+    got = run(d)
+    # Of the two x from 0.1 to 0.2 the lesser value counts.
+    assert cut == [3] and got[:2] == run(d.where("g = 'r'")) and got[2] == ("s", "x", 0.0, 0.2, 4.0)
