@@ -228,3 +228,15 @@ def test_a_grid_is_cut_in_many_tasks(spark, tmp_path):
     d = views.grid(spark, str(tmp_path), 100.0)
     assert d.count() == d.distinct().count() > 900
     assert d.select(F.spark_partition_id()).distinct().count() == 4
+
+
+def test_scans_by_ranges_work_out_their_rows_once(spark, monkeypatch):
+    """A scan counts, samples and deals its rows: what it reads is a written table, which is not written again."""
+    seen, real = [], ranges.ranges_of
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 50)
+    monkeypatch.setattr(ranges, "ranges_of", lambda df, by, rows=None: (seen.append(getattr(df, "_written_to", None)), real(df, by, rows))[1])
+    d = spark.range(300).select("id", F.col("id").cast("double").alias("f"), (F.col("id") + 1.0).alias("t"))
+    assert segments.check_monotonic(d, [], ("f", "t"), "id").first().ok
+    kept = ranges.written(d)
+    assert ranges.running(kept, ["id"], {"s": F.lit(1)}).where("s = id").count() == 300
+    assert len(seen) == 2 and seen[0] and seen[1] == kept._written_to
