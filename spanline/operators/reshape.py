@@ -102,8 +102,7 @@ def get_segments(points: DataFrame, id_vars: list[str], slk: str, segment_size:
 
 def _elementary(sides: list[DataFrame], id_vars: list[str]) -> DataFrame:
     """(ids, __a, __b): what lies between neighbouring bounds (__m, __n, whole metres) of all sides' rows, within the ids."""
-    bound = lambda d, c: d.select(*id_vars, F.col(c).alias("__a"))
-    all_ = reduce(DataFrame.union, [bound(d, c) for d in sides for c in ("__m", "__n")]).distinct()
+    all_ = reduce(DataFrame.union, [d.select(*id_vars, F.explode(F.array("__m", "__n")).alias("__a")) for d in sides]).distinct()
     e = scanned(written(all_), [*id_vars, "__a"], F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(id_vars)], F.col("__a").alias("a")), lead="__next", within=list(id_vars))
     return e.where(both([F.col(f"__next.c{k}").eqNullSafe(F.col(c)) for k, c in enumerate(id_vars)]) & F.col("__next").isNotNull()).select(*id_vars, "__a", F.col("__next.a").alias("__b"))
 
@@ -251,7 +250,8 @@ def interval_merge(left: DataFrame, right: DataFrame, id_vars: list[str], start:
     split = list(split_at) if isinstance(split_at, (list, tuple)) else both_[split_at]
     split = [c for c in dict.fromkeys(split) if c not in used]
     if len(used) == len(summarise):
-        a, b = (_measured(d.drop("segment_id"), start, end, start_true, id_vars) for d in (left, right))
+        # Bounds and rows are read by turns.
+        a, b = (written(_measured(d.drop("segment_id"), start, end, start_true, id_vars)) for d in (left, right))
         cuts = written(_elementary([a, b], id_vars))
         kept = {c: f"org_{c}" for c in bounds} if use_ranges else {}
         a = _cut(cuts, a.withColumnsRenamed(kept), id_vars)

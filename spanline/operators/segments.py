@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.steps import linspace_steps, pieces
-from ..tables import written
+from ..tables import once, written
 from . import ranges
 from .ranges import attached, both, largest, overlaps, running, scanned
 
@@ -45,6 +45,7 @@ def longest_overlap(new: DataFrame, source: DataFrame, keys: list[str], from_to,
 
     It depends on a piece's keys and bounds alone; pieces and sources meet in bins (see ranges.overlaps).
     """
+    new = once(new)
     pairs = overlaps(new, source, keys, from_to, from_to, {"__p": F.col(position)}, bin_width)
     over = F.least("__tt", "__to") - F.greatest("__tf", "__from")
     best = pairs.groupBy(*keys, "__tf", "__tt").agg(F.max_by("__p", F.struct(over, -F.col("__from"), -F.col("__p"))).alias("best"))

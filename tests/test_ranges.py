@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanline.operators import homogeneous, ranges, segments
+from spanline.operators import homogeneous, ranges, reshape, segments
 from spanline.operators.aggregations import Action, Aggregation as A
 from spanline.operators.merge import on_slk_intervals
 
@@ -240,3 +240,17 @@ def test_scans_by_ranges_work_out_their_rows_once(spark, monkeypatch):
     kept = ranges.written(d)
     assert ranges.running(kept, ["id"], {"s": F.lit(1)}).where("s = id").count() == 300
     assert len(seen) == 2 and seen[0] and seen[1] == kept._written_to
+
+
+def test_sides_of_a_range_join_are_worked_out_once(spark, monkeypatch):
+    """Both sides are counted by class and then joined, and targets are given back: what is read twice is a written table."""
+    seen, real = [], ranges._Classes.__init__
+    monkeypatch.setattr(ranges._Classes, "__init__", lambda self, left, right: (seen.extend([left, right]), real(self, left, right))[1])
+    t = spark.range(20).select(F.lit("R").alias("road"), (F.col("id") * 10.0).alias("f"), (F.col("id") * 10.0 + 10).alias("t"))
+    d = spark.range(50).select(F.lit("R").alias("road"), F.col("id").alias("i"), (F.col("id") * 4.0).alias("f"), (F.col("id") * 4.0 + 4).alias("t"))
+    out = on_slk_intervals(t, d, ["road"], [Action("i", A.Sum(), "s")], ("f", "t"), "i")
+    assert sorted((r.f, r.s) for r in out.collect())[:2] == [(0.0, 0 + 1 + 2), (10.0, 2 + 3 + 4)]
+    assert segments.longest_overlap(t, d, ["road"], ("f", "t"), "i").where("f = 0").first().source_position == 0
+    cut = reshape.interval_merge(*[x.withColumns({"f": F.col("f") / 1000, "t": F.col("t") / 1000}) for x in (t, d)], ["road"], "f", "t", {"m": "i"}, split_at=[], use_ranges=False).first()
+    assert (cut.START_SLK, cut.END_SLK, cut.m) == (0.0, 0.2, 24.5)
+    assert len(seen) == 8 and all(x.inputFiles() for x in seen)
