@@ -254,3 +254,14 @@ def test_sides_of_a_range_join_are_worked_out_once(spark, monkeypatch):
     cut = reshape.interval_merge(*[x.withColumns({"f": F.col("f") / 1000, "t": F.col("t") / 1000}) for x in (t, d)], ["road"], "f", "t", {"m": "i"}, split_at=[], use_ranges=False).first()
     assert (cut.START_SLK, cut.END_SLK, cut.m) == (0.0, 0.2, 24.5)
     assert len(seen) == 8 and all(x.inputFiles() for x in seen)
+
+
+def test_prefix_sums_find_ranges_once(spark, monkeypatch):
+    """Rows are numbered once, and what is summed and dealt is a written table; moments are of one too."""
+    seen, real = [], ranges.Ranges.dealt
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 50)
+    monkeypatch.setattr(ranges.Ranges, "dealt", lambda self, df: (seen.append(df), real(self, df))[1])
+    d = spark.range(300).select("id", F.col("id").cast("double").alias("v"))
+    assert ranges.running(d, ["id"], {"s": F.lit(1)}).where("s = id").count() == 300
+    assert homogeneous.cumulative_q(d, [], "id", "v").where("q between 0 and 1").count() == 299
+    assert len(seen) == 2 and all("__range" in x.columns and hasattr(x, "_written_to") for x in seen)
