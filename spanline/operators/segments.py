@@ -84,6 +84,9 @@ def overlay(original: DataFrame, additional: DataFrame, categories: list[str], m
     """
     if name_original == name_additional:
         raise ValueError(f"both positions would be named {name_original}")
+    if check_rows:
+        # Three checks and the events read either side.
+        original, additional = once(original), once(additional)
     for side, df, index in (("original", original, original_index), ("additional", additional, additional_index)):
         lacks = [c for c in (*categories, *measure_slk, *measure_true, index) if c not in df.columns]
         if lacks:

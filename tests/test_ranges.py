@@ -230,6 +230,26 @@ def test_a_grid_is_cut_in_many_tasks(spark, tmp_path):
     assert d.select(F.spark_partition_id()).distinct().count() == 4
 
 
+def test_a_grid_sorts_no_observations(spark, tmp_path):
+    """Roads' ends are sums where quantities are whole; else, as before, the greatest end of the observations."""
+    from spanline.plans import views
+
+    for name, qty in (("whole", "double(1 + id % 50)"), ("parts", "0.1D * (1 + id % 7)"), ("negative", "double(id % 5 - 3)")):
+        d = f"{tmp_path}/{name}"
+        spark.range(400).selectExpr("id % 4 as l_suppkey", "'A' as l_returnflag", "'F' as l_linestatus", f"{qty} as l_quantity", "double(id) as l_extendedprice", "id as l_orderkey", "1 as l_linenumber", "id as l_partkey", "0D as l_discount", "0D as l_tax", "date'2020-01-01' as l_shipdate").write.parquet(f"{d}/lineitem.parquet")
+        got, plan = views.ends(spark, d), views.grid(spark, d, 100.0)._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, views.obs(spark, d).groupBy("road").agg(F.max("t")).collect()))
+        assert ("Window" in plan) == (name != "whole")
+
+
+def test_sides_of_a_checked_overlay_are_worked_out_once(spark, monkeypatch):
+    seen, real = [], segments.check_disjoint
+    monkeypatch.setattr(segments, "check_disjoint", lambda df, *a: (seen.append(df), real(df, *a))[1])
+    d = spark.range(10).select(F.lit("R").alias("road"), F.col("id").alias("rid"), (F.col("id") * 10.0).alias("f"), (F.col("id") * 10.0 + 10).alias("t")).withColumns({"sf": F.col("f"), "s": F.col("t")})
+    assert segments.overlay(d, d, ["road"], ("sf", "s"), ("f", "t"), "o", "n", check_rows=True).where("o = n").count() == 10
+    assert len(seen) == 2 and all(hasattr(x, "_written_to") for x in seen)
+
+
 def test_scans_by_ranges_work_out_their_rows_once(spark, monkeypatch):
     """A scan counts, samples and deals its rows: what it reads is a written table, which is not written again."""
     seen, real = [], ranges.ranges_of
