@@ -99,6 +99,20 @@ def test_homogeneous_by_rounds_is_bisection_in_one_task(spark):
         assert ids(180) == one and len(set(one.values())) > 10
 
 
+def test_groups_are_bisected_many_in_a_batch(spark):
+    """No call for each group; groups that end within a batch or go on over several have the same ids."""
+    d = spark.range(900).selectExpr("if(id < 700, id div 9, null) as g", "id / 10D as f", "(id + 1) / 10D as t", "double(hash(id) % 100) as v", "array(struct(id as i)) as more")
+    x = homogeneous.segment_ids(d, ("f", "t"), ["v"], (0.1, 0.5), "q", ["g"])
+    assert "FlatMapGroups" not in x._jdf.queryExecution().executedPlan().toString()
+    want = {r.f: (r.segment_id, r.more) for r in x.collect()}
+    assert len(want) == 900 and max(v for v, _ in want.values()) > 10
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert {r.f: (r.segment_id, r.more) for r in x.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_prefix_sums_in_ranges(spark):
     from spanline.operators.ranges import running
 
