@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.steps import linspace_steps, pieces
-from ..tables import once, written
+from ..tables import discard, once, passing, written
 from . import ranges
 from .ranges import attached, both, largest, overlaps, running, scanned
 
@@ -165,7 +165,10 @@ def _changes(s: DataFrame, groups: list[str], cats: list[str]) -> DataFrame:
 
 def cross_sections(df: DataFrame, groups: list[str], cats: list[str], measure_slk, measure_true, number: str = "cross_section_number", original_index: str = "original_index", overlap: str = "overlap", index_col: str = "rid") -> DataFrame:
     """One row per section, active path and source; a section starts when the ordered active paths change (see _sections)."""
-    s, sec = _sections(df, groups, cats, measure_slk, measure_true, number, index_col)
+    d, e, most = _places(df, groups, cats, measure_slk, measure_true, index_col)
+    if _small(groups, most) and _listed(e) and d.groupBy(*groups, *cats, F.col(index_col).cast("long")).count().where("count > 1").isEmpty():
+        return _by_lists(d, e, groups, cats, measure_slk, measure_true, number, original_index, overlap, index_col)
+    s, sec = _sections(d, e, most, groups, cats, measure_true, number, index_col)
     return _sources(s, sec, groups, cats, measure_slk, measure_true, number, original_index, overlap)
 
 
@@ -196,60 +199,123 @@ def _sources(s: DataFrame, sec: DataFrame, groups: list[str], cats: list[str], m
     return rows.groupBy(*own).agg(F.sum(over).alias(overlap))
 
 
-def _sections(df: DataFrame, groups: list[str], cats: list[str], measure_slk, measure_true, number: str, index_col: str) -> tuple[DataFrame, DataFrame]:
-    """Sources with their first and last piece (__i0, __i1), and the pieces with their section's number.
+def _small(groups: list[str], most: int) -> bool:
+    """Whether groups, of `most` bounds at most, are windows of their own."""
+    return bool(groups) and most <= ranges.RANGE_ROWS
 
-    Pieces between neighbouring bounds of a group where SLK goes on and a source is active are numbered by
-    scans of the bounds, so a hot group is many tasks; a source is its first and last piece, and meets the
-    sections between its own first and last. Where pieces have MOST_LISTED sources at most, MEAN_LISTED on average,
-    neighbouring pieces compare lists of theirs. Else, with the same result, sections come from what starts and
-    ends at a piece (see _changes), so work grows with bounds and output; only where sources of one path overlap while
-    the paths stay the same are the sources there compared for each bound. Rows with a null group
-    or path are left out; empty, reversed, null and NaN intervals are no sources, but their bounds cut.
+
+def _listed(e: DataFrame) -> bool:
+    """Whether pieces have few sources, MOST_LISTED at most and MEAN_LISTED on average."""
+    listed = e.where("__piece").agg(F.max("__active").alias("most"), F.avg("__active").alias("mean")).first()
+    return (listed.most or 0) <= MOST_LISTED and (listed.mean or 0) <= MEAN_LISTED
+
+
+def _ends(measure_true) -> tuple[Column, Column, Column]:
+    """A row's bounds and whether it is a source."""
+    f, t = (F.col(c).cast("double") for c in measure_true)
+    return f, t, F.coalesce((f < t) & ~F.isnan(t), F.lit(False))
+
+
+def _places(df: DataFrame, groups: list[str], cats: list[str], measure_slk, measure_true, index_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """Rows that count, the bounds of each group with the piece up to the next one, and how many bounds a group has at most.
+
+    Pieces between neighbouring bounds of a group where SLK goes on and a source is active are numbered (__i) by
+    scans of the bounds, so a hot group is many tasks. Rows with a null group or path are left out; empty,
+    reversed, null and NaN intervals are no sources, but their bounds cut.
     """
     (sf, st), (tf, tt) = measure_slk, measure_true
-    d = df.where(both([F.col(c).isNotNull() for c in [*groups, *cats]]))
-    # Bounds and sources read it.
-    d = written(d.select(*dict.fromkeys([*groups, *cats, sf, st, tf, tt, index_col])))
-    f, t = F.col(tf).cast("double"), F.col(tt).cast("double")
-    real = F.coalesce((f < t) & ~F.isnan(t), F.lit(False))
-    ev = lambda x, s, k: F.struct(x.alias("t"), F.lit(k).alias("k"), F.col(s).alias("s"))
-    # A source ends before another starts at one place; of events at one place the last one's SLK stands.
-    e = d.select(*groups, real.alias("__real"), F.explode(F.array(ev(f, sf, 1), ev(t, st, 0))).alias("e")).groupBy(*groups, F.col("e.t").alias("__a"))
-    e = e.agg(F.max(F.struct("e.k", "e.s")).alias("x"), F.min(F.struct("e.k", "e.s")).alias("y"), F.sum(F.when(F.col("__real"), 2 * F.col("e.k") - 1).otherwise(0)).alias("__d"))
-    g = [f"g{k}" for k in range(len(groups))]
-    own = [F.col(c).alias(k) for k, c in zip(g, groups)]
-    most = 2 * largest(d, groups)
-    # Scans by ranges read their rows twice.
-    stays = written if most > ranges.RANGE_ROWS or not groups else lambda x: x
-    order = [*groups, "__a"]
-    e = scanned(stays(e), order, F.struct(*own, F.col("__a").alias("t"), F.col("y.s").alias("s")), lead="__n", within=groups, most=most)
-    e = running(stays(e), order, {"__before": F.col("__d")}, within=tuple(groups), most=most)
-    same, width = F.coalesce(_same(F.col("__n"), F.struct(*own), g) & F.col("__n").isNotNull(), F.lit(False)), F.col("__n.t") - F.col("__a")
-    on = F.coalesce(same & (width > 0) & ~F.isnan("__n.t") & (F.col("__n.s") > F.col("x.s")) & (F.col("__before") + F.col("__d") > 0), F.lit(False))
-    e = e.select(*groups, "__a", F.col("__n.t").alias("__b"), F.col("x.s").alias("__as"), F.col("__n.s").alias("__bs"), (F.col("__before") + F.col("__d")).alias("__active"), on.alias("__piece"), F.when(same & ~on & (F.abs(width) < float("inf")), width).otherwise(0.0).alias("__w"))
-    e = written(running(stays(e), order, {"__i": F.col("__piece").cast("long"), "__gap": F.col("__w")}, within=tuple(groups), most=most))
-
+    with passing() as kept:
+        d = df.where(both([F.col(c).isNotNull() for c in [*groups, *cats]]))
+        # Bounds and sources read it.
+        d = kept(written(d.select(*dict.fromkeys([*groups, *cats, sf, st, tf, tt, index_col]))))
+        most = 2 * largest(d, groups)
+        # Scans by ranges read their rows twice; small groups are dealt once, and what follows needs no shuffle.
+        stays, near = (lambda x: x, lambda x: x.repartition(*groups)) if _small(groups, most) else (written, lambda x: x)
+        f, t, real = _ends(measure_true)
+        ev = lambda x, s, k: F.struct(x.alias("t"), F.lit(k).alias("k"), F.col(s).alias("s"))
+        # A source ends before another starts at one place; of events at one place the last one's SLK stands.
+        e = near(d).select(*groups, real.alias("__real"), F.explode(F.array(ev(f, sf, 1), ev(t, st, 0))).alias("e")).groupBy(*groups, F.col("e.t").alias("__a"))
+        e = e.agg(F.max(F.struct("e.k", "e.s")).alias("x"), F.min(F.struct("e.k", "e.s")).alias("y"), F.sum(F.when(F.col("__real"), 2 * F.col("e.k") - 1).otherwise(0)).alias("__d"))
+        g = [f"g{k}" for k in range(len(groups))]
+        own = [F.col(c).alias(k) for k, c in zip(g, groups)]
+        order = [*groups, "__a"]
+        e = scanned(stays(e), order, F.struct(*own, F.col("__a").alias("t"), F.col("y.s").alias("s")), lead="__n", within=groups, most=most)
+        e = running(stays(e), order, {"__before": F.col("__d")}, within=tuple(groups), most=most)
+        same, width = F.coalesce(_same(F.col("__n"), F.struct(*own), g) & F.col("__n").isNotNull(), F.lit(False)), F.col("__n.t") - F.col("__a")
+        on = F.coalesce(same & (width > 0) & ~F.isnan("__n.t") & (F.col("__n.s") > F.col("x.s")) & (F.col("__before") + F.col("__d") > 0), F.lit(False))
+        e = e.select(*groups, "__a", F.col("__n.t").alias("__b"), F.col("x.s").alias("__as"), F.col("__n.s").alias("__bs"), (F.col("__before") + F.col("__d")).alias("__active"), on.alias("__piece"), F.when(same & ~on & (F.abs(width) < float("inf")), width).otherwise(0.0).alias("__w"))
+        e = kept(written(running(stays(e), order, {"__i": F.col("__piece").cast("long"), "__gap": F.col("__w")}, within=tuple(groups), most=most)))
+    return d, e, most
+
+
+def _spans(d: DataFrame, e: DataFrame, groups: list[str], cats: list[str], measure_true, index_col: str) -> DataFrame:
+    """Sources with their __key and their first and last piece (__i0, __i1)."""
+    f, t, real = _ends(measure_true)
     key = F.struct(f.alias("f"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(cats)], F.col(index_col).cast("long").alias("o"))
     s = d.where(real).select(*groups, *cats, f.alias("__f"), t.alias("__t"), key.alias("__key"))
     s = _at(_at(s, "__f", e, "__a", {"__i0": "__i"}, groups), "__t", e, "__a", {"__i1": "__i"}, groups)
-    s = written(s.select(*groups, *cats, "__key", "__i0", (F.col("__i1") - 1).alias("__i1")).where("__i0 <= __i1"))
-    listed = e.where("__piece").agg(F.max("__active").alias("most"), F.avg("__active").alias("mean")).first()
-    if (listed.most or 0) <= MOST_LISTED and (listed.mean or 0) <= MEAN_LISTED:
-        paths = F.transform(F.array_sort(F.collect_list("__key")), lambda x: F.struct(*[x[f"c{k}"] for k in range(len(cats))]))
-        state = s.select(*groups, "__key", F.explode(F.sequence("__i0", "__i1")).alias("__i")).groupBy(*groups, "__i").agg(paths.alias("__state"))
-        breaks = lambda p, q: ~_same(p, q, [*g, "state"])
-    else:
-        state = _changes(s, groups, cats).withColumnRenamed("__changed", "__state")
-        breaks = lambda p, q: ~_same(p, q, g) | F.coalesce(q["state"], F.lit(False))
-    sec = e.where("__piece").join(state, [*groups, "__i"], "left")
-    sec = scanned(stays(sec), [*groups, "__i"], F.struct(*own, F.col("__state").alias("state")), breaks={"__k": breaks}, within=groups, most=most).drop("__state")
-    return s, written(sec.withColumn(number, (F.col("__k") - 1).cast("long")))
+    return s.select(*groups, *cats, "__key", "__i0", (F.col("__i1") - 1).alias("__i1")).where("__i0 <= __i1")
+
+
+def _by_lists(d: DataFrame, e: DataFrame, groups: list[str], cats: list[str], measure_slk, measure_true, number: str, original_index: str, overlap: str, index_col: str) -> DataFrame:
+    """One row per section, path and source, where groups are small, pieces have few sources and no two sources share path and index.
+
+    Sources and pieces are dealt by group, and all that follows stays there: a piece's sources are a list,
+    pieces of equal paths are a section, and its sources are what the lists hold.
+    """
+    near = lambda x: x.repartition(*groups)
+    paths = F.transform("__own", lambda x: F.struct(*[x[f"c{k}"] for k in range(len(cats))]))
+    s = _spans(near(d), near(e), groups, cats, measure_true, index_col)
+    s = s.select(*groups, "__key", F.explode(F.sequence("__i0", "__i1")).alias("__i")).groupBy(*groups, "__i").agg(F.array_sort(F.collect_list("__key")).alias("__own"))
+    x = near(e.where("__piece").select(*groups, "__i", "__a", "__b", "__as", "__bs", "__gap")).join(s, [*groups, "__i"])
+    w = W.partitionBy(*groups).orderBy("__i")
+    x = x.withColumn("__p", paths).withColumn("__p", F.when(F.lag("__p").over(w).eqNullSafe(F.col("__p")), 0).otherwise(1))
+    x = x.withColumn(number, F.sum("__p").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    bounds = [*measure_slk, *measure_true]
+    whole = W.partitionBy(*groups, number)
+    x = x.select(*groups, number, *[b.over(whole).alias(c) for b, c in zip([F.min("__as"), F.max("__bs"), F.min("__a"), F.max("__b")], bounds)], "__a", "__b", "__gap", F.explode("__own").alias("__key"))
+    path = [F.col(f"__key.c{k}").alias(c) for k, c in enumerate(cats)]
+    # Less what lies between pieces and is none.
+    over = F.max("__b") - F.min("__a") - (F.max("__gap") - F.min("__gap"))
+    x = x.groupBy(*groups, number, *bounds, *path, F.col("__key.o").alias(original_index)).agg(over.alias(overlap))
+    x = written(x, near=True)
+    discard(d, e)
+    out = ranges.counted_on(x, groups, [number])
+    return out.select(*[(F.col(c) - 1).cast("long").alias(c) if c == number else c for c in x.columns])
+
+
+def _sections(d: DataFrame, e: DataFrame, most: int, groups: list[str], cats: list[str], measure_true, number: str, index_col: str) -> tuple[DataFrame, DataFrame]:
+    """Sources with their first and last piece (__i0, __i1), and the pieces with their section's number, from _places.
+
+    A source is its first and last piece, and meets the sections between its own first and last. Where pieces have
+    few sources (see _listed), neighbouring pieces compare lists of theirs. Else, with the same result, sections come from what starts and
+    ends at a piece (see _changes), so work grows with bounds and output; only where sources of one path overlap while
+    the paths stay the same are the sources there compared for each bound.
+    """
+    small = _small(groups, most)
+    stays, near = (lambda x: x, lambda x: x.repartition(*groups)) if small else (written, lambda x: x)
+    g = [f"g{k}" for k in range(len(groups))]
+    own = [F.col(c).alias(k) for k, c in zip(g, groups)]
+    with passing() as kept:
+        s = kept(written(_spans(near(d), near(e), groups, cats, measure_true, index_col), near=small))
+        if _listed(e):
+            paths = F.transform(F.array_sort(F.collect_list("__key")), lambda x: F.struct(*[x[f"c{k}"] for k in range(len(cats))]))
+            state = near(s).select(*groups, "__key", F.explode(F.sequence("__i0", "__i1")).alias("__i")).groupBy(*groups, "__i").agg(paths.alias("__state"))
+            breaks = lambda p, q: ~_same(p, q, [*g, "state"])
+        else:
+            state = _changes(s, groups, cats).withColumnRenamed("__changed", "__state")
+            breaks = lambda p, q: ~_same(p, q, g) | F.coalesce(q["state"], F.lit(False))
+        sec = near(e.where("__piece").drop("__piece", "__active", "__w")).join(state, [*groups, "__i"], "left")
+        sec = scanned(stays(sec), [*groups, "__i"], F.struct(*own, F.col("__state").alias("state")), breaks={"__k": breaks}, within=groups, most=most, without=("__state",))
+        sec = kept(written(sec.withColumn(number, (F.col("__k") - 1).cast("long"))))
+    discard(d, e)
+    return s, sec
 
 
 def cross_sections_normalised(df: DataFrame, groups: list[str], cats: list[str], measure_slk, measure_true, number: str = "cross_section_number", original_index: str = "original_index", overlap: str = "overlap", index_col: str = "rid") -> tuple[DataFrame, DataFrame]:
     """(one row per section, one row per section and source). Every section has a source, so the first comes from its pieces alone."""
-    s, sec = _sections(df, groups, cats, measure_slk, measure_true, number, index_col)
+    d, e, most = _places(df, groups, cats, measure_slk, measure_true, index_col)
+    s, sec = _sections(d, e, most, groups, cats, measure_true, number, index_col)
     out = _sources(s, sec, groups, cats, measure_slk, measure_true, number, original_index, overlap)
     return sec.groupBy(*groups, number).agg(*_bounds(measure_slk, measure_true)), out.select(number, *[c for c in out.columns if c not in (*groups, number, *measure_slk, *measure_true)])
 

@@ -2,7 +2,9 @@ import random
 
 import pytest
 
+from spanline import tables
 from spanline.operators import ranges, segments
+from spanline.tables import written
 
 COLUMNS = "rid long, g string, x string, sf double, st double, f double, t double"
 
@@ -97,3 +99,51 @@ def test_a_section_is_a_row_without_its_sources(spark):
     assert "Join" not in plan(sec) and "Generate" not in plan(sec)
     one = segments.cross_sections(spark.createDataFrame(dealt(5, 60, 12, "xy", 50), COLUMNS), ["g"], ["x"], ("sf", "st"), ("f", "t"))
     assert plan(one).startswith("Project")
+
+
+@pytest.fixture
+def folder(monkeypatch, tmp_path):
+    """A folder of its own for written tables."""
+    monkeypatch.setattr(tables, "scratch", lambda spark: f"file://{tmp_path}")
+    return tmp_path
+
+
+def unread(folder, df):
+    """Written tables that df does not read."""
+    return {p.name for p in folder.iterdir()} - {f.split("/")[-2] for f in df.inputFiles()}
+
+
+@pytest.mark.parametrize("most", [-1, 1_000])
+def test_no_table_stays_that_the_result_does_not_read(spark, monkeypatch, folder, most):
+    monkeypatch.setattr(segments, "MOST_LISTED", most)
+    rows = dealt(2, 150, 20, "LMR", 99)
+    out = segments.cross_sections(spark.createDataFrame(rows, COLUMNS), ["g"], ["x"], ("sf", "st"), ("f", "t"))
+    assert not unread(folder, out)
+    assert sorted(map(tuple, out.select("g", "cross_section_number", "sf", "st", "f", "t", "x", "original_index", "overlap").collect())) == brute(rows)
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString(" ").split(" ") if "shuffle_" in f}
+    before = files()
+    out = written(spark.range(1_000).groupBy("id").count())
+    assert not files() - before and out.count() == 1_000
+
+
+def test_lists_are_dealt_by_group_once(spark, monkeypatch):
+    """What follows the deal of sources and bounds, joins too, has no shuffle of its own; sources of equal path and index go another way."""
+    monkeypatch.setattr(segments, "MOST_LISTED", 1_000)
+    plans = []
+    keep = segments.written
+
+    def spied(df, *args, **kwargs):
+        plans.append((df, kwargs))
+        return keep(df, *args, **kwargs)
+
+    monkeypatch.setattr(segments, "written", spied)
+    rows = dealt(5, 150, 12, "LMR", 45)
+    assert sections(spark, rows) == brute(rows)
+    df, settings = plans[-1]
+    assert settings == {"near": True} and "cross_section_number" in df.columns
+    twice = [*rows, (0, "a", "L", 70.0, 75.0, 70.0, 75.0), (0, "a", "L", 72.0, 80.0, 72.0, 80.0)]
+    assert sections(spark, twice) == brute(twice)
