@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from ..functions.mappings import LANES
 from ..functions.steps import as_metres
-from ..tables import written
-from .ranges import both, overlaps, scanned
+from ..tables import passing, written
+from . import ranges
+from .ranges import both, largest, overlaps, running, scanned
 
 #: Places of a word of points; two bits are left, so that one may be added to any part of it.
 PLACES = 62
@@ -100,11 +101,20 @@ def get_segments(points: DataFrame, id_vars: list[str], slk: str, segment_size:
     return d.groupBy(*id_vars, "segment_no", *split_at).agg(*out, *[c.alias(n) for n, c in summarise.items()]).drop("segment_no")
 
 
-def _elementary(sides: list[DataFrame], id_vars: list[str]) -> DataFrame:
-    """(ids, __a, __b): what lies between neighbouring bounds (__m, __n, whole metres) of all sides' rows, within the ids."""
-    all_ = reduce(DataFrame.union, [d.select(*id_vars, F.explode(F.array("__m", "__n")).alias("__a")) for d in sides]).distinct()
-    e = scanned(written(all_), [*id_vars, "__a"], F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(id_vars)], F.col("__a").alias("a")), lead="__next", within=list(id_vars))
-    return e.where(both([F.col(f"__next.c{k}").eqNullSafe(F.col(c)) for k, c in enumerate(id_vars)]) & F.col("__next").isNotNull()).select(*id_vars, "__a", F.col("__next.a").alias("__b"))
+def _elementary(sides: list[DataFrame], id_vars: list[str], near: bool = False) -> DataFrame:
+    """(ids, __a, __b): what lies between neighbouring bounds (__m, __n, whole metres) of all sides' rows, within the ids.
+
+    near: no ids have many rows, so these are dealt by ids once; __deep is then how many rows cover an interval.
+    """
+    rows = reduce(DataFrame.union, [d.select(*id_vars, "__m", "__n") for d in sides])
+    if near:
+        ends = F.explode(F.array(F.struct(F.col("__m").alias("a"), F.lit(1).alias("d")), F.struct(F.col("__n").alias("a"), F.lit(-1).alias("d")))).alias("e")
+        all_ = rows.repartition(*id_vars).select(*id_vars, ends).groupBy(*id_vars, F.col("e.a").alias("__a")).agg(F.sum("e.d").alias("__d"))
+        all_ = running(all_, [*id_vars, "__a"], {"__deep": F.col("__d")}, within=tuple(id_vars), most=0).withColumn("__deep", F.col("__deep") + F.col("__d")).drop("__d")
+    else:
+        all_ = written(rows.select(*id_vars, F.explode(F.array("__m", "__n")).alias("__a")).distinct())
+    e = scanned(all_, [*id_vars, "__a"], F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(id_vars)], F.col("__a").alias("a")), lead="__next", within=list(id_vars), most=0 if near else None)
+    return e.where(both([F.col(f"__next.c{k}").eqNullSafe(F.col(c)) for k, c in enumerate(id_vars)]) & F.col("__next").isNotNull()).select(*id_vars, "__a", F.col("__next.a").alias("__b"), *(["__deep"] if near else []))
 
 
 def _measured(df: DataFrame, start: str, end: str, start_true: str | None, id_vars: list[str]) -> DataFrame:
@@ -113,17 +123,18 @@ def _measured(df: DataFrame, start: str, end: str, start_true: str | None, id_va
     return d.where(both([F.col(c).isNotNull() for c in (*id_vars, "__off")]) & (F.col("__m") < F.col("__n")))
 
 
-def _cut(cuts: DataFrame, d: DataFrame, id_vars: list[str]) -> DataFrame:
+def _cut(cuts: DataFrame, d: DataFrame, id_vars: list[str], near: bool = False) -> DataFrame:
     """Each row of d once for each elementary interval (__a, __b) that it covers."""
     own = [c for c in d.columns if c not in (*id_vars, "__m", "__n")]
-    got = overlaps(cuts, d, id_vars, ("__a", "__b"), ("__m", "__n"), {c: F.col(c) for c in own})
+    got = overlaps(cuts, d, id_vars, ("__a", "__b"), ("__m", "__n"), {c: F.col(c) for c in own}, unique=True, near=near)
     return got.select(*id_vars, F.col("__tf").cast("long").alias("__a"), F.col("__tt").cast("long").alias("__b"), *own)
 
 
-def _joined_up(pieces: DataFrame | None, id_vars: list[str], split: list[str], means: dict[str, str], true: bool, alone: DataFrame | None = None) -> DataFrame:
+def _joined_up(pieces: DataFrame | None, id_vars: list[str], split: list[str], means: dict[str, str], true: bool, alone: DataFrame | None = None, near: bool = False) -> DataFrame:
     """Pieces (__a, __b, __off) that touch and share ids and split, as intervals with means weighted by length.
 
     Of pieces that agree in place and split one counts, the one of least values. alone: more pieces, which meet no other.
+    near: no ids have many pieces, and pieces are dealt by ids.
     """
     vals = list(dict.fromkeys(means.values()))
     value, place = F.struct(F.lit(0).alias("one"), *[F.col(c).alias(f"v{k}") for k, c in enumerate(vals)]), [*id_vars, "__off", "__a", "__b", *split]
@@ -133,7 +144,7 @@ def _joined_up(pieces: DataFrame | None, id_vars: list[str], split: list[str], m
     row = F.struct(*[F.col(c).alias(k) for k, c in zip([*ids, *own], [*id_vars, *split])], F.col("__a").alias("a"), F.col("__b").alias("b"), F.col("__off").alias("off"))
     goes_on = lambda p, q: both([p[k].eqNullSafe(q[k]) for k in (*ids, *own, "off")] + [p["b"] == q["a"]])
     d = d.withColumn("__true", F.col("__a") + F.col("__off"))
-    d = scanned(written(d), [*id_vars, "__true", "__a", *split, "__b"], row, breaks={"__run": lambda p, q: ~goes_on(p, q)}, within=list(id_vars))
+    d = scanned(d if near else written(d), [*id_vars, "__true", "__a", *split, "__b"], row, breaks={"__run": lambda p, q: ~goes_on(p, q)}, within=list(id_vars), most=0 if near else None, apart=near)
     w = F.col("__b") - F.col("__a")
     mean = lambda c: F.sum(F.col(f"__v.v{vals.index(c)}") * w) / F.sum(F.when(F.col(f"__v.v{vals.index(c)}").isNotNull(), w))
     out = [(F.min("__a") / 1000.0).alias("START_SLK"), (F.max("__b") / 1000.0).alias("END_SLK")]
@@ -250,14 +261,20 @@ def interval_merge(left: DataFrame, right: DataFrame, id_vars: list[str], start:
     split = list(split_at) if isinstance(split_at, (list, tuple)) else both_[split_at]
     split = [c for c in dict.fromkeys(split) if c not in used]
     if len(used) == len(summarise):
-        # Bounds and rows are read by turns.
-        a, b = (written(_measured(d.drop("segment_id"), start, end, start_true, id_vars)) for d in (left, right))
-        cuts = written(_elementary([a, b], id_vars))
         kept = {c: f"org_{c}" for c in bounds} if use_ranges else {}
-        a = _cut(cuts, a.withColumnsRenamed(kept), id_vars)
-        b = _cut(cuts, b.drop(*[c for c in own(right) if c in left.columns]), id_vars).drop("__b", *bounds)
-        pieces = a.join(b, [*id_vars, "__a", "__off"], "left")
-        out = _joined_up(pieces, [*id_vars, *kept.values()], split, summarise, bool(start_true))
+        own_a, own_b = ([c for c in own(d) if c in (*split, *used)] for d in (left, right))
+        with passing() as keep:
+            # Bounds and rows are read by turns.
+            side = lambda d, columns, more=(): written(_measured(d, start, end, start_true, id_vars).select(*id_vars, "__m", "__n", "__off", *columns, *more))
+            a = side(left, own_a, [F.col(c).alias(n) for c, n in kept.items()])
+            b = side(right, [c for c in own_b if c not in left.columns])
+            # Where no ids have many bounds, nor many pieces, rows are dealt by ids once, and joins, groups and scans stay there.
+            near = bool(id_vars) and 2 * largest(a.select(*id_vars).union(b.select(*id_vars)), id_vars) <= ranges.RANGE_ROWS
+            cuts = written(_elementary([a, b], id_vars, near))
+            near = near and (cuts.groupBy(*id_vars).agg(F.sum(F.col("__deep") * F.col("__deep")).alias("n")).agg(F.max("n")).first()[0] or 0) <= ranges.RANGE_ROWS
+            a, b = _cut(cuts, a, id_vars, near), _cut(cuts, b, id_vars, near).drop("__b")
+            pieces = a.join(b, [*id_vars, "__a", "__off"], "left")
+            out = keep(written(_joined_up(pieces, [*id_vars, *kept.values()], split, summarise, bool(start_true), near=near), near=near))
         if not use_ranges:
             return out
         return out.drop("START_SLK", "END_SLK", "START_TRUE", "END_TRUE").withColumnsRenamed({v: k for k, v in kept.items()}).distinct()

@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spanline.operators import reshape
+from spanline import tables
+from spanline.operators import ranges, reshape
 
 COLUMNS = "g string, a double, b double, ta double, tb double, k string, v double, w double"
 
@@ -141,3 +142,26 @@ def test_rows_that_overlap_none_are_not_cut(spark, monkeypatch):
     got = run(d)
     # Of the two x from 0.1 to 0.2 the lesser value counts.
     assert cut == [3] and got[:2] == run(d.where("g = 'r'")) and got[2] == ("s", "x", 0.0, 0.2, 4.0)
+
+
+@pytest.mark.parametrize("use_ranges", [False, True])
+def test_interval_merge_by_groups_and_by_ranges(spark, monkeypatch, tmp_path, use_ranges):
+    """Groups of few pieces are merged where they are dealt, with the same result; no table stays that the result does not read."""
+    r = random.Random(4)
+    rows = lambda n, most: [(r.choice("xy"), f / 1000, (f + r.randrange(1, most)) / 1000, r.choice("kl"), float(r.randrange(9))) for f in (r.randrange(200) for _ in range(n))]
+    left, right = spark.createDataFrame(rows(40, 30), "g string, a double, b double, k string, w double"), spark.createDataFrame(rows(60, 50), "g string, a double, b double, l string, v double")
+
+    def run(name):
+        folder = tmp_path / name
+        folder.mkdir()
+        monkeypatch.setattr(tables, "scratch", lambda spark: f"file://{folder}")
+        out = reshape.interval_merge(left, right, ["g"], "a", "b", {"m": "v"}, split_at=["k", "l"], use_ranges=use_ranges)
+        assert {p.name for p in folder.iterdir()} == {f.split("/")[-2] for f in out.inputFiles()}
+        return sorted(map(str, out.withColumn("m", F.round("m", 9)).collect()))
+
+    near = run("groups")
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 300)
+    # Few bounds, but pieces of many rows.
+    assert run("pieces") == near and near
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 20)
+    assert run("ranges") == near
