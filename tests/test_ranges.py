@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanline import tables
 from spanline.operators import homogeneous, ranges, reshape, segments
 from spanline.operators.aggregations import Action, Aggregation as A
 from spanline.operators.merge import on_slk_intervals
@@ -285,3 +286,18 @@ def test_prefix_sums_find_ranges_once(spark, monkeypatch):
     assert ranges.running(d, ["id"], {"s": F.lit(1)}).where("s = id").count() == 300
     assert homogeneous.cumulative_q(d, [], "id", "v").where("q between 0 and 1").count() == 299
     assert len(seen) == 2 and all("__range" in x.columns and hasattr(x, "_written_to") for x in seen)
+
+
+@pytest.mark.parametrize("kind", ["q", "p"])
+def test_best_bisection_by_groups_and_by_ranges(spark, monkeypatch, tmp_path, kind):
+    """Small groups are windows and nothing is written for them; larger ones have the same places."""
+    monkeypatch.setattr(tables, "scratch", lambda spark: f"file://{tmp_path}")
+    r = random.Random(7)
+    rows = [(r.choice(["a", "b", None]), k, r.choice([None, 1.0, 2.0, 9.0]), float(r.randrange(5)), r.choice([0.5, 1.0, 2.0])) for k in range(160)]
+    rows += [("flat", 1000 + k, 3.0, 3.0, 1.0) for k in range(9)] + [("one", 2000, 1.0, 1.0, 1.0)]
+    d = spark.createDataFrame(rows, "g string, k long, v double, w double, len double")
+    run = lambda: sorted(map(str, homogeneous.best_bisection(d, ["g"], "k", ["v", "w"], "len", 3.0, kind=kind).withColumn("best_q", F.round("best_q", 9)).collect()))
+    near = run()
+    assert len(near) >= 3 and not list(tmp_path.iterdir())
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 20)
+    assert run() == near and list(tmp_path.iterdir())
