@@ -415,6 +415,19 @@ def test_long_alignments_in_little_memory(monkeypatch):
     assert len(html.matches(a, b)) > 2_000 and time.time() - began < 60
 
 
+def test_what_the_wrappers_leave_out_is_template_by_its_path(spark):
+    """A slot of three pages in four hundred, and a layout of three pages in some three thousand."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(12))
+    rare = lambda k: "<section class='extra'>Read this on every page.</section><p>own {0}</p><section class='extra'>Read this on every page.</section>".format(words(f"b{k}")) if k < 3 else ""
+    one = [(k, f"http://a.org/{k}", f"<body><div><p>{words(k)}</p></div>{rare(k)}</body>") for k in range(400)]
+    odd = [(1000 + k, f"http://b.org/{k}", f"<body><dl><dd>{words(k)}</dd></dl><section><b>Ask the desk for more.</b></section></body>") for k in range(3)]
+    two = [(2000 + k, f"http://b.org/x{k}", f"<body><div><p>{words(k)}</p></div></body>") for k in range(3200)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame([*one, *odd, *two], "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(3)] == [f"{words(k)}\n\nown {words(f'b{k}')}" for k in range(3)]
+    assert [got[1000 + k] for k in range(3)] == [words(k) for k in range(3)]
+    assert all(got[r[0]] == words(r[0] % 1000 if r[0] < 2000 else r[0] - 2000) for r in [*one[3:], *two])
+
+
 def test_wrappers_do_not_grow_with_a_host():
     shape = lambda k: {"pages": 1, "slots": [["top", "", 1], [f"only{k}", "", 1], ["end", "", 1], ["foot", "", 1]]}
     w = html.clustered([shape(k) for k in range(400)])
