@@ -123,7 +123,7 @@ def _measured(df: DataFrame, start: str, end: str, start_true: str | None, id_va
     return d.where(both([F.col(c).isNotNull() for c in (*id_vars, "__off")]) & (F.col("__m") < F.col("__n")))
 
 
-def _cut(cuts: DataFrame, d: DataFrame, id_vars: list[str], near: bool = False) -> DataFrame:
+def _cut(cuts: DataFrame, d: DataFrame, id_vars: list[str], near: int = 0) -> DataFrame:
     """Each row of d once for each elementary interval (__a, __b) that it covers."""
     own = [c for c in d.columns if c not in (*id_vars, "__m", "__n")]
     got = overlaps(cuts, d, id_vars, ("__a", "__b"), ("__m", "__n"), {c: F.col(c) for c in own}, unique=True, near=near)
@@ -271,10 +271,12 @@ def interval_merge(left: DataFrame, right: DataFrame, id_vars: list[str], start:
             # Where no ids have many bounds, nor many pieces, rows are dealt by ids once, and joins, groups and scans stay there.
             near = bool(id_vars) and 2 * largest(a.select(*id_vars).union(b.select(*id_vars)), id_vars) <= ranges.RANGE_ROWS
             cuts = written(_elementary([a, b], id_vars, near))
-            near = near and (cuts.groupBy(*id_vars).agg(F.sum(F.col("__deep") * F.col("__deep")).alias("n")).agg(F.max("n")).first()[0] or 0) <= ranges.RANGE_ROWS
+            if near:
+                deep = cuts.groupBy(*id_vars).agg(F.sum(F.col("__deep") * F.col("__deep")).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+                near = ranges.tasks_for(deep["all"] or 0) if (deep.most or 0) <= ranges.RANGE_ROWS else 0
             a, b = _cut(cuts, a, id_vars, near), _cut(cuts, b, id_vars, near).drop("__b")
             pieces = a.join(b, [*id_vars, "__a", "__off"], "left")
-            out = keep(written(_joined_up(pieces, [*id_vars, *kept.values()], split, summarise, bool(start_true), near=near), near=near))
+            out = keep(written(_joined_up(pieces, [*id_vars, *kept.values()], split, summarise, bool(start_true), near=bool(near)), near=bool(near)))
         if not use_ranges:
             return out
         return out.drop("START_SLK", "END_SLK", "START_TRUE", "END_TRUE").withColumnsRenamed({v: k for k, v in kept.items()}).distinct()

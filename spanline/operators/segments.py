@@ -166,8 +166,9 @@ def _changes(s: DataFrame, groups: list[str], cats: list[str]) -> DataFrame:
 def cross_sections(df: DataFrame, groups: list[str], cats: list[str], measure_slk, measure_true, number: str = "cross_section_number", original_index: str = "original_index", overlap: str = "overlap", index_col: str = "rid") -> DataFrame:
     """One row per section, active path and source; a section starts when the ordered active paths change (see _sections)."""
     d, e, most = _places(df, groups, cats, measure_slk, measure_true, index_col)
-    if _small(groups, most) and _listed(e) and d.groupBy(*groups, *cats, F.col(index_col).cast("long")).count().where("count > 1").isEmpty():
-        return _by_lists(d, e, groups, cats, measure_slk, measure_true, number, original_index, overlap, index_col)
+    listed, rows = _listed(e)
+    if _small(groups, most) and listed and d.groupBy(*groups, *cats, F.col(index_col).cast("long")).count().where("count > 1").isEmpty():
+        return _by_lists(d, e, rows, groups, cats, measure_slk, measure_true, number, original_index, overlap, index_col)
     s, sec = _sections(d, e, most, groups, cats, measure_true, number, index_col)
     return _sources(s, sec, groups, cats, measure_slk, measure_true, number, original_index, overlap)
 
@@ -204,10 +205,10 @@ def _small(groups: list[str], most: int) -> bool:
     return bool(groups) and most <= ranges.RANGE_ROWS
 
 
-def _listed(e: DataFrame) -> bool:
-    """Whether pieces have few sources, MOST_LISTED at most and MEAN_LISTED on average."""
-    listed = e.where("__piece").agg(F.max("__active").alias("most"), F.avg("__active").alias("mean")).first()
-    return (listed.most or 0) <= MOST_LISTED and (listed.mean or 0) <= MEAN_LISTED
+def _listed(e: DataFrame) -> tuple[bool, int]:
+    """Whether pieces have few sources, MOST_LISTED at most and MEAN_LISTED on average; and how many in all."""
+    listed = e.where("__piece").agg(F.max("__active").alias("most"), F.avg("__active").alias("mean"), F.sum("__active").alias("all")).first()
+    return (listed.most or 0) <= MOST_LISTED and (listed.mean or 0) <= MEAN_LISTED, listed["all"] or 0
 
 
 def _ends(measure_true) -> tuple[Column, Column, Column]:
@@ -257,13 +258,13 @@ def _spans(d: DataFrame, e: DataFrame, groups: list[str], cats: list[str], measu
     return s.select(*groups, *cats, "__key", "__i0", (F.col("__i1") - 1).alias("__i1")).where("__i0 <= __i1")
 
 
-def _by_lists(d: DataFrame, e: DataFrame, groups: list[str], cats: list[str], measure_slk, measure_true, number: str, original_index: str, overlap: str, index_col: str) -> DataFrame:
+def _by_lists(d: DataFrame, e: DataFrame, rows: int, groups: list[str], cats: list[str], measure_slk, measure_true, number: str, original_index: str, overlap: str, index_col: str) -> DataFrame:
     """One row per section, path and source, where groups are small, pieces have few sources and no two sources share path and index.
 
-    Sources and pieces are dealt by group, and all that follows stays there: a piece's sources are a list,
+    Sources and pieces are dealt by group, over tasks that grow in number with the `rows` the lists hold, and all that follows stays there: a piece's sources are a list,
     pieces of equal paths are a section, and its sources are what the lists hold.
     """
-    near = lambda x: x.repartition(*groups)
+    near = lambda x: x.repartition(ranges.tasks_for(rows), *groups)
     paths = F.transform("__own", lambda x: F.struct(*[x[f"c{k}"] for k in range(len(cats))]))
     s = _spans(near(d), near(e), groups, cats, measure_true, index_col)
     s = s.select(*groups, "__key", F.explode(F.sequence("__i0", "__i1")).alias("__i")).groupBy(*groups, "__i").agg(F.array_sort(F.collect_list("__key")).alias("__own"))
@@ -298,7 +299,7 @@ def _sections(d: DataFrame, e: DataFrame, most: int, groups: list[str], cats: li
     own = [F.col(c).alias(k) for k, c in zip(g, groups)]
     with passing() as kept:
         s = kept(written(_spans(near(d), near(e), groups, cats, measure_true, index_col), near=small))
-        if _listed(e):
+        if _listed(e)[0]:
             paths = F.transform(F.array_sort(F.collect_list("__key")), lambda x: F.struct(*[x[f"c{k}"] for k in range(len(cats))]))
             state = near(s).select(*groups, "__key", F.explode(F.sequence("__i0", "__i1")).alias("__i")).groupBy(*groups, "__i").agg(paths.alias("__state"))
             breaks = lambda p, q: ~_same(p, q, [*g, "state"])
